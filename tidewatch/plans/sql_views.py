@@ -1,6 +1,9 @@
 """DuckDB CTEs for the domain views, written independently of the Spark code
 (FIXTURES.md part B). Compose as ``WITH {PACKETS_CTE}, ... SELECT``."""
 
+LINE_ID = ("CAST(('0x' || substr(md5(concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey, "
+           "CAST(l_quantity AS BIGINT))), 1, 15)) AS BIGINT)")
+
 PACKETS_CTE = """packets AS (
   SELECT event_id, CAST(ts AS TIMESTAMP) AS ts, user_id AS src, CAST(NULL AS BIGINT) AS dst, event_type,
          CASE event_type WHEN 'click' THEN 'TCP' WHEN 'view' THEN 'UDP' WHEN 'error' THEN 'ARP'
@@ -14,16 +17,16 @@ PACKETS_CTE = """packets AS (
          value AS ttl, 100.0 AS baseline_ttl, value AS rtt
   FROM events)"""
 
-FLOWS_CTE = """flows AS (
-  SELECT l_orderkey * 10 + l_linenumber AS row_id, l_orderkey AS flow_id, l_shipdate AS "timestamp",
+FLOWS_CTE = f"""flows AS (
+  SELECT {LINE_ID} AS row_id, l_orderkey AS flow_id, l_shipdate AS "timestamp",
          l_quantity AS packet_length, l_suppkey AS dst_port, l_partkey AS part_key,
          l_quantity AS quantity, l_extendedprice AS price, l_discount AS discount, l_tax AS tax,
          l_linenumber AS line, l_returnflag AS attack_cat,
          CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS label
   FROM lineitem)"""
 
-PREDICTIONS_CTE = """preds AS (
-  SELECT l_orderkey * 10 + l_linenumber AS row_id,
+PREDICTIONS_CTE = f"""preds AS (
+  SELECT {LINE_ID} AS row_id,
          CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS y_true,
          l_quantity / 50.0 AS y_score,
          CASE WHEN l_quantity / 50.0 > 0.5 THEN 1 ELSE 0 END AS y_pred,
@@ -31,10 +34,10 @@ PREDICTIONS_CTE = """preds AS (
          l_suppkey AS group_key
   FROM lineitem)"""
 
-DECISIONS_CTE = """decisions AS (
+DECISIONS_CTE = f"""decisions AS (
   SELECT l_suppkey AS user_id,
          CASE WHEN l_linestatus = 'O' THEN 'baseline' ELSE 'hcidf' END AS phase,
-         l_orderkey * 10 + l_linenumber AS alert_idx,
+         {LINE_ID} AS alert_idx,
          CASE WHEN (l_returnflag = 'R') = (l_discount > 0.05) THEN 'attack' ELSE 'benign' END AS user_decision,
          l_quantity AS time_seconds,
          CASE WHEN l_quantity / 50.0 > 0.5 THEN 1 ELSE 0 END AS model_prediction,

@@ -25,6 +25,15 @@ def _proto(col: Column) -> Column:
     return expr
 
 
+def line_id() -> Column:
+    """Unique lineitem row id: 60 bits of md5 over the columns that are
+    unique together (orderkey, linenumber, partkey, suppkey, quantity).
+    ``orderkey*10+linenumber`` is not unique in the test data."""
+    parts = [F.col(c).cast("bigint").cast("string")
+             for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")]
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 15), 16, 10).cast("bigint")
+
+
 def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One packet per event. Every packet carries the fields of every record
     kind (arp/dns/tcp/captured) so each detector can run over all of them."""
@@ -55,7 +64,7 @@ def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     Destination Port, a 0/1 label and four numeric features."""
     li = table(spark, sf_dir, "lineitem")
     return li.select(
-        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row_id"),
+        line_id().alias("row_id"),
         F.col("l_orderkey").alias("flow_id"),
         F.col("l_shipdate").cast("timestamp").alias("timestamp"),
         F.col("l_quantity").alias("packet_length"),
@@ -77,7 +86,7 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
     score = F.col("l_quantity") / 50.0
     return li.select(
-        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row_id"),
+        line_id().alias("row_id"),
         F.when(F.col("l_returnflag") == "R", 1).otherwise(0).alias("y_true"),
         score.alias("y_score"),
         F.when(score > 0.5, 1).otherwise(0).alias("y_pred"),
@@ -98,7 +107,7 @@ def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.select(
         F.col("l_suppkey").alias("user_id"),
         F.when(F.col("l_linestatus") == "O", "baseline").otherwise("hcidf").alias("phase"),
-        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("alert_idx"),
+        line_id().alias("alert_idx"),
         F.when(says_attack, "attack").otherwise("benign").alias("user_decision"),
         F.col("l_quantity").alias("time_seconds"),
         F.when(F.col("l_quantity") / 50.0 > 0.5, 1).otherwise(0).alias("model_prediction"),
