@@ -233,3 +233,26 @@ def running_alert_counter(alerts: DataFrame, key: str = "src", threshold: int =
     x = alerts.withColumn("_one", F.lit(1))
     c = running_sum(x, [key], ORDER, "_one", time_bucket("ts", bucket_seconds), "hits").drop("_one")
     return c.filter(F.col("hits") >= threshold)
+
+
+def consecutive_gaps(df: DataFrame, bucket_seconds: int = 3600) -> DataFrame:
+    """Gap in microseconds between each row and the previous one in
+    global ``(ts, event_id)`` order. A global ``lag`` would sort everything in
+    one task; instead gaps are taken inside time buckets, and each bucket's
+    first row is joined to the previous bucket's last row (one row per bucket)."""
+    x = df.select("ts", "event_id").withColumn("_b", time_bucket("ts", bucket_seconds))
+    w = Window.partitionBy("_b").orderBy(*ORDER)
+    inner = (x.withColumn("_prev", F.lag("ts").over(w)).filter(F.col("_prev").isNotNull())
+             .select((F.unix_micros("ts") - F.unix_micros("_prev")).alias("gap_us")))
+    ends = x.groupBy("_b").agg(F.min(F.struct(*ORDER)).alias("_first"), F.max(F.struct(*ORDER)).alias("_last"))
+    wb = Window.orderBy("_b")  # one row per bucket
+    edges = (ends.withColumn("_prev_last", F.lag("_last").over(wb)).filter(F.col("_prev_last").isNotNull())
+             .select((F.unix_micros("_first.ts") - F.unix_micros("_prev_last.ts")).alias("gap_us")))
+    return inner.unionByName(edges)
+
+
+def latency_stats(df: DataFrame, bucket_seconds: int = 3600) -> DataFrame:
+    g = consecutive_gaps(df, bucket_seconds)
+    return g.agg((F.avg("gap_us") / 1000.0).alias("mean_latency_ms"),
+                 (F.max("gap_us") / 1000.0).alias("max_latency_ms"),
+                 (F.min("gap_us") / 1000.0).alias("min_latency_ms"))
