@@ -19,6 +19,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 
 def time_bucket(ts: str | Column, seconds: int) -> Column:
@@ -44,3 +45,14 @@ def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], value:
     return (local.join(offsets, part)
             .withColumn(out, F.col("_seg_offset") + F.col("_seg_local"))
             .drop("_seg_local", "_seg_offset", b))
+
+
+def global_row_number(df: DataFrame, order: Sequence[str], out: str = "rn") -> DataFrame:
+    """1-based row number in a global order without a single-partition window:
+    a range-partitioned sort, then ``zipWithIndex`` (one small job counts
+    each partition, indices are assigned in parallel)."""
+    spark = df.sparkSession
+    ordered = df.orderBy(*order)
+    schema = StructType(list(ordered.schema.fields) + [StructField(out, LongType(), False)])
+    rdd = ordered.rdd.zipWithIndex().map(lambda t: tuple(t[0]) + (t[1] + 1,))
+    return spark.createDataFrame(rdd, schema)

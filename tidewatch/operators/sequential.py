@@ -28,7 +28,8 @@ def _parse_schema(ddl: str) -> StructType:
 def fold_by_key(df: DataFrame, key: str, order: Sequence[str], step: Callable,
                 out_schema: str, num_partitions: int | None = None) -> DataFrame:
     """Run ``step(state, row) -> (new_state, out_tuple)`` over each key's rows
-    in ``order``; the first row of a key sees ``state=None``. Returns ``df``'s
+    in ``order``; the first row of a key sees ``state=None``. ``row`` is a
+    namedtuple: columns read by ``step`` must not start with ``_``. Returns ``df``'s
     columns plus the ``out_schema`` columns, one output row per input row."""
     extra = _parse_schema(out_schema)
     schema = StructType(list(df.schema.fields) + list(extra.fields))
@@ -36,12 +37,14 @@ def fold_by_key(df: DataFrame, key: str, order: Sequence[str], step: Callable,
     parts = (df.repartition(num_partitions, key) if num_partitions else df.repartition(key))
     ordered = parts.sortWithinPartitions(key, *order)
 
+    key_pos = df.columns.index(key)
+
     def run(batches):
         current, state = _UNSET, None
         for pdf in batches:
             outs = []
             for row in pdf.itertuples(index=False):
-                k = getattr(row, key)
+                k = row[key_pos]
                 if k != current:
                     current, state = k, None
                 state, out = step(state, row)
