@@ -166,7 +166,7 @@ def port_mean_features(spark, sf_dir):
 def _scaled_sql(method: str) -> str:
     if method == "zscore":
         params = ", ".join(f"avg({c}) AS a_{c}, stddev_pop({c}) AS b_{c}" for c in NUM)
-        cols = ", ".join(f"ROUND(({c} - a_{c}) / CASE WHEN b_{c} = 0 THEN 1 ELSE b_{c} END, 6) AS {c}" for c in NUM)
+        cols = ", ".join(f"ROUND(({c} - a_{c}) / CASE WHEN b_{c} = 0 THEN 1 ELSE b_{c} END, 6) + 0.0 AS {c}" for c in NUM)
     else:
         params = ", ".join(f"min({c}) AS a_{c}, max({c}) AS b_{c}" for c in NUM)
         cols = ", ".join(f"ROUND(CASE WHEN b_{c} = a_{c} THEN 0.0 ELSE ({c} - a_{c}) / (b_{c} - a_{c}) END, 6) AS {c}"
