@@ -9,7 +9,7 @@ from ..operators import packets as pk
 from ..operators import stats as st
 from ..sources.tables import table
 from ..sources.views import packets, predictions
-from .common import r6
+from .common import r6, rnd
 from .registry import register
 from .sql_views import PACKETS_CTE, PREDICTIONS_CTE
 
@@ -64,7 +64,7 @@ SELECT ROUND(sum(pos * (coalesce(below, 0) + 0.5 * neg)) / (sum(pos) * sum(neg))
 def auc_exact(spark, sf_dir):
     """Exact Mann-Whitney AUC with tie-averaged ranks."""
     a = mt.auc_exact(predictions(spark, sf_dir))
-    return a.select(F.round("auc", 8).alias("auc"))
+    return a.select(rnd("auc", 8).alias("auc"))
 
 
 ROC_SQL = f"""{WP},
@@ -91,7 +91,7 @@ SELECT ROUND(sum((fpr - pf) * (tpr + pt) / 2), 8) AS auc_trapezoid FROM l""")
 def roc_auc_trapezoid(spark, sf_dir):
     """Trapezoid area from the origin through every point."""
     pts = mt.roc_points(predictions(spark, sf_dir))
-    return mt.roc_auc_trapezoid(pts).select(F.round("auc_trapezoid", 8).alias("auc_trapezoid"))
+    return mt.roc_auc_trapezoid(pts).select(rnd("auc_trapezoid", 8).alias("auc_trapezoid"))
 
 
 @register("pr_average_precision", sql=f"""{ROC_SQL},
@@ -100,7 +100,7 @@ SELECT ROUND(sum(x), 8) AS average_precision FROM x""")
 def pr_average_precision(spark, sf_dir):
     """AP = sum (R_n - R_{n-1}) P_n."""
     ap = mt.average_precision(predictions(spark, sf_dir))
-    return ap.select(F.round("average_precision", 8).alias("average_precision"))
+    return ap.select(rnd("average_precision", 8).alias("average_precision"))
 
 
 @register("model_comparison", sql=f"""{WP},
@@ -120,7 +120,7 @@ def model_comparison(spark, sf_dir):
     a = p.select("y_true", "y_pred", "y_score")
     b = p.select("y_true", F.col("y_pred_b").alias("y_pred"), F.col("y_pred_b").cast("double").alias("y_score"))
     mc = mt.model_comparison(mt.long_form({"a": a, "b": b}))
-    return _round_metrics(mc, ["model"]).join(mc.select("model", F.round("auc", 8).alias("auc")), "model")
+    return _round_metrics(mc, ["model"]).join(mc.select("model", rnd("auc", 8).alias("auc")), "model")
 
 
 @register("masked_metrics", sql=f"""{WP},

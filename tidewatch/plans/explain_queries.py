@@ -11,7 +11,7 @@ from ..operators import metrics as mt
 from ..operators import packets as pk
 from ..operators import prep
 from ..sources.views import flows, packets, predictions
-from .common import r6
+from .common import r6, rnd
 from .packet_queries import CAPTURE_ALERTS_SQL, W
 from .prep_queries import NUM
 from .registry import register
@@ -146,9 +146,9 @@ def alert_table(spark, sf_dir):
     t = ex.verdict_text(p, "y_true", "y_pred").join(f, "row_id")
     return t.orderBy("row_id").limit(12).select(
         F.col("row_id").alias("alert_idx"), F.col("true_text").alias("true_label"),
-        F.col("predicted_text").alias("predicted"), F.round("y_score", 4).alias("probability"),
-        F.round(F.col("dst_port").cast("double"), 4).alias("destination_port"), F.round("quantity", 4).alias("quantity"),
-        F.round("price", 4).alias("price"))
+        F.col("predicted_text").alias("predicted"), rnd("y_score", 4).alias("probability"),
+        rnd(F.col("dst_port").cast("double"), 4).alias("destination_port"), rnd("quantity", 4).alias("quantity"),
+        rnd("price", 4).alias("price"))
 
 
 @register("threshold_bands", sql=f"""WITH {PREDICTIONS_CTE},

@@ -8,7 +8,7 @@ from ..functions.columns import cic_label, unsw_label
 from ..operators import prep
 from ..sources.tables import table
 from ..sources.views import flows
-from .common import r6
+from .common import r6, rnd
 from .registry import register
 from .sql_views import FLOWS_CTE
 
@@ -113,8 +113,8 @@ def median_impute(spark, sf_dir):
     from ..functions.quantiles import medians_row
     med = medians_row(d, NUM)
     filled = prep.median_impute(d, NUM)
-    sums = filled.agg(F.round(F.sum("quantity"), 4).alias("sum_quantity"), F.round(F.sum("price"), 2).alias("sum_price"),
-                      F.round(F.sum("discount"), 4).alias("sum_discount"), F.round(F.sum("tax"), 4).alias("sum_tax"))
+    sums = filled.agg(rnd(F.sum("quantity"), 4).alias("sum_quantity"), rnd(F.sum("price"), 2).alias("sum_price"),
+                      rnd(F.sum("discount"), 4).alias("sum_discount"), rnd(F.sum("tax"), 4).alias("sum_tax"))
     return med.select(*[r6(c, f"med_{c}") for c in NUM]).crossJoin(sums)
 
 

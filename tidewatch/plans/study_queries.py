@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import stats as st
 from ..operators import study as sd
 from ..sources.views import answers, decisions
-from .common import r6
+from .common import r6, rnd
 from .registry import register
 from .sql_views import ANSWERS_CTE, DECISIONS_CTE
 
@@ -59,7 +59,7 @@ def describe_by_phase(spark, sf_dir):
     """describe() of per-user accuracy and time by phase, round 4."""
     d = sd.describe(_rollup(spark, sf_dir), ["accuracy", "mean_time"], ["phase"])
     return d.select("phase", "column", "count",
-                    *[F.round(c, 4).alias(c) for c in ("mean", "std", "min", "p25", "p50", "p75", "max")])
+                    *[rnd(c, 4).alias(c) for c in ("mean", "std", "min", "p25", "p50", "p75", "max")])
 
 
 @register("question_summary", sql=f"""WITH {ANSWERS_CTE}
