@@ -100,15 +100,13 @@ def pca_reconstruction_error(df: DataFrame, features: Sequence[str], k: int, kee
     centred = df.crossJoin(F.broadcast(means.select(*[F.col(c).alias(f"_m_{c}") for c in features]))).select(
         *keep, *[(F.col(c) - F.col(f"_m_{c}")).alias(c) for c in features])
     va = assemble(features, "x")
-    x = va.transform(centred).persist(StorageLevel.MEMORY_AND_DISK)
+    x = va.transform(centred)
     model = PCA(k=min(k, len(features)), inputCol="x", outputCol="z").fit(x)
-    P = model.pc.toArray()  # d x k, tiny
+    # P has orthonormal columns and x is centred, so ||x - P P^T x||^2 =
+    # ||x||^2 - ||z||^2 with z = P^T x: two array sums, no per-row matrix
     z = model.transform(x).select(*keep, vector_to_array("x").alias("x"), vector_to_array("z").alias("z"))
-    recon = F.transform(F.sequence(F.lit(0), F.lit(len(features) - 1)), lambda i: F.aggregate(
-        F.sequence(F.lit(0), F.lit(P.shape[1] - 1)), F.lit(0.0),
-        lambda acc, j: acc + F.element_at(F.col("z"), j + 1) * F.element_at(
-            F.array(*[F.array(*[F.lit(float(v)) for v in row]) for row in P]), i + 1)[j]))
-    err = F.aggregate(F.zip_with("x", recon, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v) / len(features)
+    sq = lambda c: F.aggregate(c, F.lit(0.0), lambda s, v: s + v * v)
+    err = F.greatest(sq(F.col("x")) - sq(F.col("z")), F.lit(0.0)) / len(features)
     return z.select(*keep, err.alias("recon_error"))
 
 
@@ -132,13 +130,12 @@ def fit_isolation_forest(df: DataFrame, features: Sequence[str], id_col: str, n_
     n = df.count()
     p = min(1.0, 3.0 * sample_size / max(n, 1))          # per-tree inclusion
     q = min(1.0, n_trees * p)                            # any-tree pre-sample
-    unit = lambda *parts: (F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), *parts)), 1, 15), 16, 10)
-                           .cast("double") / float(16 ** 15))
-    pre = df.select(id_col, *features).filter(unit(F.lit("pre"), F.col(id_col).cast("string")) < q)
+    unit = lambda *parts: (F.xxhash64(F.lit(seed), *parts).bitwiseAND(F.lit((1 << 53) - 1))
+                           .cast("double") / float(1 << 53))
+    pre = df.select(id_col, *features).filter(unit(F.lit("pre"), F.col(id_col)) < q)
     trees = F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))).alias("tree")
     x = pre.select("*", trees)
-    x = (x.withColumn("_u", unit(F.col("tree").cast("string"), F.col(id_col).cast("string")))
-         .filter(F.col("_u") < p / q))
+    x = x.withColumn("_u", unit(F.col("tree"), F.col(id_col))).filter(F.col("_u") < p / q)
     w = Window.partitionBy("tree").orderBy("_u")
     sample = x.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= sample_size).drop("_u", "_r")
     depth_limit = int(np.ceil(np.log2(sample_size)))
@@ -188,26 +185,33 @@ def isolation_scores(df: DataFrame, forest: pd.DataFrame, features: Sequence[str
 
     def run(batches):
         fz = pd.DataFrame(bc.value)
-        trees = [g.sort_values("node") for _, g in fz.groupby("tree")]
+        n_trees = int(fz["tree"].max()) + 1
+        width = int(fz["node"].max()) + 1
+        shape = (n_trees, width)
+        feat = np.full(shape, -1, dtype=np.int64)
+        thr, size = np.zeros(shape), np.ones(shape)
+        left, right = np.zeros(shape, dtype=np.int64), np.zeros(shape, dtype=np.int64)
+        t, nd = fz["tree"].to_numpy(), fz["node"].to_numpy()
+        feat[t, nd], thr[t, nd], size[t, nd] = fz["feature"], fz["threshold"], fz["size"]
+        left[t, nd], right[t, nd] = fz["left"], fz["right"]
+        tix = np.arange(n_trees)[None, :]
         for pdf in batches:
             X = np.nan_to_num(pdf[cols].to_numpy(dtype=float))
-            total = np.zeros(len(X))
-            for g in trees:
-                feat, thr = g["feature"].to_numpy(), g["threshold"].to_numpy()
-                left, right, size = g["left"].to_numpy(), g["right"].to_numpy(), g["size"].to_numpy()
-                node = np.zeros(len(X), dtype=int)
-                depth = np.zeros(len(X))
-                active = feat[node] >= 0
-                while active.any():
-                    f = feat[node[active]]
-                    go_left = X[active, f] < thr[node[active]]
-                    node[active] = np.where(go_left, left[node[active]], right[node[active]])
-                    depth[active] += 1
-                    active = feat[node] >= 0
-                total += depth + _c(size[node])
-            s = np.power(2.0, -(total / len(trees)) / c_psi)
+            rows = np.arange(len(X))[:, None]
+            node = np.zeros((len(X), n_trees), dtype=np.int64)     # all trees at once
+            depth = np.zeros((len(X), n_trees))
+            while True:
+                f = feat[tix, node]
+                inner = f >= 0
+                if not inner.any():
+                    break
+                go_left = X[rows, np.maximum(f, 0)] < thr[tix, node]
+                nxt = np.where(go_left, left[tix, node], right[tix, node])
+                node = np.where(inner, nxt, node)
+                depth += inner
+            path = depth + _c(size[tix, node])
             out = pdf[list(keep)].copy()
-            out["anomaly_score"] = s
+            out["anomaly_score"] = np.power(2.0, -path.mean(axis=1) / c_psi)
             yield out
 
     schema = df.select(*keep).schema.add("anomaly_score", DoubleType())

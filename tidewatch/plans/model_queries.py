@@ -94,7 +94,8 @@ def isolation_forest(spark, sf_dir):
     90th percentile of the score are anomalies."""
     f = flows(spark, sf_dir).select("row_id", *NUM)
     forest = md.fit_isolation_forest(f, NUM, "row_id", 100, 256, 42)
-    s = md.isolation_scores(f, forest, NUM, ["row_id"])
+    checkpoint_dir(spark)
+    s = md.isolation_scores(f, forest, NUM, ["row_id"]).checkpoint()   # scored once, read by every pass
     thr = quantiles_long(s.select(F.lit("s").alias("c_name"), F.col("anomaly_score").alias("v")), [0.9])
     j = s.crossJoin(F.broadcast(thr.select(F.col("value").alias("thr"))))
     return j.select("row_id", r6("anomaly_score", "anomaly_score"),
@@ -113,7 +114,8 @@ def pca_recon_error(spark, sf_dir):
     """Rank-16 PCA reconstruction error per embedding and the
     95th-percentile flag."""
     e, cols = _embeddings(spark, sf_dir)
-    err = md.pca_reconstruction_error(e, cols, 16, ["vec_id", "label"])
+    checkpoint_dir(spark)
+    err = md.pca_reconstruction_error(e, cols, 16, ["vec_id", "label"]).checkpoint()
     thr = quantiles_long(err.select(F.lit("e").alias("c_name"), F.col("recon_error").alias("v")), [0.95])
     j = err.crossJoin(F.broadcast(thr.select(F.col("value").alias("thr"))))
     return j.select("vec_id", "label", r6("recon_error", "recon_error"),
