@@ -62,14 +62,18 @@ def distinct_port_counts(packets: DataFrame, bucket_seconds: int = 3600) -> Data
 
 def port_scan_alerts(packets: DataFrame, once_per_level: bool = False, bucket_seconds: int = 3600) -> DataFrame:
     """An alert on every packet while the running distinct-port count is >= 10
-    and a multiple of 5 (``once_per_level``: only when the level is reached)."""
+    and a multiple of 5 (``once_per_level``: only when the level is reached).
+    Alert columns plus ``n_ports``."""
     c = distinct_port_counts(packets, bucket_seconds)
     cond = (F.col("n_ports") >= 10) & (F.col("n_ports") % 5 == 0)
     if once_per_level:
         cond = cond & (F.col("is_new") == 1)
     hits = c.filter(cond)
-    return _alerts(hits, "Port Scan", "High",
-                   F.format_string(DETAIL_SCAN, F.col("src").cast("string"), F.col("n_ports")))
+    return hits.select(
+        (F.col("event_id") * 4 + KIND["Port Scan"]).alias("alert_id"), F.lit("Port Scan").alias("type"),
+        F.lit("High").alias("severity"), "src", "dst",
+        F.format_string(DETAIL_SCAN, F.col("src").cast("string"), F.col("n_ports")).alias("detail"),
+        "ts", "event_id", "n_ports")
 
 
 # -- T7 ---------------------------------------------------------------------
@@ -80,7 +84,7 @@ def arp_activity_alerts(packets: DataFrame) -> DataFrame:
 def capture_alerts(packets: DataFrame, bucket_seconds: int = 3600) -> DataFrame:
     """All capture alerts (T5 + T6 + T7)."""
     return (unusual_port_alerts(packets)
-            .unionByName(port_scan_alerts(packets, bucket_seconds=bucket_seconds))
+            .unionByName(port_scan_alerts(packets, bucket_seconds=bucket_seconds).drop("n_ports"))
             .unionByName(arp_activity_alerts(packets)))
 
 
