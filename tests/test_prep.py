@@ -14,7 +14,7 @@ def test_quantiles_match_numpy_small_and_bracketed(spark):
     vals = [float(random.choice([random.gauss(0, 1), 1.5, 1.5, 2.0])) for _ in range(3000)]
     df = spark.createDataFrame([(v, i % 3) for i, v in enumerate(vals)], "x double, g int")
     qs = [0.1, 0.25, 0.5, 0.95]
-    # accuracy 50 -> groups above 500 rows use the sketch bracket path
+    # accuracy 50 -> groups above 100 rows use the sketch bracket path
     for acc in (100_000, 50):
         got = {(r.g, r.q): r.value for r in quantiles(df, ["x"], qs, ["g"], accuracy=acc).collect()}
         for g in range(3):

@@ -6,7 +6,8 @@ in a single task: unbounded for continuous columns. Here:
 1. one aggregate pass gives, per (group, column), the count ``n`` and a
    ``percentile_approx`` bracket ``[L, H]`` around the wanted rank. The sketch
    has a guaranteed rank error ``n/accuracy``; the bracket uses three times
-   that. Groups with ``n <= 10*accuracy`` use the whole range.
+   that (>= 2 ranks once n > accuracy). Groups with ``n <= 2*accuracy`` use
+   the whole range.
 2. a second pass counts values below ``L`` and groups the values inside the
    bracket by value (a few times ``n/accuracy`` rows per group);
 3. a window over those in-bracket distinct values finds the values at the two
@@ -40,7 +41,7 @@ def quantiles_long(long: DataFrame, qs: Sequence[float], by: Sequence[str] = (),
     eps = 1.0 / accuracy
     lo_q = [max(q - 3 * eps, 0.0) for q in qs]
     hi_q = [min(q + 3 * eps, 1.0) for q in qs]
-    small = 10 * accuracy
+    small = 2 * accuracy
     stats = long.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"),
         F.percentile_approx("v", lo_q + hi_q, accuracy).alias("_br"))

@@ -223,8 +223,8 @@ def _rank_values(long: DataFrame, counts: DataFrame, label: str, frac: float, ac
     br = long.groupBy(label).agg(F.percentile_approx("v", [lo_q, hi_q], accuracy).alias("_br"))
     meta = (counts.join(br, label)
             .withColumn("_r", (F.round(F.col("_n") * frac) - 1).cast("bigint"))
-            .withColumn("L", F.when(F.col("_n") <= 10 * accuracy, float("-inf")).otherwise(F.col("_br")[0]))
-            .withColumn("H", F.when(F.col("_n") <= 10 * accuracy, float("inf")).otherwise(F.col("_br")[1]))
+            .withColumn("L", F.when(F.col("_n") <= 2 * accuracy, float("-inf")).otherwise(F.col("_br")[0]))
+            .withColumn("H", F.when(F.col("_n") <= 2 * accuracy, float("inf")).otherwise(F.col("_br")[1]))
             .drop("_br"))
     xb = long.join(F.broadcast(meta), label)
     below = xb.filter(F.col("v") < F.col("L")).groupBy(label).agg(F.count(F.lit(1)).alias("_below"))

@@ -194,6 +194,7 @@ def retrain_comparison(spark, sf_dir):
     rset = fb.retraining_set(cyc, label_rule="truth").select(*NUM, "label")
     refit = md.partial_retrain(None, rset, NUM, "label", mode="new_only")
     keep = ["row_id", F.col("label").alias("y_true")]
-    preds = mt.long_form({"base": md.score(base, holdout, keep), "new_only": md.score(refit, holdout, keep)})
+    preds = mt.long_form({"base": md.score(base, holdout, keep),
+                          "new_only": md.score(refit, holdout, keep)}).checkpoint()   # scored once
     mc = mt.model_comparison(preds)
     return mc.select("model", *[r6(c, c) for c in ("accuracy", "precision", "recall", "f1", "fpr", "fnr", "auc")])

@@ -104,7 +104,7 @@ fin AS (SELECT row_id,
 med AS (SELECT median(quantity) AS mq, median(price) AS mp, median(discount) AS md, median(tax) AS mt FROM fin)
 SELECT ROUND(mq, 6) AS med_quantity, ROUND(mp, 6) AS med_price, ROUND(md, 6) AS med_discount,
        ROUND(mt, 6) AS med_tax,
-       ROUND(sum(coalesce(quantity, mq)), 4) AS sum_quantity, ROUND(sum(coalesce(price, mp)), 2) AS sum_price,
+       ROUND(sum(coalesce(quantity, mq)), 4) AS sum_quantity, CAST(sum(round(coalesce(price, mp) * 100)) AS BIGINT) AS sum_price_cents,
        ROUND(sum(coalesce(discount, md)), 4) AS sum_discount, ROUND(sum(coalesce(tax, mt)), 4) AS sum_tax
 FROM fin, med GROUP BY mq, mp, md, mt""")
 def median_impute(spark, sf_dir):
@@ -113,7 +113,7 @@ def median_impute(spark, sf_dir):
     from ..functions.quantiles import medians_row
     med = medians_row(d, NUM)
     filled = prep.median_impute(d, NUM)
-    sums = filled.agg(rnd(F.sum("quantity"), 4).alias("sum_quantity"), rnd(F.sum("price"), 2).alias("sum_price"),
+    sums = filled.agg(rnd(F.sum("quantity"), 4).alias("sum_quantity"), F.sum(F.round(F.col("price") * 100, 0)).cast("bigint").alias("sum_price_cents"),
                       rnd(F.sum("discount"), 4).alias("sum_discount"), rnd(F.sum("tax"), 4).alias("sum_tax"))
     return med.select(*[r6(c, f"med_{c}") for c in NUM]).crossJoin(sums)
 
