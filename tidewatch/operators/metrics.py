@@ -79,8 +79,7 @@ def _with_cumulative(sc: DataFrame, by: Sequence[str], descending: bool, buckets
     if not keys:
         x = x.withColumn("_all", F.lit(0))
         keys = ["_all"]
-    x = running_sum(x, keys, ["_k"], "pos", bucket, "cum_pos")
-    x = running_sum(x, keys, ["_k"], "neg", bucket, "cum_neg")
+    x = running_sum(x, keys, ["_k"], ["pos", "neg"], bucket, ["cum_pos", "cum_neg"])
     return x.drop("_cuts", "_all")
 
 

@@ -27,24 +27,29 @@ def time_bucket(ts: str | Column, seconds: int) -> Column:
     return F.floor(F.unix_micros(c) / (seconds * 1_000_000)).cast("bigint")
 
 
-def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str,
-                bucket: Column, out: str) -> DataFrame:
+def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str | Sequence[str],
+                bucket: Column, out: str | Sequence[str]) -> DataFrame:
     """Add ``out`` = inclusive running sum of ``value`` per ``keys`` in
-    ``order``. ``bucket`` must be non-decreasing along ``order`` within a key."""
+    ``order`` (several value/out columns share one pass). ``bucket`` must be
+    non-decreasing along ``order`` within a key."""
     keys = list(keys)
+    values = [value] if isinstance(value, str) else list(value)
+    outs = [out] if isinstance(out, str) else list(out)
     b = "_seg_bucket"
     x = df.withColumn(b, bucket)
     part = keys + [b]
     w_local = (Window.partitionBy(*part).orderBy(*order)
                .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    local = x.withColumn("_seg_local", F.sum(value).over(w_local))
-    totals = x.groupBy(*part).agg(F.sum(value).alias("_seg_total"))
+    local = x.select("*", *[F.sum(v).over(w_local).alias(f"_seg_local{i}") for i, v in enumerate(values)])
+    totals = x.groupBy(*part).agg(*[F.sum(v).alias(f"_seg_total{i}") for i, v in enumerate(values)])
     w_prev = Window.partitionBy(*keys).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*part, F.coalesce(F.sum("_seg_total").over(w_prev), F.lit(0))
-                            .alias("_seg_offset"))
-    return (local.join(offsets, part)
-            .withColumn(out, F.col("_seg_offset") + F.col("_seg_local"))
-            .drop("_seg_local", "_seg_offset", b))
+    offsets = totals.select(*part, *[F.coalesce(F.sum(f"_seg_total{i}").over(w_prev), F.lit(0))
+                                     .alias(f"_seg_offset{i}") for i in range(len(values))])
+    joined = local.join(offsets, part)
+    for i, o in enumerate(outs):
+        joined = joined.withColumn(o, F.col(f"_seg_offset{i}") + F.col(f"_seg_local{i}"))
+    return joined.drop(b, *[f"_seg_local{i}" for i in range(len(values))],
+                       *[f"_seg_offset{i}" for i in range(len(values))])
 
 
 def global_row_number(df: DataFrame, order: Sequence[str], out: str = "rn") -> DataFrame:
