@@ -14,6 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpoint_dir
 from .scan import running_sum
 
 
@@ -58,10 +59,14 @@ def masked_metrics(preds: DataFrame, mask, y_true: str = "y_true", y_pred: str =
 
 def score_counts(preds: DataFrame, by: Sequence[str] = (), y_true: str = "y_true",
                  y_score: str = "y_score") -> DataFrame:
-    """(by..., score, pos, neg): the only input the curve metrics need."""
-    return preds.groupBy(*by, F.col(y_score).cast("double").alias("score")).agg(
+    """(by..., score, pos, neg): the only input the curve metrics need. The
+    curve plans read it several times (bucket cuts, running sums, totals), so
+    it is checkpointed once: the large predictions table is scanned once."""
+    sc = preds.groupBy(*by, F.col(y_score).cast("double").alias("score")).agg(
         F.count(F.when(F.col(y_true) == 1, 1)).alias("pos"),
         F.count(F.when(F.col(y_true) != 1, 1)).alias("neg"))
+    checkpoint_dir(preds.sparkSession)
+    return sc.checkpoint()
 
 
 def _with_cumulative(sc: DataFrame, by: Sequence[str], descending: bool, buckets: int) -> DataFrame:
