@@ -34,7 +34,19 @@ def test_pca_full_rank_has_no_error(spark):
     rows = [(i, *map(float, v)) for i, v in enumerate(rng.normal(0, 1, (50, 3)))]
     df = spark.createDataFrame(rows, "id long, a double, b double, c double")
     e = md.pca_reconstruction_error(df, ["a", "b", "c"], 3, ["id"])
-    assert e.agg(F.max("recon_error")).first()[0] < 1e-18
+    assert e.agg(F.max("recon_error")).first()[0] < 1e-12      # ||x||^2 - ||z||^2 cancels to rounding
+
+
+def test_pca_error_matches_numpy_projection(spark):
+    rng = np.random.default_rng(2)
+    X = rng.normal(0, 1, (80, 4)) @ np.diag([3.0, 2.0, 1.0, 0.5])
+    df = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(X)], "id long, a double, b double, c double, d double")
+    got = {r.id: r.recon_error for r in md.pca_reconstruction_error(df, ["a", "b", "c", "d"], 2, ["id"]).collect()}
+    Xc = X - X.mean(axis=0)
+    _, _, vt = np.linalg.svd(Xc, full_matrices=False)
+    P = vt[:2].T
+    want = ((Xc - Xc @ P @ P.T) ** 2).mean(axis=1)
+    assert max(abs(got[i] - want[i]) for i in range(len(X))) < 1e-9
 
 
 def test_entry_runs(spark):
