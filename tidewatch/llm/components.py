@@ -28,18 +28,18 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     while not e.isEmpty():
         both = e.unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         p = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")) \
-                .select("node", F.least("node", "m").alias("to"))
+                .select("node", F.least("node", "m").alias("target"))
         p = materialize(p, "pointer")
-        q = p.select(F.col("node").alias("n1"), F.col("to").alias("t1"))
-        r = p.select(F.col("node").alias("n2"), F.col("to").alias("t2"))
-        p = materialize(p.join(q, p.to == q.n1).join(r, F.col("t1") == r.n2)
-                        .select("node", F.col("t2").alias("to")), "pointer")
-        pa = p.select(F.col("node").alias("na"), F.col("to").alias("ta"))
-        pb = p.select(F.col("node").alias("nb"), F.col("to").alias("tb"))
+        q = p.select(F.col("node").alias("n1"), F.col("target").alias("t1"))
+        r = p.select(F.col("node").alias("n2"), F.col("target").alias("t2"))
+        p = materialize(p.join(q, p.target == q.n1).join(r, F.col("t1") == r.n2)
+                        .select("node", F.col("t2").alias("target")), "pointer")
+        pa = p.select(F.col("node").alias("na"), F.col("target").alias("ta"))
+        pb = p.select(F.col("node").alias("nb"), F.col("target").alias("tb"))
         e = materialize(e.join(pa, e.a == pa.na).join(pb, F.col("b") == pb.nb).where("ta <> tb")
                         .select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct(), "edges")
         if comp is None:
-            comp = p.select("node", F.col("to").alias("root"))
+            comp = p.select("node", F.col("target").alias("root"))
         else:
             comp = comp.join(pa, comp.root == pa.na, "left").select("node", F.coalesce("ta", "root").alias("root"))
         comp = materialize(comp, "components")
