@@ -32,15 +32,15 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         p = materialize(p, "pointer")
         q = p.select(F.col("node").alias("n1"), F.col("target").alias("t1"))
         r = p.select(F.col("node").alias("n2"), F.col("target").alias("t2"))
-        p = materialize(p.join(q, p.target == q.n1).join(r, F.col("t1") == r.n2)
+        p = materialize(p.join(q, F.col("target") == F.col("n1")).join(r, F.col("t1") == F.col("n2"))
                         .select("node", F.col("t2").alias("target")), "pointer")
         pa = p.select(F.col("node").alias("na"), F.col("target").alias("ta"))
         pb = p.select(F.col("node").alias("nb"), F.col("target").alias("tb"))
-        e = materialize(e.join(pa, e.a == pa.na).join(pb, F.col("b") == pb.nb).where("ta <> tb")
+        e = materialize(e.join(pa, F.col("a") == F.col("na")).join(pb, F.col("b") == F.col("nb")).where("ta <> tb")
                         .select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct(), "edges")
         if comp is None:
             comp = p.select("node", F.col("target").alias("root"))
         else:
-            comp = comp.join(pa, comp.root == pa.na, "left").select("node", F.coalesce("ta", "root").alias("root"))
+            comp = comp.join(pa, F.col("root") == F.col("na"), "left").select("node", F.coalesce("ta", "root").alias("root"))
         comp = materialize(comp, "components")
     return e.select(F.col("a").alias("node"), F.col("b").alias("root")) if comp is None else comp

@@ -72,10 +72,10 @@ def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .where(F.col("body").rlike(HAS_WORD)) \
         .withColumn("hash", F.xxhash64("body"))
     twice = every.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select(F.col("hash").alias("hash2"))
-    maybe = materialize(every.join(twice, every.hash == F.col("hash2"), "left_semi"), "chunks")
+    maybe = materialize(every.join(twice, F.col("hash") == F.col("hash2"), "left_semi"), "chunks")
     first = maybe.groupBy("hash", "body").agg(F.min(F.struct("doc_id", "chunk")).alias("first"), F.count("*").alias("n")) \
                  .where("n > 1").select(F.col("hash").alias("h1"), F.col("body").alias("b1"), "first")
-    return maybe.join(first, (maybe.hash == first.h1) & (maybe.body == first.b1)) \
+    return maybe.join(first, (F.col("hash") == F.col("h1")) & (F.col("body") == F.col("b1"))) \
                 .where(F.struct("doc_id", "chunk") != F.col("first")).select("doc_id", "chunk", "n_lines")
 
 

@@ -158,10 +158,10 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX
     keyed = own.select(F.explode(F.expr(segment_keys())).alias("key"), "fp") \
                .repartition("key").sortWithinPartitions("key")
     comp = connected_components(keyed.mapInArrow(_link_batches(max_bits), "a bigint, b bigint"))
-    member = own.join(comp, own.fp == comp.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "first_id")
+    member = own.join(comp, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"), "first_id")
     top = member.groupBy(F.col("root").alias("top")).agg(F.min("first_id").alias("component_id"))
-    named = member.join(top, member.root == top.top).select(F.col("fp").alias("own_fp"), "component_id")
-    return fps.join(named, fps.fp == named.own_fp) \
+    named = member.join(top, F.col("root") == F.col("top")).select(F.col("fp").alias("own_fp"), "component_id")
+    return fps.join(named, F.col("fp") == F.col("own_fp")) \
               .select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
@@ -172,5 +172,5 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS,
     decision can name them."""
     found = near_duplicates(docs, shingle, max_bits, id_col, text_col)
     keep = found.where("doc_id = component_id").select(F.col("doc_id").alias("keep_id")).distinct()
-    one = docs.join(keep, docs[id_col] == keep.keep_id, "left_semi").dropDuplicates([id_col])
+    one = docs.join(keep, col(id_col) == F.col("keep_id"), "left_semi").dropDuplicates([id_col])
     return one.unionAll(docs.where(col(id_col).isNull()))
