@@ -29,7 +29,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Multi-line chunks go where they repeat; ``n_chars``, if there, follows."""
     prepare(spark)
     x = line_dedup.dedup_lines(docs)
-    return x.select(*[F.length("text").cast(x.schema[c].dataType).alias(c) if c == "n_chars" else col(c) for c in x.columns])
+    size = lambda c: F.coalesce(F.length("text").cast(x.schema[c].dataType), col(c)).alias(c)
+    return x.select(*[size(c) if c == "n_chars" else col(c) for c in x.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

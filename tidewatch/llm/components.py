@@ -1,10 +1,11 @@
 """Connected components by contraction, with DataFrame joins only.
 
 Each round points every node at its smallest neighbour (or itself), follows
-two more pointers, and replaces both ends of every edge by the node reached;
-loops and repeated edges go. The edge table shrinks by a constant factor a
-round or more, also for chains and stars, so the number of rounds is
-logarithmic. A hub's edges are aggregated with a partial ``min`` and joined
+the pointers by doubling until each ends at a node that points at itself, and
+replaces both ends of every edge by the node reached; loops and repeated edges
+go. Of the nodes that still have edges at least half disappear in two rounds,
+and doubling needs the logarithm of the longest path, so chains and stars take
+few steps. A hub's edges are aggregated with a partial ``min`` and joined
 with one row of the pointer table, which AQE may split: no task needs a whole
 component. Every round's tables are written to the shared checkpoint folder.
 """
@@ -30,10 +31,12 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         p = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")) \
                 .select("node", F.least("node", "m").alias("target"))
         p = materialize(p, "pointer")
-        q = p.select(F.col("node").alias("n1"), F.col("target").alias("t1"))
-        r = p.select(F.col("node").alias("n2"), F.col("target").alias("t2"))
-        p = materialize(p.join(q, F.col("target") == F.col("n1")).join(r, F.col("t1") == F.col("n2"))
-                        .select("node", F.col("t2").alias("target")), "pointer")
+        moved = True
+        while moved:
+            q = p.select(F.col("node").alias("n1"), F.col("target").alias("t1"))
+            p = materialize(p.select("node", "target").join(q, F.col("target") == F.col("n1"))
+                            .select("node", F.col("t1").alias("target"), (F.col("t1") != F.col("target")).alias("moved")), "pointer")
+            moved = not p.where("moved").isEmpty()
         pa = p.select(F.col("node").alias("na"), F.col("target").alias("ta"))
         pb = p.select(F.col("node").alias("nb"), F.col("target").alias("tb"))
         e = materialize(e.join(pa, F.col("a") == F.col("na")).join(pb, F.col("b") == F.col("nb")).where("ta <> tb")
