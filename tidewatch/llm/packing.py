@@ -66,19 +66,15 @@ class WordCache(dict):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
 
-    def add(self, words: list[bytes]) -> None:
-        found = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        for w, e in zip(words, found, strict=True):
-            self[w] = np.array(e.ids, "<u4").tobytes()
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self.tokenizer.encode(word.decode(), add_special_tokens=False).ids
+        self[word] = out = np.array(ids, "<u4").tobytes()
+        return out
 
     def ids(self, text: str | None) -> bytes:
-        words = (text or "").encode().split()
         if len(self) > CACHE_WORDS:
             self.clear()
-        new = list(set(words).difference(self))
-        if new:
-            self.add(new)
-        return b"".join(map(self.__getitem__, words))
+        return b"".join(map(self.__getitem__, (text or "").encode().split()))
 
 
 _CACHES: dict[str, WordCache] = {}
