@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, mixing, packing, quality_rules, simhash
+from . import line_dedup, mixing, packing, quality_model, quality_rules, secrets, simhash, topk, toxicity, url_equivalence
 from .common import load
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,6 +31,12 @@ def oracle_sql() -> dict[str, str]:
     return dict(_ORACLE)
 
 
+@register("op1_secret_battery")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of known forms and random strings in every document."""
+    return secrets.secrets(load(spark, sf_dir, "documents"))
+
+
 def _fail_bits_sql() -> str:
     return quality_rules.fail_bits().replace("L else 0L", " else 0")
 
@@ -67,6 +73,60 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_policy(quality_rules.ledger(load(spark, sf_dir, "documents")))
 
 
+_LETTERS = url_equivalence.UPPER, url_equivalence.LOWER
+
+
+def _rule_sql(pick: int) -> str:
+    arms = []
+    for kind, text in sorted(url_equivalence.RULES, key=lambda r: (-len(r[1]), r[0] != "allow", r[1])):
+        name, _, rest = text.partition("/")
+        arms.append(f"WHEN (host = '{name}' OR ends_with(host, '.{name}')) AND starts_with(path, '/{rest}') "
+                    f"THEN '{(kind, text)[pick]}'")
+    return f"CASE {' '.join(arms)} END"
+
+
+def _canonical_sql(rest: str) -> str:
+    host = f"translate(regexp_extract({rest}, '^[^/?#]*', 0), '{_LETTERS[0]}', '{_LETTERS[1]}')"
+    host = rf"regexp_replace(regexp_replace({host}, ':(80|443)$', ''), '^(www|m)\.([^.]+\.)', '\2')"
+    path = rf"regexp_replace(regexp_replace(regexp_extract({rest}, '^[^/?#]*([^?#]*)', 1), '(/index)?\.html?$|/index$', ''), '/+$', '')"
+    kept = (f"list_sort(list_filter(string_split(regexp_extract({rest}, '^[^?#]*\\?([^#]*)', 1), '&'), "
+            f"lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[a-z]+|ref|gclid|fbclid)(=|$)')))")
+    return (f"CASE WHEN {host} <> '' THEN {host} || {path} || CASE WHEN len({kept}) > 0 "
+            f"THEN '?' || array_to_string({kept}, '&') ELSE '' END END")
+
+
+def _after_sql(url: str) -> str:
+    return f"CASE WHEN instr({url}, '://') > 0 THEN substr({url}, instr({url}, '://') + 3) ELSE '' END"
+
+
+@register("op3_redirect_equivalence", rf"""
+WITH RECURSIVE u AS (SELECT page_id, {_after_sql("coalesce(url, '')")} AS rest, html FROM pages),
+x AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*', 0), '{_LETTERS[0]}', '{_LETTERS[1]}') AS host,
+             regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path, {_canonical_sql('rest')} AS canonical,
+             CASE WHEN regexp_matches(html, '(?i)canonical') THEN
+               regexp_extract(regexp_extract(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*', 0),
+                              '(?is)\bhref\s*=\s*["'']?\s*([^"''\s>]+)', 1) END AS link,
+             CASE WHEN regexp_matches(html, '(?i)http-equiv') THEN
+               regexp_extract(regexp_extract(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*', 0),
+                              '(?is)\burl\s*=\s*["'']?\s*([^"''\s>]+)', 1) END AS refresh
+      FROM u),
+r AS (SELECT *, {_rule_sql(1)} AS rule, {_rule_sql(0)} AS action FROM x),
+t AS (SELECT canonical AS a, unnest([link, refresh]) AS url FROM r WHERE canonical IS NOT NULL),
+e AS (SELECT DISTINCT a, {_canonical_sql(_after_sql('url'))} AS b FROM t WHERE url IS NOT NULL),
+both_ways AS (SELECT a, b FROM e WHERE b IS NOT NULL AND a <> b UNION SELECT b, a FROM e WHERE b IS NOT NULL AND a <> b),
+reach(a, b) AS (SELECT a, b FROM both_ways UNION SELECT reach.a, both_ways.b FROM reach JOIN both_ways ON reach.b = both_ways.a),
+top AS (SELECT a, least(a, min(b)) AS component FROM reach GROUP BY a),
+c AS (SELECT r.*, coalesce(component, canonical) AS component FROM r LEFT JOIN top ON r.canonical = top.a),
+f AS (SELECT component, bool_or(coalesce(action, '') = 'block') AS b, bool_or(coalesce(action, '') = 'allow') AS a
+      FROM c WHERE component IS NOT NULL GROUP BY component)
+SELECT page_id, host, path, rule, coalesce(action, CASE WHEN f.b AND NOT f.a THEN 'block' ELSE 'allow' END) AS verdict,
+       canonical, c.component FROM c LEFT JOIN f ON c.component = f.component
+""")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict of every page, with decisions spread to its aliases."""
+    return url_equivalence.judge(load(spark, sf_dir, "pages"))
+
+
 @register("op4_line_chunks", rf"""
 WITH l AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents WHERE text IS NOT NULL),
 h AS (SELECT doc_id, lines, list_transform(lines, lambda x: CAST('0x' || substr(md5(x), 1, 7) AS BIGINT)) AS v FROM l),
@@ -95,6 +155,13 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(load(spark, sf_dir, "documents"))
 
 
+@register("op6_toxicity_ftrl")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document."""
+    docs, labels = load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels")
+    return toxicity.score(docs, toxicity.fit(docs, labels))
+
+
 @register("op7_vector_packing")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 4096 tokens."""
@@ -150,3 +217,24 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     x = mixing.mix(docs, max_epochs=OP8_EPOCHS)
     return x.select("doc_id", *[F.col(f"mix.{c}") for c in ("domain", "lang", "source", "leaf_tokens", "share", "copies")])
+
+
+@register("op9_random_indexing")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document."""
+    docs, labels = load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels")
+    return quality_model.score(docs, quality_model.fit(docs, labels))
+
+
+@register("op10_tiled_top_k", f"""
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor({topk.SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+           FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= {topk.K}
+""")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 nearest vectors of each 50th."""
+    return topk.top_k(load(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, vec_col="embedding")
