@@ -55,47 +55,82 @@ def existing_paths(spark: SparkSession, paths: Sequence[str]) -> list[str]:
     return keep
 
 
+def csv_files(spark: SparkSession, paths: Sequence[str]) -> list[str]:
+    """The files behind ``paths``: a directory stands for its ``*.csv``."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    out = []
+    for p in existing_paths(spark, paths):
+        hp = jvm.org.apache.hadoop.fs.Path(p)
+        fs = hp.getFileSystem(conf)
+        if fs.getFileStatus(hp).isDirectory():
+            out += sorted(f.getPath().toString() for f in fs.listStatus(hp)
+                          if f.isFile() and f.getPath().getName().endswith(".csv"))
+        else:
+            out.append(p)
+    return out
+
+
 def _header(spark: SparkSession, path: str) -> list[str]:
-    line = spark.read.text(path).first()
-    return [] if line is None else line[0].split(",")
+    """The first line of a file, read alone through its file system."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    hp = jvm.org.apache.hadoop.fs.Path(path)
+    reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(hp.getFileSystem(conf).open(hp), "UTF-8"))
+    try:
+        line = reader.readLine()
+    finally:
+        reader.close()
+    return [] if line is None else line.lstrip("\ufeff").split(",")
+
+
+def read_flow_csv(spark: SparkSession, paths: Sequence[str]) -> DataFrame | None:
+    """Read CSV files into typed columns (numeric -> DOUBLE via try_cast, text
+    kept). Files are read in groups of one header each and united by name, so
+    columns may come in any order and be missing (NULL). Empty files have no
+    rows. Returns None when no file has a header."""
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for f in csv_files(spark, paths):
+        names = tuple(clean_names(_header(spark, f)))
+        if names:
+            groups.setdefault(names, []).append(f)
+    frames = []
+    for cols, files in groups.items():
+        schema = StructType([StructField(c, StringType()) for c in cols])
+        raw = spark.read.option("header", True).option("enforceSchema", True).schema(schema).csv(files)
+        frames.append(raw.select(*[F.trim(F.col(c)).alias(c) if c in TEXT_COLUMNS else
+                                   F.col(c).try_cast("double").alias(c) for c in cols]))
+    return combine(frames)
+
+
+def _label_cic(df: DataFrame) -> DataFrame:
+    return df.withColumn("attack_cat", F.col("label")).withColumn("label", cic_label("attack_cat"))
 
 
-def read_flow_csv(spark: SparkSession, paths: Sequence[str], names: Sequence[str] | None = None) -> DataFrame | None:
-    """Read CSV files sharing one header into typed columns (numeric -> DOUBLE
-    via try_cast, text kept). Returns None when no file exists."""
-    found = existing_paths(spark, paths)
-    if not found:
-        return None
-    cols = list(names) if names else clean_names(_header(spark, found[0]))
-    schema = StructType([StructField(c, StringType()) for c in cols])
-    raw = spark.read.option("header", True).option("enforceSchema", True).schema(schema).csv(found)
-    return raw.select(*[F.trim(F.col(c)).alias(c) if c in TEXT_COLUMNS else
-                        F.col(c).try_cast("double").alias(c) for c in cols])
+def _label_unsw(df: DataFrame) -> DataFrame:
+    if "label" in df.columns:
+        df = df.withColumnRenamed("label", "unsw_label")
+    return df.withColumn("label", unsw_label("attack_cat"))
 
 
 def load_cic(spark: SparkSession, paths: Sequence[str]) -> DataFrame | None:
     """S1 + P2: label = 0 for BENIGN, else 1 (attack name kept in attack_cat)."""
     df = read_flow_csv(spark, paths)
-    if df is None:
-        return None
-    return df.withColumn("attack_cat", F.col("label")).withColumn("label", cic_label("attack_cat"))
+    return None if df is None else _label_cic(df)
 
 
 def load_unsw(spark: SparkSession, paths: Sequence[str]) -> DataFrame | None:
     """S2 + P3 + P4: attack_cat is the label text ('normal' -> 0); UNSW's own
     0/1 ``label`` column is kept as ``unsw_label``."""
     df = read_flow_csv(spark, paths)
-    if df is None:
-        return None
-    if "label" in df.columns:
-        df = df.withColumnRenamed("label", "unsw_label")
-    return df.withColumn("label", unsw_label("attack_cat"))
+    return None if df is None else _label_unsw(df)
 
 
-def load_glob(spark: SparkSession, directory: str) -> DataFrame:
-    """Every *.csv in a directory (one shared header)."""
-    df = spark.read.option("header", True).option("pathGlobFilter", "*.csv").csv(directory)
-    return df.toDF(*clean_names(df.columns))
+def load_glob(spark: SparkSession, directory: str) -> DataFrame | None:
+    """Every *.csv of a directory, typed and labelled: files with an
+    ``attack_cat`` column by category, others with a ``label`` by its text."""
+    by_kind: dict[bool, list[str]] = {True: [], False: []}
+    for f in csv_files(spark, [directory]):
+        by_kind["attack_cat" in clean_names(_header(spark, f))].append(f)
+    return combine([load_unsw(spark, by_kind[True]), load_cic(spark, by_kind[False])])
 
 
 def combine(frames: Sequence[DataFrame | None]) -> DataFrame | None:

@@ -5,28 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-DECISION_COLUMNS = ["phase", "alert_idx", "user_decision", "time_seconds", "model_prediction", "true_label",
-                    "feedback"]
-
-
 def read_sessions(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Ragged session CSVs (decision rows, a blank line, a
     ``questionnaire,q1..`` row and an ``answer,..`` row in one file) ->
     (decisions, answers). Lines are classified by their first field; the
-    answer row is parsed (the reference's reader lost it)."""
+    answer row is parsed whole, however many questions there are. A decision line
+    is one that is neither a header nor part of the questionnaire."""
     lines = (spark.read.text(path).select(F.input_file_name().alias("file"), F.col("value").alias("line"))
              .filter(F.trim("line") != ""))
     parts = F.split("line", ",")
     kind = parts[0]
     session = F.regexp_extract("file", r"([^/]+?)(\.csv)?$", 1)
-    dec = lines.filter(kind.isin("baseline", "hcidf")).select(session.alias("session"), parts.alias("p"))
+    dec = lines.filter(~kind.isin("phase", "questionnaire", "answer")).select(session.alias("session"), parts.alias("p"))
     decisions = dec.select(
         "session", F.col("p")[0].alias("phase"), F.col("p")[1].try_cast("int").alias("alert_idx"),
         F.col("p")[2].alias("user_decision"), F.col("p")[3].try_cast("double").alias("time_seconds"),
         F.col("p")[4].try_cast("int").alias("model_prediction"), F.col("p")[5].try_cast("int").alias("true_label"),
         F.when(F.size("p") > 6, F.nullif(F.col("p")[6], F.lit(""))).alias("feedback"))
     ans = lines.filter(kind == "answer").select(session.alias("session"), parts.alias("p"))
-    answers = ans.select("session", F.posexplode(F.slice("p", 2, 100)).alias("i", "a")).select(
+    answers = ans.select("session", F.posexplode(F.slice("p", F.lit(2), F.size("p"))).alias("i", "a")).select(
         "session", F.concat(F.lit("q"), (F.col("i") + 1).cast("string")).alias("question"),
         F.col("a").try_cast("int").alias("answer"))
     return decisions, answers
@@ -47,7 +44,7 @@ def with_user_index(decisions: DataFrame) -> DataFrame:
     users = decisions.select("session").distinct()
     from pyspark.sql import Window
     idx = users.withColumn("user_id", F.dense_rank().over(Window.orderBy("session")) - 1)
-    return decisions.join(F.broadcast(idx), "session")
+    return decisions.join(idx, "session")
 
 
 def write_study(decisions: DataFrame, answers: DataFrame, out_dir: str, fmt: str = "csv") -> None:

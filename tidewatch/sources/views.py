@@ -106,7 +106,7 @@ def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     says_attack = F.when(right, true_label == 1).otherwise(true_label == 0)
     return li.select(
         F.col("l_suppkey").alias("user_id"),
-        F.when(F.col("l_linestatus") == "O", "baseline").otherwise("hcidf").alias("phase"),
+        F.when(F.col("l_linestatus") == "O", "baseline").otherwise("assisted").alias("phase"),
         line_id().alias("alert_idx"),
         F.when(says_attack, "attack").otherwise("benign").alias("user_decision"),
         F.col("l_quantity").alias("time_seconds"),
@@ -116,9 +116,9 @@ def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Questionnaire answers in long form: user_id, question q1..q5, answer 1-5."""
+    """Questionnaire answers in long form: user_id, question q1..q5, answer 1-5
+    (every line of the table answers one of the five questions)."""
     li = table(spark, sf_dir, "lineitem")
-    return (li.filter(F.col("l_linenumber") <= 5)
-            .select(F.col("l_suppkey").alias("user_id"),
-                    F.concat(F.lit("q"), F.col("l_linenumber").cast("string")).alias("question"),
-                    (F.col("l_partkey") % 5 + 1).alias("answer")))
+    return li.select(F.col("l_suppkey").alias("user_id"),
+                     F.concat(F.lit("q"), ((F.col("l_linenumber") - 1) % 5 + 1).cast("string")).alias("question"),
+                     (F.col("l_partkey") % 5 + 1).alias("answer"))
