@@ -12,6 +12,9 @@ arrival, and computed without a single-partition sort.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -93,24 +96,29 @@ def arp_spoof(packets: DataFrame) -> DataFrame:
     """First MAC seen for an IP is kept forever; a packet whose MAC differs
     raises ``arp_alert``. First MAC per IP is an aggregate (map-side combined,
     one row per IP) joined back; AQE broadcasts it when the measured size is
-    under the broadcast threshold and splits hot IPs otherwise."""
+    under the broadcast threshold and splits hot IPs otherwise. A packet
+    without an IP is kept and raises nothing."""
     firsts = packets.groupBy("ip").agg(F.min_by("mac", F.struct(*ORDER)).alias("first_mac"))
-    return (packets.join(firsts, "ip")
+    return (packets.join(firsts, "ip", "left")
             .withColumn("arp_alert", F.coalesce(F.col("mac") != F.col("first_mac"), F.lit(False))))
 
 
 # -- T2 ---------------------------------------------------------------------
 def dns_poison(packets: DataFrame, max_deviation: float = 50.0) -> DataFrame:
+    """The TTL is far from the baseline, or the response's id isn't the
+    query's (an unanswered query counts as such). A missing TTL is no
+    deviation."""
     dev = F.abs(F.col("ttl") - F.coalesce(F.col("baseline_ttl"), F.lit(300.0)))
-    return packets.withColumn("dns_alert", (dev > max_deviation) | (F.col("query_id") != F.col("response_id")))
+    return packets.withColumn("dns_alert", F.coalesce(dev > max_deviation, F.lit(False))
+                              | ~F.col("query_id").eqNullSafe(F.col("response_id")))
 
 
 # -- T3 ---------------------------------------------------------------------
 def _hijack_step(rtt_std_threshold: float, min_count: int):
-    import math
-
     def step(state, row):
         rtt = row.rtt
+        if rtt is None or math.isnan(rtt):   # nothing measured: no alert, baseline as it was
+            return state, (False, *(state or (None, None, 0)))
         if state is None:
             return (rtt, 0.0, 1), (False, rtt, 0.0, 1)
         mean, std, n = state
@@ -123,13 +131,15 @@ def _hijack_step(rtt_std_threshold: float, min_count: int):
     return step
 
 
-def session_hijack(packets: DataFrame, rtt_std_threshold: float = 2.5, min_count: int = 10) -> DataFrame:
+def session_hijack(packets: DataFrame, rtt_std_threshold: float = 2.5, min_count: int = 10,
+                   keep: Sequence[str] = ()) -> DataFrame:
     """Per source RTT baseline (mean, std, n). An outlier once n > min_count
     raises ``hijack_alert`` and leaves the baseline unchanged; otherwise the
     baseline absorbs the row. The recurrence is sequential per key, so it is
-    a sorted streaming fold (bounded memory, parallel across keys)."""
+    a sorted streaming fold (bounded memory, parallel across keys). A packet
+    without an RTT changes nothing. ``keep`` names further columns to return."""
     return fold_by_key(
-        packets.select("src", "ts", "event_id", "rtt"),
+        packets.select("src", "ts", "event_id", "rtt", *keep),
         key="src", order=ORDER, step=_hijack_step(rtt_std_threshold, min_count),
         out_schema="hijack_alert boolean, rtt_mean double, rtt_std double, n_baseline bigint")
 
@@ -137,16 +147,18 @@ def session_hijack(packets: DataFrame, rtt_std_threshold: float = 2.5, min_count
 # -- T4 ---------------------------------------------------------------------
 def packet_verdict(packets: DataFrame) -> DataFrame:
     """Dispatch on packet type: ARP -> T1 over ARP packets, DNS -> T2,
-    TCP -> T3 over TCP packets; any other type -> no alert."""
-    arp = arp_spoof(packets.filter(F.col("proto") == "ARP")).select(
-        "event_id", F.when(F.col("arp_alert"), "ARP_SPOOFING").alias("t"))
-    dns = dns_poison(packets.filter(F.col("proto") == "DNS")).select(
-        "event_id", F.when(F.col("dns_alert"), "DNS_POISONING").alias("t"))
-    tcp = session_hijack(packets.filter(F.col("proto") == "TCP")).select(
-        "event_id", F.when(F.col("hijack_alert"), "SESSION_HIJACKING").alias("t"))
-    flagged = arp.unionByName(dns).unionByName(tcp)
-    base = packets.select("event_id", "ts", "src", "dst", "proto")
-    out = base.join(flagged, "event_id", "left")
+    TCP -> T3 over TCP packets; any other type -> no alert. The four parts are
+    disjoint by protocol and carry the packet's columns, so they are united and
+    not joined back."""
+    base = ["event_id", "ts", "src", "dst", "proto"]
+    proto = F.col("proto")
+    arp = arp_spoof(packets.filter(proto == "ARP")).select(*base, F.when(F.col("arp_alert"), "ARP_SPOOFING").alias("t"))
+    dns = dns_poison(packets.filter(proto == "DNS")).select(*base, F.when(F.col("dns_alert"), "DNS_POISONING").alias("t"))
+    tcp = session_hijack(packets.filter(proto == "TCP"), keep=["dst", "proto"]).select(
+        *base, F.when(F.col("hijack_alert"), "SESSION_HIJACKING").alias("t"))
+    rest = packets.filter(~F.coalesce(proto.isin("ARP", "DNS", "TCP"), F.lit(False))).select(
+        *base, F.lit(None).cast("string").alias("t"))
+    out = arp.unionByName(dns).unionByName(tcp).unionByName(rest)
     types = F.when(F.col("t").isNotNull(), F.array(F.col("t")))
     return out.select(
         "event_id", "ts", "src", "dst", "proto",

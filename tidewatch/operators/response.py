@@ -8,6 +8,8 @@ alerts normalised by :func:`normalise_capture_alerts`.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,24 +38,28 @@ def _block_step(duration_s: int):
     def step(state, row):
         t = row.ts_us
         if getattr(row, "action", "alert") == "unblock":
-            return None, (False, None)
+            in_force = state is not None and t <= state[0]
+            return None, (False, None, state[1] if in_force else None)
         if not row.eligible or row.src_key is None:
-            return state, (False, None)
-        if state is not None and t <= state:
-            return state, (False, None)
-        return t + dur, (True, t + dur)
+            return state, (False, None, None)
+        if state is not None and t <= state[0]:
+            return state, (False, None, None)
+        return (t + dur, row.event_id), (True, t + dur, None)
     return step
 
 
 def block_decisions(verdicts: DataFrame, auto: bool = True, duration_s: int = 1800) -> DataFrame:
     """R2 + R3 + R5: for every alerting verdict decide whether it opens a block
     on its source. A source already blocked is not re-blocked until its block
-    expires (expired when expires_at < now); an ``action='unblock'`` row ends
-    a block. Only critical alerts act unless ``auto``. Per-source sequential
-    fold over ``(ts, event_id)``; parallel across sources."""
-    v = with_severity(verdicts.filter("mitm_alert"))
-    eligible = F.lit(True) if auto else (F.col("severity") == "critical")
+    expires (expired when expires_at < now); a row with ``action='unblock'``
+    (a control event, whatever its verdict) ends the block in force and names
+    it in ``ends_block``, the event that opened it. Only critical alerts act
+    unless ``auto``. Per-source sequential fold over ``(ts, event_id)``;
+    parallel across sources."""
     has_action = "action" in verdicts.columns
+    control = F.coalesce(F.col("action") == "unblock", F.lit(False)) if has_action else F.lit(False)
+    v = with_severity(verdicts.filter(F.col("mitm_alert") | control))
+    eligible = F.lit(True) if auto else (F.col("severity") == "critical")
     x = v.select(
         "event_id", "ts", "src", "dst", "mitm_type", "severity",
         F.unix_micros("ts").alias("ts_us"), eligible.alias("eligible"),
@@ -61,16 +67,22 @@ def block_decisions(verdicts: DataFrame, auto: bool = True, duration_s: int = 18
         *([F.col("action")] if has_action else []))
     x = x.withColumn("src_key", F.when(F.col("src_key") == "", None).otherwise(F.col("src_key")))
     out = fold_by_key(x, "src_key", ["ts_us", "event_id"], _block_step(duration_s),
-                      "opens_block boolean, expires_us bigint")
+                      "opens_block boolean, expires_us bigint, ends_block bigint")
     return out.withColumn("expires_at", F.timestamp_micros("expires_us")).drop("expires_us")
 
 
-def block_intervals(decisions: DataFrame, duration_s: int = 1800) -> DataFrame:
-    """Block rows (ip, reason, blocked_at, expires_at, duration)."""
+def block_intervals(decisions: DataFrame, duration_s: int = 1800, keep: Sequence[str] = ()) -> DataFrame:
+    """Block rows (ip, reason, blocked_at, expires_at, duration). A block that
+    an unblock event ended expires at that event."""
     b = decisions.filter("opens_block")
+    if "action" in decisions.columns:
+        ended = decisions.filter(F.col("ends_block").isNotNull()).select(
+            F.col("ends_block").alias("_opened_by"), F.col("ts").alias("_ended_at"))
+        b = b.join(ended, F.col("event_id") == F.col("_opened_by"), "left") \
+             .withColumn("expires_at", F.least("expires_at", "_ended_at"))
     return b.select(F.col("src").alias("ip"),
                     F.concat(F.lit("MITM: "), F.array_join("mitm_type", ", ")).alias("reason"),
-                    F.col("ts").alias("blocked_at"), "expires_at", F.lit(duration_s).alias("duration"))
+                    F.col("ts").alias("blocked_at"), "expires_at", F.lit(duration_s).alias("duration"), *keep)
 
 
 def active_blocks(blocks: DataFrame, at) -> DataFrame:
@@ -82,7 +94,10 @@ def active_blocks(blocks: DataFrame, at) -> DataFrame:
 def mitigation_log(decisions: DataFrame, auto: bool = True) -> DataFrame:
     """One row per alerting verdict: types, severity, actions
     (block if it opened one, terminate whenever the alert acts) and counts;
-    ``actions_text`` is the flat ``action:target;...`` sink form."""
+    ``actions_text`` is the flat ``action:target;...`` sink form. Control
+    events (unblock) are no alerts and have no row."""
+    if "action" in decisions.columns:
+        decisions = decisions.filter(F.coalesce(F.col("action") != "unblock", F.lit(True)))
     acts = F.lit(True) if auto else (F.col("severity") == "critical")
     target = F.concat(F.coalesce(F.col("src").cast("string"), F.lit("")), F.lit("->"),
                       F.coalesce(F.col("dst").cast("string"), F.lit("")))
@@ -98,3 +113,29 @@ def mitigation_log(decisions: DataFrame, auto: bool = True) -> DataFrame:
         F.array_join(F.transform("actions", lambda a: F.concat_ws(":", a["action"], a["target"])), ";")
         .alias("actions_text"),
         F.lit(auto).alias("auto_mitigated"), F.size("actions").alias("action_count"))
+
+
+def mitigation_stats(log: DataFrame, blocks: DataFrame, at, last_actions: int = 20, last_sessions: int = 50) -> DataFrame:
+    """One row: mitigated alerts, blocks in force at ``at``, actions in
+    total, the last actions and the last terminated sessions (newest first;
+    the lengths are the feature). Only the top rows reach one task."""
+    act = log.filter(F.col("action_count") > 0)
+    each = act.select("ts", "event_id", F.posexplode("actions").alias("pos", "a")).select(
+        "ts", "event_id", "pos", F.col("a.action").alias("action"), F.col("a.target").alias("target"))
+    newest = [F.desc("ts"), F.desc("event_id"), F.desc("pos")]
+    key = lambda: F.struct((-F.unix_micros("ts")).alias("t"), (-F.col("event_id")).alias("e"), (-F.col("pos")).alias("p"),
+                           F.concat_ws(":", "action", "target").alias("text"))
+    listed = lambda df, n, name: df.orderBy(*newest).limit(n).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(key())), lambda s: s["text"]), ";").alias(name))
+    totals = act.agg(F.count(F.lit(1)).alias("total_mitigated"), F.coalesce(F.sum("action_count"), F.lit(0)).alias("total_actions"))
+    active = active_blocks(blocks, at).agg(F.count(F.lit(1)).alias("active_blocks"))
+    return totals.crossJoin(active).crossJoin(listed(each, last_actions, "last_actions")).crossJoin(
+        listed(each.filter("action = 'terminate_session'"), last_sessions, "terminated_sessions"))
+
+
+def alerts_on_blocked(alerts: DataFrame, blocks: DataFrame, ip: str = "src") -> DataFrame:
+    """Alerts whose source is blocked when they come (an equi-join on the
+    address with a range condition; blocks of one source don't overlap)."""
+    b = blocks.select(F.col("ip").alias("_ip"), "blocked_at", "expires_at")
+    return alerts.join(b, (F.col(ip) == F.col("_ip")) & (F.col("ts") > F.col("blocked_at")) & (F.col("ts") <= F.col("expires_at"))) \
+                 .drop("_ip")

@@ -12,10 +12,12 @@ Nothing is collected per group.
 
 from __future__ import annotations
 
+from collections import namedtuple
 from collections.abc import Callable, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 _UNSET = object()
@@ -30,26 +32,29 @@ def fold_by_key(df: DataFrame, key: str, order: Sequence[str], step: Callable,
     """Run ``step(state, row) -> (new_state, out_tuple)`` over each key's rows
     in ``order``; the first row of a key sees ``state=None``. ``row`` is a
     namedtuple: columns read by ``step`` must not start with ``_``. Returns ``df``'s
-    columns plus the ``out_schema`` columns, one output row per input row."""
+    columns plus the ``out_schema`` columns, one output row per input row.
+    Rows with a NULL key are one key of their own."""
     extra = _parse_schema(out_schema)
     schema = StructType(list(df.schema.fields) + list(extra.fields))
-    out_names = [f.name for f in extra.fields]
+    out_types = to_arrow_schema(extra)
     parts = (df.repartition(num_partitions, key) if num_partitions else df.repartition(key))
     ordered = parts.sortWithinPartitions(key, *order)
 
     key_pos = df.columns.index(key)
+    row_type = namedtuple("Row", df.columns)
 
     def run(batches):
         current, state = _UNSET, None
-        for pdf in batches:
+        for batch in batches:
             outs = []
-            for row in pdf.itertuples(index=False):
-                k = row[key_pos]
-                if k != current:
+            # Arrow values: integers stay integers and NULL stays None
+            for values in zip(*[c.to_pylist() for c in batch.columns]):
+                k = values[key_pos]
+                if current is _UNSET or k != current:
                     current, state = k, None
-                state, out = step(state, row)
+                state, out = step(state, row_type(*values))
                 outs.append(out)
-            res = pd.DataFrame(outs, columns=out_names, index=pdf.index)
-            yield pd.concat([pdf, res], axis=1)
+            new = [pa.array([o[i] for o in outs], f.type) for i, f in enumerate(out_types)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=schema.names)
 
-    return ordered.mapInPandas(run, schema)
+    return ordered.mapInArrow(run, schema)

@@ -10,7 +10,7 @@ from ..operators import packets as pk
 from ..operators import response as rs
 from ..sources.views import packets, predictions
 from .common import fmt_ts, r6
-from .packet_queries import HIJACK_SQL, W
+from .packet_queries import CAPTURE_ALERTS_SQL, HIJACK_SQL, W
 from .registry import register
 from .sql_views import PREDICTIONS_CTE, ts
 
@@ -84,6 +84,88 @@ def mitigation_log(spark, sf_dir):
                     F.col("action_count").cast("int").alias("action_count"))
 
 
+# Control events: purchases with k below 2 stand for an analyst's unblock of
+# their source.
+UNBLOCK_SQL = f"""{VERDICT_SQL},
+ev AS (SELECT event_id, ts, src, false AS ctl FROM v
+       UNION ALL SELECT event_id, ts, src, true FROM packets WHERE proto = 'OTHER' AND k < 2),
+er AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY ts, event_id) AS rn FROM ev),
+ub AS (
+  SELECT src, rn, event_id, NOT ctl AS opens, CASE WHEN NOT ctl THEN epoch_us(ts) + 1800000000 END AS expires,
+         CASE WHEN NOT ctl THEN event_id END AS opened, CAST(NULL AS BIGINT) AS ends FROM er WHERE rn = 1
+  UNION ALL
+  SELECT er.src, er.rn, er.event_id, q.opens,
+         CASE WHEN er.ctl THEN NULL WHEN q.opens THEN epoch_us(er.ts) + 1800000000 ELSE ub.expires END,
+         CASE WHEN er.ctl THEN NULL WHEN q.opens THEN er.event_id ELSE ub.opened END,
+         CASE WHEN er.ctl AND ub.expires IS NOT NULL AND epoch_us(er.ts) <= ub.expires THEN ub.opened END
+  FROM ub JOIN er ON er.src = ub.src AND er.rn = ub.rn + 1
+  CROSS JOIN LATERAL (SELECT NOT er.ctl AND (ub.expires IS NULL OR epoch_us(er.ts) > ub.expires) AS opens) q),
+ui AS (SELECT er.src AS ip, er.event_id, er.ts AS blocked_at, u.event_id IS NOT NULL AS unblocked,
+              least(make_timestamp(ub.expires), ue.ts) AS expires_at
+       FROM ub JOIN er USING (src, rn) LEFT JOIN ub u ON u.ends = ub.event_id AND u.src = ub.src
+       LEFT JOIN er ue ON ue.src = u.src AND ue.rn = u.rn WHERE ub.opens)"""
+
+
+def _controlled(spark, sf_dir):
+    p = packets(spark, sf_dir)
+    v = pk.packet_verdict(p).select("event_id", "ts", "src", "dst", "mitm_alert", "mitm_type")
+    control = p.filter((F.col("proto") == "OTHER") & (F.col("k") < 2)).select(
+        "event_id", "ts", "src", "dst", F.lit(False).alias("mitm_alert"), F.lit(None).cast("array<string>").alias("mitm_type"))
+    both = v.filter("mitm_alert").withColumn("action", F.lit("alert")).unionByName(control.withColumn("action", F.lit("unblock")))
+    return rs.block_decisions(both, auto=True, duration_s=1800)
+
+
+@register("unblock_events", sql=f"""{UNBLOCK_SQL}
+SELECT ip, event_id, {ts('blocked_at')} AS blocked_at, {ts('expires_at')} AS expires_at FROM ui""")
+def unblock_events(spark, sf_dir):
+    """Blocks when control events end them early; an alert after an
+    unblock opens a new block."""
+    b = rs.block_intervals(_controlled(spark, sf_dir), 1800, keep=["event_id"])
+    return b.select("ip", "event_id", fmt_ts("blocked_at").alias("blocked_at"), fmt_ts("expires_at").alias("expires_at"))
+
+
+@register("blocked_alerts", sql=f"""{UNBLOCK_SQL}
+SELECT v.event_id, v.src, {ts('ui.blocked_at')} AS blocked_at FROM v JOIN ui ON v.src = ui.ip
+       AND v.ts > ui.blocked_at AND v.ts <= ui.expires_at""")
+def blocked_alerts(spark, sf_dir):
+    """Alerts that come while their source is blocked."""
+    d = _controlled(spark, sf_dir)
+    b = rs.block_intervals(d, 1800)
+    a = d.filter("action = 'alert'").select("event_id", "src", "ts")
+    return rs.alerts_on_blocked(a, b).select("event_id", "src", fmt_ts("blocked_at").alias("blocked_at"))
+
+
+@register("capture_mitigation", sql=f"""{CAPTURE_ALERTS_SQL}
+SELECT upper(replace(type, ' ', '_')) AS mitm_type, 'high' AS severity, count(*) AS alerts, count(DISTINCT src) AS sources
+FROM alerts GROUP BY type""")
+def capture_mitigation(spark, sf_dir):
+    """Capture alerts as verdicts on the mitigation path."""
+    v = rs.with_severity(rs.normalise_capture_alerts(pk.capture_alerts(packets(spark, sf_dir))))
+    return v.groupBy(F.array_join("mitm_type", ";").alias("mitm_type"), "severity").agg(
+        F.count(F.lit(1)).alias("alerts"), F.count_distinct("src").alias("sources"))
+
+
+@register("mitigation_stats", sql=f"""{VERDICT_SQL},
+t AS (SELECT max(ts) - INTERVAL 6 HOUR AS at_ts FROM packets),
+acts AS (SELECT ts, event_id, 0 AS pos, 'block_ip' AS action, CAST(src AS VARCHAR) AS target FROM dec WHERE opens
+         UNION ALL SELECT ts, event_id, opens::INT, 'terminate_session',
+                          coalesce(CAST(src AS VARCHAR), '') || '->' || coalesce(CAST(dst AS VARCHAR), '') FROM dec),
+la AS (SELECT * FROM acts ORDER BY ts DESC, event_id DESC, pos DESC LIMIT 20),
+lt AS (SELECT * FROM acts WHERE action = 'terminate_session' ORDER BY ts DESC, event_id DESC, pos DESC LIMIT 50)
+SELECT (SELECT count(*) FROM dec) AS total_mitigated, (SELECT count(*) FROM acts) AS total_actions,
+       (SELECT count(*) FROM dec, t WHERE opens AND ts <= at_ts AND make_timestamp(expires) >= at_ts) AS active_blocks,
+       (SELECT string_agg(action || ':' || target, ';' ORDER BY ts DESC, event_id DESC, pos DESC) FROM la) AS last_actions,
+       (SELECT string_agg(action || ':' || target, ';' ORDER BY ts DESC, event_id DESC, pos DESC) FROM lt) AS terminated_sessions""")
+def mitigation_stats(spark, sf_dir):
+    """Totals, blocks in force, last 20 actions, last 50 terminated
+    sessions (the list lengths are the feature)."""
+    p = packets(spark, sf_dir)
+    d = _decisions(spark, sf_dir)
+    at = p.agg((F.max("ts") - F.expr("INTERVAL 6 HOURS")).alias("at"))
+    blocks = rs.block_intervals(d, 1800).crossJoin(F.broadcast(at))
+    return rs.mitigation_stats(rs.mitigation_log(d), blocks, F.col("at"))
+
+
 FEEDBACK_SQL = f"""WITH RECURSIVE {PREDICTIONS_CTE},
 f AS (SELECT row_id, y_true, y_pred, CASE WHEN y_pred = 1 AND y_true = 1 THEN 'confirmed_tp'
                                     WHEN y_pred = 1 AND y_true = 0 THEN 'dismissed_fp' ELSE 'none' END AS verdict
