@@ -85,10 +85,10 @@ def test_flow_csv_ingest(spark, tmp_path):
 def test_ragged_session_files(spark, tmp_path):
     f = tmp_path / "test_session_a.csv"
     f.write_text("phase,alert_idx,user_decision,time_seconds,model_prediction,true_label,feedback\n"
-                 "baseline,0,attack,5.5,1,1,\nhcidf,0,benign,3.0,0,0,confirmed\n\n"
+                 "baseline,0,attack,5.5,1,1,\nassisted,0,benign,3.0,0,0,confirmed\n\n"
                  "questionnaire,q1,q2,q3,q4,q5\nanswer,1,2,1,1,1\n")
     d, a = study.read_sessions(spark, str(tmp_path))
-    assert sorted((r.phase, r.feedback) for r in d.collect()) == [("baseline", None), ("hcidf", "confirmed")]
+    assert sorted((r.phase, r.feedback) for r in d.collect()) == [("assisted", "confirmed"), ("baseline", None)]
     assert [r.answer for r in a.orderBy("question").collect()] == [1, 2, 1, 1, 1]
 
 

@@ -23,9 +23,11 @@ BAND_TEXT = ["was near-normal", "unusually low", "lower than normal", "unusually
              "higher than normal", "within normal range"]
 DIRECTION_TEXT = ["increased the attack score", "decreased the attack score (pushed toward benign)"]
 NARRATIVE_HEAD = "Alert triggered primarily by: "
-DEFAULT_FEATURE_TEXT = "Network flow characteristic used by the ML model."
 # ---------------------------------------------------------------------------
 
+# Own text for features without a description of their own.
+DEFAULT_FEATURE_TEXT = "No description is kept for this feature."
+
 
 def col_(c) -> Column:
     return F.col(c) if isinstance(c, str) else c

@@ -6,8 +6,9 @@ in a single task: unbounded for continuous columns. Here:
 1. one aggregate pass gives, per (group, column), the count ``n`` and a
    ``percentile_approx`` bracket ``[L, H]`` around the wanted rank. The sketch
    has a guaranteed rank error ``n/accuracy``; the bracket uses three times
-   that (>= 2 ranks once n > accuracy). Groups with ``n <= 2*accuracy`` use
-   the whole range.
+   that (>= 2 ranks once n > accuracy). A group of ``n <= 2*accuracy`` rows is
+   smaller than a bracket is meant to be, so its bracket is its whole range:
+   the ranks found are the same. A rank outside its bracket raises.
 2. a second pass counts values below ``L`` and groups the values inside the
    bracket by value (a few times ``n/accuracy`` rows per group);
 3. a window over those in-bracket distinct values finds the values at the two
@@ -34,7 +35,7 @@ def to_long(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataF
 
 
 def quantiles_long(long: DataFrame, qs: Sequence[float], by: Sequence[str] = (),
-                   accuracy: int = 100_000) -> DataFrame:
+                   accuracy: int = 10_000) -> DataFrame:
     """Exact interpolated quantiles of long-form data: returns
     (by..., c_name, q, value)."""
     keys = list(by) + ["c_name"]
@@ -78,15 +79,17 @@ def quantiles_long(long: DataFrame, qs: Sequence[float], by: Sequence[str] = (),
         F.max(F.when(hit("_rlo"), F.col("v"))).alias("vlo"),
         F.max(F.when(hit("_rhi"), F.col("v"))).alias("vhi"),
         F.first("_frac").alias("frac"))
-    return picked.select(*keys, "q", (F.col("vlo") + F.col("frac") * (F.col("vhi") - F.col("vlo"))).alias("value"))
+    missed = F.raise_error(F.lit("a quantile's rank lies outside its bracket")).cast("double")
+    found = lambda c: F.coalesce(F.col(c), missed)
+    return picked.select(*keys, "q", (found("vlo") + F.col("frac") * (found("vhi") - found("vlo"))).alias("value"))
 
 
 def quantiles(df: DataFrame, cols: Sequence[str], qs: Sequence[float], by: Sequence[str] = (),
-              accuracy: int = 100_000) -> DataFrame:
+              accuracy: int = 10_000) -> DataFrame:
     return quantiles_long(to_long(df, cols, by), qs, by, accuracy)
 
 
-def medians_row(df: DataFrame, cols: Sequence[str], accuracy: int = 100_000) -> DataFrame:
+def medians_row(df: DataFrame, cols: Sequence[str], accuracy: int = 10_000) -> DataFrame:
     """One row, one column per input column: its exact median (NULL when the
     column has no values)."""
     long = quantiles(df, cols, [0.5], accuracy=accuracy)

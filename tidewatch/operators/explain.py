@@ -88,8 +88,7 @@ def narratives(contrib: DataFrame, k: int = 3, alert_type=None) -> DataFrame:
     return per.select("alert_id", text.alias("narrative"))
 
 
-def proxy_explanations(alerts: DataFrame, id_col: str, scaled_features: DataFrame, importances: DataFrame,
-                       k: int = 10) -> DataFrame:
+def proxy_explanations(id_col: str, scaled_features: DataFrame, importances: DataFrame, k: int = 10) -> DataFrame:
     """The global top-k importances repeated for every alert with that
     alert's scaled values, as ARRAY<STRUCT<feature, value, importance>>."""
     top = top_features(importances, k).select("feature", F.col("mean_abs_importance").alias("importance"))
@@ -98,7 +97,7 @@ def proxy_explanations(alerts: DataFrame, id_col: str, scaled_features: DataFram
         (-F.col("importance")).alias("rank_key"), "feature", "value", "importance"))).alias("fs"))
     feats = F.transform("fs", lambda s: F.struct(s["feature"].alias("feature"), s["value"].alias("value"),
                                                  s["importance"].alias("importance")))
-    return alerts.join(per.select(id_col, feats.alias("features")), id_col)
+    return per.select(id_col, feats.alias("features"))
 
 
 def verdict_text(df: DataFrame, true_label: str, predicted: str) -> DataFrame:

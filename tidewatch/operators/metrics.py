@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir
@@ -78,7 +78,7 @@ def _with_cumulative(sc: DataFrame, by: Sequence[str], descending: bool, buckets
     qs = [i / buckets for i in range(1, buckets)]
     cuts = x.groupBy(*by).agg(F.percentile_approx("_k", qs, 10_000).alias("_cuts")) if by else \
         x.agg(F.percentile_approx("_k", qs, 10_000).alias("_cuts"))
-    x = x.join(F.broadcast(cuts), by) if by else x.crossJoin(F.broadcast(cuts))
+    x = x.join(cuts, by) if by else x.crossJoin(F.broadcast(cuts))
     bucket = F.size(F.filter("_cuts", lambda c: c < F.col("_k")))
     keys = by if by else []
     if not keys:
@@ -91,13 +91,15 @@ def _with_cumulative(sc: DataFrame, by: Sequence[str], descending: bool, buckets
 def auc_exact(preds: DataFrame, by: Sequence[str] = (), y_true: str = "y_true", y_score: str = "y_score",
               buckets: int = 64) -> DataFrame:
     """Mann-Whitney ROC-AUC with average ranks for ties:
-    sum over scores of pos * (negatives below + neg/2) / (P * N)."""
+    sum over scores of pos * (negatives below + neg/2) / (P * N); NULL when a
+    class is absent. Counts are multiplied as doubles: their product leaves the
+    range of a bigint at some billions of rows."""
     sc = score_counts(preds, by, y_true, y_score)
     c = _with_cumulative(sc, by, False, buckets)
     below = F.col("cum_neg") - F.col("neg")
-    return c.groupBy(*by).agg(
-        (F.sum(F.col("pos") * (below + 0.5 * F.col("neg"))) /
-         (F.sum("pos") * F.sum("neg"))).alias("auc"))
+    return c.groupBy(*by).agg(F.try_divide(
+        F.sum(F.col("pos").cast("double") * (below + 0.5 * F.col("neg"))),
+        F.sum("pos").cast("double") * F.sum("neg")).alias("auc"))
 
 
 def roc_points(preds: DataFrame, by: Sequence[str] = (), y_true: str = "y_true", y_score: str = "y_score",
@@ -107,30 +109,28 @@ def roc_points(preds: DataFrame, by: Sequence[str] = (), y_true: str = "y_true",
     sc = score_counts(preds, by, y_true, y_score)
     c = _with_cumulative(sc, by, True, buckets)
     tot = sc.groupBy(*by).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-    c = c.join(F.broadcast(tot), list(by)) if by else c.crossJoin(F.broadcast(tot))
+    c = c.join(tot, list(by)) if by else c.crossJoin(F.broadcast(tot))
     return c.select(*by, "score", _div(F.col("cum_neg"), F.col("N")).alias("fpr"),
                     _div(F.col("cum_pos"), F.col("P")).alias("tpr"),
-                    F.col("cum_pos").alias("tp"), F.col("cum_neg").alias("fp"), "P", "N")
+                    F.col("cum_pos").alias("tp"), F.col("cum_neg").alias("fp"), "P", "N", "pos", "neg")
 
 
 def roc_auc_trapezoid(points: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Trapezoid area under the points (from the origin). The lag is taken on
-    the distinct-score points only (one row per threshold, per group)."""
-    w = Window.partitionBy(*by).orderBy(F.desc("score"))
-    p = (points.withColumn("pf", F.coalesce(F.lag("fpr").over(w), F.lit(0.0)))
-         .withColumn("pt", F.coalesce(F.lag("tpr").over(w), F.lit(0.0))))
-    return p.groupBy(*by).agg(F.sum((F.col("fpr") - F.col("pf")) * (F.col("tpr") + F.col("pt")) / 2)
-                              .alias("auc_trapezoid"))
+    """Trapezoid area under the points (from the origin); NULL when a class is
+    absent. A point and the one before it differ by the point's own counts, so
+    the strip is neg * (2 * tp - pos) / (2 P N): no lag over the points."""
+    strip = F.col("neg").cast("double") * (2.0 * F.col("tp") - F.col("pos"))
+    return points.groupBy(*by).agg(F.try_divide(F.sum(strip), 2.0 * F.max("P") * F.max("N")).alias("auc_trapezoid"))
 
 
 def average_precision(preds: DataFrame, by: Sequence[str] = (), y_true: str = "y_true",
                       y_score: str = "y_score", buckets: int = 64) -> DataFrame:
     """AP = sum_n (R_n - R_{n-1}) * P_n over descending thresholds, R_0 = 0.
-    Since R_n - R_{n-1} = pos_n / P, no lag is needed."""
+    Since R_n - R_{n-1} = pos_n / P, no lag is needed. 0 without positives."""
     sc = score_counts(preds, by, y_true, y_score)
     c = _with_cumulative(sc, by, True, buckets)
     prec = F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg"))
-    return c.groupBy(*by).agg(F.coalesce(F.sum(F.col("pos") * prec) / F.sum("pos"), F.lit(0.0))
+    return c.groupBy(*by).agg(F.coalesce(F.try_divide(F.sum(F.col("pos") * prec), F.sum("pos").cast("double")), F.lit(0.0))
                               .alias("average_precision"))
 
 

@@ -40,7 +40,7 @@ def nonfinite_to_null(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 # -- D3 ---------------------------------------------------------------------
-def median_impute(df: DataFrame, cols: Sequence[str], accuracy: int = 100_000) -> DataFrame:
+def median_impute(df: DataFrame, cols: Sequence[str], accuracy: int = 10_000) -> DataFrame:
     """Fill NULLs with the column's exact median (nulls skipped)."""
     if not cols:
         return df
@@ -79,7 +79,7 @@ def category_encode(df: DataFrame, cols: Sequence[str], missing: str = "missing"
     return out.select(*df.columns)
 
 
-def clean(df: DataFrame, exclude: Sequence[str] = (), accuracy: int = 100_000) -> DataFrame:
+def clean(df: DataFrame, exclude: Sequence[str] = (), accuracy: int = 10_000) -> DataFrame:
     """Dedupe, then non-finite -> NULL, median impute numerics, category-code
     strings (columns in ``exclude`` are left alone)."""
     d = dedupe(df)
@@ -184,7 +184,7 @@ def binned_mutual_info(df: DataFrame, cols: Sequence[str], label: str = "label",
     j = (joint.withColumn("n", F.sum("nxy").over(w_f))
          .withColumn("nx", F.sum("nxy").over(w_x))
          .withColumn("ny", F.sum("nxy").over(w_y)))
-    term = (F.col("nxy") / F.col("n")) * F.log((F.col("nxy") * F.col("n")) / (F.col("nx") * F.col("ny")))
+    term = (F.col("nxy") / F.col("n")) * F.log((F.col("nxy").cast("double") * F.col("n")) / (F.col("nx").cast("double") * F.col("ny")))
     return j.groupBy(F.col("c_name").alias("feature")).agg(F.sum(term).alias("mi"))
 
 
@@ -201,14 +201,15 @@ def hash_score(id_col: str, seed: int = 42):
 
 
 def stratified_split(df: DataFrame, label: str, id_col: str, test_frac: float = 0.15, seed: int = 42,
-                     accuracy: int = 100_000) -> DataFrame:
+                     accuracy: int = 10_000) -> DataFrame:
     """Adds ``is_test``: in every class exactly round(test_frac * n_class)
     rows (by smallest hash score) go to test. The per-class cut is an exact
     rank found by the distributed quantile search, so no class is ever
     gathered into one task."""
     x = df.withColumn("_score", hash_score(id_col, seed))
-    return x.join(F.broadcast(_class_cuts(x, label, test_frac, accuracy)), label, "left").withColumn(
-        "is_test", F.coalesce(F.col("_score") <= F.col("_cut"), F.lit(False))).drop("_score", "_cut")
+    cuts = _class_cuts(x, label, test_frac, accuracy).withColumnRenamed(label, "_cut_class")
+    return x.join(cuts, F.col(label).eqNullSafe(F.col("_cut_class")), "left").withColumn(
+        "is_test", F.coalesce(F.col("_score") <= F.col("_cut"), F.lit(False))).drop("_score", "_cut", "_cut_class")
 
 
 def _class_cuts(x: DataFrame, label: str, frac: float, accuracy: int) -> DataFrame:
@@ -220,31 +221,33 @@ def _class_cuts(x: DataFrame, label: str, frac: float, accuracy: int) -> DataFra
 def _rank_values(long: DataFrame, counts: DataFrame, label: str, frac: float, accuracy: int) -> DataFrame:
     eps = 1.0 / accuracy
     lo_q, hi_q = max(frac - 3 * eps, 0.0), min(frac + 3 * eps, 1.0)
-    br = long.groupBy(label).agg(F.percentile_approx("v", [lo_q, hi_q], accuracy).alias("_br"))
-    meta = (counts.join(br, label)
+    br = long.groupBy(F.col(label).alias("_bc")).agg(F.percentile_approx("v", [lo_q, hi_q], accuracy).alias("_br"))
+    # NULL is a class like any other: every join on the class is null-safe
+    meta = (counts.join(br, F.col(label).eqNullSafe(F.col("_bc"))).drop("_bc").withColumnRenamed(label, "_class")
             .withColumn("_r", (F.round(F.col("_n") * frac) - 1).cast("bigint"))
             .withColumn("L", F.when(F.col("_n") <= 2 * accuracy, float("-inf")).otherwise(F.col("_br")[0]))
             .withColumn("H", F.when(F.col("_n") <= 2 * accuracy, float("inf")).otherwise(F.col("_br")[1]))
             .drop("_br"))
-    xb = long.join(F.broadcast(meta), label)
-    below = xb.filter(F.col("v") < F.col("L")).groupBy(label).agg(F.count(F.lit(1)).alias("_below"))
-    inside = (xb.filter((F.col("v") >= F.col("L")) & (F.col("v") <= F.col("H")))
-              .groupBy(label, "v").agg(F.count(F.lit(1)).alias("_cnt")))
-    w = Window.partitionBy(label).orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    m2 = meta.join(below, label, "left").select(label, "_r", F.coalesce("_below", F.lit(0)).alias("_below"))
-    r = (inside.join(m2, label)
-         .withColumn("_last", F.col("_below") + F.sum("_cnt").over(w) - 1)
-         .withColumn("_first", F.col("_last") - F.col("_cnt") + 1))
-    hit = r.filter((F.col("_first") <= F.col("_r")) & (F.col("_r") <= F.col("_last")))
-    cuts = hit.groupBy(label).agg(F.max("v").alias("_cut"))
-    # classes whose share rounds to zero rows get no cut (nothing in test)
-    return counts.join(cuts, label, "left").select(label, F.coalesce("_cut", F.lit(-1.0)).alias("_cut"))
-
-
-def exact_sample(df: DataFrame, id_col: str, n: int, seed: int = 42, accuracy: int = 100_000) -> DataFrame:
+    # one pass: rows below the bracket are counted under NULL, those inside by value
+    inside = (F.col("v") >= F.col("L")) & (F.col("v") <= F.col("H"))
+    seen = (long.join(meta, F.col(label).eqNullSafe(F.col("_class"))).filter(F.col("v") <= F.col("H"))
+            .groupBy("_class", "_r", F.when(inside, F.col("v")).alias("v")).agg(F.count(F.lit(1)).alias("_cnt")))
+    w = Window.partitionBy("_class").orderBy(F.asc_nulls_first("v")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    r = seen.withColumn("_last", F.sum("_cnt").over(w) - 1).withColumn("_first", F.col("_last") - F.col("_cnt") + 1)
+    hit = r.filter(F.col("v").isNotNull() & (F.col("_first") <= F.col("_r")) & (F.col("_r") <= F.col("_last")))
+    cuts = hit.select(F.col("_class").alias("_hit_class"), F.col("v").alias("_cut"))
+    # classes whose share rounds to zero rows get no cut (nothing in test); any
+    # other class without one is an error
+    missed = F.raise_error(F.lit("a class's rank lies outside its bracket")).cast("double")
+    return meta.join(cuts, F.col("_class").eqNullSafe(F.col("_hit_class")), "left") \
+               .select(F.col("_class").alias(label), F.when(F.col("_r") < 0, F.lit(-1.0)).otherwise(F.coalesce("_cut", missed)).alias("_cut"))
+
+
+def exact_sample(df: DataFrame, id_col: str, n: int, seed: int = 42, accuracy: int = 10_000) -> DataFrame:
     """Exactly ``n`` rows, uniform by hash score, with no top-n funnel through
-    one task: the score of rank n-1 is found by the distributed rank search
-    and used as a filter. The row count is one cheap action."""
+    one task: the score of rank n-1 is found by the distributed rank search and
+    used as a filter. Rows that share the last score are told apart by id. The
+    row count is one cheap action."""
     x = df.withColumn("_score", hash_score(id_col, seed)).withColumn("_all", F.lit(0))
     total = df.count()
     if n >= total:
@@ -252,8 +255,14 @@ def exact_sample(df: DataFrame, id_col: str, n: int, seed: int = 42, accuracy: i
     counts = x.sparkSession.createDataFrame([(0, total)], "_all int, _n bigint")
     long = x.select("_all", F.col("_score").alias("v"))
     cuts = _rank_values(long, counts, "_all", n / total, accuracy)
-    return (x.join(F.broadcast(cuts), "_all").filter(F.col("_score") <= F.col("_cut"))
-            .drop("_score", "_all", "_cut"))
+    near = x.join(F.broadcast(cuts), "_all")   # one row
+    below = near.filter(F.col("_score") < F.col("_cut"))
+    room = below.agg((F.lit(n) - F.count(F.lit(1))).alias("_room"))
+    # scores are 53 bits of a hash: a handful of rows share the last one
+    last = near.filter(F.col("_score") == F.col("_cut")) \
+               .withColumn("_rank", F.row_number().over(Window.partitionBy("_all").orderBy(id_col))) \
+               .crossJoin(F.broadcast(room)).filter(F.col("_rank") <= F.col("_room")).drop("_rank", "_room")
+    return below.unionByName(last).drop("_score", "_all", "_cut")
 
 
 def stratified_pick(df: DataFrame, label: str, id_col: str, per_class: int, seed: int = 42,

@@ -34,13 +34,14 @@ def paired_differences(df: DataFrame, subject: str, condition: str, value: str,
 
 
 def paired_t(diffs: DataFrame, by: Sequence[str] = (), alpha: float = 0.05) -> DataFrame:
-    """t = mean(d) / (sd(d)/sqrt(n)), df = n-1, two-sided p."""
+    """t = mean(d) / (sd(d)/sqrt(n)), df = n-1, two-sided p. No spread or
+    fewer than two pairs: t and p are NULL and nothing is significant."""
     s = diffs.groupBy(*by).agg(F.count("d").alias("n"), F.avg("d").alias("mean_d"),
                                F.stddev_samp("d").alias("sd_d"))
-    t = F.col("mean_d") / (F.col("sd_d") / F.sqrt("n"))
+    t = F.try_divide(F.col("mean_d"), F.try_divide(F.col("sd_d"), F.sqrt("n")))
     out = s.withColumn("t_statistic", t).withColumn("df", (F.col("n") - 1).cast("double"))
-    out = out.withColumn("p_value", t_p_udf("t_statistic", "df"))
-    return out.withColumn("significant", F.col("p_value") < alpha)
+    out = out.withColumn("p_value", F.nanvl(t_p_udf("t_statistic", "df"), F.lit(None).cast("double")))
+    return out.withColumn("significant", F.coalesce(F.col("p_value") < alpha, F.lit(False)))
 
 
 def average_rank(value: str, partition: Sequence[str]) -> F.Column:
@@ -54,7 +55,8 @@ def average_rank(value: str, partition: Sequence[str]) -> F.Column:
 def friedman(df: DataFrame, block: str, treatment: str, score: str, alpha: float = 0.05) -> DataFrame:
     """Friedman chi-square over complete blocks with the tie correction.
     Ranks are taken within each block (a bounded group: one row per
-    treatment)."""
+    treatment). All ranks tied, no complete block or one treatment: statistic
+    0, p 1."""
     k_tbl = df.agg(F.count_distinct(treatment).alias("k"))
     complete = (df.groupBy(block).agg(F.count(F.lit(1)).alias("_m"))
                 .crossJoin(F.broadcast(k_tbl)).filter(F.col("_m") == F.col("k")).select(block))
@@ -66,30 +68,37 @@ def friedman(df: DataFrame, block: str, treatment: str, score: str, alpha: float
     nb = complete.agg(F.count(F.lit(1)).alias("n"))
     j = agg.crossJoin(nb).crossJoin(ties)
     n, k = F.col("n"), F.col("k")
-    raw = 12.0 / (n * k * (k + 1)) * F.col("sum_r2") - 3.0 * n * (k + 1)
-    corr = 1.0 - F.col("tie_sum") / (n * k * (k * k - 1))
-    out = j.select("n", "k", (raw / corr).alias("statistic"))
-    out = out.withColumn("p_value", chi2_sf_udf("statistic", (F.col("k") - 1).cast("double")))
+    nd, kd = n.cast("double"), k.cast("double")
+    raw = F.try_divide(F.lit(12.0), nd * kd * (kd + 1)) * F.col("sum_r2") - 3.0 * nd * (kd + 1)
+    corr = 1.0 - F.try_divide(F.col("tie_sum"), nd * kd * (kd * kd - 1))
+    # a correction of 0 (every block tied) is rounded to about 1e-16
+    stat = F.when(F.abs(corr) < 1e-12, F.lit(0.0)).otherwise(F.coalesce(F.try_divide(raw, corr), F.lit(0.0)))
+    out = j.select("n", "k", stat.alias("statistic"))
+    p = F.nanvl(chi2_sf_udf("statistic", F.greatest(F.col("k") - 1, F.lit(1)).cast("double")), F.lit(1.0))
+    out = out.withColumn("p_value", p)
     return out.withColumn("significant", F.col("p_value") < alpha)
 
 
 def cohens_kappa(df: DataFrame, a: str, b: str) -> DataFrame:
-    """(po - pe) / (1 - pe) for any number of classes."""
+    """(po - pe) / (1 - pe) for any number of classes; 1 when both raters use
+    one and the same class throughout, NULL without rows."""
     cells = df.groupBy(F.col(a).alias("_a"), F.col(b).alias("_b")).agg(F.count(F.lit(1)).alias("c"))
     n = cells.agg(F.sum("c").alias("n"))
     po = cells.filter(F.col("_a") == F.col("_b")).agg(F.sum("c").alias("agree"))
     ma = cells.groupBy(F.col("_a").alias("cls")).agg(F.sum("c").alias("ra"))
     mb = cells.groupBy(F.col("_b").alias("cls")).agg(F.sum("c").alias("rb"))
-    pe = ma.join(mb, "cls").agg(F.sum(F.col("ra") * F.col("rb")).alias("pe_num"))
+    pe = ma.join(mb, "cls").agg(F.sum(F.col("ra").cast("double") * F.col("rb")).alias("pe_num"))
     j = n.crossJoin(po).crossJoin(pe)
-    p_o = F.coalesce(F.col("agree"), F.lit(0)) / F.col("n")
-    p_e = F.col("pe_num") / (F.col("n") * F.col("n"))
-    return j.select(((p_o - p_e) / (1 - p_e)).alias("kappa"))
+    nd = F.col("n").cast("double")
+    p_o = F.try_divide(F.coalesce(F.col("agree"), F.lit(0)), nd)
+    p_e = F.try_divide(F.coalesce(F.col("pe_num"), F.lit(0.0)), nd * nd)
+    return j.select(F.when(p_e == 1, F.lit(1.0)).otherwise(F.try_divide(p_o - p_e, 1 - p_e)).alias("kappa"))
 
 
 def wilcoxon(diffs: DataFrame, by: Sequence[str] = (), alpha: float = 0.05) -> DataFrame:
     """Signed-rank test: zero differences dropped, average ranks of |d|,
-    W = min(W+, W-); p from the tie-corrected normal approximation."""
+    W = min(W+, W-); p from the tie-corrected normal approximation (1 when
+    its variance is 0). n is multiplied as a double."""
     x = diffs.filter(F.col("d") != 0).withColumn("ad", F.abs("d"))
     x = x.withColumn("r", average_rank("ad", list(by)))
     ties = (x.groupBy(*by, "ad").agg(F.count(F.lit(1)).alias("t")).groupBy(*by)
@@ -98,11 +107,11 @@ def wilcoxon(diffs: DataFrame, by: Sequence[str] = (), alpha: float = 0.05) -> D
                            F.sum(F.when(F.col("d") > 0, F.col("r")).otherwise(0.0)).alias("w_plus"),
                            F.sum(F.when(F.col("d") < 0, F.col("r")).otherwise(0.0)).alias("w_minus"))
     s = s.join(ties, list(by)) if by else s.crossJoin(ties)
-    n = F.col("n")
+    n = F.col("n").cast("double")
     mean = n * (n + 1) / 4.0
     var = n * (n + 1) * (2 * n + 1) / 24.0 - F.col("tie_sum") / 48.0
     out = s.withColumn("statistic", F.least("w_plus", "w_minus"))
-    z = (F.col("statistic") - mean) / F.sqrt(var)
+    z = F.coalesce(F.try_divide(F.col("statistic") - mean, F.sqrt(F.greatest(var, F.lit(0.0)))), F.lit(0.0))
     out = out.withColumn("z", z).withColumn("p_value", F.least(F.lit(1.0), 2.0 * normal_sf_udf(F.abs(F.col("z")))))
     return out.drop("tie_sum").withColumn("significant", F.col("p_value") < alpha)
 
@@ -150,15 +159,17 @@ def shapiro_wilk(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame
 
 
 def cohens_d(df: DataFrame, group: str, value: str, first: str, second: str) -> DataFrame:
-    """(mean_a - mean_b) / pooled sample SD."""
+    """(mean_a - mean_b) / pooled sample SD; without spread, or with fewer than
+    three values, the effect size is NULL."""
     s = df.groupBy(group).agg(F.count(value).alias("n"), F.avg(value).alias("m"), F.var_samp(value).alias("v"))
     a = s.filter(F.col(group) == first).select(F.col("n").alias("na"), F.col("m").alias("ma"), F.col("v").alias("va"))
     b = s.filter(F.col(group) == second).select(F.col("n").alias("nb"), F.col("m").alias("mb"), F.col("v").alias("vb"))
     j = a.crossJoin(b)
-    pooled = F.sqrt(((F.col("na") - 1) * F.col("va") + (F.col("nb") - 1) * F.col("vb")) /
-                    (F.col("na") + F.col("nb") - 2))
+    var = lambda v: F.coalesce(F.col(v), F.lit(0.0))  # noqa: E731  one value has no spread
+    pooled = F.sqrt(F.try_divide((F.col("na") - 1) * var("va") + (F.col("nb") - 1) * var("vb"),
+                                 (F.col("na") + F.col("nb") - 2).cast("double")))
     return j.select((F.col("ma") - F.col("mb")).alias("mean_diff"), pooled.alias("pooled_sd"),
-                    ((F.col("ma") - F.col("mb")) / pooled).alias("cohens_d"))
+                    F.try_divide(F.col("ma") - F.col("mb"), pooled).alias("cohens_d"))
 
 
 def histogram(df: DataFrame, value: str, by: Sequence[str] = (), bins: int = 10) -> DataFrame:
@@ -166,7 +177,7 @@ def histogram(df: DataFrame, value: str, by: Sequence[str] = (), bins: int = 10)
     last bin (numpy semantics). Returns (by..., bin, lo, hi, n)."""
     by = list(by)
     rng = df.groupBy(*by).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-    x = df.join(F.broadcast(rng), by) if by else df.crossJoin(F.broadcast(rng))
+    x = df.join(rng, by) if by else df.crossJoin(F.broadcast(rng))
     width = (F.col("_hi") - F.col("_lo")) / bins
     b = F.when(F.col("_hi") == F.col("_lo"), 0).otherwise(
         F.least(F.floor((F.col(value) - F.col("_lo")) / width), F.lit(bins - 1))).cast("int")

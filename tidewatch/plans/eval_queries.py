@@ -120,7 +120,8 @@ def model_comparison(spark, sf_dir):
     a = p.select("y_true", "y_pred", "y_score")
     b = p.select("y_true", F.col("y_pred_b").alias("y_pred"), F.col("y_pred_b").cast("double").alias("y_score"))
     mc = mt.model_comparison(mt.long_form({"a": a, "b": b}))
-    return _round_metrics(mc, ["model"]).join(mc.select("model", rnd("auc", 8).alias("auc")), "model")
+    return mc.select("model", "tn", "fp", "fn", "tp",
+                     *[r6(c, c) for c in ("accuracy", "precision", "recall", "f1", "fpr", "fnr")], rnd("auc", 8).alias("auc"))
 
 
 @register("masked_metrics", sql=f"""{WP},

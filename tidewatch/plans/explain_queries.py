@@ -42,11 +42,10 @@ contrib AS (SELECT l.row_id AS alert_id, l.feature, (l.v - mu) / CASE WHEN sd =
 
 
 def _contributions(spark, sf_dir):
-    f = flows(spark, sf_dir).select("row_id", "label", *NUM)
+    f = flows(spark, sf_dir).select("row_id", "label", *NUM, (F.col("quantity") / 50.0 > 0.5).alias("is_alert"))
     weights = prep.binned_mutual_info(f, NUM, "label", bins=10).select("feature", F.col("mi").alias("weight"))
     scaled, _ = prep.normalize(f, NUM, "zscore")
-    alerts = scaled.filter(F.col("quantity").isNotNull()).join(
-        f.filter(F.col("quantity") / 50.0 > 0.5).select("row_id"), "row_id")
+    alerts = scaled.filter("is_alert")
     return ex.linear_contributions(alerts, "row_id", NUM, weights)
 
 
@@ -85,7 +84,7 @@ d AS (SELECT * FROM (VALUES ('quantity', 'Packets carried by the flow.'), ('pric
                             ('discount', 'Share of retransmitted segments.')) v(feature, description))
 SELECT alert_id, CAST(position AS INTEGER) AS position, feature, ROUND(value, 3) + 0.0 AS value,
        ROUND(importance, 4) + 0.0 AS importance,
-       coalesce(description, 'Network flow characteristic used by the ML model.') AS description,
+       coalesce(description, 'No description is kept for this feature.') AS description,
        CASE WHEN importance > 0 THEN 'increased the attack score'
             ELSE 'decreased the attack score (pushed toward benign)' END AS direction,
        {_bands('value', True)} AS value_summary,
@@ -126,8 +125,7 @@ def proxy_explanations(spark, sf_dir):
     """Global top-10 importances repeated per alert with its values."""
     c = _contributions(spark, sf_dir)
     imp = ex.global_importance(c)
-    alerts = c.select("alert_id").distinct()
-    p = ex.proxy_explanations(alerts, "alert_id", c.select("alert_id", "feature", "value"), imp, 10)
+    p = ex.proxy_explanations("alert_id", c.select("alert_id", "feature", "value"), imp, 10)
     return p.select("alert_id", F.array_join(F.transform("features", lambda s: s["feature"]), ";").alias("features"),
                     r6(F.aggregate("features", F.lit(0.0), lambda a, s: a + s["value"] * s["importance"]), "weighted"))
 

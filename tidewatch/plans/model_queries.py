@@ -80,9 +80,10 @@ def feature_importance(spark, sf_dir):
 
 @register("svm_scores")
 def svm_scores(spark, sf_dir):
-    """M3: linear SVM on all training rows (z-scored features)."""
+    """M3: linear SVM on all training rows (z-scored features; the scaler is
+    fitted on training rows alone)."""
     s = _split(spark, sf_dir)
-    z, _ = prep.normalize(s, NUM, "zscore")
+    z = prep.apply_scaler(s, prep.fit_scaler(s.filter(~F.col("is_test")), NUM, "zscore"), NUM, "zscore")
     model = md.fit_linear_svm(z.filter(~F.col("is_test")), NUM, "label")
     out = md.svm_scores(model, z.filter("is_test"), ["row_id", F.col("label").alias("y_true")])
     return out.select("row_id", "y_true", r6("margin", "margin"), "y_pred")
@@ -137,11 +138,12 @@ def smote(spark, sf_dir):
 @register("mlp_sequence")
 def mlp_sequence(spark, sf_dir):
     """M7 re-aimed: 20-step windows per destination port, flattened, into a
-    multilayer perceptron; test windows chosen by hash."""
+    multilayer perceptron. Windows of one port overlap, so whole ports are
+    chosen for the test by hash."""
     f = flows(spark, sf_dir)
     w = prep.sequence_windows(f, "dst_port", ["timestamp", "flow_id", "line", "part_key", "quantity", "row_id"],
                               ["quantity", "discount"], "label", 20)
-    w = w.withColumn("is_test", prep.hash_score("row_id", 7) < 0.15)
+    w = w.withColumn("is_test", prep.hash_score("dst_port", 7) < 0.15)
     flat = md.flatten_windows(w, 40, ["row_id", "is_test"])
     model = md.fit_sequence_mlp(w.filter(~F.col("is_test")), 40, (32,), 42, 50)
     sc = md.score(model, flat.filter("is_test"), ["row_id", F.col("label").cast("int").alias("y_true")])

@@ -36,7 +36,7 @@ PREDICTIONS_CTE = f"""preds AS (
 
 DECISIONS_CTE = f"""decisions AS (
   SELECT l_suppkey AS user_id,
-         CASE WHEN l_linestatus = 'O' THEN 'baseline' ELSE 'hcidf' END AS phase,
+         CASE WHEN l_linestatus = 'O' THEN 'baseline' ELSE 'assisted' END AS phase,
          {LINE_ID} AS alert_idx,
          CASE WHEN (l_returnflag = 'R') = (l_discount > 0.05) THEN 'attack' ELSE 'benign' END AS user_decision,
          l_quantity AS time_seconds,
@@ -46,8 +46,8 @@ DECISIONS_CTE = f"""decisions AS (
   FROM lineitem)"""
 
 ANSWERS_CTE = """answers AS (
-  SELECT l_suppkey AS user_id, 'q' || CAST(l_linenumber AS VARCHAR) AS question, l_partkey % 5 + 1 AS answer
-  FROM lineitem WHERE l_linenumber <= 5)"""
+  SELECT l_suppkey AS user_id, 'q' || CAST((l_linenumber - 1) % 5 + 1 AS VARCHAR) AS question, l_partkey % 5 + 1 AS answer
+  FROM lineitem)"""
 
 TS_FMT = "'%Y-%m-%d %H:%M:%S.%f'"
 

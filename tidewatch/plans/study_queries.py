@@ -19,7 +19,7 @@ r AS (SELECT user_id, phase, avg(ok) AS accuracy, avg(time_seconds) AS mean_time
              count(*) AS n FROM dc GROUP BY user_id, phase)"""
 PAIRS_SQL = f"""{ROLLUP_SQL},
 pr AS (SELECT user_id, max(accuracy) FILTER (WHERE phase = 'baseline') AS a,
-              max(accuracy) FILTER (WHERE phase = 'hcidf') AS b FROM r GROUP BY user_id),
+              max(accuracy) FILTER (WHERE phase = 'assisted') AS b FROM r GROUP BY user_id),
 d AS (SELECT user_id, a, b, a - b AS d FROM pr WHERE a IS NOT NULL AND b IS NOT NULL)"""
 
 
@@ -28,7 +28,7 @@ def _rollup(spark, sf_dir):
 
 
 def _pairs(spark, sf_dir):
-    return st.paired_differences(_rollup(spark, sf_dir), "user_id", "phase", "accuracy", "baseline", "hcidf")
+    return st.paired_differences(_rollup(spark, sf_dir), "user_id", "phase", "accuracy", "baseline", "assisted")
 
 
 @register("user_phase_rollup", sql=f"""{ROLLUP_SQL}
@@ -112,12 +112,12 @@ def wilcoxon(spark, sf_dir):
 @register("cohens_d", sql=f"""{ROLLUP_SQL},
 s AS (SELECT phase, count(*) AS n, avg(accuracy) AS m, var_samp(accuracy) AS v FROM r GROUP BY phase),
 a AS (SELECT n AS na, m AS ma, v AS va FROM s WHERE phase = 'baseline'),
-b AS (SELECT n AS nb, m AS mb, v AS vb FROM s WHERE phase = 'hcidf')
+b AS (SELECT n AS nb, m AS mb, v AS vb FROM s WHERE phase = 'assisted')
 SELECT ROUND(ma - mb, 6) AS mean_diff, ROUND(sqrt(((na - 1) * va + (nb - 1) * vb) / (na + nb - 2)), 6) AS pooled_sd,
        ROUND((ma - mb) / sqrt(((na - 1) * va + (nb - 1) * vb) / (na + nb - 2)), 6) AS cohens_d FROM a, b""")
 def cohens_d(spark, sf_dir):
     """Effect size with the pooled sample SD."""
-    d = st.cohens_d(_rollup(spark, sf_dir), "phase", "accuracy", "baseline", "hcidf")
+    d = st.cohens_d(_rollup(spark, sf_dir), "phase", "accuracy", "baseline", "assisted")
     return d.select(*[r6(c, c) for c in d.columns])
 
 
@@ -134,11 +134,11 @@ def accuracy_histogram(spark, sf_dir):
 
 
 @register("paired_points", sql=f"""{PAIRS_SQL}
-SELECT user_id, ROUND(a, 6) AS baseline, ROUND(b, 6) AS hcidf, ROUND(d, 6) AS diff FROM d""")
+SELECT user_id, ROUND(a, 6) AS baseline, ROUND(b, 6) AS assisted, ROUND(d, 6) AS diff FROM d""")
 def paired_points(spark, sf_dir):
     """Users with both phases, paired by a fixed-value pivot."""
     p = _pairs(spark, sf_dir)
-    return p.select("user_id", r6("a", "baseline"), r6("b", "hcidf"), r6("d", "diff"))
+    return p.select("user_id", r6("a", "baseline"), r6("b", "assisted"), r6("d", "diff"))
 
 
 @register("shapiro")
