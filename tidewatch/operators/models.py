@@ -20,7 +20,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType
+from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType
 
 from ..session import scratch_path
 
@@ -236,70 +236,102 @@ def flatten_windows(windows: DataFrame, n_inputs: int, keep: Sequence[str]) -> D
 
 
 # -- D12: SMOTE -------------------------------------------------------------
-def _dist2(a: str, b: str):
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v)
-
-
-def knn_within_class(df: DataFrame, id_col: str, vec: str, label: str, k: int = 5,
-                     exact_limit: int = 20_000, bucket_length: float = 2.0) -> DataFrame:
-    """(id, nn_rank, nn_id): k nearest neighbours inside each class. Classes up
-    to ``exact_limit`` rows use an exact self-join; larger classes use
-    random-projection LSH (approximate) so the join stays sub-quadratic."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.linalg import Vectors, VectorUDT
-    sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
-    x = df.join(F.broadcast(sizes), label)
-    small = x.filter(F.col("_n") <= exact_limit)
-    a = small.select(F.col(id_col).alias("a"), F.col(label), F.col(vec).alias("va"))
-    b = small.select(F.col(id_col).alias("b"), F.col(label), F.col(vec).alias("vb"))
-    pairs = a.join(b, label).filter(F.col("a") != F.col("b")).withColumn("d", _dist2("va", "vb"))
+def knn_within_class(df: DataFrame, id_col: str, vec: str, label: str, k: int = 5, leaf: int = 512, tables: int = 12,
+                     max_leaf: int = 2048, seed: int = 42) -> DataFrame:
+    """(id, nn_rank, nn_id): nearest neighbours inside each class.
+
+    One method for every size: in each of ``tables`` tables a class of n rows
+    is cut by log2(n / leaf) random hyperplanes through its mean; rows of one
+    cell are compared exactly, and the best of all tables are kept. A class of
+    at most ``leaf`` rows is one cell, so its neighbours are exact. A cell
+    beyond ``max_leaf`` rows (many equal vectors) is dealt to several parts by
+    a hash of the id, so no task holds an unbounded group. Rows whose label or
+    vector is NULL take no part."""
+    x = df.select(F.col(id_col).alias("a"), F.col(label).alias("c"), F.col(vec).cast("array<double>").alias("v")) \
+          .filter(F.col("c").isNotNull() & F.col("v").isNotNull())
+    sizes = x.groupBy("c").agg(F.count(F.lit(1)).alias("n"))
+    means = (x.select("c", F.posexplode("v").alias("i", "e")).groupBy("c", "i").agg(F.avg("e").alias("m"))
+             .groupBy("c").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("mean")))
+    bits = F.greatest(F.lit(0), F.least(F.lit(30), F.ceil(F.log2(F.col("n") / F.lit(float(leaf)))))).cast("int")
+    x = x.join(sizes.join(means, "c").select("c", "mean", bits.alias("bits")), "c").select("a", "c", "v", "mean", "bits")
+
+    def cells(batches):
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            V = np.stack(pdf["v"].to_numpy()) - np.stack(pdf["mean"].to_numpy())
+            power = np.where(np.arange(30)[None, :] < pdf["bits"].to_numpy()[:, None], 1 << np.arange(30, dtype=np.int64), 0)
+            for t in range(tables):
+                planes = np.random.default_rng([seed, t]).normal(size=(V.shape[1], 30))
+                out = pdf[["a", "c", "v"]].assign(t=t, cell=((V @ planes > 0) * power).sum(axis=1))
+                # a class of one cell is the same in every table
+                yield out if t == 0 else out[pdf["bits"].to_numpy() > 0]
+
+    schema = x.select("a", "c", "v").schema.add("t", IntegerType()).add("cell", LongType())
+    y = x.mapInPandas(cells, schema)
+    key = ["c", "t", "cell"]
+    parts = y.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / F.lit(float(max_leaf))).alias("parts"))
+    y = y.join(parts, key).withColumn("part", F.pmod(F.xxhash64(F.lit(seed), "a"), F.col("parts"))).drop("parts")
+
+    def nearest(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("a", kind="stable")
+        V, ids = np.stack(pdf["v"].to_numpy()), pdf["a"].to_numpy()
+        out = []
+        for s in range(0, len(V), 256):
+            d = ((V[s:s + 256, None, :] - V[None, :, :]) ** 2).sum(axis=2)
+            d[np.arange(len(d)), np.arange(s, s + len(d))] = np.inf
+            order = np.argsort(d, axis=1, kind="stable")[:, :min(k, len(V) - 1)]
+            row = np.repeat(np.arange(len(d)), order.shape[1])
+            out.append(pd.DataFrame({"a": ids[s + row], "b": ids[order.ravel()], "d": d[row, order.ravel()]}))
+        return pd.concat(out)
+
+    id_type = df.schema[id_col].dataType.simpleString()
+    pairs = y.groupBy(*key, "part").applyInPandas(nearest, f"a {id_type}, b {id_type}, d double").dropDuplicates(["a", "b"])
     w = Window.partitionBy("a").orderBy("d", "b")
-    exact = (pairs.withColumn("nn_rank", F.row_number().over(w)).filter(F.col("nn_rank") <= k)
-             .select(F.col("a").alias(id_col), "nn_rank", F.col("b").alias("nn_id")))
-    big = x.filter(F.col("_n") > exact_limit)
-    to_vec = F.udf(lambda v: Vectors.dense(v), VectorUDT())
-    bv = big.select(id_col, label, to_vec(vec).alias("v"))
-    lsh = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=bucket_length, numHashTables=3)
-    if big.limit(1).count() == 0:
-        return exact
-    model = lsh.fit(bv)
-    joined = (model.approxSimilarityJoin(bv, bv, float("inf"), "d")
-              .filter((F.col("datasetA." + label) == F.col("datasetB." + label)) &
-                      (F.col("datasetA." + id_col) != F.col("datasetB." + id_col))))
-    w2 = Window.partitionBy("a").orderBy("d", "b")
-    approx = (joined.select(F.col("datasetA." + id_col).alias("a"), F.col("datasetB." + id_col).alias("b"), "d")
-              .withColumn("nn_rank", F.row_number().over(w2)).filter(F.col("nn_rank") <= k)
-              .select(F.col("a").alias(id_col), "nn_rank", F.col("b").alias("nn_id")))
-    return exact.unionByName(approx)
-
-
-def smote(df: DataFrame, id_col: str, vec: str, label: str, k: int = 5, seed: int = 42) -> DataFrame:
+    return (pairs.withColumn("nn_rank", F.row_number().over(w)).filter(F.col("nn_rank") <= k)
+            .select(F.col("a").alias(id_col), "nn_rank", F.col("b").alias("nn_id")))
+
+
+def smote(df: DataFrame, id_col: str, vec: str, label: str, k: int = 5, seed: int = 42, trace: bool = False) -> DataFrame:
     """Every class is topped up to the majority count with synthetic rows
-    x + u * (nn - x): donor, neighbour and u come from hashes of
-    (seed, class, i), so runs repeat. Output: original rows (synthetic=false)
-    plus synthetic rows (id NULL)."""
-    sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
+    x + u * (nn - x). Each row of a class is a donor ``need // n`` times, the
+    first ``need % n`` in hash order once more; neighbour and u come from
+    hashes of (seed, class, donor, number), so runs repeat. Rows are counted
+    per hash bucket, so a class is never ranked in one task. Output: original
+    rows (synthetic=false) plus synthetic rows (id NULL); ``trace`` adds the
+    donor, the neighbour and u. Rows without a label or vector stay as they are
+    and have no synthetic ones."""
+    usable = df.filter(F.col(label).isNotNull() & F.col(vec).isNotNull() & F.col(id_col).isNotNull())
+    x = usable.select(F.col(id_col).alias("a"), F.col(label).alias("c"), F.col(vec).alias("v")) \
+              .withColumn("b", F.pmod(F.xxhash64(F.lit(seed), "a"), F.lit(1024)))
+    sizes = x.groupBy("c").agg(F.count(F.lit(1)).alias("n"))
     target = sizes.agg(F.max("n").alias("target"))
-    need = sizes.crossJoin(F.broadcast(target)).withColumn("need", F.col("target") - F.col("n")).filter("need > 0")
-    w = Window.partitionBy(label).orderBy(id_col)
-    ranked = df.withColumn("_rk", F.row_number().over(w))
-    nn = knn_within_class(df, id_col, vec, label, k)
-    h = lambda tag: (F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.lit(tag), F.col(label).cast("string"),
-                                                           F.col("i").cast("string"))), 1, 15), 16, 10)
-                     .cast("double") / float(16 ** 15))
-    gen = (need.select(label, "n", F.explode(F.sequence(F.lit(0), F.col("need") - 1)).alias("i"))
-           .withColumn("_rk", (F.floor(h("donor") * F.col("n")) + 1).cast("int"))
-           .withColumn("nn_rank", (F.floor(h("nn") * k) + 1).cast("int"))
-           .withColumn("u", h("gap")))
-    donors = gen.join(ranked.select(label, "_rk", F.col(id_col).alias("_donor"), F.col(vec).alias("_x")),
-                      [label, "_rk"])
-    with_nn = donors.join(nn.withColumnRenamed(id_col, "_donor"), ["_donor", "nn_rank"], "left")
-    with_vec = with_nn.join(df.select(F.col(id_col).alias("nn_id"), F.col(vec).alias("_nnv")), "nn_id", "left")
-    synth_vec = F.when(F.col("_nnv").isNull(), F.col("_x")).otherwise(
-        F.zip_with("_x", "_nnv", lambda a, b: a + F.col("u") * (b - a)))
-    synth = with_vec.select(F.lit(None).cast(df.schema[id_col].dataType).alias(id_col), synth_vec.alias(vec),
-                            F.col(label), F.lit(True).alias("synthetic"))
-    return df.select(id_col, vec, label, F.lit(False).alias("synthetic")).unionByName(synth)
+    need = sizes.crossJoin(F.broadcast(target)).withColumn("need", F.col("target") - F.col("n")).filter("need > 0") \
+                .select("c", F.expr("need div n").alias("each"), (F.col("need") % F.col("n")).alias("more"))
+    w = Window.partitionBy("c").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    buckets = (x.groupBy("c", "b").agg(F.count(F.lit(1)).alias("m"))
+               .withColumn("before", F.coalesce(F.sum("m").over(w), F.lit(0))).drop("m"))
+    minority = x.join(need, "c")
+    rank = F.col("before") + F.row_number().over(Window.partitionBy("c", "b").orderBy("a"))
+    donors = minority.join(buckets, ["c", "b"]).withColumn("times", F.col("each") + F.when(rank <= F.col("more"), 1).otherwise(0))
+    # in blocks, so that one row never holds an array of all its copies
+    block = 1000
+    gen = (donors.filter("times > 0").select("a", "c", "v", "times", F.explode(F.expr(f"sequence(0L, (times - 1) div {block})")).alias("blk"))
+           .select("a", "c", "v", F.explode(F.expr(f"sequence(blk * {block}, least(times, (blk + 1) * {block}) - 1)")).alias("i")))
+    h = lambda tag: (F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.lit(tag), F.col("c").cast("string"),
+                                                           F.col("a").cast("string"), F.col("i").cast("string"))), 1, 13), 16, 10)
+                     .cast("double") / float(16 ** 13))
+    gen = gen.withColumn("nn_rank", (F.floor(h("nn") * k) + 1).cast("int")).withColumn("u", h("gap"))
+    nn = knn_within_class(minority.select(F.col("a").alias("a"), "c", "v"), "a", "v", "c", k, seed=seed).withColumnRenamed("a", "donor")
+    found = gen.join(nn, (F.col("a") == F.col("donor")) & (gen["nn_rank"] == nn["nn_rank"]), "left") \
+               .select("a", "c", "v", "u", "nn_id")
+    other = x.select(F.col("a").alias("nn_key"), F.col("v").alias("nv"))
+    with_vec = found.join(other, F.col("nn_id") == F.col("nn_key"), "left")
+    point = F.when(F.col("nv").isNull(), F.col("v")).otherwise(F.zip_with("v", "nv", lambda p, q: p + F.col("u") * (q - p)))
+    extra = [F.col("a").alias("donor_id"), "nn_id", "u"] if trace else []
+    synth = with_vec.select(F.lit(None).cast(df.schema[id_col].dataType).alias(id_col), point.alias(vec),
+                            F.col("c").alias(label), F.lit(True).alias("synthetic"), *extra)
+    return df.select(id_col, vec, label, F.lit(False).alias("synthetic")).unionByName(synth, allowMissingColumns=True)
 
 
 # -- X1: tree-path contributions --------------------------------------------
@@ -403,21 +435,19 @@ def local_surrogate(model: PipelineModel, instances: DataFrame, features: Sequen
             aggs.append(F.sum(wcol * terms[i] * terms[j]).alias(f"a{i}_{j}"))
     sums = scored.groupBy(id_col).agg(*aggs)
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        for _, r in pdf.iterrows():
-            A = np.zeros((d + 1, d + 1))
-            b = np.zeros(d + 1)
+    def solve(batches):
+        for pdf in batches:
+            n = len(pdf)
+            A, b = np.zeros((n, d + 1, d + 1)), np.zeros((n, d + 1, 1))
             for i in range(d + 1):
-                b[i] = r[f"b{i}"]
+                b[:, i, 0] = pdf[f"b{i}"]
                 for j in range(i, d + 1):
-                    A[i, j] = A[j, i] = r[f"a{i}_{j}"]
-            coef = np.linalg.lstsq(A + 1e-9 * np.eye(d + 1), b, rcond=None)[0]
-            for f, c in zip(cols, coef[1:]):
-                rows.append((r[id_col], f, float(c)))
-        return pd.DataFrame(rows, columns=[id_col, "feature", "weight"])
+                    A[:, i, j] = A[:, j, i] = pdf[f"a{i}_{j}"]
+            coef = np.linalg.solve(A + 1e-9 * np.eye(d + 1), b)[:, 1:, 0]
+            yield pd.DataFrame({id_col: np.repeat(pdf[id_col].to_numpy(), d), "feature": np.tile(np.array(cols, object), n),
+                                "weight": coef.ravel()})
 
     schema = instances.select(id_col).schema.add("feature", StringType()).add("weight", DoubleType())
-    coefs = sums.groupBy(id_col).applyInPandas(solve, schema)
+    coefs = sums.mapInPandas(solve, schema)   # one row of sums per instance
     w = Window.partitionBy(id_col).orderBy(F.desc(F.abs("weight")), "feature")
     return coefs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top)

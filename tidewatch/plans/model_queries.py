@@ -123,7 +123,8 @@ def pca_recon_error(spark, sf_dir):
                     (F.col("recon_error") > F.col("thr")).alias("flagged"))
 
 
-@register("smote")
+@register("smote", sql="""WITH c AS (SELECT label, count(*) AS original FROM embeddings GROUP BY label)
+SELECT label, original, max(original) OVER () - original AS synthetic, max(original) OVER () AS total FROM c""")
 def smote(spark, sf_dir):
     """Every embedding class topped up to the majority count with
     k=5 within-class neighbours."""

@@ -9,7 +9,6 @@ from ..streaming import detectors as sd
 from .common import fmt_ts, r6
 from .packet_queries import HIJACK_SQL, SCAN_SQL, W
 from .registry import register
-from .response_queries import VERDICT_SQL  # noqa: F401
 from .sql_views import ts
 
 
@@ -43,7 +42,7 @@ def stream_session_hijack(spark, sf_dir):
 @register("stream_rate", sql=f"""{W}
 SELECT {ts("date_trunc('hour', ts)")} AS window_start, count(*) AS packets FROM packets GROUP BY date_trunc('hour', ts)""")
 def stream_rate(spark, sf_dir):
-    r = sd.run_to_table(sd.rate_stream(_stream(spark, sf_dir), "1 hour"), "rate", output_mode="complete")
+    r = sd.run_to_table(sd.rate_stream(_stream(spark, sf_dir), "1 hour"), "rate", output_mode="update", keys=("w",))
     return r.select(fmt_ts("w.start").alias("window_start"), "packets")
 
 

@@ -20,14 +20,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..functions.columns import DETAIL_SCAN, is_unusual_port  # noqa: F401
+from ..functions.columns import DETAIL_SCAN
 from ..session import checkpoint_dir, scratch_path
 from ..sources.views import PROTO_OF_EVENT, DNS_BASELINE_TTL
 
 EVENTS_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
 
-def packet_stream(spark: SparkSession, path: str, max_files_per_trigger: int | None = None,
+def packet_stream(spark: SparkSession, path: str, max_files_per_trigger: int | None = 64,
                   watermark: str = "1 hour", file_glob: str | None = None) -> DataFrame:
     """Packets from a directory of event files (new files are new data), same
     projection as the batch view; ``ts`` is cast to TIMESTAMP (watermarks
@@ -163,13 +163,18 @@ def port_scan_stream(packets: DataFrame, state_ttl: str | None = None) -> DataFr
 
 def dns_block_stream(packets: DataFrame, duration_s: int = 1800, max_deviation: float = 50.0) -> DataFrame:
     """T2 -> R1/R3: DNS poisoning verdicts (critical) open a block on the
-    source unless one is in force; the block's expiry is the keyed state."""
+    source unless one is in force; the block's expiry is the keyed state, and
+    the state goes when the watermark has passed it (a later verdict opens a
+    block with or without it)."""
     dur = duration_s * 1_000_000
     dev = F.abs(F.col("ttl") - F.col("baseline_ttl"))
     alerts = packets.filter(F.col("proto") == "DNS").filter(
-        (dev > max_deviation) | (F.col("query_id") != F.col("response_id")))
+        F.coalesce(dev > max_deviation, F.lit(False)) | ~F.col("query_id").eqNullSafe(F.col("response_id")))
 
     def fn(key, pdfs, state: GroupState):
+        if state.hasTimedOut:
+            state.remove()
+            return
         pdf = pd.concat(list(pdfs)).sort_values(["ts", "event_id"])
         expires = state.get[0] if state.exists else None
         out = []
@@ -179,12 +184,13 @@ def dns_block_stream(packets: DataFrame, duration_s: int = 1800, max_deviation:
                 expires = t + dur
                 out.append((row.src, row.ts, pd.Timestamp(expires * 1000, tz="UTC"), duration_s))
         state.update((expires,))
+        state.setTimeoutTimestamp(max(expires // 1000, state.getCurrentWatermarkMs()) + 1)
         if out:
             yield pd.DataFrame(out, columns=["ip", "blocked_at", "expires_at", "duration"])
 
     return alerts.select("event_id", "ts", "src").groupBy("src").applyInPandasWithState(
         fn, "ip long, blocked_at timestamp, expires_at timestamp, duration int", "expires long", "append",
-        GroupStateTimeout.NoTimeout)
+        GroupStateTimeout.EventTimeTimeout)
 
 
 def rate_stream(packets: DataFrame, window: str = "1 hour") -> DataFrame:
@@ -192,24 +198,29 @@ def rate_stream(packets: DataFrame, window: str = "1 hour") -> DataFrame:
     return packets.groupBy(F.window("ts", window).alias("w")).agg(F.count(F.lit(1)).alias("packets"))
 
 
-def run_to_table(df: DataFrame, name: str, output_mode: str = "append") -> DataFrame:
+def run_to_table(df: DataFrame, name: str, output_mode: str = "append", keys: tuple[str, ...] = ()) -> DataFrame:
     """Run a streaming DataFrame to completion (``availableNow``) into parquet
     under the checkpoint folder (state and offsets checkpointed beside it) and
-    return the result as a batch DataFrame. ``complete``/``update`` results
-    are rewritten per micro-batch with ``foreachBatch``."""
+    return the result as a batch DataFrame. ``update`` writes what each
+    micro-batch changed to a folder of its own (a batch that runs again
+    replaces its folder) and returns the last row of each of ``keys``."""
     spark = df.sparkSession
     checkpoint_dir(spark)
     run = f"stream-{name}-{uuid.uuid4().hex[:8]}"
     out = scratch_path(spark, run + "/out")
     ckpt = scratch_path(spark, run + "/state")
-    w = df.writeStream.option("checkpointLocation", ckpt).trigger(availableNow=True)
+    w = df.writeStream.option("checkpointLocation", ckpt).trigger(availableNow=True).outputMode(output_mode)
     if output_mode == "append":
-        q = w.format("parquet").option("path", out).outputMode("append").start()
+        q = w.format("parquet").option("path", out).start()
     else:
         def sink(batch: DataFrame, epoch: int):
-            batch.write.mode("overwrite").parquet(out)
-        q = w.outputMode(output_mode).foreachBatch(sink).start()
+            batch.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+        q = w.foreachBatch(sink).start()
     q.awaitTermination()
     if q.exception():
         raise q.exception()
-    return spark.read.schema(df.schema).parquet(out) if output_mode == "append" else spark.read.parquet(out)
+    if output_mode == "append":
+        return spark.read.schema(df.schema).parquet(out)
+    rows = spark.read.parquet(out)
+    last = F.max_by(F.struct(*[c for c in rows.columns if c not in (*keys, "epoch")]), "epoch").alias("last")
+    return rows.groupBy(*keys).agg(last).select(*keys, "last.*")
