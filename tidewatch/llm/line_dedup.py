@@ -75,6 +75,8 @@ def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     maybe = materialize(every.join(twice, F.col("hash") == F.col("hash2"), "left_semi"), "chunks")
     first = maybe.groupBy("hash", "body").agg(F.min(F.struct("doc_id", "chunk")).alias("first"), F.count("*").alias("n")) \
                  .where("n > 1").select(F.col("hash").alias("h1"), F.col("body").alias("b1"), "first")
+    # written, so that the join deals both sides anew and a common chunk's copies can be split
+    first = materialize(first, "first")
     return maybe.join(first, (F.col("hash") == F.col("h1")) & (F.col("body") == F.col("b1"))) \
                 .where(F.struct("doc_id", "chunk") != F.col("first")).select("doc_id", "chunk", "n_lines")
 
