@@ -11,12 +11,13 @@ order of capacity / weight (water filling).
 
 Each leaf then takes its share as whole epochs and a token-prefix of one more:
 documents in the order of md5(seed, epoch, doc_id), as long as their running
-token sum stays within the rest. The order's first three hex digits are a
-bucket. Tokens per (leaf, bucket) are summed with map-side aggregation; only
-the bucket in which a leaf's prefix ends (1/4096 of it) is ordered row by row,
-and gives the cut: the last (hash, id) that is in. The choice itself is then a
-comparison with the leaf's cut in the scan of the documents; texts aren't
-shuffled, and a source with a third of all rows is spread like any other.
+token sum stays within the rest. The end of the prefix is found digit by digit
+of the hash: tokens per (leaf, next digit) are summed with map-side
+aggregation, 16 rows a leaf, and the digit in which the prefix ends is followed
+until ``EDGE_ROWS`` documents or fewer share it; only those are ordered row by
+row. The result is the cut, the first (hash, id) that is out. The choice itself
+is then a comparison with the leaf's cut in the scan of the documents; texts
+aren't shuffled, and a source with a third of all rows is spread like any other.
 
 Defined results: null domain, language or source become ``UNKNOWN``. A text's
 tokens are its words; null and empty texts have none and are in every prefix
@@ -37,8 +38,9 @@ from .common import WORD, col, fresh, materialize
 
 UNKNOWN = "unknown"
 LEVELS = ("domain", "lang", "source")
-#: Hex digits of the order's hash that name a bucket.
-BUCKET_DIGITS = 3
+#: Documents of a leaf that are ordered row by row, at most (unless so many
+#: share MAX_DIGITS hex digits of a hash: rows that repeat an id).
+EDGE_ROWS, MAX_DIGITS = 64, 12
 #: The plan (a row per leaf) is broadcast up to so many leaves, else joined.
 MAX_BROADCAST_LEAVES = 10_000
 
@@ -117,24 +119,28 @@ def leaf_budgets(leaves: DataFrame, budget: Column, max_epochs: int, weights: Ma
 def plan(docs: DataFrame, budget: Column, seed: int, max_epochs: int,
          weights: Mapping[str, Mapping[str, int]]) -> DataFrame:
     """A row per leaf: ``domain, lang, source, tokens, share, epochs`` (whole
-    ones) and the cut ``bucket, cut_hash, cut_id`` of the epoch after them. ``docs`` has ``domain, lang,
-    source, doc_id, tokens``."""
+    ones) and the cut ``cut_hash, cut_id`` of the epoch after them. ``docs``
+    has ``domain, lang, source, doc_id, tokens``."""
     leaves = materialize(docs.groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens")), "leaves")
     shares = leaf_budgets(leaves, budget, max_epochs, weights) \
         .withColumn("epochs", F.when(F.col("tokens") > 0, F.floor(F.col("share") / F.col("tokens"))).otherwise(F.lit(max_epochs))) \
         .withColumn("rest", F.col("share") - F.col("epochs") * F.col("tokens"))
     shares = materialize(shares, "shares")
-    keyed = with_plan(docs, shares.select(*LEVELS, "epochs", "rest")) \
-        .withColumn("hash", order_key(F.col("doc_id"), seed, F.col("epochs"))) \
-        .withColumn("bucket", F.substring("hash", 1, BUCKET_DIGITS))
-    sums = keyed.groupBy(*LEVELS, "rest", "bucket").agg(F.sum("tokens").alias("n"))
-    up_to = Window.partitionBy(*LEVELS).orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    run = sums.withColumn("upto", F.sum("n").over(up_to))
-    # the first bucket whose tokens don't all fit holds the cut
-    edge = materialize(run.where("upto > rest").groupBy(*LEVELS)
-                       .agg(F.min_by(F.struct("bucket", (F.col("rest") - F.col("upto") + F.col("n")).alias("room")), "bucket").alias("e"))
-                       .select(*LEVELS, F.col("e.bucket").alias("edge"), F.col("e.room").alias("room")), "edge")
-    inside = with_plan(keyed.drop("rest"), edge).where("bucket = edge")
+    keyed = with_plan(docs, shares.select(*LEVELS, "epochs")).withColumn("hash", order_key(F.col("doc_id"), seed, F.col("epochs")))
+    # digit by digit: of the 16 continuations of a leaf's prefix, the first whose tokens don't all fit holds the cut
+    edge = shares.where("rest < tokens").select(*LEVELS, F.lit("").alias("prefix"), F.col("rest").alias("room"))
+    up_to = Window.partitionBy(*LEVELS).orderBy("digit").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    for depth in range(1, MAX_DIGITS + 1):
+        sums = with_plan(keyed, edge).where(F.startswith("hash", F.col("prefix"))) \
+            .groupBy(*LEVELS, "room", F.substring("hash", 1, depth).alias("digit")) \
+            .agg(F.sum("tokens").alias("n"), F.count("*").alias("m"))
+        run = sums.withColumn("upto", F.sum("n").over(up_to)).where("upto > room")
+        first = F.min_by(F.struct("digit", (F.col("room") - F.col("upto") + F.col("n")).alias("room"), "m"), "digit")
+        edge = materialize(run.groupBy(*LEVELS).agg(first.alias("e"))
+                           .select(*LEVELS, F.col("e.digit").alias("prefix"), F.col("e.room").alias("room"), F.col("e.m").alias("m")), "edge")
+        if edge.where(F.col("m") > EDGE_ROWS).isEmpty():
+            break
+    inside = with_plan(keyed, edge.drop("m")).where(F.startswith("hash", F.col("prefix")))
     order = Window.partitionBy(*LEVELS).orderBy(F.struct("hash", "doc_id")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     over = inside.withColumn("upto", F.sum("tokens").over(order)).where("upto > room")
     # the first document beyond the room; those before it in the order are in
