@@ -83,19 +83,25 @@ def test_word_shapes():
 
 
 def test_context_sums_by_hand():
-    table = np.zeros(quality_model.ROWS * quality_model.VECTOR)
+    table = np.zeros((quality_model.ROWS, quality_model.VECTOR))
     words = [np.array([1, 2, 3]), np.array([2])]
     shapes = [w + quality_model.BUCKETS for w in words]
     quality_model.add_contexts(table, list(zip(words, shapes, strict=True)))
-    at, sign = quality_model.index_vectors()
-    index = np.zeros((quality_model.ROWS, quality_model.VECTOR))
-    np.put_along_axis(index, at, sign, axis=1)
-    table = table.reshape(index.shape)
+    index = quality_model.index_vectors().astype(float)
+    assert (np.abs(index).sum(axis=1)[:-1] == quality_model.NONZERO).all()
     assert np.array_equal(table[1], index[2] + index[3]) and np.array_equal(table[2], index[1] + index[3])
     b = quality_model.BUCKETS
     assert np.array_equal(table[b + 3], index[b + 1] + index[b + 2]) and not table[4].any()
 
 
+def test_pooling_in_chunks(monkeypatch):
+    table = quality_model.unit(np.random.default_rng(1).normal(size=(quality_model.ROWS, quality_model.VECTOR))).astype(np.float32)
+    text = " ".join(f"w{i % 37} w{i % 37}" for i in range(100))
+    whole = quality_model.pool(text, table)
+    monkeypatch.setattr(quality_model, "CHUNK", 7)
+    assert np.allclose(quality_model.pool(text, table), whole) and whole[-2] == pytest.approx(100 / 199)
+
+
 def plain_top_k(rows, k=5):
     ok = [(i, [int(np.floor(256 * float(x))) for x in v]) for i, v in rows
           if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]

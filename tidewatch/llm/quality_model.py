@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import col, held_out
-from .text_model import MAX_TRAINING_ROWS, ShapeNumbers, WordNumbers, training_rows
+from .text_model import MAX_TRAINING_ROWS, WordNumbers, plain_hash, shape_hash, training_rows
 
 BUCKETS, SHAPE_BUCKETS = 1 << 13, 1 << 10
 VECTOR, NONZERO, WINDOW = 32, 4, 2
@@ -44,43 +44,60 @@ THRESHOLD = 0.5
 #: Words of one batch of sums.
 CHUNK = 1 << 17
 
-_WORDS, _SHAPES = WordNumbers(), ShapeNumbers()
 ROWS = BUCKETS + SHAPE_BUCKETS
 FEATURES = 3 * VECTOR + 3
 
 
+class TableRows(WordNumbers):
+    """Raw word -> its table row and its shape's, in one number."""
+
+    def __missing__(self, word: bytes) -> int:
+        row = plain_hash(word) % BUCKETS * SHAPE_BUCKETS + shape_hash(word) % SHAPE_BUCKETS
+        self[word] = row
+        return row
+
+
+_ROWS = TableRows()
+
+
 @lru_cache(1)
-def index_vectors(n: int = ROWS) -> tuple[np.ndarray, np.ndarray]:
-    """Places and signs of the index vector of each table row."""
+def index_vectors() -> np.ndarray:
+    """Index vector of each table row, and zeros for the gap between texts."""
     rng = np.random.default_rng(7)
-    at = rng.random((n, VECTOR)).argsort(axis=1)[:, :NONZERO]
-    return at, rng.choice((-1.0, 1.0), (n, NONZERO))
+    out = np.zeros((ROWS + 1, VECTOR), np.int8)
+    at = rng.random((ROWS, VECTOR)).argsort(axis=1)[:, :NONZERO]
+    np.put_along_axis(out[:ROWS], at, rng.choice(np.array((-1, 1), np.int8), (ROWS, NONZERO)), axis=1)
+    return out
 
 
 def numbers(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Table rows of a text's words and of their shapes."""
-    return ((_WORDS.of(text) % np.uint64(BUCKETS)).astype(np.int64),
-            (_SHAPES.of(text) % np.uint64(SHAPE_BUCKETS)).astype(np.int64) + BUCKETS)
+    both = _ROWS.of(text).astype(np.int64)
+    return both // SHAPE_BUCKETS, both % SHAPE_BUCKETS + BUCKETS
 
 
 def add_contexts(table: np.ndarray, texts: list[tuple[np.ndarray, np.ndarray]]) -> None:
-    """Adds the index vectors of the words within WINDOW of each word, and
-    those of its neighbours' shapes to its shape. Texts don't touch: between
-    them lie WINDOW empty places."""
-    at, sign = index_vectors()
-    gap = np.full(WINDOW, -1)
+    """Adds, to the row of each word, the index vectors of the words within
+    WINDOW of it, and the same for shapes. Texts don't touch: between them lie
+    WINDOW empty places."""
+    index, gap = index_vectors(), np.full(WINDOW, ROWS)
     for k in (0, 1):
-        row = np.concatenate([p for t in texts for p in (t[k], gap)])
+        row = np.concatenate([p for t in texts for p in (t[k], gap)]).astype(np.uint16)
+        own = index[row]
+        near = np.zeros(own.shape, np.int16)
         for off in range(1, WINDOW + 1):
-            a, b = row[:-off], row[off:]
-            ok = (a >= 0) & (b >= 0)
-            for word, near in ((a[ok], b[ok]), (b[ok], a[ok])):
-                place = (word[:, None] * VECTOR + at[near]).ravel()
-                table += np.bincount(place, sign[near].ravel(), table.size)
+            near[off:] += own[:-off]
+            near[:-off] += own[off:]
+        order = np.argsort(row, kind="stable")
+        row = row[order]
+        start = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
+        sums = np.add.reduceat(near[order], start, axis=0, dtype=np.int64)
+        real = row[start] < ROWS
+        table[row[start][real]] += sums[real]
 
 
 def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    table, waiting, n = np.zeros(ROWS * VECTOR), [], 0
+    table, waiting, n = np.zeros((ROWS, VECTOR)), [], 0
     for b in batches:
         for t in b.column(0):
             words, shapes = numbers(t.as_py())
@@ -92,7 +109,6 @@ def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     waiting, n = [], 0
     if waiting:
         add_contexts(table, waiting)
-    table = table.reshape(ROWS, VECTOR)
     used = np.flatnonzero(table.any(axis=1))
     yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), *[pa.array(np.ascontiguousarray(c)) for c in table[used].T]],
                                      ["row", *[f"v{i}" for i in range(VECTOR)]])
@@ -117,22 +133,24 @@ def unit(x: np.ndarray) -> np.ndarray:
 def pool(text: str | None, table: np.ndarray) -> np.ndarray:
     """The features of one text."""
     words, shapes = numbers(text)
-    out = np.zeros(FEATURES)
-    if not len(words):
+    out, n = np.zeros(FEATURES), len(words)
+    if not n:
         return out
-    count = np.bincount(words, minlength=BUCKETS)
-    used = np.flatnonzero(count)
-    v, c = table[used].astype(np.float64), count[used][:, None] / len(words)
-    mean = (v * c).sum(axis=0)
-    out[:VECTOR] = mean
-    out[VECTOR:2 * VECTOR] = np.sqrt(np.maximum((v * v * c).sum(axis=0) - mean * mean, 0.0))
-    count = np.bincount(shapes - BUCKETS, minlength=SHAPE_BUCKETS)
-    used = np.flatnonzero(count)
-    out[2 * VECTOR:3 * VECTOR] = (table[used + BUCKETS] * (count[used][:, None] / len(words))).sum(axis=0)
-    if len(words) > 1:
-        near = np.einsum("ij,ij->i", table[words[1:]], table[words[:-1]])
-        out[-3], out[-2] = near.mean(), (near > 0.999).mean()
-    out[-1] = np.log1p(len(words)) / 10
+    square, like, same, last = np.zeros(VECTOR), 0.0, 0, None
+    for at in range(0, n, CHUNK):
+        v = table[words[at:at + CHUNK]]
+        out[:VECTOR] += v.sum(axis=0, dtype=np.float64)
+        square += np.einsum("ij,ij->j", v, v, dtype=np.float64)
+        out[2 * VECTOR:3 * VECTOR] += table[shapes[at:at + CHUNK]].sum(axis=0, dtype=np.float64)
+        if last is not None:
+            v = np.concatenate((last, v))
+        near = np.einsum("ij,ij->i", v[1:], v[:-1])
+        like, same, last = like + float(near.sum(dtype=np.float64)), same + int((near > 0.999).sum()), v[-1:]
+    out[:3 * VECTOR] /= n
+    out[VECTOR:2 * VECTOR] = np.sqrt(np.maximum(square / n - out[:VECTOR] ** 2, 0.0))
+    if n > 1:
+        out[-3], out[-2] = like / (n - 1), same / (n - 1)
+    out[-1] = np.log1p(n) / 10
     return out
 
 
@@ -158,7 +176,9 @@ def train(x: np.ndarray, y: np.ndarray, keep: np.ndarray) -> dict[str, np.ndarra
                 w[k] -= RATE * (m[k] / (1 - 0.9 ** step)) / (np.sqrt(v[k] / (1 - 0.999 ** step)) + 1e-8)
     net = w | {"mean": mean, "sd": sd, "temperature": np.ones(1)}
     rest = ~keep if (~keep).any() else keep
-    z, t = logits(net, x[rest] * sd + mean), y[rest]
+    # targets as far from 0 and 1 as so few rows allow, so that a clean split has a finite temperature
+    z, up, down = logits(net, x[rest] * sd + mean), y[rest].sum(), (1 - y[rest]).sum()
+    t = np.where(y[rest] > 0, (up + 1) / (up + 2), 1 / (down + 2))
     loss = lambda s: np.mean(np.logaddexp(0, z / s) - t * z / s)
     grid = np.exp(np.linspace(np.log(0.25), np.log(8.0), 141))
     net["temperature"] = np.array([min(grid, key=loss)])

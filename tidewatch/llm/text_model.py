@@ -17,26 +17,33 @@ MAX_TRAINING_ROWS = 12_000
 #: Distinct words a worker remembers before it starts anew.
 CACHE_WORDS = 1 << 19
 
-_SHAPES = [(re.compile(p), s) for p, s in ((rb"[A-Z]+", b"A"), (rb"[a-z]+", b"a"), (rb"[0-9]+", b"0"), (rb"[\x80-\xff]+", b"a"),
-                                           (rb"a+", b"a"))]
 _EDGE = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+_KINDS = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZbcdefghijklmnopqrstuvwxyz123456789" + bytes(range(128, 256)),
+                         b"A" * 26 + b"a" * 25 + b"0" * 9 + b"a" * 128)
+_RUN = re.compile(rb"(.)\1+", re.S)
 
 
 def word_shape(word: bytes) -> bytes:
     """Kinds of characters in order, each run once: ``Nicht###`` is ``Aa#``."""
-    for pattern, kind in _SHAPES:
-        word = pattern.sub(kind, word)
-    return re.sub(rb"(.)\1+", rb"\1", word, flags=re.S)
+    return _RUN.sub(rb"\1", word.translate(_KINDS))
+
+
+def plain_hash(word: bytes) -> int:
+    """64-bit hash of a word's lower-case form without punctuation at its ends
+    (of the punctuation, if it is nothing else)."""
+    plain = word.lower()
+    return xxhash.xxh64_intdigest(plain.strip(_EDGE) or plain, 1)
+
+
+def shape_hash(word: bytes) -> int:
+    return xxhash.xxh64_intdigest(word_shape(word), 2)
 
 
 class WordNumbers(dict):
-    """Raw word -> 64-bit hash of its lower-case form without punctuation at
-    its ends (of the punctuation, if it is nothing else)."""
+    """Raw word -> ``plain_hash``, remembered."""
 
     def __missing__(self, word: bytes) -> int:
-        plain = word.lower()
-        h = xxhash.xxh64_intdigest(plain.strip(_EDGE) or plain, 1)
-        self[word] = h
+        self[word] = h = plain_hash(word)
         return h
 
     def of(self, text: str | None) -> np.ndarray:
@@ -46,15 +53,6 @@ class WordNumbers(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
-class ShapeNumbers(WordNumbers):
-    """Raw word -> 64-bit hash of its shape."""
-
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh64_intdigest(word_shape(word), 2)
-        self[word] = h
-        return h
-
-
 def training_rows(docs: DataFrame, labels: DataFrame, label_col: str, max_rows: int, id_col: str = "doc_id",
                   text_col: str = "text") -> DataFrame:
     """``doc_id, text, label`` of the rows to learn from: labelled 0 or 1, not
