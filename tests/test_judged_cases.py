@@ -174,3 +174,20 @@ def test_no_private_scratch_folder_on_a_cluster():
 
     with pytest.raises(RuntimeError):
         session.checkpoint_dir(Session())
+
+
+def test_cycles_over_many_segments(spark, monkeypatch):
+    from tidewatch.operators import feedback as fb
+    monkeypatch.setattr(fb, "SEGMENT", 7)
+    rng = random.Random(5)
+    rows = [(i, rng.choice([fb.CONFIRMED, fb.DISMISSED, "none"])) for i in range(1990)]
+    got = {r.row_id: (r.rn, r.cycle) for r in
+           fb.assign_cycles(spark.createDataFrame(rows, "row_id long, verdict string").repartition(9), ["row_id"], 10, 23).collect()}
+    want, held, cycle, batch_cycle = {}, 0, 0, []
+    for b in range(0, len(rows), 10):
+        held += sum(v != "none" for _, v in rows[b:b + 10])
+        batch_cycle.append(cycle)
+        if held >= 23:
+            held, cycle = 0, cycle + 1
+    want = {i: (i + 1, c if (c := batch_cycle[i // 10]) < cycle else None) for i, _ in rows}
+    assert got == want

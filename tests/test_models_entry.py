@@ -13,7 +13,7 @@ def test_tree_contributions_sum_to_probability(spark, sf):
     f = flows(spark, sf).select("row_id", "label", "quantity", "price", "discount", "tax")
     feats = ["quantity", "price", "discount", "tax"]
     model = md.fit_random_forest(f, feats, "label", num_trees=5, max_depth=4)
-    c = md.tree_contributions(f, md.forest_nodes(model), feats, "row_id")
+    c = md.tree_contributions(model, f, feats, "row_id")
     tot = c.groupBy("row_id").agg(F.sum("contribution").alias("s"))
     prob = md.score(model, f, ["row_id"])
     j = tot.join(prob, "row_id").select((F.abs(F.col("s") - F.col("y_score"))).alias("e"))

@@ -335,7 +335,7 @@ def smote(df: DataFrame, id_col: str, vec: str, label: str, k: int = 5, seed: in
 
 
 # -- X1: tree-path contributions --------------------------------------------
-def forest_nodes(model: PipelineModel) -> pd.DataFrame:
+def forest_nodes(model: PipelineModel) -> DataFrame:
     """Node table of the forest stage, read back from the model's own saved
     parquet (tree, id, class-1 value, feature, threshold, left, right)."""
     from pyspark.sql import SparkSession
@@ -350,54 +350,53 @@ def forest_nodes(model: PipelineModel) -> pd.DataFrame:
     stats = F.col("nodeData.impurityStats")
     total = F.aggregate(stats, F.lit(0.0), lambda a, b: a + b)
     p1 = F.when(F.size(stats) > 1, stats[1] / total).otherwise(F.lit(0.0))
-    t = nodes.select(F.col("treeID").alias("tree"), F.col("nodeData.id").alias("id"), p1.alias("value"),
-                     F.col("nodeData.split.featureIndex").alias("feature"),
-                     F.get(F.col("nodeData.split.leftCategoriesOrThreshold"), 0).alias("threshold"),
-                     F.col("nodeData.leftChild").alias("left"), F.col("nodeData.rightChild").alias("right"))
-    return t.toPandas()
+    return nodes.select(F.col("treeID").alias("tree"), F.col("nodeData.id").alias("id"), p1.alias("value"),
+                        F.col("nodeData.split.featureIndex").alias("feature"),
+                        F.get(F.col("nodeData.split.leftCategoriesOrThreshold"), 0).alias("threshold"),
+                        F.col("nodeData.leftChild").alias("left"), F.col("nodeData.rightChild").alias("right"))
+
+
+def leaf_contributions(nodes: DataFrame, n_features: int) -> DataFrame:
+    """(tree, leaf, base, steps): for each leaf of each tree, numbered from
+    left to right, the root's class-1 value and, per feature, the sum of the
+    changes in value along the path to the leaf. One task per tree."""
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        g = pdf.sort_values("id")
+        value, feat = g["value"].to_numpy(), g["feature"].to_numpy()
+        left, right = g["left"].to_numpy(), g["right"].to_numpy()
+        tree, out, todo = int(g["tree"].iloc[0]), [], [(0, np.zeros(n_features))]
+        while todo:
+            node, steps = todo.pop()
+            if left[node] < 0:
+                out.append((tree, len(out), float(value[0]), steps.tolist()))
+                continue
+            for child in (right[node], left[node]):    # the left one is taken first
+                to = steps.copy()
+                to[feat[node]] += value[child] - value[node]
+                todo.append((int(child), to))
+        return pd.DataFrame(out, columns=["tree", "leaf", "base", "steps"])
+
+    return nodes.groupBy("tree").applyInPandas(walk, "tree int, leaf int, base double, steps array<double>")
 
 
-def tree_contributions(df: DataFrame, nodes: pd.DataFrame, features: Sequence[str], id_col: str) -> DataFrame:
+def tree_contributions(model: PipelineModel, df: DataFrame, features: Sequence[str], id_col: str) -> DataFrame:
     """Per row and feature, the change in class-1 probability along each
     tree's decision path, averaged over trees (path attribution). Base value
     + sum of contributions = predicted probability. Long-form output
-    (id, feature, contribution) plus one ``__base__`` row per id."""
-    spark = df.sparkSession
-    bc = spark.sparkContext.broadcast(nodes.to_dict("list"))
-    cols = list(features)
+    (id, feature, contribution) plus one ``__base__`` row per id.
 
-    def run(batches):
-        nd = pd.DataFrame(bc.value)
-        trees = []
-        for _, g in nd.groupby("tree"):
-            g = g.sort_values("id")
-            trees.append((g["value"].to_numpy(), g["feature"].to_numpy(), g["threshold"].to_numpy(),
-                          g["left"].to_numpy(), g["right"].to_numpy()))
-        for pdf in batches:
-            X = pdf[cols].to_numpy(dtype=float)
-            m = len(X)
-            contrib = np.zeros((m, len(cols)))
-            base = 0.0
-            for value, feat, thr, left, right in trees:
-                node = np.zeros(m, dtype=int)
-                base += value[0]
-                active = left[node] >= 0
-                while active.any():
-                    cur = node[active]
-                    f = feat[cur]
-                    nxt = np.where(X[active, f] <= thr[cur], left[cur], right[cur])
-                    np.add.at(contrib, (np.where(active)[0], f), value[nxt] - value[cur])
-                    node[active] = nxt
-                    active = left[node] >= 0
-            contrib /= len(trees)
-            base /= len(trees)
-            ids = np.repeat(pdf[id_col].to_numpy(), len(cols) + 1)
-            names = np.tile(np.array(cols + ["__base__"], dtype=object), m)
-            vals = np.concatenate([contrib, np.full((m, 1), base)], axis=1).ravel()
-            yield pd.DataFrame({id_col: ids, "feature": names, "contribution": vals})
-
-    schema = df.select(id_col).schema.add("feature", StringType()).add("contribution", DoubleType())
-    return df.select(id_col, *cols).mapInPandas(run, schema)
+    The model gives the leaf that a row reaches in each tree; those are joined
+    with the leaves' sums, which stay distributed however large the forest."""
+    forest = model.stages[-1]
+    leaves = leaf_contributions(forest_nodes(model), len(features))
+    trees = forest.getNumTrees
+    assembled = model.stages[0].transform(df.select(id_col, *features))
+    reached = forest.copy().setLeafCol("_leaf").transform(assembled).select(
+        id_col, F.posexplode(vector_to_array("_leaf")).alias("tree", "leaf"))
+    x = reached.select(id_col, "tree", F.col("leaf").cast("int").alias("leaf")).join(leaves, ["tree", "leaf"])
+    sums = x.groupBy(id_col).agg(*[(F.sum(F.col("steps")[i]) / trees).alias(f) for i, f in enumerate(features)],
+                                 (F.sum("base") / trees).alias("__base__"))
+    return sums.unpivot([id_col], [*features, "__base__"], "feature", "contribution")
 
 
 # -- X2: local surrogate ----------------------------------------------------

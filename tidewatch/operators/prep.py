@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType, StringType
 
 from ..functions.quantiles import medians_row, to_long
+from .scan import global_row_number
 
 
 def numeric_columns(df: DataFrame, exclude: Sequence[str] = ()) -> list[str]:
@@ -55,14 +56,11 @@ def median_impute(df: DataFrame, cols: Sequence[str], accuracy: int = 10_000) ->
 def category_dictionary(df: DataFrame, cols: Sequence[str], missing: str = "missing") -> DataFrame:
     """(c_name, value, code): codes 0..k-1 by binary order of the distinct
     values, NULL counted as ``missing``. Distinct values of all columns are
-    sorted once (range-partitioned) and numbered with zipWithIndex, so even a
+    sorted once (range-partitioned) and numbered globally, so even a
     high-cardinality column is never ranked inside one task."""
-    spark = df.sparkSession
     vals = (df.select(*[F.coalesce(F.col(c), F.lit(missing)).alias(c) for c in cols])
-            .unpivot([], list(cols), "c_name", "value").distinct()
-            .orderBy("c_name", "value"))
-    indexed = vals.rdd.zipWithIndex().map(lambda t: (t[0][0], t[0][1], t[1]))
-    d = spark.createDataFrame(indexed, "c_name string, value string, idx bigint")
+            .unpivot([], list(cols), "c_name", "value").distinct())
+    d = global_row_number(vals, ["c_name", "value"], "idx")
     start = d.groupBy("c_name").agg(F.min("idx").alias("_start"))
     return d.join(F.broadcast(start), "c_name").select(
         "c_name", "value", (F.col("idx") - F.col("_start")).alias("code"))

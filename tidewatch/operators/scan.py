@@ -19,7 +19,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+
+from ..session import checkpoint_dir
 
 
 def time_bucket(ts: str | Column, seconds: int) -> Column:
@@ -54,10 +55,17 @@ def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], value:
 
 def global_row_number(df: DataFrame, order: Sequence[str], out: str = "rn") -> DataFrame:
     """1-based row number in a global order without a single-partition window:
-    a range-partitioned sort, then ``zipWithIndex`` (one small job counts
-    each partition, indices are assigned in parallel)."""
-    spark = df.sparkSession
-    ordered = df.orderBy(*order)
-    schema = StructType(list(ordered.schema.fields) + [StructField(out, LongType(), False)])
-    rdd = ordered.rdd.zipWithIndex().map(lambda t: tuple(t[0]) + (t[1] + 1,))
-    return spark.createDataFrame(rdd, schema)
+    a range-partitioned sort is written once (to the session's checkpoint
+    folder, so the numbers stay what they are), numbered within its partitions
+    by the engine, and shifted by the rows of the partitions before (one row
+    per partition)."""
+    checkpoint_dir(df.sparkSession)
+    own = "_own_id"
+    x = df.orderBy(*order).withColumn(own, F.monotonically_increasing_id()).checkpoint()
+    part = F.shiftright(own, 33)
+    sizes = x.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    shift = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
+    inside = F.col(own).bitwiseAND(F.lit((1 << 33) - 1))
+    return (x.withColumn("_part", part).join(shift, "_part")
+            .withColumn(out, F.col("_shift") + inside + 1).drop("_part", "_shift", own))

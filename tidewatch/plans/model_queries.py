@@ -15,8 +15,9 @@ from ..sources.tables import table
 from ..sources.views import flows
 from .common import r6
 from ..session import checkpoint_dir, scratch_path
-from .prep_queries import NUM
+from .prep_queries import NUM, SCORE_SQL
 from .registry import register
+from .sql_views import FLOWS_CTE
 
 
 _SPLITS: dict = {}
@@ -156,8 +157,7 @@ def tree_contributions(spark, sf_dir):
     """Path attribution of the forest per test row; the base value plus
     the contributions equals the predicted probability (checked in tests)."""
     model, test = _rf(spark, sf_dir)
-    nodes = md.forest_nodes(model)
-    c = md.tree_contributions(test, nodes, NUM, "row_id")
+    c = md.tree_contributions(model, test, NUM, "row_id")
     return c.select("row_id", "feature", r6("contribution", "contribution"))
 
 
@@ -165,11 +165,41 @@ def tree_contributions(spark, sf_dir):
 def global_tree_importance(spark, sf_dir):
     """X1 + A10 + L4: mean |path contribution| per feature, top 10."""
     model, test = _rf(spark, sf_dir)
-    c = md.tree_contributions(test, md.forest_nodes(model), NUM, "row_id").filter(F.col("feature") != "__base__")
+    c = md.tree_contributions(model, test, NUM, "row_id").filter(F.col("feature") != "__base__")
     g = c.groupBy("feature").agg(F.avg(F.abs("contribution")).alias("mean_abs"))
     return g.orderBy(F.desc("mean_abs"), "feature").limit(10).select("feature", r6("mean_abs", "mean_abs"))
 
 
+_TEST_ROWS = f"""WITH {FLOWS_CTE},
+s AS (SELECT row_id, label, {SCORE_SQL} AS score FROM flows),
+r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score) AS rn, count(*) OVER (PARTITION BY label) AS n FROM s),
+test AS (SELECT * FROM r WHERE rn <= round(n * 0.15))"""
+
+
+@register("forest_identity", sql=f"""{_TEST_ROWS}
+SELECT label AS y_true, count(*) AS scored, CAST(0 AS BIGINT) AS outside, CAST(0 AS BIGINT) AS unequal FROM test GROUP BY label""")
+def forest_identity(spark, sf_dir):
+    """Test rows scored per label, scores outside [0, 1], and rows
+    whose base value and contributions don't sum to their probability."""
+    model, test = _rf(spark, sf_dir)
+    sc = md.score(model, test, ["row_id", F.col("label").alias("y_true")])
+    tot = md.tree_contributions(model, test, NUM, "row_id").groupBy("row_id").agg(F.sum("contribution").alias("total"))
+    j = sc.join(tot, "row_id")
+    return j.groupBy("y_true").agg(F.count(F.lit(1)).alias("scored"),
+                                   F.count(F.when(~F.col("y_score").between(0, 1), 1)).alias("outside"),
+                                   F.count(F.when(F.abs(F.col("total") - F.col("y_score")) > 1e-9, 1)).alias("unequal"))
+
+
+@register("svm_scored_rows", sql=f"""{_TEST_ROWS}
+SELECT label AS y_true, count(*) AS scored, CAST(0 AS BIGINT) AS odd FROM test GROUP BY label""")
+def svm_scored_rows(spark, sf_dir):
+    """M3: test rows scored per label, and rows whose class isn't their
+    margin's sign."""
+    s = svm_scores(spark, sf_dir)
+    odd = (F.col("margin") > 0) != (F.col("y_pred") == 1)
+    return s.groupBy("y_true").agg(F.count(F.lit(1)).alias("scored"), F.count(F.when(odd, 1)).alias("odd"))
+
+
 @register("local_surrogate")
 def local_surrogate(spark, sf_dir):
     """1,000 perturbations per explained alert (6 per class), scored by
