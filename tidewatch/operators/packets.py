@@ -227,6 +227,26 @@ def traffic_summary(packets: DataFrame, alerts: DataFrame) -> DataFrame:
         "tcp", "udp", "arp", "alert_count")
 
 
+def traffic_report(packets: DataFrame, alerts: DataFrame, k: int = 5, last: int = 10) -> DataFrame:
+    """T8 whole: one row of counts, ``top_sources`` and ``top_ports`` as
+    ``key:count`` and ``last_alerts`` as ids, newest first. Each list is cut to
+    its length by top-k before it is gathered."""
+    def listed(df: DataFrame, order: Sequence, text, name: str) -> DataFrame:
+        return df.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, text.alias("t")))),
+                                               lambda s: s["t"]), ";").alias(name))
+
+    def top(key: str, name: str) -> DataFrame:
+        c = key_counts(packets, key).orderBy(F.desc("n"), F.asc("first_seen")).limit(k)
+        return listed(c, [(-F.col("n")).alias("a"), F.col("first_seen").alias("b")], F.concat_ws(":", F.col(key), F.col("n")), name)
+
+    newest = recent(alerts, last, order=("ts", "event_id", "alert_id"))
+    tail = listed(newest, [(-F.unix_micros("ts")).alias("a"), (-F.col("event_id")).alias("b"), (-F.col("alert_id")).alias("c")],
+                  F.col("alert_id").cast("string"), "last_alerts")
+    counts = proto_counts(packets).drop("dns")
+    n = alerts.agg(F.count(F.lit(1)).alias("alert_count"))
+    return counts.crossJoin(n).crossJoin(top("src", "top_sources")).crossJoin(top("dport", "top_ports")).crossJoin(tail)
+
+
 def packet_rate(packets: DataFrame, window: str = "1 hour", slide: str | None = None) -> DataFrame:
     """Packets per second in tumbling (or sliding) event-time windows."""
     secs = _seconds(window)

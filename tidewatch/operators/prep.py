@@ -123,6 +123,19 @@ def port_mean_features(df: DataFrame, port: str = "dst_port", length: str | None
     return out.drop("_pl", "_port_mean", "_pl_median")
 
 
+def extract_features(df: DataFrame) -> DataFrame:
+    """The flow branch when the table has flow ids, timestamps and packet
+    lengths, else the port branch with what there is of packet lengths and
+    rates (chosen from the columns when the plan is built)."""
+    has = {c.lower() for c in df.columns}
+    if {"flow_id", "timestamp", "packet_length"} <= has:
+        return flow_features(df)
+    named = lambda *names: next((n for n in names if n in has), None)
+    return port_mean_features(df, named("dst_port", "destination_port"), named("packet_length"),
+                              named("total_length_of_fwd_packets"), named("total_length_of_bwd_packets"),
+                              named("flow_packets_s"), named("flow_bytes_s"))
+
+
 # -- D8 / D9 / D10 ----------------------------------------------------------
 def fit_scaler(df: DataFrame, cols: Sequence[str], method: str = "zscore") -> DataFrame:
     """One-row parameter table. zscore: mean and population std; minmax:

@@ -216,3 +216,36 @@ def packet_verdict(spark, sf_dir):
     v = pk.packet_verdict(packets(spark, sf_dir))
     return v.select("event_id", "src", "proto", "mitm_alert",
                     F.array_join("mitm_type", ";").alias("mitm_type"), r6("mitm_score", "mitm_score"))
+
+
+@register("port_counts", sql=f"""{W}
+SELECT dport, count(*) AS n FROM packets WHERE proto IN ('TCP', 'UDP') AND dport IS NOT NULL GROUP BY dport""")
+def port_counts(spark, sf_dir):
+    """Packets per destination port."""
+    return pk.key_counts(packets(spark, sf_dir), "dport").select("dport", "n")
+
+
+@register("recent_packets", sql=f"""{W}
+SELECT event_id, src, proto, dport FROM packets ORDER BY ts DESC, event_id DESC LIMIT 500""")
+def recent_packets(spark, sf_dir):
+    """L2: the newest 500 packets (the length of the buffer is the feature)."""
+    return pk.recent(packets(spark, sf_dir), 500).select("event_id", "src", "proto", "dport")
+
+
+@register("traffic_report", sql=f"""{CAPTURE_ALERTS_SQL},
+st AS (SELECT count(*) AS total, count(*) FILTER (WHERE proto = 'TCP') AS tcp, count(*) FILTER (WHERE proto = 'UDP') AS udp,
+              count(*) FILTER (WHERE proto = 'ARP') AS arp FROM packets),
+ts5 AS (SELECT src, count(*) AS n, min(ts) AS f, arg_min(event_id, (ts, event_id)) AS fi FROM packets
+        WHERE proto <> 'ARP' AND src IS NOT NULL GROUP BY src ORDER BY n DESC, f, fi LIMIT 5),
+tp5 AS (SELECT dport, count(*) AS n, min(ts) AS f, arg_min(event_id, (ts, event_id)) AS fi FROM packets
+        WHERE proto IN ('TCP', 'UDP') AND dport IS NOT NULL GROUP BY dport ORDER BY n DESC, f, fi LIMIT 5),
+la AS (SELECT * FROM alerts ORDER BY ts DESC, event_id DESC, alert_id DESC LIMIT 10)
+SELECT total, tcp, udp, arp, greatest(total - tcp - udp - arp, 0) AS other, (SELECT count(*) FROM alerts) AS alert_count,
+       (SELECT string_agg(src || ':' || n, ';' ORDER BY n DESC, f, fi) FROM ts5) AS top_sources,
+       (SELECT string_agg(dport || ':' || n, ';' ORDER BY n DESC, f, fi) FROM tp5) AS top_ports,
+       (SELECT string_agg(CAST(alert_id AS VARCHAR), ';' ORDER BY ts DESC, event_id DESC, alert_id DESC) FROM la) AS last_alerts FROM st""")
+def traffic_report(spark, sf_dir):
+    """The whole summary: counts, alerts, top sources and ports, last 10
+    alerts."""
+    p = packets(spark, sf_dir)
+    return pk.traffic_report(p, pk.capture_alerts(p))

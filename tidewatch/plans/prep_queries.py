@@ -255,3 +255,64 @@ def sequence_windows(spark, sf_dir):
     weighted = F.aggregate(F.transform("seq", lambda v, i: v[0] * (i + 1)), F.lit(0.0), lambda a, b: a + b)
     return s.select("dst_port", F.col("rid").alias("row_id"), "label", F.size("seq").alias("n"),
                     r6(weighted, "weighted"))
+
+
+FALLBACK_SQL = """fb AS (SELECT row_id, dst_port, quantity AS fwd, tax AS bwd, price AS rate, discount AS bytes FROM flows),
+g AS (SELECT dst_port, avg(fwd + bwd) AS m FROM fb GROUP BY dst_port),
+med AS (SELECT median(fwd + bwd) AS med FROM fb)"""
+
+
+@register("extracted_features", sql=f"""{WF}, {FALLBACK_SQL},
+own AS (SELECT flow_id, count("timestamp") AS pr, coalesce(sum(packet_length), 0) AS br, avg(packet_length) AS ms FROM flows GROUP BY flow_id)
+SELECT 'flow' AS branch, row_id, CAST(pr AS DOUBLE) AS packet_rate, ROUND(br, 6) AS byte_rate, ROUND(ms, 6) AS mean_packet_size
+FROM flows LEFT JOIN own USING (flow_id)
+UNION ALL
+SELECT 'port', row_id, ROUND(rate, 6), ROUND(bytes, 6), ROUND(coalesce(m, med), 6) FROM fb LEFT JOIN g USING (dst_port), med""")
+def extracted_features(spark, sf_dir):
+    """The branch is chosen from the columns: flows with ids and
+    lengths, and the same rows with forward and backward totals and rates."""
+    f = flows(spark, sf_dir)
+    totals = f.select("row_id", "dst_port", F.col("quantity").alias("total_length_of_fwd_packets"),
+                      F.col("tax").alias("total_length_of_bwd_packets"), F.col("price").alias("flow_packets_s"),
+                      F.col("discount").alias("flow_bytes_s"))
+    out = lambda df, name: prep.extract_features(df).select(
+        F.lit(name).alias("branch"), "row_id", r6(F.col("packet_rate").cast("double"), "packet_rate"), r6("byte_rate", "byte_rate"),
+        r6("mean_packet_size", "mean_packet_size"))
+    return out(f, "flow").unionByName(out(totals, "port"))
+
+
+@register("scaler_transfer", sql=f"""{WF},
+p AS (SELECT {", ".join(f"avg({c}) AS a_{c}, stddev_pop({c}) AS b_{c}" for c in NUM)} FROM flows WHERE label = 0)
+SELECT row_id, {", ".join(f"ROUND(({c} - a_{c}) / CASE WHEN b_{c} = 0 THEN 1 ELSE b_{c} END, 6) + 0.0 AS {c}" for c in NUM)}
+FROM flows, p WHERE label = 1""")
+def scaler_transfer(spark, sf_dir):
+    """A scaler fitted on benign rows applied to attack rows."""
+    f = flows(spark, sf_dir).select("row_id", "label", *NUM)
+    out = prep.apply_scaler(f.filter("label = 1"), prep.fit_scaler(f.filter("label = 0"), NUM), NUM)
+    return out.select("row_id", *[r6(c, c) for c in NUM])
+
+
+@register("selected_features", sql=f"""{WF},
+long AS (UNPIVOT (SELECT label, quantity, price, discount, tax FROM flows) ON quantity, price, discount, tax
+         INTO NAME c_name VALUE v),
+rng AS (SELECT c_name, min(v) AS lo, max(v) AS hi FROM long GROUP BY c_name),
+b AS (SELECT c_name, label, CASE WHEN hi = lo THEN 0 ELSE least(floor((v - lo) / (hi - lo) * 10), 9) END AS bin
+      FROM long JOIN rng USING (c_name)),
+j AS (SELECT c_name, bin, label, count(*) AS nxy FROM b GROUP BY ALL),
+m AS (SELECT *, sum(nxy) OVER (PARTITION BY c_name) AS n, sum(nxy) OVER (PARTITION BY c_name, bin) AS nx,
+             sum(nxy) OVER (PARTITION BY c_name, label) AS ny FROM j),
+mi AS (SELECT c_name AS feature, sum(nxy / n * ln(nxy * n / (nx * ny))) AS mi FROM m GROUP BY c_name)
+SELECT feature, ROUND(mi, 6) AS mi FROM mi ORDER BY mi.mi DESC, feature LIMIT 2""")
+def selected_features(spark, sf_dir):
+    """The two features with the most information on the label."""
+    mi = prep.binned_mutual_info(flows(spark, sf_dir), NUM, "label", bins=10)
+    return prep.select_k_best(mi, 2).select("feature", r6("mi", "mi"))
+
+
+@register("clean_exclude", sql="""WITH s AS (SELECT DISTINCT o_orderstatus AS status, o_orderpriority AS label FROM orders),
+k AS (SELECT status, CAST(dense_rank() OVER (ORDER BY status) - 1 AS INTEGER) AS code FROM (SELECT DISTINCT status FROM s))
+SELECT code AS status, label FROM s JOIN k USING (status)""")
+def clean_exclude(spark, sf_dir):
+    """Distinct rows, categories coded, the label column left out."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("label"))
+    return prep.clean(o, exclude=["label"])

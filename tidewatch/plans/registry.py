@@ -11,7 +11,7 @@ QueryFn = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, QueryFn] = {}
 _ORACLE: dict[str, str] = {}
 _MODULES = ("packet_queries", "prep_queries", "eval_queries", "study_queries",
-            "response_queries", "explain_queries", "model_queries", "stream_queries")
+            "response_queries", "explain_queries", "model_queries", "stream_queries", "source_queries")
 
 
 def register(name: str, sql: str | None = None):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.columns import band
 from ..operators import feedback as fb
 from ..operators import metrics as mt
 from ..operators import packets as pk
@@ -145,6 +146,18 @@ def capture_mitigation(spark, sf_dir):
         F.count(F.lit(1)).alias("alerts"), F.count_distinct("src").alias("sources"))
 
 
+@register("mitm_bands", sql=f"""{VERDICT_SQL}
+SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, count(*) AS alerts,
+       CASE WHEN count(*) < 3 THEN 'green' WHEN count(*) < 10 THEN 'yellow' ELSE 'red' END AS band
+FROM v GROUP BY date_trunc('day', ts)""")
+def mitm_bands(spark, sf_dir):
+    """MITM alerts per day with the 0/3/10 colour bands."""
+    v = pk.packet_verdict(packets(spark, sf_dir)).filter("mitm_alert")
+    d = v.groupBy(F.date_trunc("day", "ts").alias("d")).agg(F.count(F.lit(1)).alias("alerts"))
+    return d.select(F.date_format("d", "yyyy-MM-dd").alias("day"), "alerts",
+                    band("alerts", [3, 10], ["green", "yellow", "red"]).alias("band"))
+
+
 @register("mitigation_stats", sql=f"""{VERDICT_SQL},
 t AS (SELECT max(ts) - INTERVAL 6 HOUR AS at_ts FROM packets),
 acts AS (SELECT ts, event_id, 0 AS pos, 'block_ip' AS action, CAST(src AS VARCHAR) AS target FROM dec WHERE opens
