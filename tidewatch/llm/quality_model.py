@@ -190,8 +190,9 @@ def sigmoid(z):
 
 
 def logits(net: dict[str, np.ndarray], x: np.ndarray) -> np.ndarray:
-    h = np.tanh(((x - net["mean"]) / net["sd"]) @ net["w1"] + net["b1"])
-    return (h @ net["w2"] + net["b2"]) / net["temperature"]
+    # einsum adds up each row by itself: equal rows get equal scores in any batch
+    h = np.tanh(np.einsum("ij,jk->ik", (x - net["mean"]) / net["sd"], net["w1"]) + net["b1"])
+    return (np.einsum("ij,j->i", h, net["w2"]) + net["b2"]) / net["temperature"]
 
 
 def constant(share: float) -> dict[str, np.ndarray]:
