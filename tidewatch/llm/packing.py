@@ -30,7 +30,9 @@ makes full sequences and one rest. An empty table gives no rows.
 from __future__ import annotations
 
 import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -57,18 +59,53 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def byte_characters() -> dict[int, int]:
+    """The byte-level alphabet: printable bytes stand for themselves, the
+    others for the characters from 256 on, in order."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = [b for b in range(256) if b not in printable]
+    return {b: 256 + i for i, b in enumerate(rest)}
+
+
+_BYTES = byte_characters()
+#: Letters whose lower case and composition are plain, then punctuation that
+#: belongs to no contraction and no special token.
+_PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?*#%&$|]*)")
+_PROBES = ("The", "x", "thing.", "a,", "wow!!", "ok###", "Été", "Straße,", "mañana.", "NAÏVE|", "þÿ?")
+
+
 class WordCache(dict):
-    """Word -> its ids as little-endian 32-bit bytes, found when first asked."""
+    """Word -> its ids as little-endian 32-bit bytes, found when first asked.
+
+    Most words are letters and closing punctuation: their two parts go to the
+    vocabulary's model as the splitter would hand them over, which saves three
+    quarters of a call's time. Whether that is so is tried on a few words when
+    the vocabulary is loaded; all other words, and all words if it is not, go
+    through the whole tokenizer."""
 
     def __init__(self, path: str):
         super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.direct = all(self.plain_ids(_PLAIN.fullmatch(w)) == self.whole_ids(w) for w in _PROBES)
+
+    def whole_ids(self, word: str) -> list[int]:
+        return self.tokenizer.encode(word, add_special_tokens=False).ids
+
+    def plain_ids(self, parts: re.Match) -> list[int]:
+        found = []
+        for part in (parts[1].lower(), parts[2]):
+            if part:
+                found += [t.id for t in self.model.tokenize(part.encode().decode("latin-1").translate(_BYTES))]
+        return found
 
     def __missing__(self, word: bytes) -> bytes:
-        ids = self.tokenizer.encode(word.decode(), add_special_tokens=False).ids
-        self[word] = out = np.array(ids, "<u4").tobytes()
+        text = word.decode()
+        parts = _PLAIN.fullmatch(text) if self.direct else None
+        out = array("I", self.plain_ids(parts) if parts else self.whole_ids(text)).tobytes()
+        self[word] = out
         return out
 
     def ids(self, text: str | None) -> bytes:
