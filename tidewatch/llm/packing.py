@@ -48,7 +48,8 @@ END_ID = 2
 #: Waiting examples of a task.
 POOL = 2048
 MIN_PIECE = 16
-CACHE_WORDS = 1 << 19
+#: About 200 bytes each, in every Python worker.
+CACHE_WORDS = 1 << 20
 
 SCHEMA = ("doc_id {id}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, "
           "sequence_id bigint, offset bigint, loss_tokens bigint")
