@@ -16,7 +16,14 @@ moves, and the join that marks its copies has one row on the other side, so
 AQE may split it. Lists of chunks to remove are joined with the documents at
 the end.
 
-Defined results: a null text stays null. A text keeps its other lines in
+Chunk edges depend on the line before a passage and the last chunk on the text
+after it, so chunks miss much of a short repeated passage. ``dedup_runs`` has
+no edges: every two neighbouring lines that hold a word and occur earlier in
+the corpus (smallest doc_id, then position) go, which covers every repeated
+run of ``MIN_LINES`` lines or more whole, wherever it lies. A line that goes
+has an equal one that stays. Only a SHA-256 of each pair is shuffled.
+
+Defined results of both: a null text stays null. A text keeps its other lines in
 order; one that loses all lines becomes empty. Rows with a null id lose
 nothing and remove nothing. Rows that repeat an id share its decisions (a
 repeat inside them is removed from the second on). Line ends are ``\\n``;
@@ -99,3 +106,38 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text = F.when(col(cut).isNull(), col(text_col)).otherwise(kept)
     out = [text.alias(c) if c == text_col else col(c) for c in docs.columns]
     return x.select(*out, *([F.coalesce(col(n), F.lit(0)).cast("bigint").alias(removed_col)] if removed_col else []))
+
+
+def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, copy`` (hash of the text), ``pos`` of the first of every two
+    lines to remove."""
+    x = docs.where(col(id_col).isNotNull() & col(text_col).isNotNull()) \
+            .select(col(id_col).alias("doc_id"), F.xxhash64(col(text_col)).alias("copy"), F.split(col(text_col), "\n", -1).alias("lines")) \
+            .where("size(lines) > 1")
+    pair = "concat(get(lines, i), '\\n', get(lines, i + 1))"
+    word = HAS_WORD.replace("\\", "\\\\")
+    marks = f"transform(sequence(0, size(lines) - 2), i -> case when {pair} rlike '{word}' then unhex(sha2(cast({pair} as binary), 256)) end)"
+    pairs = materialize(x.select("doc_id", "copy", F.posexplode(F.expr(marks)).alias("pos", "mark")).where("mark is not null"), "pairs")
+    first = pairs.groupBy(F.col("mark").alias("m1")).agg(F.min(F.struct("doc_id", "copy", "pos")).alias("first"), F.count("*").alias("n")) \
+                 .where("n > 1").select("m1", "first")
+    # written, as the first copies of chunks are
+    first = materialize(first, "first")
+    return pairs.join(first, F.col("mark") == F.col("m1")) \
+                .where(F.struct("doc_id", "copy", "pos") != F.col("first")).select("doc_id", "copy", "pos")
+
+
+def dedup_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", removed_col: str | None = None) -> DataFrame:
+    """``docs`` with all repeated runs of two lines or more removed from
+    ``text_col``; ``removed_col`` adds the number of lines removed."""
+    key, copy, cut = fresh(docs, "cut_id", "cut_copy", "cut_lines")
+    # a set, since rows that repeat an id and a text repeat their pairs
+    gone = repeated_runs(docs, id_col, text_col).distinct().groupBy(F.col("doc_id").alias(key), F.col("copy").alias(copy)) \
+        .agg(F.collect_list("pos").alias(cut))
+    gone = gone.withColumn(cut, F.array_union(col(cut), F.transform(col(cut), lambda i: i + 1)))
+    x = docs.join(gone, (col(id_col) == col(key)) & (F.xxhash64(col(text_col)) == col(copy)), "left")
+    lines, = fresh(x, "cut_text_lines")
+    x = x.withColumn(lines, F.when(col(cut).isNotNull(), F.split(col(text_col), "\n", -1)))
+    kept = F.expr(f"array_join(transform(array_except(sequence(0, size(`{lines}`) - 1), `{cut}`), i -> get(`{lines}`, i)), '\\n')")
+    text = F.when(col(cut).isNull(), col(text_col)).otherwise(kept)
+    out = [text.alias(c) if c == text_col else col(c) for c in docs.columns]
+    return x.select(*out, *([F.coalesce(F.size(cut), F.lit(0)).cast("bigint").alias(removed_col)] if removed_col else []))

@@ -149,6 +149,25 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(docs, removed_col="removed_lines")
 
 
+@register("line_runs", r"""
+WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents WHERE text IS NOT NULL),
+w AS (SELECT doc_id, unnest(list_transform(range(1, len(lines)), lambda i: {'i': i, 'body': lines[i] || chr(10) || lines[i + 1]})) AS w FROM l),
+r AS (SELECT doc_id, w.i AS i, row_number() OVER (PARTITION BY w.body ORDER BY doc_id, w.i) > 1 AS gone
+      FROM w WHERE regexp_matches(w.body, '[^\x20\x09-\x0D]')),
+g AS (SELECT DISTINCT doc_id, unnest([i, i + 1]) AS p FROM r WHERE gone),
+k AS (SELECT doc_id, unnest(list_transform(range(1, len(lines) + 1), lambda i: {'p': i, 'line': lines[i]})) AS k FROM l),
+o AS (SELECT k.doc_id, string_agg(k.line, chr(10) ORDER BY k.p) FILTER (g.p IS NULL) AS text, count(g.p) AS removed_lines
+      FROM k LEFT JOIN g ON k.doc_id = g.doc_id AND k.p = g.p GROUP BY k.doc_id)
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(o.text, '') END AS text,
+       coalesce(o.removed_lines, 0) AS removed_lines
+FROM documents d LEFT JOIN o ON d.doc_id = o.doc_id
+""")
+def line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without its repeated runs of two lines or more."""
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.dedup_runs(docs, removed_col="removed_lines")
+
+
 @register("op5_simhash_multi_index")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
