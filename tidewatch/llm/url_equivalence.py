@@ -15,6 +15,9 @@ blocked URL and no explicitly allowed one blocks its pages that no rule fits;
 an allow rule anywhere in the component takes precedence. Rules that fit a page
 itself always decide it.
 
+A link's target is judged by the rules like a page, whether or not it is one,
+so an uncrawled URL spreads its decision too.
+
 Flags are aggregated per canonical URL with a partial aggregate before they
 move, and components come from ``connected_components``; html is read once and
 not shuffled.
@@ -78,6 +81,12 @@ def rule_for(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> tu
     return rule, action
 
 
+def _judged(rest: Column, rules: Sequence[tuple[str, str]]) -> Column:
+    """(canonical form, action) of a link's target."""
+    _, action = rule_for(host_of(rest), path_of(rest), rules)
+    return F.struct(canonical(rest).alias("key"), action.alias("action"))
+
+
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, redirects: DataFrame | None = None,
           id_col: str = "page_id", url_col: str = "url", html_col: str | None = "html") -> DataFrame:
     """``page_id, host, path, rule, verdict, canonical, component`` per page
@@ -91,11 +100,11 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, redirects:
                      F.when(html.rlike("(?i)http-equiv"), target(_REFRESH)).alias("refresh"))
     x = x.select("page_id", host_of(F.col("rest")).alias("host"), path_of(F.col("rest")).alias("path"),
                  canonical(F.col("rest")).alias("key"),
-                 F.filter(F.array(*[canonical(after_scheme(F.col(c))) for c in ("link", "refresh")]),
-                          lambda t: t.isNotNull()).alias("targets"))
+                 F.filter(F.array(*[_judged(after_scheme(F.col(c)), rules) for c in ("link", "refresh")]),
+                          lambda t: t["key"].isNotNull()).alias("targets"))
     rule, action = rule_for(F.col("host"), F.col("path"), rules)
     x = materialize(x.select("*", rule.alias("rule"), action.alias("action")), "pages")
-    edges = x.where("key is not null").select(F.col("key").alias("a"), F.explode("targets").alias("b"))
+    edges = x.where("key is not null").select(F.col("key").alias("a"), F.explode("targets.key").alias("b"))
     if redirects is not None:
         ends = [canonical(after_scheme(F.coalesce(F.col(c), F.lit("")))).alias(n) for c, n in (("from_url", "a"), ("to_url", "b"))]
         edges = edges.unionAll(redirects.select(*ends))
@@ -103,7 +112,11 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, redirects:
     flags = x.where("key is not null").groupBy(F.col("key").alias("url")) \
              .agg(F.max((F.coalesce("action", F.lit("")) == "block")).alias("blocked"),
                   F.max((F.coalesce("action", F.lit("")) == "allow")).alias("allowed"))
-    if redirects is not None:  # URLs that are no page of the table can be under a rule as well
+    # URLs that are no page of the table can be under a rule as well
+    ends = x.where("key is not null").select(F.explode("targets").alias("t")).where("t.action is not null")
+    flags = flags.unionAll(ends.select("t.key", F.col("t.action") == "block", F.col("t.action") == "allow")) \
+                 .groupBy("url").agg(F.max("blocked").alias("blocked"), F.max("allowed").alias("allowed"))
+    if redirects is not None:
         named = edges.select(F.explode(F.array("a", "b")).alias("url")).where("url is not null").distinct()
         host, path = F.regexp_extract("url", "^[^/?]*", 0), F.concat(F.regexp_extract("url", "^[^/?]*([^?]*)", 1), F.lit("/"))
         _, kind = rule_for(host, path, rules)
