@@ -23,9 +23,10 @@ move, and components come from ``connected_components``; html is read once and
 not shuffled.
 
 Defined results: null URLs and those without ``://`` have empty host and path,
-no rule and no alias, and are allowed. Null html has no edges; relative,
-unreadable or empty targets are no edges. Rows that repeat a page id are judged
-one by one. An empty table gives no rows.
+no rule and no alias, and are allowed. Null html has no edges. Targets without
+a scheme are resolved against the page's URL, or its ``<base href>``; those of
+other schemes (``mailto:``) and empty ones are no edges. Rows that repeat a
+page id are judged one by one. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -46,6 +47,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _LINK = r"(?is)<link\b(?=[^>]*\brel\s*=\s*[\"']?canonical\b)[^>]*?\bhref\s*=\s*[\"']?\s*([^\"'\s>]+)"
 _REFRESH = r"(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b)[^>]*?\burl\s*=\s*[\"']?\s*([^\"'\s>]+)"
 
+_BASE = r"(?is)<base\b[^>]*?\bhref\s*=\s*[\"']?\s*([^\"'\s>]+)"
+
 
 def after_scheme(url: Column) -> Column:
     at = F.instr(url, "://")
@@ -60,6 +63,29 @@ def path_of(rest: Column) -> Column:
     return F.regexp_extract(rest, "^[^/?#]*([^?#]*)", 1)
 
 
+def resolve(target: Column, base: Column) -> Column:
+    """URL without its scheme that a link leads to from the page at ``base``
+    (also without its scheme); null for none and for the page itself."""
+    host = F.regexp_extract(base, "^[^/?#]*", 0)
+    path = F.regexp_extract(target, "^[^?#]*", 0)
+    tail = F.regexp_extract(target, "(?s)^[^?#]*(.*)", 1)
+    folder = F.regexp_extract(path_of(base), "(?s)^.*/", 0)
+    full = F.when(F.startswith(path, F.lit("/")), path) \
+            .otherwise(F.concat(F.when(folder == "", "/").otherwise(folder), path))
+    up = lambda acc, x: F.when(x == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(1)))) \
+                         .when(x == ".", acc).otherwise(F.concat(acc, F.array(x)))
+    # a closing . or .. is a folder
+    dotted = F.regexp_replace(full, "/(\\.\\.?)$", "/$1/")
+    plain = F.array_join(F.aggregate(F.split(dotted, "/"), F.array().cast("array<string>"), up), "/")
+    full = F.when(full.rlike("/\\.\\.?(/|$)"), plain).otherwise(full)
+    return F.when(target.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), after_scheme(target)) \
+            .when(F.startswith(target, F.lit("//")), F.substr(target, F.lit(3))) \
+            .when(target.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None)) \
+            .when(host == "", F.lit(None)) \
+            .when(path != "", F.concat(host, full, tail)) \
+            .when(F.startswith(target, F.lit("?")), F.concat(host, path_of(base), tail))
+
+
 def canonical(rest: Column) -> Column:
     """Canonical form of a URL without its scheme; null for none."""
     host = F.regexp_replace(F.regexp_replace(host_of(rest), ":(80|443)$", ""), "^(www|m)\\.(?=[^.]+\\.)", "")
@@ -97,10 +123,13 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, redirects:
     target = lambda p: F.nullif(F.regexp_extract(html, p, 1), F.lit(""))
     x = pages.select(col(id_col).alias("page_id"), after_scheme(F.coalesce(col(url_col), F.lit(""))).alias("rest"),
                      F.when(html.rlike("(?i)canonical"), target(_LINK)).alias("link"),
-                     F.when(html.rlike("(?i)http-equiv"), target(_REFRESH)).alias("refresh"))
+                     F.when(html.rlike("(?i)http-equiv"), target(_REFRESH)).alias("refresh"),
+                     F.when(html.rlike("(?i)<base"), target(_BASE)).alias("base"))
+    x = x.withColumn("base", F.coalesce(resolve(F.col("base"), F.col("rest")), "rest"))
+    x = x.select("page_id", "rest", *[resolve(F.col(c), F.col("base")).alias(c) for c in ("link", "refresh")])
     x = x.select("page_id", host_of(F.col("rest")).alias("host"), path_of(F.col("rest")).alias("path"),
                  canonical(F.col("rest")).alias("key"),
-                 F.filter(F.array(*[_judged(after_scheme(F.col(c)), rules) for c in ("link", "refresh")]),
+                 F.filter(F.array(*[_judged(F.col(c), rules) for c in ("link", "refresh")]),
                           lambda t: t["key"].isNotNull()).alias("targets"))
     rule, action = rule_for(F.col("host"), F.col("path"), rules)
     x = materialize(x.select("*", rule.alias("rule"), action.alias("action")), "pages")
