@@ -236,57 +236,55 @@ def flatten_windows(windows: DataFrame, n_inputs: int, keep: Sequence[str]) -> D
 
 
 # -- D12: SMOTE -------------------------------------------------------------
-def knn_within_class(df: DataFrame, id_col: str, vec: str, label: str, k: int = 5, leaf: int = 512, tables: int = 12,
+def knn_within_class(df: DataFrame, id_col: str, vec: str, label: str, k: int = 5, leaf: int = 512,
                      max_leaf: int = 2048, seed: int = 42) -> DataFrame:
-    """(id, nn_rank, nn_id): nearest neighbours inside each class.
-
-    One method for every size: in each of ``tables`` tables a class of n rows
-    is cut by log2(n / leaf) random hyperplanes through its mean; rows of one
-    cell are compared exactly, and the best of all tables are kept. A class of
-    at most ``leaf`` rows is one cell, so its neighbours are exact. A cell
-    beyond ``max_leaf`` rows (many equal vectors) is dealt to several parts by
-    a hash of the id, so no task holds an unbounded group. Rows whose label or
-    vector is NULL take no part."""
+    """(id, nn_rank, nn_id): nearest neighbours inside each class, by distance,
+    then id.
+
+    Exact for every size: a class is dealt to blocks of about ``max_leaf`` rows
+    by a hash of the id, and every pair of blocks is a tile, compared ``leaf``
+    rows at a time. A tile gives each of its rows the k best of the other
+    block, and the best of all tiles are kept, so no task holds more than two
+    blocks whatever the vectors. Comparisons grow with the square of a class.
+    Rows whose id, label or vector is NULL take no part; a row is no neighbour of
+    rows with its own id."""
     x = df.select(F.col(id_col).alias("a"), F.col(label).alias("c"), F.col(vec).cast("array<double>").alias("v")) \
-          .filter(F.col("c").isNotNull() & F.col("v").isNotNull())
-    sizes = x.groupBy("c").agg(F.count(F.lit(1)).alias("n"))
-    means = (x.select("c", F.posexplode("v").alias("i", "e")).groupBy("c", "i").agg(F.avg("e").alias("m"))
-             .groupBy("c").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("mean")))
-    bits = F.greatest(F.lit(0), F.least(F.lit(30), F.ceil(F.log2(F.col("n") / F.lit(float(leaf)))))).cast("int")
-    x = x.join(sizes.join(means, "c").select("c", "mean", bits.alias("bits")), "c").select("a", "c", "v", "mean", "bits")
-
-    def cells(batches):
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            V = np.stack(pdf["v"].to_numpy()) - np.stack(pdf["mean"].to_numpy())
-            power = np.where(np.arange(30)[None, :] < pdf["bits"].to_numpy()[:, None], 1 << np.arange(30, dtype=np.int64), 0)
-            for t in range(tables):
-                planes = np.random.default_rng([seed, t]).normal(size=(V.shape[1], 30))
-                out = pdf[["a", "c", "v"]].assign(t=t, cell=((V @ planes > 0) * power).sum(axis=1))
-                # a class of one cell is the same in every table
-                yield out if t == 0 else out[pdf["bits"].to_numpy() > 0]
-
-    schema = x.select("a", "c", "v").schema.add("t", IntegerType()).add("cell", LongType())
-    y = x.mapInPandas(cells, schema)
-    key = ["c", "t", "cell"]
-    parts = y.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / F.lit(float(max_leaf))).alias("parts"))
-    y = y.join(parts, key).withColumn("part", F.pmod(F.xxhash64(F.lit(seed), "a"), F.col("parts"))).drop("parts")
+          .filter(F.col("a").isNotNull() & F.col("c").isNotNull() & F.col("v").isNotNull())
+    sizes = x.groupBy("c").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(max_leaf))).alias("blocks"))
+    x = x.join(sizes, "c").withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "a"), F.col("blocks")))
+    other = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))
+    asks = x.select("a", "c", "v", F.col("block").alias("i"), other.alias("j"), F.lit(True).alias("asks"))
+    gives = x.select("a", "c", "v", other.alias("i"), F.col("block").alias("j"), F.lit(False).alias("asks"))
 
     def nearest(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("a", kind="stable")
-        V, ids = np.stack(pdf["v"].to_numpy()), pdf["a"].to_numpy()
-        out = []
-        for s in range(0, len(V), 256):
-            d = ((V[s:s + 256, None, :] - V[None, :, :]) ** 2).sum(axis=2)
-            d[np.arange(len(d)), np.arange(s, s + len(d))] = np.inf
-            order = np.argsort(d, axis=1, kind="stable")[:, :min(k, len(V) - 1)]
-            row = np.repeat(np.arange(len(d)), order.shape[1])
-            out.append(pd.DataFrame({"a": ids[s + row], "b": ids[order.ravel()], "d": d[row, order.ravel()]}))
+        asks = pdf["asks"].to_numpy(dtype=bool)
+        ids, own = pdf["a"].to_numpy()[~asks], pdf["a"].to_numpy()[asks]
+        out = [pd.DataFrame({"a": own[:0], "b": ids[:0], "d": np.zeros(0)})]
+        if len(ids) and len(own):
+            V = np.stack(pdf["v"].to_numpy())
+            Q, G = V[asks], np.ascontiguousarray(V[~asks].T)
+            for s in range(0, len(Q), leaf):
+                q = Q[s:s + leaf]
+                # dimension by dimension, so that a pair's distance is the same in any tile
+                d = np.zeros((len(q), len(ids)))
+                for n in range(len(G)):
+                    t = q[:, n, None] - G[n]
+                    t *= t
+                    d += t
+                d[own[s:s + leaf, None] == ids[None, :]] = np.inf
+                last = np.partition(d, min(k, len(ids)) - 1, axis=1)[:, min(k, len(ids)) - 1, None]
+                row, at = np.nonzero((d <= last) & np.isfinite(d))
+                order = np.lexsort((at, d[row, at], row))
+                row, at = row[order], at[order]
+                best = np.arange(len(row)) - np.searchsorted(row, row) < k
+                row, at = row[best], at[best]
+                out.append(pd.DataFrame({"a": own[s + row], "b": ids[at], "d": d[row, at]}))
         return pd.concat(out)
 
     id_type = df.schema[id_col].dataType.simpleString()
-    pairs = y.groupBy(*key, "part").applyInPandas(nearest, f"a {id_type}, b {id_type}, d double").dropDuplicates(["a", "b"])
+    pairs = asks.unionAll(gives).groupBy("c", "i", "j").applyInPandas(nearest, f"a {id_type}, b {id_type}, d double") \
+                .dropDuplicates(["a", "b"])
     w = Window.partitionBy("a").orderBy("d", "b")
     return (pairs.withColumn("nn_rank", F.row_number().over(w)).filter(F.col("nn_rank") <= k)
             .select(F.col("a").alias(id_col), "nn_rank", F.col("b").alias("nn_id")))

@@ -124,19 +124,29 @@ def pca_recon_error(spark, sf_dir):
                     (F.col("recon_error") > F.col("thr")).alias("flagged"))
 
 
+def _vectors(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select(
+        "vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("vec"), "label")
+
+
 @register("smote", sql="""WITH c AS (SELECT label, count(*) AS original FROM embeddings GROUP BY label)
 SELECT label, original, max(original) OVER () - original AS synthetic, max(original) OVER () AS total FROM c""")
 def smote(spark, sf_dir):
     """Every embedding class topped up to the majority count with
     k=5 within-class neighbours."""
-    e = table(spark, sf_dir, "embeddings").select(
-        "vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("vec"), "label")
-    out = md.smote(e, "vec_id", "vec", "label", 5, 42)
+    out = md.smote(_vectors(spark, sf_dir), "vec_id", "vec", "label", 5, 42)
     return out.groupBy("label").agg(F.count(F.when(~F.col("synthetic"), 1)).alias("original"),
                                     F.count(F.when(F.col("synthetic"), 1)).alias("synthetic"),
                                     F.count(F.lit(1)).alias("total"))
 
 
+@register("smote_rows")
+def smote_rows(spark, sf_dir):
+    """The synthetic rows themselves, with donor, neighbour and step."""
+    out = md.smote(_vectors(spark, sf_dir), "vec_id", "vec", "label", 5, 42, trace=True)
+    return out.filter("synthetic").select("label", "donor_id", "nn_id", "u", "vec")
+
+
 @register("mlp_sequence")
 def mlp_sequence(spark, sf_dir):
     """M7 re-aimed: 20-step windows per destination port, flattened, into a
