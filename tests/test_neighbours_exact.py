@@ -29,6 +29,17 @@ def test_recall_holds_in_64_dimensions(spark, n):
     assert recall(spark, x, range(0, n, max(1, n // 300))) == 1
 
 
+def test_equal_vectors_and_close_rows_of_other_blocks(spark):
+    rng = np.random.default_rng(7)
+    x = np.concatenate([np.repeat(rng.normal(size=(1, 3)), 120, axis=0), rng.normal(size=(180, 3))])
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "id long, v array<double>, c int")
+    got = {}
+    for r in md.knn_within_class(df, "id", "v", "c", 4, leaf=20, max_leaf=30).collect():
+        got.setdefault(r.id, {})[r.nn_rank] = r.nn_id
+    want = exact_neighbours(np.arange(300), x, 4)
+    assert {i: [v[r] for r in (1, 2, 3, 4)] for i, v in got.items()} == {i: list(v) for i, v in want.items()}
+
+
 def test_registered_rows_are_donors_towards_true_neighbours(spark, sf):
     rows = entry.queries()["smote_rows"](spark, sf).collect()
     e = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", F.col("embedding").cast("array<double>").alias("v"), "label").collect()
