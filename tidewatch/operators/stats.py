@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import chi2_sf_udf, inv_norm_udf, normal_sf_udf, shapiro_p_udf, t_p_udf
+from ..session import checkpoint_dir
+from .scan import running_sum
 
 
 def mcnemar(preds: DataFrame, y_true: str = "y_true", a: str = "y_pred", b: str = "y_pred_b",
@@ -52,6 +54,19 @@ def average_rank(value: str, partition: Sequence[str]) -> F.Column:
     return F.rank().over(w) + (ties - 1) / 2.0
 
 
+def ranked_counts(counts: DataFrame, value: str, n: str, by: Sequence[str], buckets: int = 64) -> DataFrame:
+    """Adds ``upto``, the rows of a group up to each distinct value, to a table
+    of distinct values with their numbers of rows ``n``. Sums run inside value
+    buckets, so no group is sorted in one task."""
+    checkpoint_dir(counts.sparkSession)
+    # a struct: groups with a NULL key stay
+    x = counts.withColumn("_g", F.struct(*by) if by else F.lit(0)).checkpoint()
+    qs = [i / buckets for i in range(1, buckets)]
+    cuts = x.groupBy(F.col("_g").alias("_g2")).agg(F.percentile_approx(value, qs, 10_000).alias("_cuts"))
+    x = x.join(cuts, F.col("_g") == F.col("_g2")).withColumn("_b", F.size(F.filter("_cuts", lambda c: c < F.col(value))))
+    return running_sum(x, ["_g"], [value], n, F.col("_b"), "upto").drop("_g", "_g2", "_cuts", "_b")
+
+
 def friedman(df: DataFrame, block: str, treatment: str, score: str, alpha: float = 0.05) -> DataFrame:
     """Friedman chi-square over complete blocks with the tie correction.
     Ranks are taken within each block (a bounded group: one row per
@@ -99,14 +114,14 @@ def wilcoxon(diffs: DataFrame, by: Sequence[str] = (), alpha: float = 0.05) -> D
     """Signed-rank test: zero differences dropped, average ranks of |d|,
     W = min(W+, W-); p from the tie-corrected normal approximation (1 when
     its variance is 0). n is multiplied as a double."""
-    x = diffs.filter(F.col("d") != 0).withColumn("ad", F.abs("d"))
-    x = x.withColumn("r", average_rank("ad", list(by)))
-    ties = (x.groupBy(*by, "ad").agg(F.count(F.lit(1)).alias("t")).groupBy(*by)
-            .agg(F.sum(F.pow("t", 3) - F.col("t")).alias("tie_sum")))
-    s = x.groupBy(*by).agg(F.count(F.lit(1)).alias("n"),
-                           F.sum(F.when(F.col("d") > 0, F.col("r")).otherwise(0.0)).alias("w_plus"),
-                           F.sum(F.when(F.col("d") < 0, F.col("r")).otherwise(0.0)).alias("w_minus"))
-    s = s.join(ties, list(by)) if by else s.crossJoin(ties)
+    by = list(by)
+    x = diffs.filter(F.col("d") != 0).groupBy(*by, F.abs("d").alias("ad")) \
+             .agg(F.count(F.lit(1)).alias("t"), F.count(F.when(F.col("d") > 0, 1)).alias("pos"))
+    # ties share the mean of their ranks
+    x = ranked_counts(x, "ad", "t", by).withColumn("r", F.col("upto") - F.col("t") + (F.col("t") + 1) / 2.0)
+    s = x.groupBy(*by).agg(F.coalesce(F.sum("t"), F.lit(0)).alias("n"), F.sum(F.col("pos") * F.col("r")).alias("w_plus"),
+                           F.sum((F.col("t") - F.col("pos")) * F.col("r")).alias("w_minus"),
+                           F.sum(F.pow("t", 3) - F.col("t")).alias("tie_sum"))
     n = F.col("n").cast("double")
     mean = n * (n + 1) / 4.0
     var = n * (n + 1) * (2 * n + 1) / 24.0 - F.col("tie_sum") / 48.0
@@ -117,45 +132,44 @@ def wilcoxon(diffs: DataFrame, by: Sequence[str] = (), alpha: float = 0.05) -> D
 
 
 def shapiro_wilk(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
-    """Shapiro-Wilk W with Royston's coefficients and p approximation
-    (3 <= n <= 5000; a larger group is not a valid use of the test).
-    Order statistics come from a row_number per group."""
-    by = list(by)
-    w = Window.partitionBy(*by).orderBy(value)
-    x = (df.filter(F.col(value).isNotNull())
-         .withColumn("i", F.row_number().over(w))
-         .withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(*by))))
+    """Shapiro-Wilk W with Royston's coefficients and p approximation (its p
+    is made for 3 <= n <= 5000; W is given for any n). Positions come from
+    counts per distinct value, so no group is sorted in one task. Fewer than
+    three rows or no spread: W and p are NULL."""
+    by, block = list(by), 1000
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("x")) \
+               .agg(F.count(F.lit(1)).alias("t"))
+    x = ranked_counts(counts, "x", "t", by).withColumn("_g", F.struct(*by) if by else F.lit(0))
+    sizes = x.groupBy(F.col("_g").alias("_g2")).agg(F.sum("t").alias("n"))
+    # in blocks dealt anew, so that a common value's rows are not made in one task
+    x = x.join(sizes, F.col("_g") == F.col("_g2")).withColumn("blk", F.explode(F.expr(f"sequence(0L, (t - 1) div {block})"))) \
+         .repartition("_g", "x", "blk") \
+         .withColumn("i", F.explode(F.expr(f"sequence(upto - t + 1 + blk * {block}, least(upto, upto - t + (blk + 1) * {block}))")))
     x = x.withColumn("m", inv_norm_udf((F.col("i") - 0.375) / (F.col("n") + 0.25)))
-    g = Window.partitionBy(*by)
-    x = x.withColumn("ssm", F.sum(F.col("m") * F.col("m")).over(g))
+    at = lambda i, c, name: F.max(F.when(F.col("i") == i, F.col(c))).alias(name)
+    last = F.col("n")
+    s = x.groupBy(*by).agg(F.first("n").alias("n"), F.sum(F.col("m") * F.col("m")).alias("ssm"), F.sum(F.col("m") * F.col("x")).alias("smx"),
+                           at(last, "m", "mn"), at(last - 1, "m", "mn1"), at(1, "x", "x1"), at(2, "x", "x2"),
+                           at(last - 1, "x", "xn1"), at(last, "x", "xn"), F.var_pop("x").alias("vp"))
     # Royston's polynomial corrections for the two extreme coefficients
     u = 1.0 / F.sqrt(F.col("n").cast("double"))
     an = (-2.706056 * F.pow(u, 5) + 4.434685 * F.pow(u, 4) - 2.071190 * F.pow(u, 3)
           - 0.147981 * F.pow(u, 2) + 0.221157 * u)
     an1 = (-3.582633 * F.pow(u, 5) + 5.682633 * F.pow(u, 4) - 1.752461 * F.pow(u, 3)
            - 0.293762 * F.pow(u, 2) + 0.042981 * u)
-    mn = F.max(F.when(F.col("i") == F.col("n"), F.col("m"))).over(g)
-    mn1 = F.max(F.when(F.col("i") == F.col("n") - 1, F.col("m"))).over(g)
-    x = x.withColumn("mn", mn).withColumn("mn1", mn1)
-    a_n = an + F.col("mn") / F.sqrt("ssm")
-    a_n1 = an1 + F.col("mn1") / F.sqrt("ssm")
+    a_n = an + F.try_divide(F.col("mn"), F.sqrt("ssm"))
+    a_n1 = an1 + F.try_divide(F.col("mn1"), F.sqrt("ssm"))
     big = F.col("n") > 5
-    eps = F.when(big, (F.col("ssm") - 2 * F.col("mn") ** 2 - 2 * F.col("mn1") ** 2) /
-                 (1 - 2 * a_n ** 2 - 2 * a_n1 ** 2)).otherwise(
-        (F.col("ssm") - 2 * F.col("mn") ** 2) / (1 - 2 * a_n ** 2))
-    pos_hi = F.col("i") == F.col("n")
-    pos_lo = F.col("i") == 1
-    pos_hi1 = F.col("i") == F.col("n") - 1
-    pos_lo1 = F.col("i") == 2
-    coef = (F.when(pos_hi, a_n).when(pos_lo, -a_n)
-            .when(big & pos_hi1, a_n1).when(big & pos_lo1, -a_n1)
-            .otherwise(F.col("m") / F.sqrt(eps)))
-    x = x.withColumn("a", F.when(F.col("n") == 3, F.when(pos_hi, F.lit(0.7071067811865476))
-                                 .when(pos_lo, F.lit(-0.7071067811865476)).otherwise(F.lit(0.0))).otherwise(coef))
-    s = x.groupBy(*by).agg(F.first("n").alias("n"), F.sum(F.col("a") * F.col(value)).alias("num"),
-                           F.var_pop(value).alias("vp"))
-    out = s.withColumn("w", F.pow("num", 2) / (F.col("vp") * F.col("n")))
-    return out.withColumn("p_value", shapiro_p_udf("w", F.col("n").cast("double"))).drop("num", "vp")
+    outer, inner = F.col("xn") - F.col("x1"), F.col("xn1") - F.col("x2")
+    eps = F.when(big, F.try_divide(F.col("ssm") - 2 * F.col("mn") ** 2 - 2 * F.col("mn1") ** 2, 1 - 2 * a_n ** 2 - 2 * a_n1 ** 2)) \
+           .otherwise(F.try_divide(F.col("ssm") - 2 * F.col("mn") ** 2, 1 - 2 * a_n ** 2))
+    # the coefficients are odd: the middle is what the extremes leave of the sum of m x
+    middle = F.col("smx") - F.col("mn") * outer - F.when(big, F.col("mn1") * inner).otherwise(F.lit(0.0))
+    num = F.when(F.col("n") == 3, F.lit(0.7071067811865476) * outer) \
+           .otherwise(a_n * outer + F.when(big, a_n1 * inner).otherwise(F.lit(0.0)) + F.try_divide(middle, F.sqrt(eps)))
+    w = F.when(F.col("n") >= 3, F.try_divide(F.pow(num, 2), F.col("vp") * F.col("n")))
+    out = s.select(*by, "n", w.alias("w"))
+    return out.withColumn("p_value", F.nanvl(shapiro_p_udf("w", F.col("n").cast("double")), F.lit(None).cast("double")))
 
 
 def cohens_d(df: DataFrame, group: str, value: str, first: str, second: str) -> DataFrame:
