@@ -73,6 +73,22 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_policy(quality_rules.ledger(load(spark, sf_dir, "documents")))
 
 
+def _ablation_sql() -> str:
+    mask = _mask(quality_rules.DEFAULT_POLICY)
+    rules = " UNION ALL ".join(f"SELECT '{r}' AS rule, CAST({1 << i} AS BIGINT) AS bit" for i, r in enumerate(quality_rules.RULES) if mask >> i & 1)
+    return f"""WITH led AS ({_ORACLE['op2_rule_ledger']}), enforced AS ({rules})
+SELECT rule, '{quality_rules.DEFAULT_POLICY}' AS policy, count(*) FILTER ((fail_bits & bit) <> 0) AS n_failed,
+       count(*) FILTER ((fail_bits & {mask}) = bit) AS n_only,
+       count(*) FILTER ((fail_bits & {mask} & ~bit) <> 0) AS n_rejected_without
+FROM led CROSS JOIN enforced GROUP BY rule"""
+
+
+@register("rule_ablation", _ablation_sql())
+def rule_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of the default policy rejects over all documents."""
+    return quality_rules.ablation(quality_rules.ledger(load(spark, sf_dir, "documents")))
+
+
 _LETTERS = url_equivalence.UPPER, url_equivalence.LOWER
 
 
