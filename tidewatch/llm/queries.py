@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, mixing, packing, quality_model, quality_rules, secrets, simhash, topk, toxicity, url_equivalence
+from . import (divergence, line_dedup, mixing, packing, quality_model, quality_rules, secrets, sharding, simhash, spelling, topk,
+               toxicity, url_equivalence)
 from .common import load
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -273,3 +274,48 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= {topk.K}
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 5 nearest vectors of each 50th."""
     return topk.top_k(load(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, vec_col="embedding")
+
+
+@register("op11_communication_matrix")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document; counts differ by one at most."""
+    x = sharding.shuffle(sharding.with_size(load(spark, sf_dir, "documents")))
+    return x.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def _op12_sql() -> str:
+    p = lambda c, n: f"1 + ({divergence.SCALE}::HUGEINT * ({c} + 1)) // nullif({n} + v, 0)"
+    f = "((p - q) * (p - q)) // q"
+    return rf"""
+WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                  regexp_extract_all(translate(coalesce(text, ''), '{_LETTERS[0]}', '{_LETTERS[1]}'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents),
+kept AS (SELECT lang, term FROM (SELECT lang, unnest(list_distinct(ws)) AS term FROM d) GROUP BY ALL HAVING count(*) >= {divergence.MIN_DOCS}),
+c AS (SELECT lang, source, term, count(*) AS c FROM (SELECT lang, source, unnest(ws) AS term FROM d) JOIN kept USING (lang, term) GROUP BY ALL),
+l AS (SELECT lang, term, sum(c)::HUGEINT AS c FROM c GROUP BY ALL),
+t AS (SELECT lang, count(*) AS v, sum(c) AS n FROM l GROUP BY lang),
+g AS (SELECT lang, source, coalesce(n, 0) AS n, coalesce(v, 0) AS v, coalesce(nl, 0) AS nl FROM (SELECT DISTINCT lang, source FROM d)
+      LEFT JOIN (SELECT lang, source, sum(c) AS n FROM c GROUP BY ALL) USING (lang, source) LEFT JOIN (SELECT lang, v, n AS nl FROM t) USING (lang)),
+every AS (SELECT g.lang, g.source, l.term, {p('coalesce(c.c, 0)', 'g.n')} AS p, {p('l.c', 'g.nl')} AS q, coalesce(c.c, 0) AS c
+          FROM g JOIN l ON g.lang = l.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = l.term),
+own AS (SELECT lang, source, term AS item, {f} AS value FROM every WHERE c > 0 AND p > q),
+twos AS (SELECT a.lang, a.source, b.source AS item, coalesce(sum(((a.p - b.p) * (a.p - b.p)) // b.p), 0) AS value
+         FROM every a JOIN every b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+two AS (SELECT a.lang, a.source, b.source AS item, coalesce(value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+        LEFT JOIN twos ON twos.lang = a.lang AND twos.source = a.source AND twos.item = b.source),
+r AS (SELECT lang, source, 'term' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS rank FROM own
+      QUALIFY rank <= {divergence.TOP} UNION ALL
+      SELECT lang, source, 'pair', item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) FROM two)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM r"""
+
+
+@register("op12_count_cells", _op12_sql())
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Terms that set each source apart from its language, and the distances
+    of the language's sources from each other."""
+    return divergence.audit(load(spark, sf_dir, "documents"))
+
+
+@register("op13_trie_frontier")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word with its near words' number, its form and its root."""
+    return spelling.group_variants(load(spark, sf_dir, "documents"))
