@@ -16,9 +16,9 @@ Words in the middle of which thousands of others branch are thus never walked
 from the root.
 
 After an edit the rest of the word must follow as it is. Every edge carries a
-64-bit sketch of the rests of the words beyond it, and states whose rest isn't
-in it are not kept. What is kept is close to one state a word and level plus
-those that end at a neighbour.
+sketch (a bit each) of the rests of the words beyond it, and edited states
+whose rest isn't in it are not kept; nor are states without an edit once no
+other word lies beyond.
 
 Labels are single code points up to depth ``SINGLE`` and grow by half from
 there, so the number of levels grows with the logarithm of the longest word.
@@ -50,6 +50,8 @@ MIN_POINTS, MIN_COUNT, RATIO = 7, 2, 10
 #: One in so many runs (by hash) loses a code point.
 DELETE_MOD = 31
 SINGLE, LONGEST = 32, 1 << 31
+#: 64-bit words of an edge's sketch.
+SKETCH = 4
 #: Distinct words a worker holds before it passes them on.
 HELD = 500_000
 
@@ -107,8 +109,15 @@ def _node(prefix: str) -> str:
     return f"xxhash64(back, {prefix})"
 
 
-def _sketch(rest: str) -> str:
-    return f"shiftleft(1L, cast(xxhash64({rest}) & 63L as int))"
+def _slot(rest: str) -> str:
+    """SQL: the bit of a rest in the sketches."""
+    return f"cast(xxhash64({rest}) & {64 * SKETCH - 1}L as int)"
+
+
+def _beyond(slot: str) -> str:
+    """SQL: an edge's sketch has the bit."""
+    part = " ".join(f"when {i} then s{i}" for i in range(SKETCH))
+    return f"(case shiftright({slot}, 6) {part} end & shiftleft(1L, {slot} & 63)) <> 0L"
 
 
 def _level_from(points: str, levels: list[int]) -> str:
@@ -124,8 +133,9 @@ def both_ways(w: DataFrame) -> DataFrame:
 
 def edges(w: DataFrame, single: int = SINGLE) -> DataFrame:
     """``level, node, label, child, ends`` (the word that ends there, reversed
-    in the reversed trie), ``rests`` (sketch) of both tries, from the levels
-    on that a search by a word of one code point less can start at."""
+    in the reversed trie), ``beneath`` (words beyond the edge) and their rests'
+    sketch of both tries, from the levels on that a search by a word of one
+    code point less can start at."""
     levels = depths(single)
     starts = f"array({', '.join(f'{d}L' for d in levels)})"
     first = _level_from("length(word) - 1", levels)
@@ -134,17 +144,48 @@ def edges(w: DataFrame, single: int = SINGLE) -> DataFrame:
     x = x.withColumn("lo", F.expr(f"cast({starts}[level] as int)")).withColumn("hi", F.expr(f"cast(least({starts}[level + 1], len) as int)"))
     x = x.select("level", F.expr(_node("substring(word, 1, lo)")).alias("node"), F.expr("substring(word, lo + 1, hi - lo)").alias("label"),
                  F.expr(_node("substring(word, 1, hi)")).alias("child"), F.when(F.col("hi") == F.col("len"), F.col("word")).alias("ends"),
-                 F.expr(_sketch("substring(word, hi + 1)")).alias("rest"))
-    return x.groupBy("level", "node", "label", "child").agg(F.max("ends").alias("ends"), F.bit_or("rest").alias("rests"))
-
-
-#: One step: the four ways to read a label. Edited states need their rest beyond the edge.
-_STEP = f"""filter(array(
-  named_struct('pos', pos + m, 'edits', edits, 'ok', substring(word, pos + 1, m) = label),
-  named_struct('pos', pos + m - 1, 'edits', 1, 'ok', edits = 0 and levenshtein(substring(word, pos + 1, m - 1), label, 1) = 1),
-  named_struct('pos', pos + m, 'edits', 1, 'ok', edits = 0 and levenshtein(substring(word, pos + 1, m), label, 1) = 1),
-  named_struct('pos', pos + m + 1, 'edits', 1, 'ok', edits = 0 and levenshtein(substring(word, pos + 1, m + 1), label, 1) = 1)),
-  s -> s.ok and s.pos <= len and (s.edits = 0 or rests & {_sketch('substring(word, s.pos + 1)')} <> 0L))"""
+                 F.expr(_slot("substring(word, hi + 1)")).alias("slot"))
+    bits = [F.bit_or(F.expr(f"if(shiftright(slot, 6) = {i}, shiftleft(1L, slot & 63), 0L)")).alias(f"s{i}") for i in range(SKETCH)]
+    return x.groupBy("level", "node", "label", "child").agg(F.max("ends").alias("ends"), F.count("*").alias("beneath"), *bits)
+
+
+#: Moves over a label of one code point: read it (1), another in its place
+#: (2), none for it (3), one too many before it (4). What a state knows of
+#: its word is taken before the join, so a pair of state and edge costs a few
+#: comparisons.
+_KNOWN = {"len": "length(word)", "c1": "ascii(substring(word, pos + 1, 1))", "c2": "ascii(substring(word, pos + 2, 1))",
+          "q0": _slot("substring(word, pos + 1)"), "q1": _slot("substring(word, pos + 2)"), "q2": _slot("substring(word, pos + 3)")}
+_READ = f"pos < len and c1 = code and if(edits = 0, beneath > 1, {_beyond('q1')})"
+_OTHER = f"edits = 0 and pos < len and c1 <> code and {_beyond('q1')}"
+_NONE = f"edits = 0 and {_beyond('q0')}"
+_SKIP = f"edits = 0 and pos + 1 < len and c2 = code and {_beyond('q2')}"
+_ANY = f"({_READ}) or ({_OTHER}) or ({_NONE}) or ({_SKIP})"
+_MOVES = (f"filter(array(if({_READ}, named_struct('pos', pos + 1, 'edits', edits), null), if({_OTHER}, named_struct('pos', pos + 1, 'edits', 1), null), "
+          f"if({_NONE}, named_struct('pos', pos, 'edits', 1), null), if({_SKIP}, named_struct('pos', pos + 2, 'edits', 1), null)), s -> s is not null)")
+#: The same over a longer label.
+_EDITED = "edits = 0 and levenshtein(substring(word, pos + 1, {n}), label, 1) = 1"
+_LONG_MOVES = f"""filter(array(
+  named_struct('pos', pos + m, 'edits', edits, 'ok', substring(word, pos + 1, m) = label and (edits = 1 or beneath > 1)),
+  named_struct('pos', pos + m - 1, 'edits', 1, 'ok', {_EDITED.format(n='m - 1')}),
+  named_struct('pos', pos + m, 'edits', 1, 'ok', {_EDITED.format(n='m')}),
+  named_struct('pos', pos + m + 1, 'edits', 1, 'ok', {_EDITED.format(n='m + 1')})),
+  s -> s.ok and s.pos <= length(word) and (s.edits = 0 or {_beyond(_slot('substring(word, s.pos + 1)'))}))"""
+
+
+def _step(states: DataFrame, edge: DataFrame, points: int) -> DataFrame:
+    """Moves of all states over the edges at their nodes; labels have at most
+    so many code points."""
+    if points == 1:
+        known = states.select("*", *[F.expr(e).alias(c) for c, e in _KNOWN.items()])
+        edge = edge.withColumn("code", F.ascii("label"))
+        x = known.join(edge.withColumnRenamed("node", "at"), (F.col("node") == F.col("at")) & F.expr(_ANY)).withColumn("s", F.explode(F.expr(_MOVES)))
+    else:
+        x = states.join(edge.withColumnRenamed("node", "at"), F.col("node") == F.col("at")) \
+                  .withColumn("m", F.length("label")).withColumn("len", F.length("word")).withColumn("s", F.explode(F.expr(_LONG_MOVES)))
+    near = F.expr("case when s.edits + len - s.pos = 1 then ends end")
+    open_ = (F.length("label") == points) & ((F.col("s.edits") == 0) | (F.col("s.pos") < F.col("len")))
+    return x.select("word", "back", F.col("child").alias("node"), F.col("s.pos").alias("pos"), F.col("s.edits").alias("edits"),
+                    near.alias("near"), open_.alias("open")).where("open or near is not null")
 
 
 def near_pairs(w: DataFrame, single: int = SINGLE) -> DataFrame:
@@ -158,15 +199,7 @@ def near_pairs(w: DataFrame, single: int = SINGLE) -> DataFrame:
         start = way.where(F.col("level") == k).select("word", "back", F.expr(_node(f"substring(word, 1, {levels[k]})")).alias("node"),
                                                       F.lit(levels[k]).alias("pos"), F.lit(0).alias("edits"))
         states = start if frontier is None else frontier.unionAll(start)
-        step = states.join(edge.where(F.col("level") == k).drop("level"), "node") \
-            .withColumn("m", F.length("label")).withColumn("len", F.length("word")) \
-            .withColumn("s", F.explode(F.expr(_STEP)))
-        near = F.expr("case when s.edits + len - s.pos = 1 and ends is not null then ends end")
-        full = F.col("m") == levels[k + 1] - levels[k]
-        open_ = full & ((F.col("s.edits") == 0) | (F.col("s.pos") < F.col("len")))
-        step = step.select("word", "back", F.col("child").alias("node"), F.col("s.pos").alias("pos"), F.col("s.edits").alias("edits"),
-                           near.alias("near"), open_.alias("open")).where("open or near is not null")
-        step = materialize(step, "frontier")
+        step = materialize(_step(states, edge.where(F.col("level") == k).drop("level"), levels[k + 1] - levels[k]), "frontier")
         found.append(step.where("near is not null").select("word", "back", "near"))
         frontier = step.where("open").select("word", "back", "node", "pos", "edits")
     if not found:
