@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import (DETAIL_ARP, DETAIL_SCAN, DETAIL_UNUSUAL, is_unusual_port)
-from .scan import running_sum, time_bucket
+from .scan import SEGMENT_ROWS, halo_segments, running_sum, time_bucket
 from .sequential import fold_by_key
 
 ALERT_COLUMNS = ["alert_id", "type", "severity", "src", "dst", "detail", "ts", "event_id"]
@@ -271,24 +271,21 @@ def running_alert_counter(alerts: DataFrame, key: str = "src", threshold: int =
     return c.filter(F.col("hits") >= threshold)
 
 
-def consecutive_gaps(df: DataFrame, bucket_seconds: int = 3600) -> DataFrame:
+def consecutive_gaps(df: DataFrame, segment_rows: int = SEGMENT_ROWS) -> DataFrame:
     """Gap in microseconds between each row and the previous one in
     global ``(ts, event_id)`` order. A global ``lag`` would sort everything in
-    one task; instead gaps are taken inside time buckets, and each bucket's
-    first row is joined to the previous bucket's last row (one row per bucket)."""
-    x = df.select("ts", "event_id").withColumn("_b", time_bucket("ts", bucket_seconds))
-    w = Window.partitionBy("_b").orderBy(*ORDER)
-    inner = (x.withColumn("_prev", F.lag("ts").over(w)).filter(F.col("_prev").isNotNull())
-             .select((F.unix_micros("ts") - F.unix_micros("_prev")).alias("gap_us")))
-    ends = x.groupBy("_b").agg(F.min(F.struct(*ORDER)).alias("_first"), F.max(F.struct(*ORDER)).alias("_last"))
-    wb = Window.orderBy("_b")  # one row per bucket
-    edges = (ends.withColumn("_prev_last", F.lag("_last").over(wb)).filter(F.col("_prev_last").isNotNull())
-             .select((F.unix_micros("_first.ts") - F.unix_micros("_prev_last.ts")).alias("gap_us")))
-    return inner.unionByName(edges)
-
-
-def latency_stats(df: DataFrame, bucket_seconds: int = 3600) -> DataFrame:
-    g = consecutive_gaps(df, bucket_seconds)
+    one task; instead the order is cut into segments of equal size, each with
+    a copy of the row before it."""
+    x = halo_segments(df.select("ts", "event_id"), ORDER, 1, segment_rows)
+    prev = F.lag("ts").over(Window.partitionBy("_seg").orderBy("_pos"))
+    return (x.withColumn("_prev", prev).filter(~F.col("_halo") & F.col("_prev").isNotNull())
+            .select((F.unix_micros("ts") - F.unix_micros("_prev")).alias("gap_us")))
+
+
+def latency_stats(df: DataFrame, bucket_seconds: int | None = None, segment_rows: int = SEGMENT_ROWS) -> DataFrame:
+    """``bucket_seconds`` is accepted from callers of the time-bucket form and
+    has no effect: segments hold equally many rows."""
+    g = consecutive_gaps(df, segment_rows)
     return g.agg((F.avg("gap_us") / 1000.0).alias("mean_latency_ms"),
                  (F.max("gap_us") / 1000.0).alias("max_latency_ms"),
                  (F.min("gap_us") / 1000.0).alias("min_latency_ms"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType, StringType
 
 from ..functions.quantiles import medians_row, to_long
-from .scan import global_row_number
+from .scan import SEGMENT_ROWS, global_row_number, halo_segments
 
 
 def numeric_columns(df: DataFrame, exclude: Sequence[str] = ()) -> list[str]:
@@ -293,12 +293,16 @@ def stratified_pick(df: DataFrame, label: str, id_col: str, per_class: int, seed
 
 # -- D16 --------------------------------------------------------------------
 def sequence_windows(df: DataFrame, entity: str, order: Sequence[str], features: Sequence[str],
-                     label: str, length: int = 20) -> DataFrame:
+                     label: str, length: int = 20, segment_rows: int = SEGMENT_ROWS) -> DataFrame:
     """Sliding windows of ``length`` rows per entity: (entity, order keys of
     the last row, seq ARRAY<ARRAY<DOUBLE>>, label of the last row). Only full
-    windows are kept. The frame is bounded (``length`` rows)."""
-    w = Window.partitionBy(entity).orderBy(*order).rowsBetween(-(length - 1), Window.currentRow)
+    windows are kept. Rows are cut into segments of the order (entity,
+    ``order``) with the ``length - 1`` rows before each, so a busy entity is
+    no single task's sort."""
     vec = F.array(*[F.col(c).cast("double") for c in features])
-    return (df.withColumn("seq", F.collect_list(vec).over(w))
-            .filter(F.size("seq") == length)
-            .select(entity, *order, "seq", F.col(label).alias("label")))
+    narrow = df.select(F.col(entity).alias("_entity"), *order, vec.alias("_vec"), F.col(label).alias("label"))
+    x = halo_segments(narrow, ["_entity", *order], length - 1, segment_rows)
+    w = Window.partitionBy("_seg", "_entity").orderBy("_pos").rowsBetween(-(length - 1), Window.currentRow)
+    return (x.withColumn("seq", F.collect_list("_vec").over(w))
+            .filter(~F.col("_halo") & (F.size("seq") == length))
+            .select(F.col("_entity").alias(entity), *order, "seq", "label"))

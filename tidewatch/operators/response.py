@@ -8,13 +8,15 @@ alerts normalised by :func:`normalise_capture_alerts`.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import severity
-from .sequential import fold_by_key
+from ..session import scratch_path
+from .scan import last_value, running_sum
 
 ORDER = ["ts", "event_id"]
 
@@ -32,43 +34,136 @@ def with_severity(verdicts: DataFrame) -> DataFrame:
     return verdicts.withColumn("severity", severity("mitm_type"))
 
 
-def _block_step(duration_s: int):
-    dur = duration_s * 1_000_000
-
-    def step(state, row):
-        t = row.ts_us
-        if getattr(row, "action", "alert") == "unblock":
-            in_force = state is not None and t <= state[0]
-            return None, (False, None, state[1] if in_force else None)
-        if not row.eligible or row.src_key is None:
-            return state, (False, None, None)
-        if state is not None and t <= state[0]:
-            return state, (False, None, None)
-        return (t + dur, row.event_id), (True, t + dur, None)
-    return step
-
-
-def block_decisions(verdicts: DataFrame, auto: bool = True, duration_s: int = 1800) -> DataFrame:
+def _first_after(nodes: DataFrame, dur: int, bucket_us: int) -> DataFrame:
+    """``event_id, next``: the first alert of the same source and epoch beyond
+    each alert's expiry (both by ``(ts_us, event_id)``), or NULL.
+
+    A range join by time bucket, without pairs: an alert is a row at its own
+    time and a probe at its expiry. Inside a bucket the nearest later alert is
+    a running minimum from the end; a probe whose bucket has none takes the
+    first alert of the next bucket that has one (one row per bucket)."""
+    own = F.struct(F.col("ts_us"), F.col("event_id").alias("id"))
+    at = F.explode(F.array(F.struct(F.col("ts_us").alias("at"), F.lit(0).alias("probe"), own.alias("alert")),
+                           F.struct((F.col("ts_us") + dur).alias("at"), F.lit(1).alias("probe"), F.lit(None).alias("alert"))))
+    p = nodes.select("src_key", "epoch", "event_id", at.alias("p")).select("src_key", "epoch", "event_id", "p.*") \
+             .withColumn("bucket", F.floor(F.col("at") / bucket_us).cast("bigint"))
+    # the nearest later alert is the least of those that come before it in falling order
+    back = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    inside = back(Window.partitionBy("src_key", "epoch", "bucket").orderBy(F.desc("at"), F.desc("probe"), F.desc("event_id")))
+    near = p.withColumn("near", F.min("alert").over(inside)).where("probe = 1").select("src_key", "epoch", "bucket", "event_id", "near")
+    firsts = p.groupBy("src_key", "epoch", "bucket").agg(F.min("alert").alias("first"))
+    later = firsts.select("src_key", "epoch", "bucket", F.min("first").over(back(Window.partitionBy("src_key", "epoch").orderBy(F.desc("bucket")))).alias("far"))
+    return near.join(later, ["src_key", "epoch", "bucket"]).select("event_id", F.coalesce("near.id", "far.id").alias("next"))
+
+
+def _marked(heads: DataFrame, pointers: DataFrame, hops: int = 4) -> DataFrame:
+    """``event_id`` of all nodes on the paths that begin at ``heads``.
+
+    Pointer tables over 1, ``hops``, ``hops``^2 ... steps are built by
+    composing each with itself until no path is that long; from the longest
+    down, the nodes marked so far mark those up to ``hops - 1`` such steps on.
+    Joins are on the alert's id, so the alerts of one source are dealt over all
+    tasks; rounds grow with the logarithm of the longest path."""
+    def jump(df: DataFrame, table: DataFrame) -> DataFrame:
+        t = table.select(F.col("event_id").alias("_from"), F.col("next").alias("_to"))
+        return df.join(t, F.col("next") == F.col("_from")).drop("_from", "next").withColumnRenamed("_to", "next")
+
+    tables = [_written(pointers.where("next is not null"), "pointers")]
+    while not tables[-1].isEmpty():
+        far = tables[-1]
+        for _ in range(hops - 1):
+            far = jump(far, tables[-1])
+        tables.append(_written(far, "pointers"))
+    marked = heads.select("event_id")
+    for table in reversed(tables[:-1]):
+        step, parts = marked.withColumnRenamed("event_id", "next"), marked
+        for _ in range(hops - 1):
+            step = jump(step, table)
+            parts = parts.unionAll(step.select(F.col("next").alias("event_id")))
+        marked = _written(parts, "openings")
+    return marked
+
+
+def acts(auto: bool | str):
+    """Whether an alert is acted on: always in automatic mode, else if it is
+    critical. ``auto`` is a constant or the name of a flag column."""
+    critical = F.coalesce(F.col("severity") == "critical", F.lit(False))
+    if isinstance(auto, str):
+        return critical | F.coalesce(F.col(auto), F.lit(False))
+    return F.lit(True) if auto else critical
+
+
+def _written(df: DataFrame, tag: str) -> DataFrame:
+    path = scratch_path(df.sparkSession, f"blocks-{tag}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def auto_mode(events: DataFrame, default: bool = True, bucket_seconds: int = 3600) -> DataFrame:
+    """Adds ``auto``, whether automatic mitigation is on when each row
+    comes. Rows with ``toggle`` 'on' or 'off' set the flag, 'flip' turns it
+    over; it holds from the row after. Others have NULL.
+
+    An as-of join with the last setting before, by segmented scans: the flag is
+    that setting, turned over as often as flips came since (a difference of
+    two running counts), so no single task walks through all events."""
+    bucket_us = bucket_seconds * 1_000_000
+    x = events.withColumn("_us", F.unix_micros("ts")).withColumn("_all", F.lit(0)) \
+              .withColumn("_flip", F.coalesce((F.col("toggle") == "flip").cast("bigint"), F.lit(0).cast("bigint")))
+    bucket = F.floor(F.col("_us") / bucket_us).cast("bigint")
+    x = running_sum(x, ["_all"], ["_us", "event_id"], "_flip", bucket, "_flips")
+    setting = F.when(F.col("toggle").isin("on", "off"), F.struct((F.col("toggle") == "on").alias("flag"), F.col("_flips").alias("flips")))
+    x = last_value(x.withColumn("_set", setting), ["_all"], ["_us", "event_id"], "_set", bucket, "_last")
+    since = F.col("_flips") - F.coalesce("_last.flips", F.lit(0))
+    after = F.coalesce("_last.flag", F.lit(default)) != (since % 2 == 1)
+    return x.withColumn("auto", F.when(F.col("toggle").isNull(), after)).drop("_us", "_all", "_flip", "_flips", "_set", "_last")
+
+
+def block_decisions(verdicts: DataFrame, auto: bool | str = True, duration_s: int = 1800, bucket_seconds: int = 300) -> DataFrame:
     """R2 + R3 + R5: for every alerting verdict decide whether it opens a block
     on its source. A source already blocked is not re-blocked until its block
     expires (expired when expires_at < now); a row with ``action='unblock'``
     (a control event, whatever its verdict) ends the block in force and names
     it in ``ends_block``, the event that opened it. Only critical alerts act
-    unless ``auto``. Per-source sequential fold over ``(ts, event_id)``;
-    parallel across sources."""
+    unless ``auto``, which may be the name of a flag column (see
+    :func:`auto_mode`). Alerts without a source (null or empty) open nothing.
+    ``event_id`` tells rows apart.
+
+    Unblock events cut a source's time into epochs that know nothing of each
+    other. In an epoch the first alert opens a block, and each opening is
+    followed by the first alert beyond its expiry. So every alert points at
+    the first alert beyond its expiry, and doubling from the epoch's first
+    marks the openings: no source is walked through in one task."""
     has_action = "action" in verdicts.columns
+    dur = duration_s * 1_000_000
     control = F.coalesce(F.col("action") == "unblock", F.lit(False)) if has_action else F.lit(False)
     v = with_severity(verdicts.filter(F.col("mitm_alert") | control))
-    eligible = F.lit(True) if auto else (F.col("severity") == "critical")
-    x = v.select(
-        "event_id", "ts", "src", "dst", "mitm_type", "severity",
-        F.unix_micros("ts").alias("ts_us"), eligible.alias("eligible"),
-        F.coalesce(F.col("src").cast("string"), F.lit("")).alias("src_key"),
-        *([F.col("action")] if has_action else []))
-    x = x.withColumn("src_key", F.when(F.col("src_key") == "", None).otherwise(F.col("src_key")))
-    out = fold_by_key(x, "src_key", ["ts_us", "event_id"], _block_step(duration_s),
-                      "opens_block boolean, expires_us bigint, ends_block bigint")
-    return out.withColumn("expires_at", F.timestamp_micros("expires_us")).drop("expires_us")
+    eligible = acts(auto)
+    key = F.col("src").cast("string")
+    x = v.select("event_id", "ts", "src", "dst", "mitm_type", "severity", F.unix_micros("ts").alias("ts_us"), eligible.alias("eligible"),
+                 F.when(key != "", key).alias("src_key"), *([F.col("action")] if has_action else []),
+                 *([F.col(auto)] if isinstance(auto, str) else []))
+    x = _written(x, "alerts")
+    bucket_us = bucket_seconds * 1_000_000
+    if has_action:
+        ends = F.coalesce(F.col("action") == "unblock", F.lit(False)).cast("bigint")
+        named = x.where("src_key is not null").select("src_key", "ts_us", "event_id", "eligible", ends.alias("ctl"))
+        named = _written(running_sum(named, ["src_key"], ["ts_us", "event_id"], "ctl", F.floor(F.col("ts_us") / bucket_us), "epoch"), "epochs")
+        nodes = named.where("eligible and ctl = 0").select("src_key", "epoch", "ts_us", "event_id")
+    else:
+        nodes = x.where("src_key is not null and eligible").select("src_key", F.lit(0).cast("bigint").alias("epoch"), "ts_us", "event_id")
+    heads = nodes.groupBy("src_key", "epoch").agg(F.min(F.struct("ts_us", "event_id")).alias("h")).select("h.event_id")
+    opens = _marked(heads, _first_after(nodes, dur, bucket_us))
+    out = x.join(opens.select(F.col("event_id").alias("_opens")), F.col("event_id") == F.col("_opens"), "left") \
+           .withColumn("opens_block", F.col("_opens").isNotNull()).drop("_opens") \
+           .withColumn("expires_at", F.when(F.col("opens_block"), F.timestamp_micros(F.col("ts_us") + dur)))
+    if not has_action:
+        return out.withColumn("ends_block", F.lit(None).cast("bigint"))
+    # an epoch's last opening is in force when the control event after it comes, or has expired
+    last = nodes.join(opens, "event_id").groupBy("src_key", (F.col("epoch") + 1).alias("epoch")).agg(F.max(F.struct("ts_us", "event_id")).alias("o"))
+    ended = named.where("ctl = 1").join(last, ["src_key", "epoch"]).where(F.col("ts_us") <= F.col("o.ts_us") + dur) \
+                 .select(F.col("event_id").alias("_control"), F.col("o.event_id").alias("ends_block"))
+    return out.join(ended, F.col("event_id") == F.col("_control"), "left").drop("_control")
 
 
 def block_intervals(decisions: DataFrame, duration_s: int = 1800, keep: Sequence[str] = ()) -> DataFrame:
@@ -91,28 +186,28 @@ def active_blocks(blocks: DataFrame, at) -> DataFrame:
     return blocks.filter((F.col("blocked_at") <= at) & (F.col("expires_at") >= at))
 
 
-def mitigation_log(decisions: DataFrame, auto: bool = True) -> DataFrame:
+def mitigation_log(decisions: DataFrame, auto: bool | str = True) -> DataFrame:
     """One row per alerting verdict: types, severity, actions
     (block if it opened one, terminate whenever the alert acts) and counts;
     ``actions_text`` is the flat ``action:target;...`` sink form. Control
     events (unblock) are no alerts and have no row."""
     if "action" in decisions.columns:
         decisions = decisions.filter(F.coalesce(F.col("action") != "unblock", F.lit(True)))
-    acts = F.lit(True) if auto else (F.col("severity") == "critical")
+    acting = acts(auto)
     target = F.concat(F.coalesce(F.col("src").cast("string"), F.lit("")), F.lit("->"),
                       F.coalesce(F.col("dst").cast("string"), F.lit("")))
     block = F.struct(F.lit("block_ip").alias("action"), F.col("src").cast("string").alias("target"),
                      F.col("severity").alias("severity"))
     term = F.struct(F.lit("terminate_session").alias("action"), target.alias("target"),
                     F.col("severity").alias("severity"))
-    actions = F.when(~acts, F.array().cast("array<struct<action:string,target:string,severity:string>>")) \
+    actions = F.when(~acting, F.array().cast("array<struct<action:string,target:string,severity:string>>")) \
         .when(F.col("opens_block"), F.array(block, term)).otherwise(F.array(term))
     x = decisions.withColumn("actions", actions)
     return x.select(
         "event_id", "ts", "src", "mitm_type", "severity", "actions",
         F.array_join(F.transform("actions", lambda a: F.concat_ws(":", a["action"], a["target"])), ";")
         .alias("actions_text"),
-        F.lit(auto).alias("auto_mitigated"), F.size("actions").alias("action_count"))
+        (F.col(auto) if isinstance(auto, str) else F.lit(auto)).alias("auto_mitigated"), F.size("actions").alias("action_count"))
 
 
 def mitigation_stats(log: DataFrame, blocks: DataFrame, at, last_actions: int = 20, last_sessions: int = 50) -> DataFrame:

@@ -53,6 +53,25 @@ def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], value:
                        *[f"_seg_offset{i}" for i in range(len(values))])
 
 
+def last_value(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, bucket: Column, out: str) -> DataFrame:
+    """Add ``out`` = the latest non-null ``value`` up to each row, per ``keys``
+    in ``order`` (an as-of join of a table with itself). Inside a bucket it is
+    a running last; a bucket that begins without one takes the last of the
+    buckets before (one row per bucket). ``bucket`` must be non-decreasing
+    along ``order`` within a key."""
+    keys = list(keys)
+    b, own, before = "_last_bucket", "_last_own", "_last_before"
+    x = df.withColumn(b, bucket)
+    part = [*keys, b]
+    inside = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ends = x.where(F.col(value).isNotNull()).groupBy(*part).agg(F.max_by(value, F.struct(*order)).alias(own))
+    every = x.select(*part).distinct().join(ends, part, "left")
+    carried = every.select(*part, F.last(own, ignorenulls=True).over(
+        Window.partitionBy(*keys).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)).alias(before))
+    return (x.withColumn(own, F.last(value, ignorenulls=True).over(inside)).join(carried, part)
+            .withColumn(out, F.coalesce(own, before)).drop(b, own, before))
+
+
 def global_row_number(df: DataFrame, order: Sequence[str], out: str = "rn") -> DataFrame:
     """1-based row number in a global order without a single-partition window:
     a range-partitioned sort is written once (to the session's checkpoint
@@ -69,3 +88,26 @@ def global_row_number(df: DataFrame, order: Sequence[str], out: str = "rn") -> D
     inside = F.col(own).bitwiseAND(F.lit((1 << 33) - 1))
     return (x.withColumn("_part", part).join(shift, "_part")
             .withColumn(out, F.col("_shift") + inside + 1).drop("_part", "_shift", own))
+
+
+#: Rows of one segment of :func:`halo_segments`.
+SEGMENT_ROWS = 1 << 16
+
+
+def halo_segments(df: DataFrame, order: Sequence[str], halo: int, segment_rows: int = SEGMENT_ROWS) -> DataFrame:
+    """Rows dealt to segments of ``segment_rows`` in a global order, each with
+    copies of the ``halo`` rows before it: adds ``_seg``, ``_pos`` (the row's
+    number in the order) and ``_halo`` (TRUE for copies).
+
+    A window of at most ``halo`` preceding rows can then be taken per segment,
+    whatever entity the rows belong to: its rows that aren't copies see all
+    they need, no task needs more than a segment and its halo, and an entity
+    with most of all rows is spread like any other."""
+    if not 0 <= halo < segment_rows:
+        raise ValueError("the halo lies in one segment")
+    x = global_row_number(df, order, "_pos").withColumn("_pos", F.col("_pos") - 1)
+    own = F.floor(F.col("_pos") / segment_rows).cast("bigint")
+    tail = F.col("_pos") % segment_rows >= segment_rows - halo
+    both = F.array(F.struct(own.alias("_seg"), F.lit(False).alias("_halo")), F.struct((own + 1).alias("_seg"), F.lit(True).alias("_halo")))
+    place = F.explode(F.when(tail, both).otherwise(F.slice(both, 1, 1)))
+    return x.withColumn("_place", place).select(*x.columns, "_place._seg", "_place._halo")

@@ -4,16 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.columns import band
+import uuid
+
+from ..functions.columns import band, correct_flag
 from ..operators import feedback as fb
 from ..operators import metrics as mt
 from ..operators import packets as pk
 from ..operators import response as rs
-from ..sources.views import packets, predictions
+from ..session import scratch_path
+from ..sources import sinks
+from ..sources.views import decisions, packets, predictions
 from .common import fmt_ts, r6
 from .packet_queries import CAPTURE_ALERTS_SQL, HIJACK_SQL, W
 from .registry import register
-from .sql_views import PREDICTIONS_CTE, ts
+from .sql_views import DECISIONS_CTE, PREDICTIONS_CTE, ts
 
 # DuckDB: verdicts per packet (T4), then per-source block recursion.
 VERDICT_SQL = f"""{W},
@@ -136,6 +140,85 @@ def blocked_alerts(spark, sf_dir):
     return rs.alerts_on_blocked(a, b).select("event_id", "src", fmt_ts("blocked_at").alias("blocked_at"))
 
 
+# Toggle events: purchases with k of 2, 3 and 4 switch automatic mitigation on,
+# off and over.
+TOGGLE_SQL = f"""{VERDICT_SQL},
+tg AS (SELECT event_id, ts, CASE k WHEN 2 THEN 'on' WHEN 3 THEN 'off' ELSE 'flip' END AS toggle FROM packets
+       WHERE proto = 'OTHER' AND k BETWEEN 2 AND 4),
+mx AS (SELECT event_id, ts, CAST(NULL AS VARCHAR) AS toggle FROM v UNION ALL SELECT * FROM tg),
+m1 AS (SELECT *, count(*) FILTER (WHERE toggle = 'flip') OVER (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS flips FROM mx),
+m2 AS (SELECT event_id, toggle, flips,
+              last_value(CASE WHEN toggle IN ('on', 'off') THEN toggle = 'on' END IGNORE NULLS) OVER w AS flag,
+              last_value(CASE WHEN toggle IN ('on', 'off') THEN flips END IGNORE NULLS) OVER w AS set_at
+       FROM m1 WINDOW w AS (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)),
+el AS (SELECT v.*, coalesce(flag, true) <> ((flips - coalesce(set_at, 0)) % 2 = 1) AS auto FROM v JOIN m2 USING (event_id)),
+ea AS (SELECT *, auto OR severity = 'critical' AS acts FROM el),
+eo AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY ts, event_id) AS rn2 FROM ea WHERE acts),
+eb AS (SELECT src, rn2, event_id, true AS opens, epoch_us(ts) + 1800000000 AS expires FROM eo WHERE rn2 = 1
+       UNION ALL
+       SELECT eo.src, eo.rn2, eo.event_id, epoch_us(eo.ts) > eb.expires,
+              CASE WHEN epoch_us(eo.ts) > eb.expires THEN epoch_us(eo.ts) + 1800000000 ELSE eb.expires END
+       FROM eb JOIN eo ON eo.src = eb.src AND eo.rn2 = eb.rn2 + 1)"""
+
+
+@register("auto_toggle", sql=f"""{TOGGLE_SQL}
+SELECT ea.event_id, ea.src, severity, auto, CASE WHEN NOT acts THEN 0 WHEN opens THEN 2 ELSE 1 END AS action_count
+FROM ea LEFT JOIN eb USING (event_id)""")
+def auto_toggle(spark, sf_dir):
+    """Alerts under the automatic mode that the last toggle before them
+    left; with it off only critical alerts act."""
+    p = packets(spark, sf_dir)
+    v = pk.packet_verdict(p).filter("mitm_alert").select("event_id", "ts", "src", "dst", "mitm_alert", "mitm_type")
+    k = F.col("k")
+    toggles = p.filter((F.col("proto") == "OTHER") & k.between(2, 4)).select(
+        "event_id", "ts", "src", "dst", F.lit(False).alias("mitm_alert"), F.lit(None).cast("array<string>").alias("mitm_type"),
+        F.when(k == 2, "on").when(k == 3, "off").otherwise("flip").alias("toggle"))
+    x = rs.auto_mode(v.withColumn("toggle", F.lit(None).cast("string")).unionByName(toggles)).filter("toggle is null")
+    m = rs.mitigation_log(rs.block_decisions(x, auto="auto"), auto="auto")
+    return m.select("event_id", "src", "severity", F.col("auto_mitigated").alias("auto"), F.col("action_count").cast("int").alias("action_count"))
+
+
+def _commit_in_batches(df, path, epoch, batches=5):
+    """Commits ``df`` to a log in several batches, each twice, as a retried
+    micro-batch would."""
+    for e in range(batches):
+        part = df.filter(F.pmod(epoch, F.lit(batches)) == e)
+        for _ in range(2):
+            sinks.commit_batch(part.drop("_epoch"), path, e)
+
+
+@register("mitigation_log_file", sql=f"""{VERDICT_SQL}
+SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') AS "timestamp", mitm_type AS mitm_types, severity,
+       CASE WHEN opens THEN 'block_ip:' || CAST(src AS VARCHAR) || ';' ELSE '' END
+         || 'terminate_session:' || coalesce(CAST(src AS VARCHAR), '') || '->' || coalesce(CAST(dst AS VARCHAR), '')
+         AS actions, true AS auto_mitigated, CASE WHEN opens THEN 2 ELSE 1 END AS action_count FROM dec""")
+def mitigation_log_file(spark, sf_dir):
+    """The log written as files in batches that are each run twice,
+    and read back: every row is there once."""
+    path = scratch_path(spark, "mitigation-log-" + uuid.uuid4().hex)
+    rows = sinks.mitigation_file_rows(rs.mitigation_log(_decisions(spark, sf_dir), auto=True))
+    rows = rs._written(rows, "log")
+    _commit_in_batches(rows, path, F.col("event_id"))
+    back = sinks.committed_rows(spark, path, sinks.MITIGATION_FILE)
+    return back.select("event_id", "timestamp", "mitm_types", "severity", "actions", "auto_mitigated", "action_count")
+
+
+@register("feedback_log_file", sql=f"""WITH {DECISIONS_CTE},
+f AS (SELECT strftime(DATE '2024-01-01' + to_seconds(CAST(alert_idx % 86400 AS BIGINT)), '%Y-%m-%dT%H:%M:%S.%f') AS "timestamp",
+             alert_idx, true_label, model_prediction AS predicted, user_decision, correct FROM decisions)
+SELECT * FROM f ORDER BY "timestamp" DESC, alert_idx DESC LIMIT 50""")
+def feedback_log_file(spark, sf_dir):
+    """The feedback log committed as files in batches that are each run
+    twice; its newest 50 rows (the length is the feature), equal times by id."""
+    d = decisions(spark, sf_dir)
+    at = F.timestamp_seconds(F.unix_timestamp(F.lit("2024-01-01 00:00:00").cast("timestamp")) + F.col("alert_idx") % 86400)
+    rows = sinks.feedback_rows(d.select(at.alias("ts"), "alert_idx", "true_label", F.col("model_prediction").alias("predicted"),
+                                        "user_decision", correct_flag("user_decision", "true_label").alias("correct")))
+    path = scratch_path(spark, "feedback-log-" + uuid.uuid4().hex)
+    _commit_in_batches(rows, path, F.col("alert_idx"))
+    return sinks.newest_rows(sinks.committed_rows(spark, path, sinks.FEEDBACK_FILE), "alert_idx").drop("epoch")
+
+
 @register("capture_mitigation", sql=f"""{CAPTURE_ALERTS_SQL}
 SELECT upper(replace(type, ' ', '_')) AS mitm_type, 'high' AS severity, count(*) AS alerts, count(DISTINCT src) AS sources
 FROM alerts GROUP BY type""")
