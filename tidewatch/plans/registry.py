@@ -27,6 +27,11 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
+def oracle(name: str) -> str:
+    """SQL of a query registered before, for another way to the same rows."""
+    return _ORACLE[name]
+
+
 def _load() -> None:
     for m in _MODULES:
         importlib.import_module(f"{__package__}.{m}")

@@ -3,13 +3,22 @@ file to completion and returns its sink; the oracle is the batch SQL."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from ..operators import feedback as fb
+from ..operators import packets as pk
+from ..session import scratch_path
+from ..sources import capture
+from ..sources.tables import table
+from ..sources.views import packets, predictions_of
 from ..streaming import detectors as sd
+from ..streaming import stateful as st
 from .common import fmt_ts, r6
-from .packet_queries import HIJACK_SQL, SCAN_SQL, W
-from .registry import register
-from .sql_views import ts
+from .packet_queries import CAPTURE_ALERTS_SQL, HIJACK_SQL, SCAN_SQL, W
+from .registry import oracle, register
+from .sql_views import PREDICTIONS_CTE, ts
 
 
 def _stream(spark, sf_dir):
@@ -60,3 +69,64 @@ def stream_blocks(spark, sf_dir):
     b = sd.run_to_table(sd.dns_block_stream(_stream(spark, sf_dir)), "blocks")
     return b.select("ip", fmt_ts("blocked_at").alias("blocked_at"), fmt_ts("expires_at").alias("expires_at"),
                     "duration")
+
+
+@register("stream_verdicts", sql=oracle("packet_verdict"))
+def stream_verdicts(spark, sf_dir):
+    """T4 as a stream: a verdict for every packet."""
+    v = st.run_stateful(st.verdict_stream(_stream(spark, sf_dir)), "verdicts")
+    return v.select("event_id", "src", "proto", "mitm_alert", F.array_join("mitm_type", ";").alias("mitm_type"), r6("mitm_score", "mitm_score"))
+
+
+#: Analysts' sites: a stream of predictions belongs to one of so many.
+SITES = 16
+
+
+@register("stream_feedback", sql=f"""WITH RECURSIVE {PREDICTIONS_CTE},
+n AS (SELECT row_id, group_key % {SITES} AS site, CASE WHEN y_pred = 1 AND y_true = 1 THEN '{fb.CONFIRMED}'
+             WHEN y_pred = 1 AND y_true = 0 THEN '{fb.DISMISSED}' ELSE 'none' END AS verdict,
+             row_number() OVER (PARTITION BY group_key % {SITES} ORDER BY row_id) AS rn FROM preds),
+b AS (SELECT site, (rn - 1) // 50 AS batch, count(*) AS size, count(*) FILTER (WHERE verdict <> 'none') AS k FROM n GROUP BY ALL),
+s AS (SELECT site, batch, 0::BIGINT AS cycle, size = 50 AND k >= 100 AS closes, k AS held FROM b WHERE batch = 0
+      UNION ALL
+      SELECT b.site, b.batch, s.cycle + s.closes::BIGINT, b.size = 50 AND q.h >= 100, q.h
+      FROM s JOIN b ON b.site = s.site AND b.batch = s.batch + 1
+      CROSS JOIN LATERAL (SELECT CASE WHEN s.closes THEN 0 ELSE s.held END + b.k AS h) q),
+c AS (SELECT DISTINCT site, cycle FROM s WHERE closes)
+SELECT n.site, s.cycle, n.row_id, n.rn, n.verdict, (n.verdict = '{fb.CONFIRMED}')::INT AS label
+FROM n JOIN s ON s.site = n.site AND s.batch = (n.rn - 1) // 50 JOIN c ON c.site = s.site AND c.cycle = s.cycle WHERE n.verdict <> 'none'""")
+def stream_feedback(spark, sf_dir):
+    """T11 as a stream: retraining rows of every cycle that closes at a site."""
+    lines = table(spark, sf_dir, "lineitem")
+    p = predictions_of(spark.readStream.schema(lines.schema).option("pathGlobFilter", "lineitem.parquet").parquet(sf_dir))
+    verdict = (F.when((F.col("y_pred") == 1) & (F.col("y_true") == 1), fb.CONFIRMED)
+               .when((F.col("y_pred") == 1) & (F.col("y_true") == 0), fb.DISMISSED).otherwise("none"))
+    d = p.select((F.col("group_key") % SITES).alias("site"), "row_id", verdict.alias("verdict"))
+    return st.run_stateful(st.feedback_stream(d), "feedback").select("site", "cycle", "row_id", "rn", "verdict", "label")
+
+
+@register("stream_traffic", sql=oracle("traffic_report"))
+def stream_traffic(spark, sf_dir):
+    """T8 as a stream: counts, alerts, and heavy hitters of sources and ports
+    by mergeable summaries with an exact second pass."""
+    return st.traffic_report(_stream(spark, sf_dir), packets(spark, sf_dir).select(*pk.ORDER, "src", "dport", "proto"))
+
+
+@register("packet_source", sql=f"""{W},
+x AS (SELECT *, CASE WHEN event_id % 97 = 5 THEN 'not JSON' WHEN event_id % 89 = 7 THEN 'bad dport'
+                     WHEN event_id % 83 = 11 THEN 'no len' END AS reason FROM packets)
+SELECT CASE WHEN reason IS NULL THEN event_id END AS event_id, CASE WHEN reason IS NULL THEN {ts('ts')} END AS ts,
+       CASE WHEN reason IS NULL THEN proto END AS proto, CASE WHEN reason IS NULL THEN CAST(src AS VARCHAR) END AS src,
+       CASE WHEN reason IS NULL THEN dport END AS dport, CASE WHEN reason IS NULL THEN ROUND(length, 6) END AS length, reason FROM x""")
+def packet_source(spark, sf_dir):
+    """Events written as a capture, some lines broken, and read by the
+    capture source as a stream; every line comes back, as packet or rejected."""
+    path = scratch_path(spark, "capture-" + uuid.uuid4().hex)
+    i = F.col("event_id")
+    p = packets(spark, sf_dir).select("event_id", "ts", "proto", "length", F.col("src").cast("string").alias("src"),
+                                      F.when(i % 89 == 7, F.col("dport") + 70_000).otherwise(F.col("dport")).alias("dport"))
+    line = capture.record_line(p)
+    line = F.when(i % 97 == 5, F.substring(line, 1, 25)).when((i % 89 != 7) & (i % 83 == 11), F.regexp_replace(line, '"len":[^,}]*,?', "")).otherwise(line)
+    p.select(line.alias("value")).write.text(path)
+    got = sd.run_to_table(capture.capture_stream(spark, path, None), "capture")
+    return got.select("event_id", fmt_ts("ts").alias("ts"), "proto", "src", "dport", r6("length", "length"), "reason")

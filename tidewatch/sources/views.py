@@ -83,7 +83,11 @@ def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The predictions hub: row_id, y_true, y_score, y_pred (model a) and
     y_pred_b (model b)."""
-    li = table(spark, sf_dir, "lineitem")
+    return predictions_of(table(spark, sf_dir, "lineitem"))
+
+
+def predictions_of(li: DataFrame) -> DataFrame:
+    """The same projection of any table or stream of lines."""
     score = F.col("l_quantity") / 50.0
     return li.select(
         line_id().alias("row_id"),
