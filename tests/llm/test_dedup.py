@@ -53,6 +53,30 @@ def test_rows_that_repeat_an_id_share_decisions(spark):
     assert len(dict(out)[2]) < len(text)
 
 
+def test_unique_lines_survive_a_repeated_id(spark):
+    rng = random.Random(10)
+    shared, own = brute.make_text(rng, 80, 4), brute.make_text(rng, 48, 4)
+    df = spark.createDataFrame([(1, shared), (2, shared), (2, own), (2, None)], DOCS)
+    out = {(r.doc_id, r.text): r.removed for r in line_dedup.dedup_lines(df, removed_col="removed").collect()}
+    assert out[(1, shared)] == 0 and out[(2, own)] == 0 and (2, None) in out
+    assert [n for (d, t), n in out.items() if d == 2 and t not in (own, None)][0] > 10
+
+
+def test_every_text_keeps_a_document_under_a_repeated_id(spark):
+    rng = random.Random(12)
+    a, b = brute.make_text(rng, 60), brute.make_text(rng, 60)
+    rows = [(2, a, "x", None), (2, b, "y", 1), (2, b, "z", 1), (3, b, "x", 2), (4, a, "x", None), (None, a, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, fp int")
+    for parts in (1, 4):
+        got = simhash.keep_one(df.repartition(parts))
+        assert got.columns == df.columns
+        kept = sorted((tuple(r) for r in got.collect()), key=str)
+        assert [(d, t) for d, t, _, _ in kept] == sorted([(2, a), (2, b), (None, a)], key=str)
+        if parts == 1:
+            first = kept
+        assert kept == first
+
+
 def near_copies(rng):
     docs = [(i, brute.make_text(rng, rng.randint(30, 200))) for i in range(40)]
     n = 100

@@ -9,12 +9,13 @@ documents falls into the same chunks once the window is inside it. A chunk of
 stays where it comes first (smallest doc_id, then position) and goes
 elsewhere.
 
-Only (hash, length) of each chunk is shuffled to find repeats; the texts of
-chunks whose hash repeats follow, grouped by hash *and* text, which is the
-byte comparison. A common chunk is reduced by a partial ``min`` before it
-moves, and the join that marks its copies has one row on the other side, so
-AQE may split it. Lists of chunks to remove are joined with the documents at
-the end.
+Chunks are cut once and written with their hash, and repeated hashes are
+counted on that column alone. The chunks whose hash repeats are grouped by
+hash *and* text, which is the byte comparison. A common chunk is reduced by a
+partial ``min`` before it moves. Both joins that mark copies have one row a
+hash on the other side and read it from a written table, so both sides are
+dealt anew and AQE may split a common chunk. Lists of chunks to remove are
+joined with the documents at the end, by id and hash of the text.
 
 Chunk edges depend on the line before a passage and the last chunk on the text
 after it, so chunks miss much of a short repeated passage. ``dedup_runs`` has
@@ -25,9 +26,13 @@ has an equal one that stays. Only a SHA-256 of each pair is shuffled.
 
 Defined results of both: a null text stays null. A text keeps its other lines in
 order; one that loses all lines becomes empty. Rows with a null id lose
-nothing and remove nothing. Rows that repeat an id share its decisions (a
-repeat inside them is removed from the second on). Line ends are ``\\n``;
-a lone empty text is one empty line. An empty table gives no rows.
+nothing and remove nothing. Rows that repeat both id and text share their
+decisions (a repeat inside them is removed from the second on); rows that
+repeat an id with other texts are documents of their own. Ties in the order go
+to the smaller hash of the text. Texts of any length are cut whole. Columns of
+any name are kept, helper columns take names that the table doesn't have. Line
+ends are ``\\n``; a lone empty text is one empty line. An empty table gives no
+rows.
 """
 
 from __future__ import annotations
@@ -55,12 +60,13 @@ def _chunk_ends(lines: str, span: int, mean: int) -> str:
 
 
 def chunks(docs: DataFrame, id_col: str, text_col: str, span: int = SPAN, mean: int = MEAN_LINES) -> DataFrame:
-    """``doc_id, chunk`` (number), ``n_lines, body`` of every chunk."""
+    """``doc_id, copy`` (hash of the text), ``chunk`` (number), ``n_lines,
+    body`` of every chunk."""
     x = docs.where(col(id_col).isNotNull() & col(text_col).isNotNull()) \
-            .select(col(id_col).alias("doc_id"), F.split(col(text_col), "\n", -1).alias("lines"))
-    x = x.select("doc_id", "lines", F.expr(_chunk_ends("lines", span, mean)).alias("ends"))
+            .select(col(id_col).alias("doc_id"), F.xxhash64(col(text_col)).alias("copy"), F.split(col(text_col), "\n", -1).alias("lines"))
+    x = x.select("doc_id", "copy", "lines", F.expr(_chunk_ends("lines", span, mean)).alias("ends"))
     body = f"transform(sequence(0, size(ends) - 1), k -> struct({_size('ends')} as n_lines, {_body('lines', 'ends')} as body))"
-    return x.select("doc_id", F.posexplode(F.expr(body)).alias("chunk", "c")).select("doc_id", "chunk", "c.n_lines", "c.body")
+    return x.select("doc_id", "copy", F.posexplode(F.expr(body)).alias("chunk", "c")).select("doc_id", "copy", "chunk", "c.n_lines", "c.body")
 
 
 def _size(ends: str) -> str:
@@ -74,18 +80,20 @@ def _body(lines: str, ends: str) -> str:
 
 def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN,
                     mean: int = MEAN_LINES, min_lines: int = MIN_LINES) -> DataFrame:
-    """``doc_id, chunk, n_lines`` of every chunk to remove."""
+    """``doc_id, copy, chunk, n_lines`` of every chunk to remove."""
     every = chunks(docs, id_col, text_col, span, mean).where(F.col("n_lines") >= min_lines) \
         .where(F.col("body").rlike(HAS_WORD)) \
         .withColumn("hash", F.xxhash64("body"))
+    every = materialize(every, "chunks")
     twice = every.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select(F.col("hash").alias("hash2"))
-    maybe = materialize(every.join(twice, F.col("hash") == F.col("hash2"), "left_semi"), "chunks")
-    first = maybe.groupBy("hash", "body").agg(F.min(F.struct("doc_id", "chunk")).alias("first"), F.count("*").alias("n")) \
+    # written, as ``first`` is: a side that ends in an aggregate on the same hash keeps AQE from splitting the other
+    twice = materialize(twice, "repeated")
+    maybe = materialize(every.join(twice, F.col("hash") == F.col("hash2"), "left_semi"), "maybe")
+    first = maybe.groupBy("hash", "body").agg(F.min(F.struct("doc_id", "copy", "chunk")).alias("first"), F.count("*").alias("n")) \
                  .where("n > 1").select(F.col("hash").alias("h1"), F.col("body").alias("b1"), "first")
-    # written, so that the join deals both sides anew and a common chunk's copies can be split
     first = materialize(first, "first")
     return maybe.join(first, (F.col("hash") == F.col("h1")) & (F.col("body") == F.col("b1"))) \
-                .where(F.struct("doc_id", "chunk") != F.col("first")).select("doc_id", "chunk", "n_lines")
+                .where(F.struct("doc_id", "copy", "chunk") != F.col("first")).select("doc_id", "copy", "chunk", "n_lines")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN,
@@ -93,11 +101,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``docs`` with repeated chunks removed from ``text_col``; ``removed_col``
     adds the number of lines removed."""
     gone = repeated_chunks(docs, id_col, text_col, span, mean, min_lines)
-    key, cut, n = fresh(docs, "cut_id", "cut_chunks", "cut_lines")
-    # a row's chunk numbers: a set, since rows that repeat an id repeat their chunks
-    gone = gone.distinct().groupBy(F.col("doc_id").alias(key)) \
+    key, copy, cut, n = fresh(docs, "cut_id", "cut_copy", "cut_chunks", "cut_lines")
+    # a row's chunk numbers: a set, since rows that repeat an id and a text repeat their chunks
+    gone = gone.distinct().groupBy(F.col("doc_id").alias(key), F.col("copy").alias(copy)) \
                .agg(F.collect_list("chunk").alias(cut), F.sum("n_lines").alias(n))
-    x = docs.join(gone, col(id_col) == col(key), "left")
+    x = docs.join(gone, (col(id_col) == col(key)) & (F.xxhash64(col(text_col)) == col(copy)), "left")
     lines, ends = fresh(x, "cut_text_lines", "cut_text_ends")
     split = F.when(col(cut).isNotNull(), F.split(col(text_col), "\n", -1))
     x = x.withColumn(lines, split).withColumn(ends, F.expr(_chunk_ends(f"`{lines}`", span, mean)))

@@ -16,8 +16,10 @@ are kept; only their redundant ones are not written. Components come from
 ``connected_components``.
 
 Defined results: null and empty texts have fingerprint zero and link like any
-other; texts with fewer words than a shingle are one shingle. Every input row
-gives one output row, so repeated rows repeat. ``component_id`` is the smallest
+other; texts with fewer words than a shingle are one shingle, and very long ones
+are hashed whole, ``CHUNK`` shingles at a time. Columns of any name are kept or
+have no influence. Every input row gives one output row, so repeated rows
+repeat. ``component_id`` is the smallest
 non-null id; rows without an id don't name a component.
 """
 
@@ -148,29 +150,47 @@ def _link_batches(bits: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS,
-                    id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, fingerprint`` (16 hex digits), ``component_id`` per document."""
+def _grouped(docs: DataFrame, shingle: int, max_bits: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """``doc_id, copy`` (hash of the text), ``fp`` per row, and ``own_fp,
+    root`` per fingerprint: those of one component share a root."""
     if not 0 <= max_bits <= 2 * SEGMENTS - 1:
         raise ValueError(f"max_bits {max_bits}: the segments find up to {2 * SEGMENTS - 1}")
-    fps = materialize(docs.select(col(id_col).alias("doc_id"), _fingerprint_udf(shingle)(col(text_col)).alias("fp")), "fp")
+    fps = materialize(docs.select(col(id_col).alias("doc_id"), F.xxhash64(col(text_col)).alias("copy"),
+                                  _fingerprint_udf(shingle)(col(text_col)).alias("fp")), "fp")
     own = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-fp")
     keyed = own.select(F.explode(F.expr(segment_keys())).alias("key"), "fp") \
                .repartition("key").sortWithinPartitions("key")
     comp = connected_components(keyed.mapInArrow(_link_batches(max_bits), "a bigint, b bigint"))
-    member = own.join(comp, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"), "first_id")
+    member = own.join(comp, F.col("fp") == F.col("node"), "left").select(F.col("fp").alias("own_fp"), F.coalesce("root", "fp").alias("root"), "first_id")
+    return fps, member
+
+
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS,
+                    id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, fingerprint`` (16 hex digits), ``component_id`` per document."""
+    fps, member = _grouped(docs, shingle, max_bits, id_col, text_col)
     top = member.groupBy(F.col("root").alias("top")).agg(F.min("first_id").alias("component_id"))
-    named = member.join(top, F.col("root") == F.col("top")).select(F.col("fp").alias("own_fp"), "component_id")
+    named = member.join(top, F.col("root") == F.col("top")).select("own_fp", "component_id")
     return fps.join(named, F.col("fp") == F.col("own_fp")) \
               .select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS,
              id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each component, the one with the smallest id, with all
-    columns; of rows that repeat an id, one. Rows without an id stay: no
-    decision can name them."""
-    found = near_duplicates(docs, shingle, max_bits, id_col, text_col)
-    keep = found.where("doc_id = component_id").select(F.col("doc_id").alias("keep_id")).distinct()
-    one = docs.join(keep, col(id_col) == F.col("keep_id"), "left_semi").dropDuplicates([id_col])
+    """One document of each component with all columns: the one with the
+    smallest id, and among different texts under that id the one with the
+    smallest hash. Rows that repeat an id belong to the components of their
+    own texts; of rows that repeat both, the one with the smallest hash of its
+    other columns stays. Rows without an id stay: no decision can name them."""
+    fps, member = _grouped(docs, shingle, max_bits, id_col, text_col)
+    best = fps.where("doc_id is not null").groupBy("fp").agg(F.min(F.struct("doc_id", "copy")).alias("best"))
+    keep = best.join(member, F.col("fp") == F.col("own_fp")).groupBy("root").agg(F.min("best").alias("best")) \
+               .select(F.col("best.doc_id").alias("keep_id"), F.col("best.copy").alias("keep_copy")).distinct()
+    own_copy = F.xxhash64(col(text_col))
+    others = [col(c) for c in docs.columns if c not in (id_col, text_col)]
+    rest = F.xxhash64(F.to_json(F.struct(*others))) if others else F.lit(0)
+    one = docs.join(keep, (col(id_col) == F.col("keep_id")) & (own_copy == F.col("keep_copy")), "left_semi") \
+        .groupBy(col(id_col).alias("keep_id"), own_copy.alias("keep_copy")) \
+        .agg(F.min_by(F.struct(*[col(c) for c in docs.columns]), rest).alias("kept")) \
+        .select(*[F.col("kept").getField(c).alias(c) for c in docs.columns])
     return one.unionAll(docs.where(col(id_col).isNull()))

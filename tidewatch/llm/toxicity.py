@@ -113,7 +113,8 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", max_rows:
     x = rows.mapInArrow(_features, f"doc_id {id_type}, label int, at array<int>") \
             .withColumn("h", F.xxhash64(F.lit("toxicity"), "doc_id")).withColumn("task", F.lit(0))
     # a bounded sample in one task; L1 leaves few weights, DIM at the very most
-    got = x.groupBy("task").applyInPandas(_fit_task, "at int, w double").orderBy("at").toPandas()
+    # (sorted here: a sort in Spark samples its input, which would train twice)
+    got = x.groupBy("task").applyInPandas(_fit_task, "at int, w double").toPandas().sort_values("at")
     return got["at"].to_numpy(np.int64), got["w"].to_numpy(np.float64)
 
 
