@@ -9,13 +9,13 @@ documents falls into the same chunks once the window is inside it. A chunk of
 stays where it comes first (smallest doc_id, then position) and goes
 elsewhere.
 
-Chunks are cut once and written with their hash, and repeated hashes are
-counted on that column alone. The chunks whose hash repeats are grouped by
-hash *and* text, which is the byte comparison. A common chunk is reduced by a
-partial ``min`` before it moves. Both joins that mark copies have one row a
-hash on the other side and read it from a written table, so both sides are
-dealt anew and AQE may split a common chunk. Lists of chunks to remove are
-joined with the documents at the end, by id and hash of the text.
+A narrow table of chunk hashes is written first, and repeated hashes are found
+on it. Only then are texts cut again, and only chunks whose hash repeats move:
+they are grouped by hash *and* text, which is the byte comparison. A common
+chunk is reduced by a partial ``min`` before it moves. The joins that mark its
+copies have one row a hash on the other side, read from a written table, so
+both sides are dealt anew and AQE may split it. Lists of chunks go to the
+documents by id and hash of the text.
 
 Chunk edges depend on the line before a passage and the last chunk on the text
 after it, so chunks miss much of a short repeated passage. ``dedup_runs`` has
@@ -84,11 +84,20 @@ def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     every = chunks(docs, id_col, text_col, span, mean).where(F.col("n_lines") >= min_lines) \
         .where(F.col("body").rlike(HAS_WORD)) \
         .withColumn("hash", F.xxhash64("body"))
-    every = materialize(every, "chunks")
-    twice = every.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select(F.col("hash").alias("hash2"))
+    narrow = materialize(every.select("hash", "doc_id", "copy", "chunk"), "chunks")
+    twice = narrow.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select(F.col("hash").alias("hash2"))
     # written, as ``first`` is: a side that ends in an aggregate on the same hash keeps AQE from splitting the other
     twice = materialize(twice, "repeated")
-    maybe = materialize(every.join(twice, F.col("hash") == F.col("hash2"), "left_semi"), "maybe")
+    wanted = narrow.join(twice, F.col("hash") == F.col("hash2"), "left_semi").distinct() \
+                   .groupBy(F.col("doc_id").alias("_want_id"), F.col("copy").alias("_want_copy")).agg(F.collect_list("chunk").alias("_want"))
+    wanted = materialize(wanted, "wanted")
+    texts = docs.select(col(id_col).alias("doc_id"), col(text_col).alias("text"))
+    texts = texts.join(wanted, (F.col("doc_id") == F.col("_want_id")) & (F.xxhash64("text") == F.col("_want_copy"))) \
+                 .select("doc_id", F.col("_want_copy").alias("copy"), "_want", F.split("text", "\n", -1).alias("lines"))
+    texts = texts.withColumn("ends", F.expr(_chunk_ends("lines", span, mean)))
+    body = f"transform(_want, k -> struct(k as chunk, {_size('ends')} as n_lines, {_body('lines', 'ends')} as body))"
+    maybe = texts.select("doc_id", "copy", F.explode(F.expr(body)).alias("c")).select("doc_id", "copy", "c.*").withColumn("hash", F.xxhash64("body"))
+    maybe = materialize(maybe, "maybe")
     first = maybe.groupBy("hash", "body").agg(F.min(F.struct("doc_id", "copy", "chunk")).alias("first"), F.count("*").alias("n")) \
                  .where("n > 1").select(F.col("hash").alias("h1"), F.col("body").alias("b1"), "first")
     first = materialize(first, "first")
@@ -105,6 +114,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # a row's chunk numbers: a set, since rows that repeat an id and a text repeat their chunks
     gone = gone.distinct().groupBy(F.col("doc_id").alias(key), F.col("copy").alias(copy)) \
                .agg(F.collect_list("chunk").alias(cut), F.sum("n_lines").alias(n))
+    gone = materialize(gone, "gone")
     x = docs.join(gone, (col(id_col) == col(key)) & (F.xxhash64(col(text_col)) == col(copy)), "left")
     lines, ends = fresh(x, "cut_text_lines", "cut_text_ends")
     split = F.when(col(cut).isNotNull(), F.split(col(text_col), "\n", -1))
