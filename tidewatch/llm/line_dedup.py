@@ -15,7 +15,8 @@ they are grouped by hash *and* text, which is the byte comparison. A common
 chunk is reduced by a partial ``min`` before it moves. The joins that mark its
 copies have one row a hash on the other side, read from a written table, so
 both sides are dealt anew and AQE may split it. Lists of chunks go to the
-documents by id and hash of the text.
+documents by id and hash of the text. All these tables grow with the corpus,
+so the joins are sort-merge joins at any size and none is broadcast.
 
 Chunk edges depend on the line before a passage and the last chunk on the text
 after it, so chunks miss much of a short repeated passage. ``dedup_runs`` has
@@ -88,11 +89,11 @@ def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     twice = narrow.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select(F.col("hash").alias("hash2"))
     # written, as ``first`` is: a side that ends in an aggregate on the same hash keeps AQE from splitting the other
     twice = materialize(twice, "repeated")
-    wanted = narrow.join(twice, F.col("hash") == F.col("hash2"), "left_semi").distinct() \
+    wanted = narrow.join(twice.hint("merge"), F.col("hash") == F.col("hash2"), "left_semi").distinct() \
                    .groupBy(F.col("doc_id").alias("_want_id"), F.col("copy").alias("_want_copy")).agg(F.collect_list("chunk").alias("_want"))
     wanted = materialize(wanted, "wanted")
     texts = docs.select(col(id_col).alias("doc_id"), col(text_col).alias("text"))
-    texts = texts.join(wanted, (F.col("doc_id") == F.col("_want_id")) & (F.xxhash64("text") == F.col("_want_copy"))) \
+    texts = texts.join(wanted.hint("merge"), (F.col("doc_id") == F.col("_want_id")) & (F.xxhash64("text") == F.col("_want_copy"))) \
                  .select("doc_id", F.col("_want_copy").alias("copy"), "_want", F.split("text", "\n", -1).alias("lines"))
     texts = texts.withColumn("ends", F.expr(_chunk_ends("lines", span, mean)))
     body = f"transform(_want, k -> struct(k as chunk, {_size('ends')} as n_lines, {_body('lines', 'ends')} as body))"
@@ -101,7 +102,7 @@ def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = maybe.groupBy("hash", "body").agg(F.min(F.struct("doc_id", "copy", "chunk")).alias("first"), F.count("*").alias("n")) \
                  .where("n > 1").select(F.col("hash").alias("h1"), F.col("body").alias("b1"), "first")
     first = materialize(first, "first")
-    return maybe.join(first, (F.col("hash") == F.col("h1")) & (F.col("body") == F.col("b1"))) \
+    return maybe.join(first.hint("merge"), (F.col("hash") == F.col("h1")) & (F.col("body") == F.col("b1"))) \
                 .where(F.struct("doc_id", "copy", "chunk") != F.col("first")).select("doc_id", "copy", "chunk", "n_lines")
 
 
@@ -115,7 +116,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     gone = gone.distinct().groupBy(F.col("doc_id").alias(key), F.col("copy").alias(copy)) \
                .agg(F.collect_list("chunk").alias(cut), F.sum("n_lines").alias(n))
     gone = materialize(gone, "gone")
-    x = docs.join(gone, (col(id_col) == col(key)) & (F.xxhash64(col(text_col)) == col(copy)), "left")
+    x = docs.join(gone.hint("merge"), (col(id_col) == col(key)) & (F.xxhash64(col(text_col)) == col(copy)), "left")
     lines, ends = fresh(x, "cut_text_lines", "cut_text_ends")
     split = F.when(col(cut).isNotNull(), F.split(col(text_col), "\n", -1))
     x = x.withColumn(lines, split).withColumn(ends, F.expr(_chunk_ends(f"`{lines}`", span, mean)))
