@@ -72,6 +72,26 @@ def explanation_rows(top: DataFrame, descriptions: DataFrame | None = None) -> D
         .alias("summary_line"))
 
 
+def explanation_documents(contrib: DataFrame, verdicts: DataFrame, descriptions: DataFrame | None = None,
+                          n_pos: int = 5, n_neg: int = 3) -> DataFrame:
+    """X4 whole: one nested row per alert: verdict texts, probability, a
+    summary sentence (P16), the shown features with their texts in display
+    order, their lines, and all features. ``verdicts`` has ``alert_id,
+    true_text, predicted_text, correct, probability``. Groups are bounded by
+    the number of features."""
+    shown = explanation_rows(split_top(contrib, n_pos, n_neg), descriptions)
+    cells = [c for c in shown.columns if c not in ("alert_id", "summary_line")]
+    top = shown.groupBy("alert_id").agg(F.array_sort(F.collect_list(F.struct(*cells))).alias("features"),
+                                        F.array_sort(F.collect_list(F.struct("position", "summary_line"))).alias("lines"))
+    every = contrib.groupBy("alert_id").agg(F.array_sort(F.collect_list(F.struct(
+        "feature", F.round("value", 3).alias("value"), F.round("importance", 4).alias("importance")))).alias("all_features"))
+    sentence = F.format_string("Classified as **%s** with a confidence of %.2f%%, which is **%s** (true label: %s).", F.col("predicted_text"),
+                               F.col("probability") * 100, F.when(F.col("correct"), "right").otherwise("wrong"), F.col("true_text"))
+    return verdicts.join(top, "alert_id").join(every, "alert_id").select(
+        "alert_id", F.col("true_text").alias("true_label"), F.col("predicted_text").alias("predicted"), F.round("probability", 4).alias("probability"),
+        "correct", sentence.alias("summary"), F.transform("lines", lambda x: x["summary_line"]).alias("details"), "features", "all_features")
+
+
 def narratives(contrib: DataFrame, k: int = 3, alert_type=None) -> DataFrame:
     """X5/L6/P13: 'Alert triggered primarily by: f (12.3% contribution), ...'
     over the top-k features by weight (share of |contribution|)."""

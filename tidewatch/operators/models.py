@@ -8,6 +8,7 @@ train per tree / score per batch with numpy inside Spark tasks.
 
 from __future__ import annotations
 
+import math
 import os
 from collections.abc import Sequence
 
@@ -20,7 +21,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StringType, StructType
 
 from ..session import scratch_path
 
@@ -348,7 +349,7 @@ def forest_nodes(model: PipelineModel) -> DataFrame:
     stats = F.col("nodeData.impurityStats")
     total = F.aggregate(stats, F.lit(0.0), lambda a, b: a + b)
     p1 = F.when(F.size(stats) > 1, stats[1] / total).otherwise(F.lit(0.0))
-    return nodes.select(F.col("treeID").alias("tree"), F.col("nodeData.id").alias("id"), p1.alias("value"),
+    return nodes.select(F.col("treeID").alias("tree"), F.col("nodeData.id").alias("id"), p1.alias("value"), total.alias("cover"),
                         F.col("nodeData.split.featureIndex").alias("feature"),
                         F.get(F.col("nodeData.split.leftCategoriesOrThreshold"), 0).alias("threshold"),
                         F.col("nodeData.leftChild").alias("left"), F.col("nodeData.rightChild").alias("right"))
@@ -397,6 +398,83 @@ def tree_contributions(model: PipelineModel, df: DataFrame, features: Sequence[s
     return sums.unpivot([id_col], [*features, "__base__"], "feature", "contribution")
 
 
+# -- X1: Shapley values -----------------------------------------------------
+def leaf_boxes(tree: pd.DataFrame, n_features: int) -> tuple[np.ndarray, ...]:
+    """Per leaf of one tree: its class-1 value, the box ``(lo, hi]`` of the
+    rows that reach it, and per feature the share of training rows that its
+    splits on that feature let through."""
+    g = tree.sort_values("id")
+    value, cover, feat, at = (g[c].to_numpy() for c in ("value", "cover", "feature", "threshold"))
+    left, right = g["left"].to_numpy(), g["right"].to_numpy()
+    out, todo = [], [(0, np.full(n_features, -np.inf), np.full(n_features, np.inf), np.ones(n_features))]
+    while todo:
+        node, lo, hi, share = todo.pop()
+        if left[node] < 0:
+            out.append((value[node], lo, hi, share))
+            continue
+        f = int(feat[node])
+        for child, low in ((left[node], lo[f]), (right[node], max(lo[f], at[node]))):
+            lo2, hi2, share2 = lo.copy(), hi.copy(), share.copy()
+            lo2[f] = low
+            if child == left[node]:
+                hi2[f] = min(hi[f], at[node])
+            share2[f] *= cover[child] / cover[node]
+            todo.append((int(child), lo2, hi2, share2))
+    return tuple(np.array(c) for c in zip(*out, strict=True))
+
+
+def leaf_shapley(x: np.ndarray, value: np.ndarray, lo: np.ndarray, hi: np.ndarray, share: np.ndarray, cells: int = 1 << 20) -> np.ndarray:
+    """Shapley values of one tree for the rows of ``x``: what a leaf adds when
+    the features of a set are known is its value times, per feature, whether
+    the row is inside its box (known) or the share (unknown). Sets of equal
+    size weigh the same, so the sum over all sets of the other features is a
+    polynomial with a factor (share + inside * y) for each, its coefficients
+    weighted by size."""
+    n = x.shape[1]
+    weight = [math.factorial(k) * math.factorial(n - 1 - k) / math.factorial(n) for k in range(n)]
+    out, step = np.zeros(x.shape), max(1, cells // max(1, len(x)))
+    for at in range(0, len(value), step):
+        part = slice(at, at + step)
+        inside = [((x[:, j:j + 1] > lo[part, j]) & (x[:, j:j + 1] <= hi[part, j])).astype(float) for j in range(n)]
+        for i in range(n):
+            poly = [np.ones((len(x), len(value[part])))]
+            for j in range(n):
+                if j != i:
+                    z, o = share[part, j], inside[j]
+                    poly = [(poly[k] * z if k < len(poly) else 0) + (poly[k - 1] * o if k else 0) for k in range(len(poly) + 1)]
+            sets = sum(c * w for c, w in zip(poly, weight, strict=True))
+            out[:, i] += ((inside[i] - share[part, i]) * sets * value[part]).sum(axis=1)
+    return out
+
+
+def shapley_contributions(model: PipelineModel, df: DataFrame, features: Sequence[str], id_col: str, block_rows: int = 256) -> DataFrame:
+    """Exact Shapley values of the forest's class-1 probability per row
+    and feature, unknown features being taken by the training rows' shares at
+    each split. Long form ``(id, feature, contribution)`` with a ``__base__``
+    row per id; they sum to the row's probability.
+
+    Work is rows x leaves: one group holds one tree and a block of rows, so
+    trees and blocks run in parallel; it is meant for the rows to explain."""
+    trees = model.stages[-1].getNumTrees
+    n, id_type = len(features), df.schema[id_col].dataType
+    x = df.select(F.col(id_col).alias("id"), F.array(*[F.col(f).cast("double") for f in features]).alias("x")).checkpoint()
+    blocks = max(1, -(-x.count() // block_rows))
+    rows = x.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
+    nodes = forest_nodes(model).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+
+    def explain(rows: pd.DataFrame, tree: pd.DataFrame) -> pd.DataFrame:
+        if rows.empty:
+            return pd.DataFrame({"id": rows["id"], "phi": [], "base": []})
+        value, lo, hi, share = leaf_boxes(tree, n)
+        phi = leaf_shapley(np.stack(rows["x"].to_list()), value, lo, hi, share)
+        return pd.DataFrame({"id": rows["id"], "phi": phi.tolist(), "base": float((value * share.prod(axis=1)).sum())})
+
+    schema = StructType().add("id", id_type).add("phi", ArrayType(DoubleType())).add("base", DoubleType())
+    got = rows.groupBy("tree", "block").cogroup(nodes.groupBy("tree", "block")).applyInPandas(explain, schema)
+    sums = got.groupBy("id").agg(*[(F.sum(F.col("phi")[i]) / trees).alias(f) for i, f in enumerate(features)], (F.sum("base") / trees).alias("__base__"))
+    return sums.withColumnRenamed("id", id_col).unpivot([id_col], [*features, "__base__"], "feature", "contribution")
+
+
 # -- X2: local surrogate ----------------------------------------------------
 def local_surrogate(model: PipelineModel, instances: DataFrame, features: Sequence[str], id_col: str,
                     scale: DataFrame, n_samples: int = 1000, kernel_width: float | None = None,

@@ -102,6 +102,33 @@ def alert_explanations(spark, sf_dir):
     return rows.withColumn("position", F.col("position").cast("int"))
 
 
+@register("alert_documents", sql=f"""{CONTRIB_SQL}, {PREDICTIONS_CTE},
+r AS (SELECT *, row_number() OVER (PARTITION BY alert_id, importance >= 0
+              ORDER BY CASE WHEN importance >= 0 THEN -importance ELSE importance END, feature) AS rr FROM contrib),
+t AS (SELECT *, CASE WHEN importance >= 0 THEN rr ELSE rr + 5 END AS position FROM r
+      WHERE (importance >= 0 AND rr <= 5) OR (importance < 0 AND rr <= 3)),
+k AS (SELECT alert_id, count(*) AS n_shown, string_agg(feature, ';' ORDER BY position) AS shown,
+             string_agg(printf('- **%s** was %s (%.2f), which %s (importance: %.4f)', feature, {_bands('value', False)}, value,
+                        CASE WHEN importance > 0 THEN 'pushed toward **attack**' ELSE 'pushed toward **benign**' END,
+                        abs(importance)), chr(10) ORDER BY position) AS details FROM t GROUP BY alert_id),
+a AS (SELECT alert_id, string_agg(feature, ';' ORDER BY feature) AS every FROM contrib GROUP BY alert_id)
+SELECT alert_id, CASE WHEN y_true = 1 THEN 'Attack' ELSE 'Benign' END AS true_label, CASE WHEN y_pred = 1 THEN 'Attack' ELSE 'Benign' END AS predicted,
+       printf('Classified as **%s** with a confidence of %.2f%%, which is **%s** (true label: %s).', CASE WHEN y_pred = 1 THEN 'Attack' ELSE 'Benign' END,
+              y_score * 100, CASE WHEN y_pred = y_true THEN 'right' ELSE 'wrong' END, CASE WHEN y_true = 1 THEN 'Attack' ELSE 'Benign' END) AS summary,
+       details, n_shown, shown, every
+FROM preds JOIN k ON k.alert_id = preds.row_id JOIN a USING (alert_id)""")
+def alert_documents(spark, sf_dir):
+    """The whole explanation document of every alert (nested; flat
+    here to be compared)."""
+    desc = spark.createDataFrame(list(FEATURE_TEXT.items()), "feature string, description string")
+    v = ex.verdict_text(predictions(spark, sf_dir), "y_true", "y_pred").select(
+        F.col("row_id").alias("alert_id"), "true_text", "predicted_text", "correct", F.col("y_score").alias("probability"))
+    d = ex.explanation_documents(_contributions(spark, sf_dir), v, desc)
+    return d.select("alert_id", "true_label", "predicted", "summary", F.array_join("details", "\n").alias("details"),
+                    F.size("features").cast("bigint").alias("n_shown"), F.array_join("features.feature", ";").alias("shown"),
+                    F.array_join("all_features.feature", ";").alias("every"))
+
+
 @register("alert_narrative", sql=f"""{CONTRIB_SQL},
 w AS (SELECT alert_id, feature, CASE WHEN sum(abs(importance)) OVER (PARTITION BY alert_id) = 0 THEN 0
              ELSE abs(importance) / sum(abs(importance)) OVER (PARTITION BY alert_id) END AS weight FROM contrib),

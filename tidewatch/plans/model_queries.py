@@ -200,6 +200,35 @@ def forest_identity(spark, sf_dir):
                                    F.count(F.when(F.abs(F.col("total") - F.col("y_score")) > 1e-9, 1)).alias("unequal"))
 
 
+#: Alerts of each class that are explained row by row, as the alert list shows.
+EXPLAINED = 6
+
+
+def _explained(spark, sf_dir):
+    model, test = _rf(spark, sf_dir)
+    return model, prep.stratified_pick(test, "label", "row_id", EXPLAINED)
+
+
+@register("shapley_contributions")
+def shapley_contributions(spark, sf_dir):
+    """Exact Shapley values of the forest for the explained alerts."""
+    model, pick = _explained(spark, sf_dir)
+    c = md.shapley_contributions(model, pick, NUM, "row_id")
+    return c.select("row_id", "feature", r6("contribution", "contribution"))
+
+
+@register("shapley_identity", sql=f"""{_TEST_ROWS}
+SELECT row_id, label AS y_true, true AS adds_up FROM
+  (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score, row_id) AS pick FROM test) WHERE pick <= {EXPLAINED}""")
+def shapley_identity(spark, sf_dir):
+    """Whether base value and Shapley values of each explained alert sum to
+    its probability."""
+    model, pick = _explained(spark, sf_dir)
+    sc = md.score(model, pick, ["row_id", F.col("label").alias("y_true")])
+    tot = md.shapley_contributions(model, pick, NUM, "row_id").groupBy("row_id").agg(F.sum("contribution").alias("total"))
+    return sc.join(tot, "row_id").select("row_id", "y_true", (F.abs(F.col("total") - F.col("y_score")) < 1e-9).alias("adds_up"))
+
+
 @register("svm_scored_rows", sql=f"""{_TEST_ROWS}
 SELECT label AS y_true, count(*) AS scored, CAST(0 AS BIGINT) AS odd FROM test GROUP BY label""")
 def svm_scored_rows(spark, sf_dir):
@@ -221,6 +250,31 @@ def local_surrogate(spark, sf_dir):
     return s.select("row_id", "feature", r6("weight", "weight"), "rank")
 
 
+def _feedback_rows(spark, sf_dir):
+    """The forest, its training rows, the retraining set that analysts' verdicts
+    on half of the test rows give, and the other half."""
+    base, test = _rf(spark, sf_dir)
+    half = prep.hash_score("row_id", 11) < 0.5
+    scored = md.score(base, test.filter(half), ["row_id", "label", *NUM]).checkpoint()
+    verdict = (F.when((F.col("y_pred") == 1) & (F.col("label") == 1), fb.CONFIRMED)
+               .when((F.col("y_pred") == 1) & (F.col("label") == 0), fb.DISMISSED).otherwise("none"))
+    cyc = fb.assign_cycles(scored.withColumn("verdict", verdict).withColumn("y_true", F.col("label")), ["row_id"])
+    rset = fb.retraining_set(cyc, label_rule="truth").select(*NUM, "label")
+    return base, _split(spark, sf_dir).filter(~F.col("is_test")), rset, test.filter(~half)
+
+
+@register("retrain_append", sql=f"""{_TEST_ROWS}
+SELECT label AS y_true, count(*) AS scored, CAST(0 AS BIGINT) AS outside FROM test
+WHERE {SCORE_SQL.replace('42:', '11:')} >= 0.5 GROUP BY label""")
+def retrain_append(spark, sf_dir):
+    """M2, the default: a refit on base and feedback rows; rows of the other
+    half scored per label, and scores outside [0, 1]."""
+    _, train, rset, holdout = _feedback_rows(spark, sf_dir)
+    refit = md.partial_retrain(train, rset, NUM, "label", mode="append")
+    sc = md.score(refit, holdout, ["row_id", F.col("label").alias("y_true")])
+    return sc.groupBy("y_true").agg(F.count(F.lit(1)).alias("scored"), F.count(F.when(~F.col("y_score").between(0, 1), 1)).alias("outside"))
+
+
 @register("retrain_comparison")
 def retrain_comparison(spark, sf_dir):
     """Analyst feedback on half of the test rows (confirmed /

@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..functions.columns import correct_flag, question_code
 from ..session import scratch_path
 from ..sources import flows as fl
 from ..sources import study
@@ -50,6 +51,42 @@ def ingested_flows(spark, sf_dir):
         F.count("unsw_label").alias("own_labels"))
 
 
+@register("globbed_flows", sql="""
+SELECT count(*) AS rows, count(*) FILTER (WHERE l_returnflag = 'N') AS benign, count(*) FILTER (WHERE l_returnflag <> 'N') AS attack,
+       'flow_duration;label' AS features FROM lineitem""")
+def globbed_flows(spark, sf_dir):
+    """Every CSV file of a folder, its class counts, and the columns
+    that the leak-safe drop list leaves for features (and the label)."""
+    at = _folder(spark, "glob")
+    li = table(spark, sf_dir, "lineitem")
+    li.select(F.col("l_orderkey").cast("string").alias("Flow ID"), F.col("l_quantity").alias(" Packet Length "),
+              F.col("l_tax").alias("Flow Duration"), F.when(F.col("l_returnflag") == "N", "BENIGN").otherwise("DoS").alias("Label")).write.option("header", True).csv(at)
+    f = fl.load_glob(spark, at)
+    kept = ";".join(sorted(c for c in fl.feature_matrix(f).columns if c in ("flow_id", "label", "packet_length", "flow_duration", "attack_cat")))
+    return fl.class_counts(f).select("rows", "benign", "attack", F.lit(kept).alias("features"))
+
+
+@register("combined_study", sql=f"""WITH {DECISIONS_CTE}, {ANSWERS_CTE}
+SELECT 'decisions' AS name, count(*) AS n, CAST(sum(correct) AS BIGINT) AS total FROM decisions
+UNION ALL SELECT question, count(*), CAST(sum(answer) AS BIGINT) FROM answers GROUP BY question""")
+def combined_study(spark, sf_dir):
+    """The combined decision and questionnaire files, written and read
+    with declared schemas; answers are codes of the labels analysts chose."""
+    at = _folder(spark, "combined")
+    d = decisions(spark, sf_dir).withColumn("correct", correct_flag("user_decision", "true_label"))
+    d.select((F.col("user_id") % 1_000_000).cast("int").alias("user_id"), "phase", F.lit(0).alias("alert_idx"), "user_decision", "time_seconds",
+             "model_prediction", "true_label", "correct", F.lit("").alias("feedback")).write.option("header", True).csv(f"{at}/results")
+    chosen = F.concat(F.col("answer").cast("string"), F.lit(" - chosen"))
+    code = question_code(chosen)
+    a = answers(spark, sf_dir)
+    a.select((F.col("user_id") % 1_000_000).cast("int").alias("user"),
+             *[F.when(F.col("question") == f"q{i}", code).alias(f"q{i}") for i in range(1, 6)]).write.option("header", True).csv(f"{at}/answers")
+    r, q = study.read_combined(spark, f"{at}/results", f"{at}/answers")
+    long = q.unpivot(["user"], [f"q{i}" for i in range(1, 6)], "name", "v").filter("v is not null")
+    return r.agg(F.lit("decisions").alias("name"), F.count("*").alias("n"), F.sum("correct").alias("total")).unionByName(
+        long.groupBy("name").agg(F.count("*").alias("n"), F.sum("v").alias("total")))
+
+
 @register("study_files", sql=f"""WITH {DECISIONS_CTE}, {ANSWERS_CTE}
 SELECT phase AS name, count(*) AS n, ROUND(sum(time_seconds), 4) AS total FROM decisions GROUP BY phase
 UNION ALL SELECT question, count(*), CAST(sum(answer) AS DOUBLE) FROM answers GROUP BY question""")

@@ -168,4 +168,4 @@ def class_counts(flows: DataFrame) -> DataFrame:
 def feature_matrix(flows: DataFrame, drop: Sequence[str] = LEAK_SAFE_DROP) -> DataFrame:
     """P5: features = everything but identifiers, label and leak-prone
     copies (missing names ignored); label kept as INT."""
-    return flows.drop(*drop).withColumn("label", flows["label"].cast("int"))
+    return flows.withColumn("label", F.col("label").cast("int")).drop(*[c for c in drop if c != "label"])
