@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType, StringType
 
 from ..functions.quantiles import medians_row, to_long
-from .scan import SEGMENT_ROWS, global_row_number, halo_segments
+from .scan import SEGMENT_ROWS, global_row_number, halo_segments, running_sum
 
 
 def numeric_columns(df: DataFrame, exclude: Sequence[str] = ()) -> list[str]:
@@ -199,6 +199,69 @@ def binned_mutual_info(df: DataFrame, cols: Sequence[str], label: str = "label",
     return j.groupBy(F.col("c_name").alias("feature")).agg(F.sum(term).alias("mi"))
 
 
+def digamma(x):
+    """Digamma of a column of numbers >= 1: the asymptotic series at x + 6,
+    error below 1e-10."""
+    y = x.cast("double") + 6
+    z = 1 / (y * y)
+    series = F.log(y) - 0.5 / y - z * (1 / 12 - z * (1 / 120 - z * (1 / 252 - z / 240)))
+    for i in range(6):
+        series = series - 1 / (x.cast("double") + i)
+    return series
+
+
+def neighbour_mutual_info(df: DataFrame, cols: Sequence[str], label: str = "label", k: int = 3,
+                          segment_rows: int = SEGMENT_ROWS) -> DataFrame:
+    """Mutual information (nats) between each continuous feature and the
+    label by nearest neighbours (Ross 2014), without binning: (feature, mi).
+
+    A row's radius is the distance to its ``k``-th neighbour of the same class
+    (``n - 1``-th in a class of ``n <= k`` rows; classes of one row are left out).
+    It is compared with the rows of any class nearer than that, ``v - r < u <
+    v + r`` in doubles, or equal to it where the radius is 0, itself included.
+
+    Rows are first counted per distinct (feature, class, value). ``k + 1`` copies
+    of a value settle every radius, which is then a window of ``k`` rows on
+    either side over segments of the order with halos; rows inside a radius are
+    the difference of two running counts over the ordered values. So neither a
+    frequent value, a large class nor one feature fills a task. Null, NaN and
+    infinite values are left out; a null label is a class."""
+    long = to_long(df, cols, [label]).where(F.abs("v") < F.lit(float("inf")))
+    long = long.select("c_name", F.col(label).alias("_class"), (F.col("v") + 0.0).alias("v"))
+    counts = long.groupBy("c_name", "_class", "v").agg(F.count(F.lit(1)).alias("_n"))
+    # a row per feature and class
+    classes = counts.groupBy("c_name", "_class").agg(F.sum("_n").alias("_size")).where("_size > 1")
+    sized = classes.select(F.col("c_name").alias("_f"), F.col("_class").alias("_c"), "_size")
+    points = (counts.join(sized, (F.col("c_name") == F.col("_f")) & F.col("_class").eqNullSafe(F.col("_c")))
+              .drop("_f", "_c").withColumn("_k", F.least(F.lit(k), F.col("_size") - 1)))
+    copies = points.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.least(F.col("_n"), F.lit(k + 1)).cast("int"))))
+    x = halo_segments(copies, ["c_name", "_class", "v", "_copy"], k, segment_rows, after=k)
+    w = Window.partitionBy("_seg", "c_name", "_class").orderBy("_pos")
+
+    def radius(m: int):
+        # the m nearest others lie in one of the m + 1 runs of m + 1 rows around the row
+        spans = [F.when(F.lead("v", m - j).over(w).isNotNull() & F.lag("v", j).over(w).isNotNull(),
+                        F.greatest(F.col("v") - F.lag("v", j).over(w), F.lead("v", m - j).over(w) - F.col("v"))) for j in range(m + 1)]
+        return F.least(*spans)
+
+    r = F.coalesce(*[F.when(F.col("_k") == m, radius(m)) for m in range(1, k + 1)], F.lit(None).cast("double"))
+    x = x.withColumn("_r", r).where(~F.col("_halo") & (F.col("_copy") == 1)).select("c_name", "_class", "v", "_n", "_r")
+    tied = F.col("_r") == 0
+    # kind 0 lies before the values equal to it, kind 2 behind them
+    event = lambda at, kind, sign, n: F.struct(at.alias("at"), kind.cast("int").alias("kind"), F.lit(sign).alias("sign"), n.cast("bigint").alias("rows"))
+    events = x.select("c_name", "_class", "v", "_n", F.explode(F.array(
+        event(F.col("v"), F.lit(1), 0, F.col("_n")),
+        event(F.col("v") + F.col("_r"), F.when(tied, 2).otherwise(0), 1, F.lit(0)),
+        event(F.col("v") - F.col("_r"), F.when(tied, 0).otherwise(2), -1, F.lit(0)))).alias("e")).select("c_name", "_class", "v", "_n", "e.*")
+    ordered = global_row_number(events, ["c_name", "at", "kind", "_class", "v"], "_at")
+    run = running_sum(ordered, ["c_name"], ["_at"], "rows", F.floor(F.col("_at") / segment_rows), "_run")
+    near = run.groupBy("c_name", "_class", "v", "_n").agg(F.sum(F.col("sign") * F.col("_run")).alias("_m"))
+    around = near.groupBy("c_name").agg(F.sum(F.col("_n") * digamma(F.col("_m"))).alias("_near"), F.sum("_n").alias("_all"))
+    within = classes.groupBy("c_name").agg(F.sum(F.col("_size") * (digamma(F.least(F.lit(k), F.col("_size") - 1)) - digamma(F.col("_size")))).alias("_own"))
+    mi = digamma(F.col("_all")) + (F.col("_own") - F.col("_near")) / F.col("_all")
+    return around.join(within, "c_name").select(F.col("c_name").alias("feature"), F.greatest(mi, F.lit(0.0)).alias("mi"))
+
+
 def select_k_best(mi: DataFrame, k: int) -> DataFrame:
     """Top-k features by MI (ties by name)."""
     return mi.orderBy(F.desc("mi"), F.asc("feature")).limit(k)

@@ -94,20 +94,24 @@ def global_row_number(df: DataFrame, order: Sequence[str], out: str = "rn") -> D
 SEGMENT_ROWS = 1 << 16
 
 
-def halo_segments(df: DataFrame, order: Sequence[str], halo: int, segment_rows: int = SEGMENT_ROWS) -> DataFrame:
+def halo_segments(df: DataFrame, order: Sequence[str], halo: int, segment_rows: int = SEGMENT_ROWS, after: int = 0) -> DataFrame:
     """Rows dealt to segments of ``segment_rows`` in a global order, each with
-    copies of the ``halo`` rows before it: adds ``_seg``, ``_pos`` (the row's
+    copies of the ``halo`` rows before it and the ``after`` rows behind it: adds ``_seg``, ``_pos`` (the row's
     number in the order) and ``_halo`` (TRUE for copies).
 
-    A window of at most ``halo`` preceding rows can then be taken per segment,
+    A window of at most ``halo`` preceding and ``after`` following rows can then be taken per segment,
     whatever entity the rows belong to: its rows that aren't copies see all
     they need, no task needs more than a segment and its halo, and an entity
     with most of all rows is spread like any other."""
-    if not 0 <= halo < segment_rows:
+    if not (0 <= halo < segment_rows and 0 <= after < segment_rows):
         raise ValueError("the halo lies in one segment")
     x = global_row_number(df, order, "_pos").withColumn("_pos", F.col("_pos") - 1)
     own = F.floor(F.col("_pos") / segment_rows).cast("bigint")
     tail = F.col("_pos") % segment_rows >= segment_rows - halo
     both = F.array(F.struct(own.alias("_seg"), F.lit(False).alias("_halo")), F.struct((own + 1).alias("_seg"), F.lit(True).alias("_halo")))
-    place = F.explode(F.when(tail, both).otherwise(F.slice(both, 1, 1)))
+    place = F.when(tail, both).otherwise(F.slice(both, 1, 1))
+    if after:
+        back = F.array(F.struct((own - 1).alias("_seg"), F.lit(True).alias("_halo")))
+        place = F.when(F.col("_pos") % segment_rows < after, F.concat(place, back)).otherwise(place)
+    place = F.explode(place)
     return x.withColumn("_place", place).select(*x.columns, "_place._seg", "_place._halo")

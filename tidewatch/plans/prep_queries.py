@@ -206,6 +206,47 @@ def binned_mutual_info(spark, sf_dir):
     return mi.select("feature", r6("mi", "mi"))
 
 
+def _digamma_sql(x: str) -> str:
+    # by the recurrence from x + 20, where three terms suffice
+    down = " + ".join(f"1.0 / ({x} + {i})" for i in range(20))
+    return f"(ln({x} + 20.0) - 0.5 / ({x} + 20.0) - 1.0 / (12.0 * pow({x} + 20.0, 2)) + 1.0 / (120.0 * pow({x} + 20.0, 4)) - ({down}))"
+
+
+NEIGHBOUR_MI_SQL = f"""{WF},
+long AS (UNPIVOT (SELECT label, CAST(quantity AS DOUBLE) AS quantity, CAST(price AS DOUBLE) AS price,
+                         CAST(discount AS DOUBLE) AS discount, CAST(tax AS DOUBLE) AS tax FROM flows)
+         ON quantity, price, discount, tax INTO NAME c_name VALUE v),
+sides AS (SELECT *, lag(v, 1) OVER w AS b1, lag(v, 2) OVER w AS b2, lag(v, 3) OVER w AS b3, lead(v, 1) OVER w AS a1,
+                 lead(v, 2) OVER w AS a2, lead(v, 3) OVER w AS a3, count(*) OVER (PARTITION BY c_name, label) AS size
+          FROM long WINDOW w AS (PARTITION BY c_name, label ORDER BY v)),
+rad AS (SELECT c_name, v, size, list_sort([v - b1, v - b2, v - b3, a1 - v, a2 - v, a3 - v], 'ASC', 'NULLS LAST')[3] AS r FROM sides),
+cum AS (SELECT c_name, v, sum(count(*)) OVER (PARTITION BY c_name ORDER BY v) AS upto FROM long GROUP BY c_name, v),
+hi AS (SELECT q.*, cum.upto AS h FROM (SELECT *, CASE WHEN r = 0 THEN v ELSE v + r END AS top FROM rad) q ASOF JOIN cum
+       ON q.c_name = cum.c_name AND q.top >= cum.v),
+eq AS (SELECT hi.*, h - CASE WHEN r > 0 THEN coalesce(e.n, 0) ELSE 0 END AS below_top FROM hi LEFT JOIN
+       (SELECT c_name, v, count(*) AS n FROM long GROUP BY c_name, v) e ON e.c_name = hi.c_name AND e.v = hi.top),
+lo AS (SELECT eq.*, below_top - coalesce(cum.upto, 0) + CASE WHEN r = 0 THEN coalesce(e.n, 0) ELSE 0 END AS m
+       FROM (SELECT *, CASE WHEN r = 0 THEN v ELSE v - r END AS bottom FROM eq) eq ASOF LEFT JOIN cum
+       ON eq.c_name = cum.c_name AND eq.bottom >= cum.v
+       LEFT JOIN (SELECT c_name, v, count(*) AS n FROM long GROUP BY c_name, v) e ON e.c_name = eq.c_name AND e.v = eq.v),
+mi AS (SELECT c_name AS feature, greatest(0, {_digamma_sql('count(*)')} + {_digamma_sql('3')}
+              - avg({_digamma_sql('size')}) - avg({_digamma_sql('m')})) AS mi FROM lo GROUP BY c_name)"""
+
+
+@register("neighbour_mutual_info", sql=f"{NEIGHBOUR_MI_SQL} SELECT feature, ROUND(mi, 6) AS mi FROM mi")
+def neighbour_mutual_info(spark, sf_dir):
+    """Information of each feature on the label from its three nearest
+    neighbours, no bins."""
+    return prep.neighbour_mutual_info(flows(spark, sf_dir), NUM, "label").select("feature", r6("mi", "mi"))
+
+
+@register("neighbour_selected_features", sql=f"{NEIGHBOUR_MI_SQL} SELECT feature, ROUND(mi, 6) AS mi FROM mi ORDER BY mi.mi DESC, feature LIMIT 2")
+def neighbour_selected_features(spark, sf_dir):
+    """The two features with the most such information (the number is the feature)."""
+    mi = prep.neighbour_mutual_info(flows(spark, sf_dir), NUM, "label")
+    return prep.select_k_best(mi, 2).select("feature", r6("mi", "mi"))
+
+
 SCORE_SQL = "CAST(('0x' || substr(md5('42:' || CAST(row_id AS VARCHAR)), 1, 15)) AS BIGINT) / 1152921504606846976.0"
 
 
