@@ -90,6 +90,17 @@ def svm_scores(spark, sf_dir):
     return out.select("row_id", "y_true", r6("margin", "margin"), "y_pred")
 
 
+@register("kernel_svm_scores")
+def kernel_svm_scores(spark, sf_dir):
+    """M3: radial-kernel SVM by random Fourier features on all training rows,
+    with Platt's probabilities."""
+    s = _split(spark, sf_dir)
+    z = prep.apply_scaler(s, prep.fit_scaler(s.filter(~F.col("is_test")), NUM, "zscore"), NUM, "zscore")
+    model = md.KernelSvm(z.filter(~F.col("is_test")), NUM, "row_id")
+    out = model.score(z.filter("is_test"), ["row_id", F.col("label").alias("y_true")])
+    return out.select("row_id", "y_true", r6("margin", "margin"), r6("probability", "probability"), "y_pred")
+
+
 @register("isolation_forest")
 def isolation_forest(spark, sf_dir):
     """M4: 100 trees on 256-row samples, contamination 0.1: rows above the
@@ -239,6 +250,16 @@ def svm_scored_rows(spark, sf_dir):
     return s.groupBy("y_true").agg(F.count(F.lit(1)).alias("scored"), F.count(F.when(odd, 1)).alias("odd"))
 
 
+@register("kernel_svm_rows", sql=f"""{_TEST_ROWS}
+SELECT label AS y_true, count(*) AS scored, CAST(0 AS BIGINT) AS odd FROM test GROUP BY label""")
+def kernel_svm_rows(spark, sf_dir):
+    """M3: test rows scored per label, and rows whose probability is none or
+    not on the side of their class."""
+    p = F.col("probability")
+    odd = p.isNull() | ~p.between(0, 1) | ((p >= 0.5) != (F.col("y_pred") == 1))
+    return kernel_svm_scores(spark, sf_dir).groupBy("y_true").agg(F.count(F.lit(1)).alias("scored"), F.count(F.when(odd, 1)).alias("odd"))
+
+
 @register("local_surrogate")
 def local_surrogate(spark, sf_dir):
     """1,000 perturbations per explained alert (6 per class), scored by
