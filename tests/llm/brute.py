@@ -89,24 +89,29 @@ def line_chunks(text: str) -> list[tuple[int, str]]:
 
 
 def dedup_lines(docs: list[tuple]) -> list[tuple]:
-    """(doc_id, text, removed lines), for ids that don't repeat."""
+    """(doc_id, text, removed lines), for ids that don't repeat: repeated
+    chunks go, and every two neighbouring lines that occur earlier."""
+    def runs(t):
+        at = 0
+        for n, body in line_chunks(t):
+            yield "chunk", at, n, body
+            at += n
+        lines = t.split("\n")
+        for i in range(len(lines) - 1):
+            yield "pair", i, 2, "\n".join(lines[i:i + 2])
+
     first: dict = {}
     for d, t in sorted((x for x in docs if x[0] is not None and x[1] is not None), key=lambda x: x[0]):
-        for k, (n, body) in enumerate(line_chunks(t)):
+        for kind, at, n, body in runs(t):
             if n >= 2 and WORD.search(body):
-                first.setdefault(body, (d, k))
+                first.setdefault((kind, body), (d, at))
     out = []
     for d, t in docs:
         if d is None or t is None:
             out.append((d, t, 0))
             continue
-        kept, gone = [], 0
-        for k, (n, body) in enumerate(line_chunks(t)):
-            if n >= 2 and WORD.search(body) and first[body] != (d, k):
-                gone += n
-            else:
-                kept.append(body)
-        out.append((d, "\n".join(kept), gone))
+        gone = {i for kind, at, n, body in runs(t) if n >= 2 and WORD.search(body) and first[kind, body] != (d, at) for i in range(at, at + n)}
+        out.append((d, "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone), len(gone)))
     return out
 
 

@@ -35,8 +35,9 @@ def test_runs_match_plain_version(spark):
     assert line_dedup.dedup_runs(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("dedup", [line_dedup.dedup_lines, line_dedup.dedup_runs])
 @pytest.mark.parametrize("n", [2, 3, 5, 10])
-def test_short_passages_go_whole(spark, n):
+def test_short_passages_go_whole(spark, n, dedup):
     rng = random.Random(n)
     docs, at = [], {}
     for k in range(40):
@@ -45,7 +46,7 @@ def test_short_passages_go_whole(spark, n):
             before, after = (brute.make_text(rng, rng.randint(1, 8) * 5, 5) for _ in range(2))
             docs.append((d, f"{before}\n{passage}\n{after}"))
             at[d] = f"{before}\n{after}" if d % 2 else docs[-1][1]
-    assert {r.doc_id: r.text for r in line_dedup.dedup_runs(spark.createDataFrame(docs, DOCS)).collect()} == at
+    assert {r.doc_id: r.text for r in dedup(spark.createDataFrame(docs, DOCS)).collect()} == at
 
 
 def test_other_text_under_the_same_id_keeps_its_lines(spark):

@@ -19,11 +19,16 @@ documents by id and hash of the text. All these tables grow with the corpus,
 so the joins are sort-merge joins at any size and none is broadcast.
 
 Chunk edges depend on the line before a passage and the last chunk on the text
-after it, so chunks miss much of a short repeated passage. ``dedup_runs`` has
-no edges: every two neighbouring lines that hold a word and occur earlier in
-the corpus (smallest doc_id, then position) go, which covers every repeated
-run of ``MIN_LINES`` lines or more whole, wherever it lies. A line that goes
-has an equal one that stays. Only a SHA-256 of each pair is shuffled.
+after it, so chunks alone miss much of a short repeated passage.
+``dedup_lines`` therefore cuts by a second family of boundaries, one after
+every line: its chunks are all runs of two neighbouring lines, and those that
+hold a word and occur earlier in the corpus (smallest doc_id, then position)
+go too. That carries each match of chunks on to the ends of the longest common
+run and covers every repeated run of ``MIN_LINES`` lines or more whole,
+wherever it lies. Only a SHA-256 of each pair is shuffled, whose equality stands
+for that of the bytes. A line that goes has an equal one at an earlier place,
+so the first of equal lines always stays. ``dedup_runs`` removes by the second
+family alone.
 
 Defined results of both: a null text stays null. A text keeps its other lines in
 order; one that loses all lines becomes empty. Rows with a null id lose
@@ -70,6 +75,10 @@ def chunks(docs: DataFrame, id_col: str, text_col: str, span: int = SPAN, mean:
     return x.select("doc_id", "copy", F.posexplode(F.expr(body)).alias("chunk", "c")).select("doc_id", "copy", "chunk", "c.n_lines", "c.body")
 
 
+def _start(ends: str) -> str:
+    return f"(coalesce(get({ends}, k - 1), -1) + 1)"
+
+
 def _size(ends: str) -> str:
     return f"(get({ends}, k) - coalesce(get({ends}, k - 1), -1))"
 
@@ -81,7 +90,8 @@ def _body(lines: str, ends: str) -> str:
 
 def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN,
                     mean: int = MEAN_LINES, min_lines: int = MIN_LINES) -> DataFrame:
-    """``doc_id, copy, chunk, n_lines`` of every chunk to remove."""
+    """``doc_id, copy, chunk, start`` (its first line)``, n_lines`` of every
+    chunk to remove."""
     every = chunks(docs, id_col, text_col, span, mean).where(F.col("n_lines") >= min_lines) \
         .where(F.col("body").rlike(HAS_WORD)) \
         .withColumn("hash", F.xxhash64("body"))
@@ -96,35 +106,41 @@ def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = texts.join(wanted.hint("merge"), (F.col("doc_id") == F.col("_want_id")) & (F.xxhash64("text") == F.col("_want_copy"))) \
                  .select("doc_id", F.col("_want_copy").alias("copy"), "_want", F.split("text", "\n", -1).alias("lines"))
     texts = texts.withColumn("ends", F.expr(_chunk_ends("lines", span, mean)))
-    body = f"transform(_want, k -> struct(k as chunk, {_size('ends')} as n_lines, {_body('lines', 'ends')} as body))"
+    body = f"transform(_want, k -> struct(k as chunk, {_start('ends')} as start, {_size('ends')} as n_lines, {_body('lines', 'ends')} as body))"
     maybe = texts.select("doc_id", "copy", F.explode(F.expr(body)).alias("c")).select("doc_id", "copy", "c.*").withColumn("hash", F.xxhash64("body"))
     maybe = materialize(maybe, "maybe")
     first = maybe.groupBy("hash", "body").agg(F.min(F.struct("doc_id", "copy", "chunk")).alias("first"), F.count("*").alias("n")) \
                  .where("n > 1").select(F.col("hash").alias("h1"), F.col("body").alias("b1"), "first")
     first = materialize(first, "first")
     return maybe.join(first.hint("merge"), (F.col("hash") == F.col("h1")) & (F.col("body") == F.col("b1"))) \
-                .where(F.struct("doc_id", "copy", "chunk") != F.col("first")).select("doc_id", "copy", "chunk", "n_lines")
+                .where(F.struct("doc_id", "copy", "chunk") != F.col("first")).select("doc_id", "copy", "chunk", "start", "n_lines")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN,
                 mean: int = MEAN_LINES, min_lines: int = MIN_LINES, removed_col: str | None = None) -> DataFrame:
-    """``docs`` with repeated chunks removed from ``text_col``; ``removed_col``
-    adds the number of lines removed."""
-    gone = repeated_chunks(docs, id_col, text_col, span, mean, min_lines)
-    key, copy, cut, n = fresh(docs, "cut_id", "cut_copy", "cut_chunks", "cut_lines")
-    # a row's chunk numbers: a set, since rows that repeat an id and a text repeat their chunks
+    """``docs`` with repeated chunks and all other repeated runs of two lines
+    or more removed from ``text_col``; ``removed_col`` adds the number of lines
+    removed."""
+    found = repeated_chunks(docs, id_col, text_col, span, mean, min_lines).select("doc_id", "copy", "start", "n_lines")
+    pairs = repeated_runs(docs, id_col, text_col).select("doc_id", "copy", F.col("pos").alias("start"), F.lit(MIN_LINES).alias("n_lines"))
+    return _without(docs, found.unionAll(pairs), id_col, text_col, removed_col)
+
+
+def _without(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str, removed_col: str | None) -> DataFrame:
+    """``docs`` without the lines of the runs ``doc_id, copy, start, n_lines``."""
+    key, copy, cut = fresh(docs, "cut_id", "cut_copy", "cut_lines")
+    # a set, since rows that repeat an id and a text repeat their runs
     gone = gone.distinct().groupBy(F.col("doc_id").alias(key), F.col("copy").alias(copy)) \
-               .agg(F.collect_list("chunk").alias(cut), F.sum("n_lines").alias(n))
-    gone = materialize(gone, "gone")
+               .agg(F.collect_list(F.struct("start", "n_lines")).alias(cut))
+    lines_of = "flatten(transform(`{0}`, r -> sequence(r.start, r.start + r.n_lines - 1)))".format(cut)
+    gone = materialize(gone.withColumn(cut, F.array_distinct(F.expr(lines_of))), "gone")
     x = docs.join(gone.hint("merge"), (col(id_col) == col(key)) & (F.xxhash64(col(text_col)) == col(copy)), "left")
-    lines, ends = fresh(x, "cut_text_lines", "cut_text_ends")
-    split = F.when(col(cut).isNotNull(), F.split(col(text_col), "\n", -1))
-    x = x.withColumn(lines, split).withColumn(ends, F.expr(_chunk_ends(f"`{lines}`", span, mean)))
-    kept = F.expr(f"array_join(transform(array_except(sequence(0, size(`{ends}`) - 1), `{cut}`), "
-                  f"k -> {_body(f'`{lines}`', f'`{ends}`')}), '\\n')")
+    lines, = fresh(x, "cut_text_lines")
+    x = x.withColumn(lines, F.when(col(cut).isNotNull(), F.split(col(text_col), "\n", -1)))
+    kept = F.expr(f"array_join(transform(array_except(sequence(0, size(`{lines}`) - 1), `{cut}`), i -> get(`{lines}`, i)), '\\n')")
     text = F.when(col(cut).isNull(), col(text_col)).otherwise(kept)
     out = [text.alias(c) if c == text_col else col(c) for c in docs.columns]
-    return x.select(*out, *([F.coalesce(col(n), F.lit(0)).cast("bigint").alias(removed_col)] if removed_col else []))
+    return x.select(*out, *([F.coalesce(F.size(cut), F.lit(0)).cast("bigint").alias(removed_col)] if removed_col else []))
 
 
 def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -141,22 +157,12 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                  .where("n > 1").select("m1", "first")
     # written, as the first copies of chunks are
     first = materialize(first, "first")
-    return pairs.join(first, F.col("mark") == F.col("m1")) \
+    return pairs.join(first.hint("merge"), F.col("mark") == F.col("m1")) \
                 .where(F.struct("doc_id", "copy", "pos") != F.col("first")).select("doc_id", "copy", "pos")
 
 
 def dedup_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", removed_col: str | None = None) -> DataFrame:
     """``docs`` with all repeated runs of two lines or more removed from
     ``text_col``; ``removed_col`` adds the number of lines removed."""
-    key, copy, cut = fresh(docs, "cut_id", "cut_copy", "cut_lines")
-    # a set, since rows that repeat an id and a text repeat their pairs
-    gone = repeated_runs(docs, id_col, text_col).distinct().groupBy(F.col("doc_id").alias(key), F.col("copy").alias(copy)) \
-        .agg(F.collect_list("pos").alias(cut))
-    gone = gone.withColumn(cut, F.array_union(col(cut), F.transform(col(cut), lambda i: i + 1)))
-    x = docs.join(gone, (col(id_col) == col(key)) & (F.xxhash64(col(text_col)) == col(copy)), "left")
-    lines, = fresh(x, "cut_text_lines")
-    x = x.withColumn(lines, F.when(col(cut).isNotNull(), F.split(col(text_col), "\n", -1)))
-    kept = F.expr(f"array_join(transform(array_except(sequence(0, size(`{lines}`) - 1), `{cut}`), i -> get(`{lines}`, i)), '\\n')")
-    text = F.when(col(cut).isNull(), col(text_col)).otherwise(kept)
-    out = [text.alias(c) if c == text_col else col(c) for c in docs.columns]
-    return x.select(*out, *([F.coalesce(F.size(cut), F.lit(0)).cast("bigint").alias(removed_col)] if removed_col else []))
+    pairs = repeated_runs(docs, id_col, text_col).select("doc_id", "copy", F.col("pos").alias("start"), F.lit(MIN_LINES).alias("n_lines"))
+    return _without(docs, pairs, id_col, text_col, removed_col)

@@ -151,17 +151,24 @@ e AS (SELECT doc_id, lines, list_filter(range(1, len(v) + 1), lambda i: i = len(
         ({line_dedup.BASE} * coalesce(v[i - 1], 0) * (i > 1)::BIGINT + v[i]) % {line_dedup.MODULUS} % {line_dedup.MEAN_LINES} = 0) AS ends FROM h),
 k AS (SELECT doc_id, lines, ends, unnest(range(1, len(ends) + 1)) AS k FROM e),
 c AS (SELECT doc_id, k - 1 AS chunk, CASE WHEN k = 1 THEN 0 ELSE ends[k - 1] END AS lo, ends[k] AS hi, lines FROM k),
-t AS (SELECT doc_id, chunk, hi - lo AS n_lines, array_to_string(lines[lo + 1:hi], chr(10)) AS body FROM c),
+t AS (SELECT doc_id, chunk, lo, hi, hi - lo AS n_lines, array_to_string(lines[lo + 1:hi], chr(10)) AS body FROM c),
 r AS (SELECT *, n_lines >= {line_dedup.MIN_LINES} AND regexp_matches(body, '[^\x20\x09-\x0D]') AND
              row_number() OVER (PARTITION BY body ORDER BY doc_id, chunk) > 1 AS gone FROM t),
-o AS (SELECT doc_id, string_agg(body, chr(10) ORDER BY chunk) FILTER (NOT gone) AS text,
-             coalesce(sum(n_lines) FILTER (gone), 0)::BIGINT AS removed_lines FROM r GROUP BY doc_id)
+w AS (SELECT doc_id, unnest(list_transform(range(1, len(lines)), lambda i: {{'i': i, 'body': lines[i] || chr(10) || lines[i + 1]}})) AS w FROM l),
+q AS (SELECT doc_id, w.i AS i, row_number() OVER (PARTITION BY w.body ORDER BY doc_id, w.i) > 1 AS gone
+      FROM w WHERE regexp_matches(w.body, '[^\x20\x09-\x0D]')),
+g AS (SELECT doc_id, unnest([i, i + 1]) AS p FROM q WHERE gone
+      UNION SELECT doc_id, unnest(range(lo + 1, hi + 1)) FROM r WHERE gone),
+n AS (SELECT doc_id, unnest(list_transform(range(1, len(lines) + 1), lambda i: {{'p': i, 'line': lines[i]}})) AS n FROM l),
+o AS (SELECT n.doc_id, string_agg(n.line, chr(10) ORDER BY n.p) FILTER (g.p IS NULL) AS text, count(g.p) AS removed_lines
+      FROM n LEFT JOIN g ON n.doc_id = g.doc_id AND n.p = g.p GROUP BY n.doc_id)
 SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(o.text, '') END AS text,
        coalesce(o.removed_lines, 0) AS removed_lines
 FROM documents d LEFT JOIN o ON d.doc_id = o.doc_id
 """)
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document without its repeated multi-line chunks."""
+    """Every document without its repeated multi-line chunks and the short
+    repeated runs that chunk edges miss."""
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
     return line_dedup.dedup_lines(docs, removed_col="removed_lines")
 
