@@ -297,60 +297,124 @@ def flatten_windows(windows: DataFrame, n_inputs: int, keep: Sequence[str]) -> D
 
 
 # -- D12: SMOTE -------------------------------------------------------------
+def pivot_blocks(x: DataFrame, max_leaf: int, max_pivots: int, seed: int) -> DataFrame:
+    """``x`` (a, c, v) with ``d`` (distances to the pivots of the row's class)
+    and ``block``, of about ``max_leaf`` rows.
+
+    A class has one pivot for ``max_leaf`` rows, at most ``max_pivots``: the row
+    of smallest hash in each of as many hash buckets. A row belongs to the cell
+    of its nearest pivot; a cell is cut into rings by the distance to that
+    pivot, and a ring that equal distances leave too large is dealt by a hash."""
+    h = F.xxhash64(F.lit(seed), "a")
+    sizes = x.groupBy("c").agg(F.least(F.lit(max_pivots), F.ceil(F.count(F.lit(1)) / F.lit(float(max_leaf)))).alias("m"))
+    pivots = (x.join(sizes, "c").groupBy("c", F.pmod(h, F.col("m")).alias("p")).agg(F.min_by("v", F.struct(h, "a")).alias("v"))
+              .groupBy("c").agg(F.sort_array(F.collect_list(F.struct("p", "v"))).alias("pivots")))
+    far = "transform(pivots, p -> sqrt(aggregate(zip_with(v, p.v, (s, t) -> (s - t) * (s - t)), 0D, (s, t) -> s + t)))"
+    x = x.join(pivots, "c").select("a", "c", "v", F.expr(far).alias("d"))
+    x = x.withColumn("cell", F.array_position("d", F.array_min("d"))).withColumn("r", F.array_min("d")).checkpoint()
+    rings = x.groupBy("c", "cell").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("r", [i / 256 for i in range(1, 256)], 10_000).alias("cuts"))
+    # every (256 / rings)-th cut; rings of still larger cells are dealt by hash below
+    every = "greatest(1, cast(floor(256 / ceil(n / {0:.1f}D)) as int))".format(max_leaf)
+    rings = rings.select("c", "cell", F.expr(f"filter(cuts, (q, i) -> (i + 1) % {every} = 0 and 255 - i >= {every} / 2)").alias("cuts"))
+    x = x.join(rings, ["c", "cell"]).withColumn("ring", F.size(F.filter("cuts", lambda q: q < F.col("r")))).drop("cuts", "r")
+    parts = x.groupBy("c", "cell", "ring").agg(F.ceil(F.count(F.lit(1)) / F.lit(1.5 * max_leaf)).alias("parts"))
+    part = F.pmod(F.xxhash64(F.lit(seed + 1), "a"), F.col("parts"))
+    return x.join(parts, ["c", "cell", "ring"]).select("a", "c", "v", "d", F.concat_ws("/", "cell", "ring", part).alias("block"))
+
+
+def near_blocks(x: DataFrame, bounds: DataFrame, max_pivots: int) -> DataFrame:
+    """``c, i, j, lo, hi`` of every pair of blocks of a class in which a row of
+    ``i`` may have a neighbour in ``j``: by the triangle inequality two rows
+    are at least as far apart as their distances to any pivot differ. ``bounds``
+    (a, far) holds a distance that a row's neighbours don't exceed."""
+    span = lambda f: F.filter(F.array(*[f(F.get("d", F.lit(i))) for i in range(max_pivots)]), lambda v: v.isNotNull())
+    boxes = x.join(bounds, "a").groupBy("c", "block").agg(span(F.min).alias("lo"), span(F.max).alias("hi"), F.max("far").alias("far"))
+    asks = boxes.select("c", F.col("block").alias("i"), F.col("lo").alias("lo_i"), F.col("hi").alias("hi_i"), "far")
+    gives = boxes.select("c", F.col("block").alias("j"), "lo", "hi")
+    return asks.join(gives, "c").where("i != j").where(_gap("lo_i", "hi_i") + " <= far").select("c", "i", "j", "lo", "hi")
+
+
+def _gap(lo: str, hi: str) -> str:
+    """SQL for the least distance between rows whose distances to the pivots
+    lie in [lo, hi] and those of a block, less the rounding error."""
+    gaps = (f"transform(sequence(0, size(lo) - 1), n -> greatest(get({lo}, n) - get(hi, n) - 1e-9D * get({lo}, n), "
+            f"get(lo, n) - get({hi}, n) - 1e-9D * get(lo, n)))")
+    return f"array_max({gaps})"
+
+
 def knn_within_class(df: DataFrame, id_col: str, vec: str, label: str, k: int = 5, leaf: int = 512,
-                     max_leaf: int = 2048, seed: int = 42) -> DataFrame:
+                     max_leaf: int = 2048, seed: int = 42, max_pivots: int = 16) -> DataFrame:
     """(id, nn_rank, nn_id): nearest neighbours inside each class, by distance,
     then id.
 
-    Exact for every size: a class is dealt to blocks of about ``max_leaf`` rows
-    by a hash of the id, and every pair of blocks is a tile, compared ``leaf``
-    rows at a time. A tile gives each of its rows the k best of the other
-    block, and the best of all tiles are kept, so no task holds more than two
-    blocks whatever the vectors. Comparisons grow with the square of a class.
-    Rows whose id, label or vector is NULL take no part; a row is no neighbour of
-    rows with its own id."""
+    Exact for every size, by pivots: each block is first searched in itself,
+    which bounds how far a row's neighbours can lie; a second pass looks only at
+    pairs of blocks, and in them only at rows, that the triangle inequality
+    doesn't rule out. Where it rules out none (vectors without clusters in many
+    dimensions) comparisons grow with the square of a class. A tile compares
+    ``leaf`` rows at a time by a matrix product and takes exact distances of
+    those within its rounding error. No task holds more than two blocks.
+    Ids are unique. Rows whose id, label or vector is NULL, or whose squared
+    length isn't finite, take no part; a row is no neighbour of itself."""
     x = df.select(F.col(id_col).alias("a"), F.col(label).alias("c"), F.col(vec).cast("array<double>").alias("v")) \
-          .filter(F.col("a").isNotNull() & F.col("c").isNotNull() & F.col("v").isNotNull())
-    sizes = x.groupBy("c").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(max_leaf))).alias("blocks"))
-    x = x.join(sizes, "c").withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "a"), F.col("blocks")))
-    other = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))
-    asks = x.select("a", "c", "v", F.col("block").alias("i"), other.alias("j"), F.lit(True).alias("asks"))
-    gives = x.select("a", "c", "v", other.alias("i"), F.col("block").alias("j"), F.lit(False).alias("asks"))
-
-    def nearest(pdf: pd.DataFrame) -> pd.DataFrame:
+          .filter(F.col("a").isNotNull() & F.col("c").isNotNull() & F.col("v").isNotNull()) \
+          .filter(F.expr("abs(aggregate(v, 0D, (s, t) -> s + t * t)) < double('inf')"))
+    x = pivot_blocks(x, max_leaf, max_pivots, seed).checkpoint()
+    id_type = df.schema[id_col].dataType.simpleString()
+    schema = f"a {id_type}, b {id_type}, d double"
+
+    def within(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("a", kind="stable")
-        asks = pdf["asks"].to_numpy(dtype=bool)
-        ids, own = pdf["a"].to_numpy()[~asks], pdf["a"].to_numpy()[asks]
-        out = [pd.DataFrame({"a": own[:0], "b": ids[:0], "d": np.zeros(0)})]
-        if len(ids) and len(own):
-            V = np.stack(pdf["v"].to_numpy())
-            Q, G = V[asks], np.ascontiguousarray(V[~asks].T)
-            for s in range(0, len(Q), leaf):
-                q = Q[s:s + leaf]
-                # dimension by dimension, so that a pair's distance is the same in any tile
-                d = np.zeros((len(q), len(ids)))
-                for n in range(len(G)):
-                    t = q[:, n, None] - G[n]
-                    t *= t
-                    d += t
-                d[own[s:s + leaf, None] == ids[None, :]] = np.inf
-                last = np.partition(d, min(k, len(ids)) - 1, axis=1)[:, min(k, len(ids)) - 1, None]
-                row, at = np.nonzero((d <= last) & np.isfinite(d))
-                order = np.lexsort((at, d[row, at], row))
-                row, at = row[order], at[order]
-                best = np.arange(len(row)) - np.searchsorted(row, row) < k
-                row, at = row[best], at[best]
-                out.append(pd.DataFrame({"a": own[s + row], "b": ids[at], "d": d[row, at]}))
-        return pd.concat(out)
+        V, ids = np.stack(pdf["v"].to_numpy()), pdf["a"].to_numpy()
+        return _nearest(V, ids, V, ids, np.full(len(ids), np.inf), k, leaf)
 
-    id_type = df.schema[id_col].dataType.simpleString()
-    pairs = asks.unionAll(gives).groupBy("c", "i", "j").applyInPandas(nearest, f"a {id_type}, b {id_type}, d double") \
-                .dropDuplicates(["a", "b"])
+    def across(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("a", kind="stable")
+        asks, ids, V = pdf["asks"].to_numpy(dtype=bool), pdf["a"].to_numpy(), np.stack(pdf["v"].to_numpy())
+        return _nearest(V[asks], ids[asks], V[~asks], ids[~asks], pdf["far"].to_numpy()[asks], k, leaf)
+
+    own = x.select("a", "c", "v", "block").groupBy("c", "block").applyInPandas(within, schema).checkpoint()
+    found = own.groupBy("a").agg(F.when(F.count(F.lit(1)) >= k, F.sqrt(F.max("d")) * (1 + 1e-9)).alias("found"))
+    bounds = x.select("a").join(found, "a", "left").select("a", F.coalesce("found", F.lit(float("inf"))).alias("far")).checkpoint()
+    near = near_blocks(x, bounds, max_pivots).checkpoint()
+    asks = x.withColumnRenamed("block", "i").join(bounds, "a").join(near, ["c", "i"]).where(_gap("d", "d") + " <= far") \
+            .select("a", "c", "v", "i", "j", "far", F.lit(True).alias("asks"))
+    gives = x.withColumnRenamed("block", "j").join(near.select("c", "i", "j"), ["c", "j"]) \
+             .select("a", "c", "v", "i", "j", F.lit(0.0).alias("far"), F.lit(False).alias("asks"))
+    pairs = own.unionAll(asks.unionAll(gives).groupBy("c", "i", "j").applyInPandas(across, schema))
     w = Window.partitionBy("a").orderBy("d", "b")
     return (pairs.withColumn("nn_rank", F.row_number().over(w)).filter(F.col("nn_rank") <= k)
             .select(F.col("a").alias(id_col), "nn_rank", F.col("b").alias("nn_id")))
 
 
+def _nearest(Q: np.ndarray, own: np.ndarray, V: np.ndarray, ids: np.ndarray, far: np.ndarray, k: int, leaf: int) -> pd.DataFrame:
+    """(a, b, d): up to ``k`` of ``V`` (rows by id) for each of ``Q``, none
+    beyond ``far``; ``d`` is the squared distance, summed dimension by
+    dimension, so that a pair's is the same in any tile."""
+    out = [pd.DataFrame({"a": own[:0], "b": ids[:0], "d": np.zeros(0)})]
+    if len(ids) and len(own):
+        square, G = (V * V).sum(axis=1), np.ascontiguousarray(V.T)
+        unit = 8 * (V.shape[1] + 8) * np.finfo(float).eps
+        for s in range(0, len(Q), leaf):
+            q = Q[s:s + leaf]
+            length = (q * q).sum(axis=1)
+            error = (unit * (length + square.max()))[:, None]
+            d = length[:, None] + square - 2 * (q @ G)
+            d[own[s:s + leaf, None] == ids[None, :]] = np.inf
+            at = min(k, len(ids)) - 1
+            last = np.minimum(np.partition(d, at, axis=1)[:, at], far[s:s + leaf] ** 2)[:, None]
+            row, at = np.nonzero((d <= last + 2 * error) & np.isfinite(d))
+            exact = np.zeros(len(row))
+            for n in range(len(G)):
+                t = q[row, n] - G[n, at]
+                exact += t * t
+            order = np.lexsort((at, exact, row))
+            row, at, exact = row[order], at[order], exact[order]
+            best = np.arange(len(row)) - np.searchsorted(row, row) < k
+            out.append(pd.DataFrame({"a": own[s + row[best]], "b": ids[at[best]], "d": exact[best]}))
+    return pd.concat(out)
+
+
 def smote(df: DataFrame, id_col: str, vec: str, label: str, k: int = 5, seed: int = 42, trace: bool = False) -> DataFrame:
     """Every class is topped up to the majority count with synthetic rows
     x + u * (nn - x). Each row of a class is a donor ``need // n`` times, the
