@@ -78,3 +78,16 @@ def test_quantile_long_interpolates_like_pandas(spark):
     df = spark.createDataFrame([("a", float(v)) for v in [1, 2, 3, 4]], "c_name string, v double")
     got = quantiles_long(df, [0.5, 0.25])
     assert {r.q: r.value for r in got.collect()} == {0.5: 2.5, 0.25: 1.75}
+
+
+def test_classes_deal_no_rows(spark):
+    """Two classes must not put all rows into two tasks."""
+    df = spark.range(60_000, numPartitions=6).select("id", (F.col("id") % 2).cast("int").alias("label"))
+    split = prep.stratified_split(df, "label", "id", 0.15)
+    sample = prep.exact_sample(df, "id", 500)
+    for x in (split, sample):
+        assert "SortMergeJoin" not in x._jdf.queryExecution().toString()
+    assert split.rdd.getNumPartitions() == 6
+    assert {r.label: r.n for r in split.where("is_test").groupBy("label").agg(F.count("*").alias("n")).collect()} == {0: 4500, 1: 4500}
+    want = [r.id for r in df.withColumn("s", prep.hash_score("id")).orderBy("s").limit(500).collect()]
+    assert sorted(r.id for r in sample.collect()) == sorted(want) and sample.columns == ["id", "label"]

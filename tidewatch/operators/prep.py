@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType, StringType
 
 from ..functions.quantiles import medians_row, to_long
+from ..session import checkpoint_dir
 from .scan import SEGMENT_ROWS, global_row_number, halo_segments, running_sum
 
 
@@ -281,34 +282,43 @@ def stratified_split(df: DataFrame, label: str, id_col: str, test_frac: float =
     rank found by the distributed quantile search, so no class is ever
     gathered into one task."""
     x = df.withColumn("_score", hash_score(id_col, seed))
-    cuts = _class_cuts(x, label, test_frac, accuracy).withColumnRenamed(label, "_cut_class")
-    return x.join(cuts, F.col(label).eqNullSafe(F.col("_cut_class")), "left").withColumn(
+    long = x.select(F.col(label), F.col("_score").alias("v"))
+    cuts = _rank_values(long, label, test_frac, accuracy).withColumnRenamed(label, "_cut_class")
+    return x.join(_few(cuts), F.col(label).eqNullSafe(F.col("_cut_class")), "left").withColumn(
         "is_test", F.coalesce(F.col("_score") <= F.col("_cut"), F.lit(False))).drop("_score", "_cut", "_cut_class")
 
 
-def _class_cuts(x: DataFrame, label: str, frac: float, accuracy: int) -> DataFrame:
-    counts = x.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
-    long = x.select(F.col(label), F.col("_score").alias("v"))
-    return _rank_values(long, counts, label, frac, accuracy)
+#: Classes up to which a table of one row per class is sent to all tasks. Rows
+#: dealt by so few keys would lie in as few tasks.
+FEW = 10_000
+
+
+def _few(classes: DataFrame) -> DataFrame:
+    """``classes`` written once, for a broadcast if they are few."""
+    checkpoint_dir(classes.sparkSession)
+    classes = classes.checkpoint()
+    return F.broadcast(classes) if classes.count() <= FEW else classes
 
 
-def _rank_values(long: DataFrame, counts: DataFrame, label: str, frac: float, accuracy: int) -> DataFrame:
+def _brackets(long: DataFrame, label: str, rank, frac: float, accuracy: int) -> DataFrame:
+    """``_class, _n, _r, L, H``: per class its rows and values around the
+    rank; NULL is a class like any other."""
     eps = 1.0 / accuracy
     lo_q, hi_q = max(frac - 3 * eps, 0.0), min(frac + 3 * eps, 1.0)
-    br = long.groupBy(F.col(label).alias("_bc")).agg(F.percentile_approx("v", [lo_q, hi_q], accuracy).alias("_br"))
-    # NULL is a class like any other: every join on the class is null-safe
-    meta = (counts.join(br, F.col(label).eqNullSafe(F.col("_bc"))).drop("_bc").withColumnRenamed(label, "_class")
-            .withColumn("_r", (F.round(F.col("_n") * frac) - 1).cast("bigint"))
+    br = long.groupBy(F.col(label).alias("_class")).agg(F.count(F.lit(1)).alias("_n"), F.percentile_approx("v", [lo_q, hi_q], accuracy).alias("_br"))
+    return (br.withColumn("_r", rank)
             .withColumn("L", F.when(F.col("_n") <= 2 * accuracy, float("-inf")).otherwise(F.col("_br")[0]))
             .withColumn("H", F.when(F.col("_n") <= 2 * accuracy, float("inf")).otherwise(F.col("_br")[1]))
             .drop("_br"))
+
+
+def _rank_values(long: DataFrame, label: str, frac: float, accuracy: int) -> DataFrame:
+    meta = _few(_brackets(long, label, (F.round(F.col("_n") * frac) - 1).cast("bigint"), frac, accuracy))
     # one pass: rows below the bracket are counted under NULL, those inside by value
     inside = (F.col("v") >= F.col("L")) & (F.col("v") <= F.col("H"))
     seen = (long.join(meta, F.col(label).eqNullSafe(F.col("_class"))).filter(F.col("v") <= F.col("H"))
             .groupBy("_class", "_r", F.when(inside, F.col("v")).alias("v")).agg(F.count(F.lit(1)).alias("_cnt")))
-    w = Window.partitionBy("_class").orderBy(F.asc_nulls_first("v")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    r = seen.withColumn("_last", F.sum("_cnt").over(w) - 1).withColumn("_first", F.col("_last") - F.col("_cnt") + 1)
-    hit = r.filter(F.col("v").isNotNull() & (F.col("_first") <= F.col("_r")) & (F.col("_r") <= F.col("_last")))
+    hit = _at_rank(seen)
     cuts = hit.select(F.col("_class").alias("_hit_class"), F.col("v").alias("_cut"))
     # classes whose share rounds to zero rows get no cut (nothing in test); any
     # other class without one is an error
@@ -317,26 +327,36 @@ def _rank_values(long: DataFrame, counts: DataFrame, label: str, frac: float, ac
                .select(F.col("_class").alias(label), F.when(F.col("_r") < 0, F.lit(-1.0)).otherwise(F.coalesce("_cut", missed)).alias("_cut"))
 
 
+def _at_rank(seen: DataFrame) -> DataFrame:
+    """The value of rank ``_r`` per class, from the counts of the values."""
+    w = Window.partitionBy("_class").orderBy(F.asc_nulls_first("v")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    r = seen.withColumn("_last", F.sum("_cnt").over(w) - 1).withColumn("_first", F.col("_last") - F.col("_cnt") + 1)
+    return r.filter(F.col("v").isNotNull() & (F.col("_first") <= F.col("_r")) & (F.col("_r") <= F.col("_last")))
+
+
 def exact_sample(df: DataFrame, id_col: str, n: int, seed: int = 42, accuracy: int = 10_000) -> DataFrame:
     """Exactly ``n`` rows, uniform by hash score, with no top-n funnel through
-    one task: the score of rank n-1 is found by the distributed rank search and
-    used as a filter. Rows that share the last score are told apart by id. The
+    one task: one pass brackets the score of rank n-1, a second one keeps the
+    rows up to the bracket (``n`` and a few in 10,000 of all), and the rank is
+    found among those. Rows that share the last score are told apart by id. The
     row count is one cheap action."""
-    x = df.withColumn("_score", hash_score(id_col, seed)).withColumn("_all", F.lit(0))
     total = df.count()
     if n >= total:
         return df
-    counts = x.sparkSession.createDataFrame([(0, total)], "_all int, _n bigint")
+    x = df.withColumn("_score", hash_score(id_col, seed)).withColumn("_all", F.lit(0))
     long = x.select("_all", F.col("_score").alias("v"))
-    cuts = _rank_values(long, counts, "_all", n / total, accuracy)
-    near = x.join(F.broadcast(cuts), "_all")   # one row
+    meta = _few(_brackets(long, "_all", F.lit(n - 1).cast("bigint"), n / total, accuracy).select("_class", "_r", "H"))
+    kept = x.join(meta, F.col("_all") == F.col("_class")).filter(F.col("_score") <= F.col("H")).checkpoint()
+    cut = _at_rank(kept.groupBy("_class", "_r", F.col("_score").alias("v")).agg(F.count(F.lit(1)).alias("_cnt")))
+    missed = F.raise_error(F.lit("the sample's rank lies outside its bracket")).cast("double")
+    near = kept.crossJoin(F.broadcast(cut.agg(F.coalesce(F.max("v"), missed).alias("_cut"))))   # one row
     below = near.filter(F.col("_score") < F.col("_cut"))
     room = below.agg((F.lit(n) - F.count(F.lit(1))).alias("_room"))
     # scores are 53 bits of a hash: a handful of rows share the last one
     last = near.filter(F.col("_score") == F.col("_cut")) \
                .withColumn("_rank", F.row_number().over(Window.partitionBy("_all").orderBy(id_col))) \
                .crossJoin(F.broadcast(room)).filter(F.col("_rank") <= F.col("_room")).drop("_rank", "_room")
-    return below.unionByName(last).drop("_score", "_all", "_cut")
+    return below.unionByName(last).select(*df.columns)
 
 
 def stratified_pick(df: DataFrame, label: str, id_col: str, per_class: int, seed: int = 42,
