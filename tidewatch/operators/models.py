@@ -14,6 +14,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (LinearSVC, LogisticRegression, LogisticRegressionModel, MultilayerPerceptronClassifier,
                                        RandomForestClassifier)
@@ -93,15 +94,19 @@ def fourier_features(features: Sequence[str], components: int = 128, gamma: floa
     feature counts as 0."""
     rng = np.random.default_rng(seed)
     g = 1.0 / len(features) if gamma is None else gamma
-    w = rng.normal(0.0, math.sqrt(2 * g), (components, len(features))).tolist()
-    shift = rng.uniform(0.0, 2 * math.pi, components).tolist()
-    finite = lambda c: F.when(F.abs(F.col(c).cast("double")) < float("inf"), F.col(c).cast("double")).otherwise(0.0)
-    x = F.array(*[finite(c) for c in features])
-    # constants of the plan, parsed in one call
-    row = lambda v: "array(" + ", ".join(f"{u!r}D" for u in v) + ")"
-    planes = F.expr("array(" + ", ".join(f"named_struct('w', {row(a)}, 'b', {b!r}D)" for a, b in zip(w, shift, strict=True)) + ")")
-    dot = lambda p: F.aggregate(F.zip_with(p["w"], x, lambda a, b: a * b), p["b"], lambda acc, t: acc + t)
-    return F.transform(planes, lambda p: F.cos(dot(p)) * math.sqrt(2.0 / components))
+    w = rng.normal(0.0, math.sqrt(2 * g), (components, len(features)))
+    shift = rng.uniform(0.0, 2 * math.pi, components)
+
+    def cosines(*cols: pa.Array) -> pa.Array:
+        z = np.tile(shift, (len(cols[0]), 1))
+        for j, c in enumerate(cols):
+            x = c.to_numpy(zero_copy_only=False).astype(float)
+            z += np.where(np.isfinite(x), x, 0.0)[:, None] * w[:, j]
+        np.cos(z, out=z)
+        z *= math.sqrt(2.0 / components)
+        return pa.ListArray.from_arrays(np.arange(0, z.size + 1, components, dtype=np.int32), z.ravel())
+
+    return F.arrow_udf(cosines, ArrayType(DoubleType()))(*[F.col(c).cast("double") for c in features])
 
 
 def fit_platt(scored: DataFrame, margin: str = "margin", label: str = "label") -> LogisticRegressionModel:
@@ -127,13 +132,15 @@ class KernelSvm:
         from .prep import hash_score
         self.map = fourier_features(features, components, gamma, seed)
         held = F.coalesce(hash_score(id_col, seed) < calibration, F.lit(False))
-        x = train.select(array_to_vector(self.map).alias("features"), F.col(label).cast("double").alias("label"), held.alias("held"))
-        x = x.where(F.col("label").isNotNull()).persist(StorageLevel.MEMORY_AND_DISK)
+        rows = train.select(*features, F.col(label).cast("double").alias("_label"), held.alias("_held"))
+        # the learner keeps the mapped rows itself; only the narrow ones are kept here
+        rows = rows.where(F.col("_label").isNotNull()).persist(StorageLevel.MEMORY_AND_DISK)
+        mapped = lambda x: x.select(array_to_vector(self.map).alias("features"), F.col("_label").alias("label"))
         try:
-            self.svc = LinearSVC(regParam=reg, maxIter=max_iter, standardization=False).fit(x.where(~F.col("held")))
-            self.curve = fit_platt(self._margins(x.where("held"), ["label"]))
+            self.svc = LinearSVC(regParam=reg, maxIter=max_iter, standardization=False).fit(mapped(rows.where(~F.col("_held"))))
+            self.curve = fit_platt(self._margins(mapped(rows.where("_held")), ["label"]))
         finally:
-            x.unpersist()
+            rows.unpersist()
 
     def _margins(self, x: DataFrame, keep) -> DataFrame:
         return self.svc.transform(x).select(*keep, vector_to_array("rawPrediction")[1].alias("margin"))

@@ -26,11 +26,13 @@ _SPLITS: dict = {}
 def _split(spark, sf_dir):
     """The train/test split, checkpointed once per table folder (reliable
     checkpoint in the session's checkpoint folder) so model fitting and the
-    many scoring passes do not re-run the split's plan."""
+    many scoring passes do not re-run the split's plan. The flows are dealt by
+    their ids before, so that every pass has more tasks than the input files
+    have row groups."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _SPLITS:
         checkpoint_dir(spark)
-        f = flows(spark, sf_dir).select("row_id", "label", "dst_port", *NUM)
+        f = flows(spark, sf_dir).select("row_id", "label", "dst_port", *NUM).repartition("row_id").checkpoint()
         _SPLITS[key] = prep.stratified_split(f, "label", "row_id", 0.15).checkpoint()
     return _SPLITS[key]
 
