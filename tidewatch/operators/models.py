@@ -9,15 +9,13 @@ train per tree / score per batch with numpy inside Spark tasks.
 from __future__ import annotations
 
 import math
-import os
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import (LinearSVC, LogisticRegression, LogisticRegressionModel, MultilayerPerceptronClassifier,
-                                       RandomForestClassifier)
+from pyspark.ml.classification import LinearSVC, LogisticRegression, LogisticRegressionModel, MultilayerPerceptronClassifier
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark import StorageLevel
@@ -25,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StringType, StructType
 
-from ..session import scratch_path
+from .forest import Forest, Tree, fit_forest
 
 
 def assemble(features: Sequence[str], out: str = "features") -> VectorAssembler:
@@ -44,18 +42,16 @@ def _fit_materialised(pipeline: Pipeline, train: DataFrame) -> PipelineModel:
 
 
 def fit_random_forest(train: DataFrame, features: Sequence[str], label: str = "label", num_trees: int = 100,
-                      max_depth: int = 20, seed: int = 42, max_memory_mb: int = 1024) -> PipelineModel:
-    """M1. Node ids are cached between levels and each pass may split many
-    nodes (``max_memory_mb``): deep trees need far fewer data passes."""
-    rf = RandomForestClassifier(featuresCol="features", labelCol=label, numTrees=num_trees,
-                                maxDepth=min(max_depth, 30), seed=seed, cacheNodeIds=True,
-                                maxMemoryInMB=max_memory_mb)
-    return _fit_materialised(Pipeline(stages=[assemble(features), rf]), train.select(*features, label))
+                      max_depth: int = 20, seed: int = 42) -> Forest:
+    """M1: see :func:`tidewatch.operators.forest.fit_forest`."""
+    return fit_forest(train, features, label, num_trees, max_depth, seed)
 
 
-def score(model: PipelineModel, df: DataFrame, keep: Sequence[str]) -> DataFrame:
+def score(model: PipelineModel | Forest, df: DataFrame, keep: Sequence[str]) -> DataFrame:
     """Predictions hub rows: keep columns + y_score (class-1 probability) and
     y_pred (y_score > 0.5, M8)."""
+    if isinstance(model, Forest):
+        return model.score(df, keep).withColumn("y_pred", F.when(F.col("y_score") > 0.5, 1).otherwise(0))
     out = model.transform(df)
     if "probability" in out.columns:
         s = vector_to_array("probability")[1]
@@ -65,7 +61,7 @@ def score(model: PipelineModel, df: DataFrame, keep: Sequence[str]) -> DataFrame
 
 
 def partial_retrain(base: DataFrame, feedback: DataFrame, features: Sequence[str], label: str = "label",
-                    mode: str = "append", **kw) -> PipelineModel:
+                    mode: str = "append", **kw) -> Forest:
     """M2: ``new_only`` refits on the feedback rows alone (the reference's
     behaviour); ``append`` refits on base + feedback."""
     data = feedback if mode == "new_only" else base.select(*features, label).unionByName(
@@ -151,13 +147,16 @@ class KernelSvm:
         return out.withColumn("y_pred", F.when(F.col("probability") >= 0.5, 1).otherwise(0))
 
 
-def feature_importances(model: PipelineModel, features: Sequence[str]) -> DataFrame:
-    """M9: (feature, importance) of the forest stage."""
-    from pyspark.sql import SparkSession
-    forest = model.stages[-1]
-    ss = SparkSession.getActiveSession()
-    vals = forest.featureImportances.toArray().tolist()
-    return ss.createDataFrame(list(zip(features, [float(v) for v in vals])), "feature string, importance double")
+def feature_importances(model: Forest, features: Sequence[str]) -> DataFrame:
+    """M9: (feature, importance): per tree the gains times the weight of the
+    nodes that split on a feature, as shares; their mean over trees, as shares."""
+    names = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(f).alias("name")) for i, f in enumerate(features)])).alias("x")
+    n = model.nodes.where("left >= 0").groupBy("tree", "feature").agg(F.sum(F.col("gain") * F.col("cover")).alias("g"))
+    share = F.col("g") / F.sum("g").over(Window.partitionBy("tree"))
+    sums = n.withColumn("s", share).groupBy("feature").agg(F.sum("s").alias("s"))
+    total = sums.agg(F.sum("s").alias("total"))
+    x = sums.sparkSession.range(1).select(names).select("x.i", "x.name").join(sums, F.col("i") == F.col("feature"), "left").crossJoin(F.broadcast(total))
+    return x.select(F.col("name").alias("feature"), F.coalesce(F.col("s") / F.col("total"), F.lit(0.0)).alias("importance"))
 
 
 # -- M5 / A11 ---------------------------------------------------------------
@@ -465,68 +464,34 @@ def smote(df: DataFrame, id_col: str, vec: str, label: str, k: int = 5, seed: in
 
 
 # -- X1: tree-path contributions --------------------------------------------
-def forest_nodes(model: PipelineModel) -> DataFrame:
-    """Node table of the forest stage, read back from the model's own saved
-    parquet (tree, id, class-1 value, feature, threshold, left, right)."""
-    from pyspark.sql import SparkSession
-    spark = SparkSession.getActiveSession()
-    path = getattr(model, "_saved_path", None)
-    if path is None:
-        path = scratch_path(spark, f"forest-{os.getpid()}-{id(model)}")
-        model.write().overwrite().save(path)
-    # a saved PipelineModel keeps stage i under stages/{i}_{uid}; the forest is last
-    last = len(model.stages) - 1
-    nodes = spark.read.parquet(f"{path.rstrip('/')}/stages/{last}_*/data")
-    stats = F.col("nodeData.impurityStats")
-    total = F.aggregate(stats, F.lit(0.0), lambda a, b: a + b)
-    p1 = F.when(F.size(stats) > 1, stats[1] / total).otherwise(F.lit(0.0))
-    return nodes.select(F.col("treeID").alias("tree"), F.col("nodeData.id").alias("id"), p1.alias("value"), total.alias("cover"),
-                        F.col("nodeData.split.featureIndex").alias("feature"),
-                        F.get(F.col("nodeData.split.leftCategoriesOrThreshold"), 0).alias("threshold"),
-                        F.col("nodeData.leftChild").alias("left"), F.col("nodeData.rightChild").alias("right"))
-
-
-def leaf_contributions(nodes: DataFrame, n_features: int) -> DataFrame:
-    """(tree, leaf, base, steps): for each leaf of each tree, numbered from
-    left to right, the root's class-1 value and, per feature, the sum of the
-    changes in value along the path to the leaf. One task per tree."""
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        g = pdf.sort_values("id")
-        value, feat = g["value"].to_numpy(), g["feature"].to_numpy()
-        left, right = g["left"].to_numpy(), g["right"].to_numpy()
-        tree, out, todo = int(g["tree"].iloc[0]), [], [(0, np.zeros(n_features))]
-        while todo:
-            node, steps = todo.pop()
-            if left[node] < 0:
-                out.append((tree, len(out), float(value[0]), steps.tolist()))
-                continue
-            for child in (right[node], left[node]):    # the left one is taken first
-                to = steps.copy()
-                to[feat[node]] += value[child] - value[node]
-                todo.append((int(child), to))
-        return pd.DataFrame(out, columns=["tree", "leaf", "base", "steps"])
-
-    return nodes.groupBy("tree").applyInPandas(walk, "tree int, leaf int, base double, steps array<double>")
-
-
-def tree_contributions(model: PipelineModel, df: DataFrame, features: Sequence[str], id_col: str) -> DataFrame:
+def forest_nodes(model: Forest) -> DataFrame:
+    """Node table of the forest (tree, id, class-1 value, cover, feature,
+    threshold, left, right); leaves have feature and children -1."""
+    return model.nodes.select("tree", "id", "value", "cover", "feature", "threshold", "left", "right")
+
+
+def tree_contributions(model: Forest, df: DataFrame, features: Sequence[str], id_col: str) -> DataFrame:
     """Per row and feature, the change in class-1 probability along each
     tree's decision path, averaged over trees (path attribution). Base value
     + sum of contributions = predicted probability. Long-form output
     (id, feature, contribution) plus one ``__base__`` row per id.
 
-    The model gives the leaf that a row reaches in each tree; those are joined
-    with the leaves' sums, which stay distributed however large the forest."""
-    forest = model.stages[-1]
-    leaves = leaf_contributions(forest_nodes(model), len(features))
-    trees = forest.getNumTrees
-    assembled = model.stages[0].transform(df.select(id_col, *features))
-    reached = forest.copy().setLeafCol("_leaf").transform(assembled).select(
-        id_col, F.posexplode(vector_to_array("_leaf")).alias("tree", "leaf"))
-    x = reached.select(id_col, "tree", F.col("leaf").cast("int").alias("leaf")).join(leaves, ["tree", "leaf"])
-    sums = x.groupBy(id_col).agg(*[(F.sum(F.col("steps")[i]) / trees).alias(f) for i, f in enumerate(features)],
-                                 (F.sum("base") / trees).alias("__base__"))
-    return sums.unpivot([id_col], [*features, "__base__"], "feature", "contribution")
+    Rows between the same thresholds take the same paths, so paths are
+    followed once for each such cell and tree."""
+    n = len(features)
+
+    def follow(x: np.ndarray, tree: Tree) -> np.ndarray:
+        steps = np.zeros((len(tree.value), n + 1))
+        steps[0, n] = tree.value[0]
+        for node in tree.levels():
+            for child in (tree.left[node], tree.right[node]):
+                steps[child] = steps[node]
+                steps[child, tree.feature[node]] += tree.value[child] - tree.value[node]
+        return steps[tree.leaf(x)]
+
+    means = model.mean_over_trees(df, follow, n + 1)
+    x = means.select(id_col, *[F.col("_mean")[i].alias(f) for i, f in enumerate([*features, "__base__"])])
+    return x.unpivot([id_col], [*features, "__base__"], "feature", "contribution")
 
 
 # -- X1: Shapley values -----------------------------------------------------
@@ -534,24 +499,18 @@ def leaf_boxes(tree: pd.DataFrame, n_features: int) -> tuple[np.ndarray, ...]:
     """Per leaf of one tree: its class-1 value, the box ``(lo, hi]`` of the
     rows that reach it, and per feature the share of training rows that its
     splits on that feature let through."""
-    g = tree.sort_values("id")
-    value, cover, feat, at = (g[c].to_numpy() for c in ("value", "cover", "feature", "threshold"))
-    left, right = g["left"].to_numpy(), g["right"].to_numpy()
-    out, todo = [], [(0, np.full(n_features, -np.inf), np.full(n_features, np.inf), np.ones(n_features))]
-    while todo:
-        node, lo, hi, share = todo.pop()
-        if left[node] < 0:
-            out.append((value[node], lo, hi, share))
-            continue
-        f = int(feat[node])
-        for child, low in ((left[node], lo[f]), (right[node], max(lo[f], at[node]))):
-            lo2, hi2, share2 = lo.copy(), hi.copy(), share.copy()
-            lo2[f] = low
-            if child == left[node]:
-                hi2[f] = min(hi[f], at[node])
-            share2[f] *= cover[child] / cover[node]
-            todo.append((int(child), lo2, hi2, share2))
-    return tuple(np.array(c) for c in zip(*out, strict=True))
+    t = Tree(tree)
+    size = (len(t.value), n_features)
+    lo, hi, share = np.full(size, -np.inf), np.full(size, np.inf), np.ones(size)
+    for node in t.levels():
+        f, at = t.feature[node], t.threshold[node]
+        for child in (t.left[node], t.right[node]):
+            lo[child], hi[child], share[child] = lo[node], hi[node], share[node]
+            share[child, f] *= t.cover[child] / t.cover[node]
+        hi[t.left[node], f] = np.minimum(hi[node, f], at)
+        lo[t.right[node], f] = np.maximum(lo[node, f], at)
+    ends = t.left < 0
+    return t.value[ends], lo[ends], hi[ends], share[ends]
 
 
 def leaf_shapley(x: np.ndarray, value: np.ndarray, lo: np.ndarray, hi: np.ndarray, share: np.ndarray, cells: int = 1 << 20) -> np.ndarray:
@@ -578,7 +537,7 @@ def leaf_shapley(x: np.ndarray, value: np.ndarray, lo: np.ndarray, hi: np.ndarra
     return out
 
 
-def shapley_contributions(model: PipelineModel, df: DataFrame, features: Sequence[str], id_col: str, block_rows: int = 256) -> DataFrame:
+def shapley_contributions(model: Forest, df: DataFrame, features: Sequence[str], id_col: str, block_rows: int = 256) -> DataFrame:
     """Exact Shapley values of the forest's class-1 probability per row
     and feature, unknown features being taken by the training rows' shares at
     each split. Long form ``(id, feature, contribution)`` with a ``__base__``
@@ -586,7 +545,7 @@ def shapley_contributions(model: PipelineModel, df: DataFrame, features: Sequenc
 
     Work is rows x leaves: one group holds one tree and a block of rows, so
     trees and blocks run in parallel; it is meant for the rows to explain."""
-    trees = model.stages[-1].getNumTrees
+    trees = model.num_trees
     n, id_type = len(features), df.schema[id_col].dataType
     x = df.select(F.col(id_col).alias("id"), F.array(*[F.col(f).cast("double") for f in features]).alias("x")).checkpoint()
     blocks = max(1, -(-x.count() // block_rows))
@@ -607,7 +566,7 @@ def shapley_contributions(model: PipelineModel, df: DataFrame, features: Sequenc
 
 
 # -- X2: local surrogate ----------------------------------------------------
-def local_surrogate(model: PipelineModel, instances: DataFrame, features: Sequence[str], id_col: str,
+def local_surrogate(model: Forest, instances: DataFrame, features: Sequence[str], id_col: str,
                     scale: DataFrame, n_samples: int = 1000, kernel_width: float | None = None,
                     top: int = 5, seed: int = 42) -> DataFrame:
     """Perturb each instance ``n_samples`` times with Gaussian noise of each
@@ -629,8 +588,7 @@ def local_surrogate(model: PipelineModel, instances: DataFrame, features: Sequen
     z = {c: F.sqrt(-2.0 * F.log(unif(c, f"{c}a"))) * F.cos(2 * np.pi * unif(c, f"{c}b")) for c in cols}
     pert = x.select(id_col, "s", *[(F.col(c) + z[c] * F.col(f"{c}__sd")).alias(c) for c in cols],
                     *[z[c].alias(f"z_{c}") for c in cols])
-    scored = model.transform(pert).select(id_col, "s", *[f"z_{c}" for c in cols],
-                                          vector_to_array("probability")[1].alias("y"))
+    scored = score(model, pert, [id_col, "s", *[f"z_{c}" for c in cols]]).withColumnRenamed("y_score", "y")
     dist2 = sum((F.col(f"z_{c}") ** 2 for c in cols[1:]), F.col(f"z_{cols[0]}") ** 2)
     wcol = F.exp(-dist2 / (width ** 2))
     terms = [F.lit(1.0)] + [F.col(f"z_{c}") for c in cols]

@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pyspark.ml import PipelineModel
-
 from ..functions.quantiles import quantiles_long
 from ..operators import feedback as fb
 from ..operators import metrics as mt
@@ -14,7 +12,7 @@ from ..operators import prep
 from ..sources.tables import table
 from ..sources.views import flows
 from .common import r6
-from ..session import checkpoint_dir, scratch_path
+from ..session import checkpoint_dir
 from .prep_queries import NUM, SCORE_SQL
 from .registry import register
 from .sql_views import FLOWS_CTE
@@ -41,17 +39,12 @@ _FORESTS: dict = {}
 
 
 def _rf(spark, sf_dir):
-    """The forest of a table folder is trained once and saved under the
-    session's checkpoint folder; later queries in the process reuse it."""
+    """The forest of a table folder is trained once (its nodes lie in the
+    session's checkpoint folder); later queries in the process reuse it."""
     s = _split(spark, sf_dir)
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _FORESTS:
-        model = md.fit_random_forest(s.filter(~F.col("is_test")), NUM, "label")
-        path = scratch_path(spark, f"rf-{abs(hash(key))}")
-        model.write().overwrite().save(path)
-        loaded = PipelineModel.load(path)
-        loaded._saved_path = path
-        _FORESTS[key] = loaded
+        _FORESTS[key] = md.fit_random_forest(s.filter(~F.col("is_test")), NUM, "label")
     return _FORESTS[key], s.filter("is_test")
 
 

@@ -7,6 +7,8 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.forest import Forest
+
 ISO = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
 # Columns of the log files: a file format, fixed values.
 MITIGATION_FILE = ("timestamp string, mitm_types string, severity string, actions string, auto_mitigated boolean, "
@@ -99,10 +101,13 @@ def append_feedback(decisions: DataFrame, path: str) -> None:
     decisions.select(*cols).write.mode("append").option("header", True).csv(path)
 
 
-def save_model(model: PipelineModel, path: str, explanations: DataFrame | None = None) -> None:
-    """K5: the fitted pipeline (assembler + model) and, optionally, the nested
-    explanations table beside it."""
-    model.write().overwrite().save(f"{path}/model")
+def save_model(model: PipelineModel | Forest, path: str, explanations: DataFrame | None = None) -> None:
+    """K5: the fitted pipeline (assembler + model) or forest and, optionally,
+    the nested explanations table beside it."""
+    if isinstance(model, Forest):
+        model.save(f"{path}/model")
+    else:
+        model.write().overwrite().save(f"{path}/model")
     if explanations is not None:
         explanations.write.mode("overwrite").parquet(f"{path}/explanations")
 
