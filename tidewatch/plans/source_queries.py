@@ -94,11 +94,13 @@ def study_files(spark, sf_dir):
     """Session files of decision and answer lines, read as tables,
     written by the sink and read again."""
     at = _folder(spark, "study")
-    d = decisions(spark, sf_dir).select(F.concat_ws(",", "phase", F.col("alert_idx").cast("string"), "user_decision",
+    # dealt by their values, so that there are more files than the table has row groups
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    d = decisions(spark, sf_dir).repartition(parts, "alert_idx").select(F.concat_ws(",", "phase", F.col("alert_idx").cast("string"), "user_decision",
                                                     F.col("time_seconds").cast("string"), F.col("model_prediction").cast("string"),
                                                     F.col("true_label").cast("string"), F.lit("")).alias("value"))
     # an answer line has a place for each of q1..q5; a question without an answer stays empty
-    lines = answers(spark, sf_dir).select(F.concat(F.lit("answer,"), F.array_join(F.transform(
+    lines = answers(spark, sf_dir).repartition(parts, "user_id", "question", "answer").select(F.concat(F.lit("answer,"), F.array_join(F.transform(
         F.array(*[F.lit(f"q{i}") for i in range(1, 6)]), lambda q: F.when(q == F.col("question"), F.col("answer").cast("string")).otherwise("")),
         ",")).alias("value"))
     head = spark.createDataFrame([("phase,alert_idx,user_decision,time_seconds,model_prediction,true_label,feedback",), ("",),

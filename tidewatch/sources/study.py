@@ -15,7 +15,9 @@ def read_sessions(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
              .filter(F.trim("line") != ""))
     parts = F.split("line", ",")
     kind = parts[0]
-    session = F.regexp_extract("file", r"([^/]+?)(\.csv)?$", 1)
+    # the file's name without .csv; a regular expression would try every start of the path, for every line
+    name = F.substring_index("file", "/", -1)
+    session = F.when(name.endswith(".csv") & (F.length(name) > 4), F.substring(name, F.lit(1), F.length(name) - 4)).otherwise(name)
     dec = lines.filter(~kind.isin("phase", "questionnaire", "answer")).select(session.alias("session"), parts.alias("p"))
     decisions = dec.select(
         "session", F.col("p")[0].alias("phase"), F.col("p")[1].try_cast("int").alias("alert_idx"),
