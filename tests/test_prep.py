@@ -91,3 +91,12 @@ def test_classes_deal_no_rows(spark):
     assert {r.label: r.n for r in split.where("is_test").groupBy("label").agg(F.count("*").alias("n")).collect()} == {0: 4500, 1: 4500}
     want = [r.id for r in df.withColumn("s", prep.hash_score("id")).orderBy("s").limit(500).collect()]
     assert sorted(r.id for r in sample.collect()) == sorted(want) and sample.columns == ["id", "label"]
+
+
+def test_groups_deal_no_rows_to_quantiles(spark):
+    df = spark.range(60_000, numPartitions=6).select((F.col("id") % 2).alias("base"), F.lit("x").alias("c_name"), (F.col("id") * 1.0).alias("v"))
+    q = quantiles_long(df, [0.95], ["base"])
+    assert {r.base: round(r.value, 6) for r in q.collect()} == {0: 56998.1, 1: 56999.1}
+    # only tables of a row per value near the rank or per group are still joined by their keys
+    plan = q._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("strategy=broadcast") >= 2

@@ -26,6 +26,20 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpoint_dir
+
+
+#: Rows up to which a table of one row per group is sent to all tasks. Rows
+#: dealt by so few keys would lie in as few tasks.
+FEW = 10_000
+
+
+def few(groups: DataFrame) -> DataFrame:
+    """``groups`` written once, for a broadcast if they are few."""
+    checkpoint_dir(groups.sparkSession)
+    groups = groups.checkpoint()
+    return F.broadcast(groups) if groups.count() <= FEW else groups
+
 
 def to_long(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """(by..., c_name, v DOUBLE) with nulls and NaN dropped."""
@@ -57,7 +71,8 @@ def quantiles_long(long: DataFrame, qs: Sequence[float], by: Sequence[str] = (),
         *keys, "n", F.col("b.q").alias("q"),
         F.when(F.col("n") <= small, F.lit(float("-inf"))).otherwise(F.col("b.lo")).alias("L"),
         F.when(F.col("n") <= small, F.lit(float("inf"))).otherwise(F.col("b.hi")).alias("H"))
-    xb = long.join(brackets if by else F.broadcast(brackets), keys)
+    brackets = few(brackets) if by else F.broadcast(brackets)
+    xb = long.join(brackets, keys)
     below = (xb.filter(F.col("v") < F.col("L")).groupBy(*keys, "q")
              .agg(F.count(F.lit(1)).alias("below")))
     inside = (xb.filter((F.col("v") >= F.col("L")) & (F.col("v") <= F.col("H")))

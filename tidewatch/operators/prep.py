@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType, StringType
 
-from ..functions.quantiles import medians_row, to_long
+from ..functions.quantiles import few, medians_row, to_long
 from ..session import checkpoint_dir
 from .scan import SEGMENT_ROWS, global_row_number, halo_segments, running_sum
 
@@ -284,22 +284,10 @@ def stratified_split(df: DataFrame, label: str, id_col: str, test_frac: float =
     x = df.withColumn("_score", hash_score(id_col, seed))
     long = x.select(F.col(label), F.col("_score").alias("v"))
     cuts = _rank_values(long, label, test_frac, accuracy).withColumnRenamed(label, "_cut_class")
-    return x.join(_few(cuts), F.col(label).eqNullSafe(F.col("_cut_class")), "left").withColumn(
+    return x.join(few(cuts), F.col(label).eqNullSafe(F.col("_cut_class")), "left").withColumn(
         "is_test", F.coalesce(F.col("_score") <= F.col("_cut"), F.lit(False))).drop("_score", "_cut", "_cut_class")
 
 
-#: Classes up to which a table of one row per class is sent to all tasks. Rows
-#: dealt by so few keys would lie in as few tasks.
-FEW = 10_000
-
-
-def _few(classes: DataFrame) -> DataFrame:
-    """``classes`` written once, for a broadcast if they are few."""
-    checkpoint_dir(classes.sparkSession)
-    classes = classes.checkpoint()
-    return F.broadcast(classes) if classes.count() <= FEW else classes
-
-
 def _brackets(long: DataFrame, label: str, rank, frac: float, accuracy: int) -> DataFrame:
     """``_class, _n, _r, L, H``: per class its rows and values around the
     rank; NULL is a class like any other."""
@@ -313,7 +301,7 @@ def _brackets(long: DataFrame, label: str, rank, frac: float, accuracy: int) ->
 
 
 def _rank_values(long: DataFrame, label: str, frac: float, accuracy: int) -> DataFrame:
-    meta = _few(_brackets(long, label, (F.round(F.col("_n") * frac) - 1).cast("bigint"), frac, accuracy))
+    meta = few(_brackets(long, label, (F.round(F.col("_n") * frac) - 1).cast("bigint"), frac, accuracy))
     # one pass: rows below the bracket are counted under NULL, those inside by value
     inside = (F.col("v") >= F.col("L")) & (F.col("v") <= F.col("H"))
     seen = (long.join(meta, F.col(label).eqNullSafe(F.col("_class"))).filter(F.col("v") <= F.col("H"))
@@ -345,7 +333,7 @@ def exact_sample(df: DataFrame, id_col: str, n: int, seed: int = 42, accuracy: i
         return df
     x = df.withColumn("_score", hash_score(id_col, seed)).withColumn("_all", F.lit(0))
     long = x.select("_all", F.col("_score").alias("v"))
-    meta = _few(_brackets(long, "_all", F.lit(n - 1).cast("bigint"), n / total, accuracy).select("_class", "_r", "H"))
+    meta = few(_brackets(long, "_all", F.lit(n - 1).cast("bigint"), n / total, accuracy).select("_class", "_r", "H"))
     kept = x.join(meta, F.col("_all") == F.col("_class")).filter(F.col("_score") <= F.col("H")).checkpoint()
     cut = _at_rank(kept.groupBy("_class", "_r", F.col("_score").alias("v")).agg(F.count(F.lit(1)).alias("_cnt")))
     missed = F.raise_error(F.lit("the sample's rank lies outside its bracket")).cast("double")
