@@ -254,31 +254,38 @@ def isolation_scores(df: DataFrame, forest: pd.DataFrame, features: Sequence[str
         fz = pd.DataFrame(bc.value)
         n_trees = int(fz["tree"].max()) + 1
         width = int(fz["node"].max()) + 1
-        shape = (n_trees, width)
-        feat = np.full(shape, -1, dtype=np.int64)
-        thr, size = np.zeros(shape), np.ones(shape)
-        left, right = np.zeros(shape, dtype=np.int64), np.zeros(shape, dtype=np.int64)
         t, nd = fz["tree"].to_numpy(), fz["node"].to_numpy()
-        feat[t, nd], thr[t, nd], size[t, nd] = fz["feature"], fz["threshold"], fz["size"]
-        left[t, nd], right[t, nd] = fz["left"], fz["right"]
-        tix = np.arange(n_trees)[None, :]
+        at = t * width + nd
+        # flat tables over (tree, node); a leaf leads to itself
+        feat, thr = np.zeros(n_trees * width, dtype=np.int64), np.zeros(n_trees * width)
+        child = np.repeat(np.arange(n_trees * width), 2)
+        depth, ends = np.zeros(n_trees * width), np.zeros(n_trees * width)
+        f, inner = fz["feature"].to_numpy(), fz["feature"].to_numpy() >= 0
+        feat[at[inner]], thr[at[inner]] = f[inner], fz["threshold"].to_numpy()[inner]
+        for side, c in enumerate(("left", "right")):
+            child[2 * at[inner] + side] = (t * width + fz[c].to_numpy())[inner]
+        level, parents, roots = 0, at[(nd == 0) & inner], np.arange(n_trees) * width
+        is_inner = np.zeros(n_trees * width, dtype=bool)
+        is_inner[at[inner]] = True
+        while len(parents):
+            level += 1
+            below = np.concatenate([child[2 * parents], child[2 * parents + 1]])
+            depth[below] = level
+            parents = below[is_inner[below]]
+        ends[at] = depth[at] + _c(fz["size"].to_numpy())
         for pdf in batches:
             X = np.nan_to_num(pdf[cols].to_numpy(dtype=float))
-            rows = np.arange(len(X))[:, None]
-            node = np.zeros((len(X), n_trees), dtype=np.int64)     # all trees at once
-            depth = np.zeros((len(X), n_trees))
-            while True:
-                f = feat[tix, node]
-                inner = f >= 0
-                if not inner.any():
-                    break
-                go_left = X[rows, np.maximum(f, 0)] < thr[tix, node]
-                nxt = np.where(go_left, left[tix, node], right[tix, node])
-                node = np.where(inner, nxt, node)
-                depth += inner
-            path = depth + _c(size[tix, node])
+            means = np.zeros(len(X))
+            for s in range(0, len(X), 1024):                       # all trees at once
+                part = np.ascontiguousarray(X[s:s + 1024])
+                row = np.arange(len(part))[:, None] * part.shape[1]
+                node = np.broadcast_to(roots, (len(part), n_trees))
+                for _ in range(level):
+                    go_right = part.take(row + feat.take(node)) >= thr.take(node)
+                    node = child.take(2 * node + go_right)
+                means[s:s + 1024] = ends.take(node).mean(axis=1)
             out = pdf[list(keep)].copy()
-            out["anomaly_score"] = np.power(2.0, -path.mean(axis=1) / c_psi)
+            out["anomaly_score"] = np.power(2.0, -means / c_psi)
             yield out
 
     schema = df.select(*keep).schema.add("anomaly_score", DoubleType())

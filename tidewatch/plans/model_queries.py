@@ -103,7 +103,8 @@ def isolation_forest(spark, sf_dir):
     f = flows(spark, sf_dir).select("row_id", *NUM)
     forest = md.fit_isolation_forest(f, NUM, "row_id", 100, 256, 42)
     checkpoint_dir(spark)
-    s = md.isolation_scores(f, forest, NUM, ["row_id"]).checkpoint()   # scored once, read by every pass
+    # scored once, read by every pass; dealt by id, as input files may have few row groups
+    s = md.isolation_scores(f.repartition("row_id"), forest, NUM, ["row_id"]).checkpoint()
     thr = quantiles_long(s.select(F.lit("s").alias("c_name"), F.col("anomaly_score").alias("v")), [0.9])
     j = s.crossJoin(F.broadcast(thr.select(F.col("value").alias("thr"))))
     return j.select("row_id", r6("anomaly_score", "anomaly_score"),
