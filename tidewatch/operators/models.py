@@ -15,15 +15,17 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LinearSVC, LogisticRegression, LogisticRegressionModel, MultilayerPerceptronClassifier
+from pyspark.ml.classification import LinearSVC, LogisticRegression, LogisticRegressionModel, MultilayerPerceptronClassificationModel, MultilayerPerceptronClassifier
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StringType, StructType
 
 from .forest import Forest, Tree, fit_forest
+from .lbfgs import lbfgs
 
 
 def assemble(features: Sequence[str], out: str = "features") -> VectorAssembler:
@@ -52,6 +54,8 @@ def score(model: PipelineModel | Forest, df: DataFrame, keep: Sequence[str]) ->
     y_pred (y_score > 0.5, M8)."""
     if isinstance(model, Forest):
         return model.score(df, keep).withColumn("y_pred", F.when(F.col("y_score") > 0.5, 1).otherwise(0))
+    if isinstance(model.stages[-1], MultilayerPerceptronClassificationModel):
+        return mlp_scores(model, df, keep).withColumn("y_pred", F.when(F.col("y_score") > 0.5, 1).otherwise(0))
     out = model.transform(df)
     if "probability" in out.columns:
         s = vector_to_array("probability")[1]
@@ -293,14 +297,170 @@ def isolation_scores(df: DataFrame, forest: pd.DataFrame, features: Sequence[str
 
 
 # -- M7 ---------------------------------------------------------------------
+#: Windows of one block of the perceptron's loss (the default of Spark ML), and blocks of one packed row.
+MLP_BLOCK, PACKED_BLOCKS = 128, 64
+PACKED = "steps binary, starts binary, labels binary"
+
+
+def _packed(X: np.ndarray, labels: np.ndarray, width: int) -> dict[str, bytes]:
+    """Windows (rows of ``X``) as one run of values and the place where each
+    begins. A window that is the one before moved on by ``width`` values, as
+    sliding windows are, adds ``width`` values only; any other adds all."""
+    bits = X.view(np.int64)
+    moved = np.zeros(len(X), bool)
+    moved[1:] = (bits[1:, :-width] == bits[:-1, width:]).all(axis=1)
+    own = np.repeat(~moved[:, None], X.shape[1], axis=1)
+    own[:, -width:] = True
+    starts = np.cumsum(np.where(moved, width, X.shape[1])) - X.shape[1]
+    starts -= starts[0]
+    return {"steps": X[own].tobytes(), "starts": starts.astype(np.int64).tobytes(), "labels": labels.astype(np.int8).tobytes()}
+
+
+def pack_windows(windows: DataFrame, n_inputs: int) -> DataFrame:
+    """Windows (``seq``, ``label``) for training passes: a row for every 8,192
+    windows of a partition, where overlapping neighbours share their values."""
+    flat = F.flatten("seq")
+    x = windows.select(F.array(*[flat[i] for i in range(n_inputs)]).alias("flat"), F.col("label").cast("double").alias("label"),
+                       F.size("seq").alias("length"))
+    most = MLP_BLOCK * PACKED_BLOCKS
+
+    def run(batches):
+        held, width = [], n_inputs
+        def packed(n):
+            X, y = (np.concatenate(c) for c in zip(*held))
+            held[:] = [(X[n:], y[n:])]
+            return pa.RecordBatch.from_pylist([_packed(np.ascontiguousarray(X[:n]), y[:n], width)], pa.schema(
+                [(c, pa.binary()) for c in ("steps", "starts", "labels")]))
+        for b in batches:
+            if not b.num_rows:
+                continue
+            y = b.column("label").to_numpy(zero_copy_only=False)
+            if not np.isin(y, (0.0, 1.0)).all():
+                raise ValueError("labels are 0 or 1")
+            length = b.column("length")[0].as_py() or 0
+            width = n_inputs // length if length > 0 and n_inputs % length == 0 else n_inputs
+            held.append((b.column("flat").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, n_inputs), y))
+            while sum(len(y) for _, y in held) >= most:
+                yield packed(most)
+        if sum(len(y) for _, y in held):
+            yield packed(most)
+
+    return x.mapInArrow(run, PACKED)
+
+
+def _layers(weights: np.ndarray, layers: Sequence[int]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Spark ML's flat weights as (inputs x outputs, intercepts) of every layer."""
+    out, at = [], 0
+    for i, o in zip(layers, layers[1:]):
+        out.append((weights[at:at + i * o].reshape(i, o), weights[at + i * o:at + i * o + o]))
+        at += i * o + o
+    return out
+
+
+def _mlp_forward(net: list[tuple[np.ndarray, np.ndarray]], X: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Every layer's inputs, and the margin of class 1 before the softmax."""
+    hidden = [X]
+    for w, b in net[:-1]:
+        z = hidden[-1] @ w
+        z += b
+        np.negative(z, out=z)
+        np.exp(z, out=z)
+        z += 1.0
+        hidden.append(np.divide(1.0, z, out=z))
+    w, b = net[-1]
+    return hidden, hidden[-1] @ (w[:, 1] - w[:, 0]) + (b[1] - b[0])
+
+
+def mlp_gradient(weights: np.ndarray, layers: Sequence[int], X: np.ndarray, labels: np.ndarray) -> tuple[float, np.ndarray, int]:
+    """Cross entropy and its gradient of a perceptron with sigmoid layers and
+    softmax of two classes on top, as sums over blocks of 128 rows of their
+    means; blocks."""
+    net, n = _layers(weights, layers), len(X)
+    hidden, margin = _mlp_forward(net, X)
+    share = np.full(n, 1.0 / MLP_BLOCK)
+    if n % MLP_BLOCK:
+        share[-(n % MLP_BLOCK):] = 1.0 / (n % MLP_BLOCK)
+    y = labels.astype(float)
+    loss = float(np.logaddexp(0.0, (1.0 - 2.0 * y) * margin) @ share)
+    top = (1.0 / (1.0 + np.exp(-margin)) - y) * share
+    last = hidden[-1].T @ top
+    parts = [np.concatenate([np.column_stack([-last, last]).ravel(), [-top.sum(), top.sum()]])]
+    delta = None
+    for k in range(len(net) - 2, -1, -1):
+        up = np.multiply.outer(top, net[-1][0][:, 1] - net[-1][0][:, 0]) if delta is None else delta @ net[k + 1][0].T
+        up *= hidden[k + 1]
+        np.subtract(1.0, hidden[k + 1], out=hidden[k + 1])
+        up *= hidden[k + 1]
+        delta = up
+        parts.append(np.concatenate([(hidden[k].T @ delta).ravel(), delta.sum(axis=0)]))
+    return loss, np.concatenate(parts[::-1]), -(-n // MLP_BLOCK)
+
+
+def _mlp_pass(packed: DataFrame, layers: Sequence[int], rows: int = 1024):
+    """The function weights -> (mean loss, gradient): a pass over the packed
+    windows, each partition returning one row of sums (of the weights' size)."""
+    n_in = layers[0]
+
+    def value(weights: np.ndarray) -> tuple[float, np.ndarray]:
+        def run(batches):
+            loss, blocks, grad = 0.0, 0, np.zeros(len(weights))
+            with np.errstate(over="ignore", invalid="ignore"):
+                for b in batches:
+                    for steps, starts, labels in zip(*(b.column(c) for c in ("steps", "starts", "labels"))):
+                        view = np.lib.stride_tricks.sliding_window_view(np.frombuffer(steps.as_buffer()), n_in)
+                        at, y = np.frombuffer(starts.as_buffer(), np.int64), np.frombuffer(labels.as_buffer(), np.int8)
+                        for i in range(0, len(y), rows):
+                            part = mlp_gradient(weights, layers, view[at[i:i + rows]], y[i:i + rows])
+                            loss, grad, blocks = loss + part[0], grad + part[1], blocks + part[2]
+            yield pa.RecordBatch.from_pylist([{"loss": loss, "blocks": blocks, "grad": grad.tobytes()}], pa.schema(
+                [("loss", pa.float64()), ("blocks", pa.int64()), ("grad", pa.binary())]))
+        sums = packed.mapInArrow(run, "loss double, blocks bigint, grad binary").collect()
+        with np.errstate(invalid="ignore"):
+            blocks = np.float64(sum(r["blocks"] for r in sums))
+            return sum(r["loss"] for r in sums) / blocks, sum((np.frombuffer(r["grad"]) for r in sums), np.zeros(len(weights))) / blocks
+
+    return value
+
+
 def fit_sequence_mlp(windows: DataFrame, n_inputs: int, hidden: Sequence[int] = (32,), seed: int = 42,
-                     max_iter: int = 50) -> MultilayerPerceptronClassifier:
-    """M7 re-aimed: flattened 20-step windows -> multilayer perceptron."""
-    flat = windows.withColumn("flat", F.flatten("seq"))
-    x = flat.select(F.col("label").cast("double").alias("label"),
-                    *[F.col("flat")[i].alias(f"f{i}") for i in range(n_inputs)])
-    mlp = MultilayerPerceptronClassifier(layers=[n_inputs, *hidden, 2], seed=seed, maxIter=max_iter)
-    return _fit_materialised(Pipeline(stages=[assemble([f"f{i}" for i in range(n_inputs)]), mlp]), x)
+                     max_iter: int = 50) -> PipelineModel:
+    """M7 re-aimed: flattened 20-step windows -> multilayer perceptron. The
+    windows are packed once and kept, so that a pass reads a window's last step
+    instead of all its values; weights begin and end in Spark ML's classifier,
+    whose optimizer, loss and blocks are kept."""
+    layers = [n_inputs, *hidden, 2]
+    some = windows.sparkSession.range(1, numPartitions=1).select(*[F.lit(0.0).alias(c) for c in ("label", *[f"f{i}" for i in range(n_inputs)])])
+
+    def classifier(**start) -> PipelineModel:
+        mlp = MultilayerPerceptronClassifier(layers=layers, seed=seed, maxIter=0, **start)
+        return Pipeline(stages=[assemble([f"f{i}" for i in range(n_inputs)]), mlp]).fit(some)
+
+    first = classifier().stages[-1].weights.toArray()
+    packed = pack_windows(windows, n_inputs).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        weights = lbfgs(_mlp_pass(packed, layers), first, max_iter)
+    finally:
+        packed.unpersist()
+    return classifier(initialWeights=Vectors.dense(weights))
+
+
+def mlp_scores(model: PipelineModel, df: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """Keep columns and ``y_score`` of a two-class perceptron, in batches."""
+    first, mlp = model.stages[0], model.stages[-1]
+    net = _layers(mlp.weights.toArray(), mlp.getLayers())
+    schema = df.select(*keep).schema.add("y_score", DoubleType())
+    kept = len(schema) - 1
+    names = [f"_x{i}" for i in range(len(first.getInputCols()))]
+
+    def run(batches):
+        with np.errstate(over="ignore", invalid="ignore"):
+            for b in batches:
+                X = np.column_stack([b.column(c).to_numpy(zero_copy_only=False).astype(float) for c in names])
+                score = 1.0 / (1.0 + np.exp(-_mlp_forward(net, X)[1]))
+                yield pa.RecordBatch.from_arrays([*b.columns[:kept], pa.array(score)], names=schema.names)
+
+    return df.select(*keep, *[F.col(c).cast("double").alias(n) for c, n in zip(first.getInputCols(), names)]).mapInArrow(
+        run, schema)
 
 
 def flatten_windows(windows: DataFrame, n_inputs: int, keep: Sequence[str]) -> DataFrame:
