@@ -64,3 +64,26 @@ def test_documents_are_nested(spark):
     assert [f.feature for f in d[0].features] == ["f8", "f6", "f4", "f2", "f0", "f9", "f7", "f5"]
     assert len(d[0].details) == 8 and [f.feature for f in d[0].all_features] == sorted(f"f{i}" for i in range(10))
     assert d[0].probability == 0.1235
+
+
+def test_documents_move_contributions_once(spark):
+    """Repeated alerts, missing importances and repeated descriptions come as
+    joins and windows give them; contributions pass one exchange."""
+    c = spark.createDataFrame([(1, "a", 1.0, 0.5), (1, "a", 1.0, 0.5), (1, "b", -2.0, -0.25), (1, "c", 0.0, None), (2, "a", 3.0, None),
+                               (None, "a", 1.0, 1.0), (3, "b", 0.3, float("nan")), (3, "a", 0.1, 0.0)],
+                              "alert_id long, feature string, value double, importance double")
+    v = spark.createDataFrame([(i, "Attack", "Attack", True, 0.5) for i in (1, 1, 2, 3)],
+                              "alert_id long, true_text string, predicted_text string, correct boolean, probability double")
+    text = spark.createDataFrame([("a", "two"), ("a", "one"), (None, "none")], "feature string, description string")
+    d = ex.explanation_documents(c, v, text)
+    rows = sorted(d.collect(), key=lambda r: r.alert_id)
+    assert [r.alert_id for r in rows] == [1, 1, 3]
+    shown = [(f.position, f.feature, f.description) for f in rows[0].features]
+    assert shown[:4] == [(1, "a", "one"), (1, "a", "two"), (2, "a", "one"), (2, "a", "two")]
+    assert [s[:2] for s in shown[4:]] == [(6, "b")] and len(rows[0].details) == 5
+    assert [f.feature for f in rows[0].all_features] == ["a", "a", "b", "c"]
+    assert [(f.position, f.feature) for f in rows[2].features] == [(1, "a"), (1, "a"), (2, "b")]
+    plan = d._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Generate" not in plan and plan.count("Join") == 2
+    top = {(r.alert_id, r.feature, r.position) for r in ex.split_top(c).collect()}
+    assert top == {(1, "a", 1), (1, "a", 2), (1, "b", 6), (None, "a", 1), (3, "a", 1), (3, "b", 2)}

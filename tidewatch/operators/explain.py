@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import (DEFAULT_FEATURE_TEXT, NARRATIVE_HEAD, direction, label_text, pushed_toward,
@@ -36,17 +36,41 @@ def top_features(importance: DataFrame, k: int, col: str = "mean_abs_importance"
     return importance.orderBy(F.desc(col), F.asc("feature")).limit(k)
 
 
+def _per_alert(contrib: DataFrame) -> DataFrame:
+    """``alert_id, contributions`` (all of an alert, ordered by feature). Rows
+    are dealt once, and grouped where they lie, so nothing is sorted before."""
+    return contrib.repartition("alert_id").groupBy("alert_id").agg(
+        F.array_sort(F.collect_list(F.struct("feature", "value", "importance"))).alias("contributions"))
+
+
+def _top(contributions: str, n_pos: int, n_neg: int) -> Column:
+    """The shown contributions of an alert with their ``position``."""
+    def side(keep, sign: int, n: int, shift: int) -> Column:
+        keyed = F.transform(F.filter(contributions, lambda c: keep(c["importance"])), lambda c: F.struct(
+            (sign * c["importance"]).alias("key"), c["feature"].alias("feature"), c["value"].alias("value"), c["importance"].alias("importance")))
+        return F.transform(F.slice(F.array_sort(keyed), 1, n), lambda c, i: F.struct(
+            (i + 1 + shift).alias("position"), c["feature"].alias("feature"), c["value"].alias("value"), c["importance"].alias("importance")))
+    return F.concat(side(lambda x: x >= 0, -1, n_pos, 0), side(lambda x: x < 0, 1, n_neg, n_pos))
+
+
 def split_top(contrib: DataFrame, n_pos: int = 5, n_neg: int = 3) -> DataFrame:
     """Per alert the ``n_pos`` largest non-negative contributions, then
     the ``n_neg`` most negative; ``position`` gives the display order."""
-    pos = F.col("importance") >= 0
-    w = Window.partitionBy("alert_id", pos).orderBy(
-        F.when(pos, -F.col("importance")).otherwise(F.col("importance")), "feature")
-    r = contrib.withColumn("_r", F.row_number().over(w))
-    keep = (pos & (F.col("_r") <= n_pos)) | (~pos & (F.col("_r") <= n_neg))
-    return (r.filter(keep)
-            .withColumn("position", F.when(pos, F.col("_r")).otherwise(F.col("_r") + n_pos))
-            .drop("_r"))
+    return _per_alert(contrib).select("alert_id", F.inline(_top("contributions", n_pos, n_neg))).select(
+        "alert_id", "feature", "value", "importance", "position")
+
+
+def _shown(position: Column, feature: Column, value: Column, imp: Column, description: Column) -> list[Column]:
+    """Columns of a shown contribution: rounded numbers and texts."""
+    return [
+        position.alias("position"), feature.alias("feature"),
+        F.round(value, 3).alias("value"), F.round(imp, 4).alias("importance"),
+        F.coalesce(description, F.lit(DEFAULT_FEATURE_TEXT)).alias("description"),
+        direction(imp).alias("direction"),
+        value_band(value).alias("value_summary"),
+        F.format_string("%s (%s, importance: %.4f)", feature, value_band(value), F.abs(imp)).alias("plain_english"),
+        F.format_string("- **%s** was %s (%.2f), which %s (importance: %.4f)", feature,
+                        value_band(value, near_normal=False), value, pushed_toward(imp), F.abs(imp)).alias("summary_line")]
 
 
 def explanation_rows(top: DataFrame, descriptions: DataFrame | None = None) -> DataFrame:
@@ -58,18 +82,7 @@ def explanation_rows(top: DataFrame, descriptions: DataFrame | None = None) -> D
         x = x.join(F.broadcast(descriptions), "feature", "left")
     else:
         x = x.withColumn("description", F.lit(None).cast("string"))
-    imp = F.col("importance")
-    return x.select(
-        "alert_id", "position", "feature",
-        F.round("value", 3).alias("value"), F.round(imp, 4).alias("importance"),
-        F.coalesce("description", F.lit(DEFAULT_FEATURE_TEXT)).alias("description"),
-        direction(imp).alias("direction"),
-        value_band("value").alias("value_summary"),
-        F.format_string("%s (%s, importance: %.4f)", F.col("feature"), value_band("value"), F.abs(imp))
-        .alias("plain_english"),
-        F.format_string("- **%s** was %s (%.2f), which %s (importance: %.4f)", F.col("feature"),
-                        value_band("value", near_normal=False), F.col("value"), pushed_toward(imp), F.abs(imp))
-        .alias("summary_line"))
+    return x.select("alert_id", *_shown(*(F.col(c) for c in ("position", "feature", "value", "importance", "description"))))
 
 
 def explanation_documents(contrib: DataFrame, verdicts: DataFrame, descriptions: DataFrame | None = None,
@@ -78,18 +91,32 @@ def explanation_documents(contrib: DataFrame, verdicts: DataFrame, descriptions:
     summary sentence (P16), the shown features with their texts in display
     order, their lines, and all features. ``verdicts`` has ``alert_id,
     true_text, predicted_text, correct, probability``. Groups are bounded by
-    the number of features."""
-    shown = explanation_rows(split_top(contrib, n_pos, n_neg), descriptions)
-    cells = [c for c in shown.columns if c not in ("alert_id", "summary_line")]
-    top = shown.groupBy("alert_id").agg(F.array_sort(F.collect_list(F.struct(*cells))).alias("features"),
-                                        F.array_sort(F.collect_list(F.struct("position", "summary_line"))).alias("lines"))
-    every = contrib.groupBy("alert_id").agg(F.array_sort(F.collect_list(F.struct(
-        "feature", F.round("value", 3).alias("value"), F.round("importance", 4).alias("importance")))).alias("all_features"))
+    the number of features. Contributions and verdicts move once, by alert;
+    texts are written when both are in place."""
+    x = verdicts.join(_per_alert(contrib), "alert_id")
+    none = F.array(F.lit(None).cast("string"))
+    if descriptions is not None:
+        known = descriptions.agg(F.collect_list(F.struct("feature", "description")).alias("_known"))
+        x = x.crossJoin(F.broadcast(known))
+
+    def texts(c: Column) -> Column:
+        found = none
+        if descriptions is not None:
+            own = F.transform(F.filter("_known", lambda k: k["feature"] == c["feature"]), lambda k: k["description"])
+            found = F.when(F.size(own) > 0, own).otherwise(none)
+        return F.transform(found, lambda d: F.struct(*_shown(c["position"], c["feature"], c["value"], c["importance"], d)))
+
+    x = x.withColumn("_top", _top("contributions", n_pos, n_neg)).filter(F.size("_top") > 0)
+    x = x.withColumn("_shown", F.array_sort(F.flatten(F.transform("_top", texts))))
+    cells = ["position", "feature", "value", "importance", "description", "direction", "value_summary", "plain_english"]
+    every = F.array_sort(F.transform("contributions", lambda c: F.struct(
+        c["feature"].alias("feature"), F.round(c["value"], 3).alias("value"), F.round(c["importance"], 4).alias("importance"))))
     sentence = F.format_string("Classified as **%s** with a confidence of %.2f%%, which is **%s** (true label: %s).", F.col("predicted_text"),
                                F.col("probability") * 100, F.when(F.col("correct"), "right").otherwise("wrong"), F.col("true_text"))
-    return verdicts.join(top, "alert_id").join(every, "alert_id").select(
+    return x.select(
         "alert_id", F.col("true_text").alias("true_label"), F.col("predicted_text").alias("predicted"), F.round("probability", 4).alias("probability"),
-        "correct", sentence.alias("summary"), F.transform("lines", lambda x: x["summary_line"]).alias("details"), "features", "all_features")
+        "correct", sentence.alias("summary"), F.transform("_shown", lambda s: s["summary_line"]).alias("details"),
+        F.transform("_shown", lambda s: F.struct(*[s[c].alias(c) for c in cells])).alias("features"), every.alias("all_features"))
 
 
 def narratives(contrib: DataFrame, k: int = 3, alert_type=None) -> DataFrame:
