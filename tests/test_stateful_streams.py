@@ -4,8 +4,10 @@ against their batch forms."""
 import os
 import random
 import shutil
+import tracemalloc
 from collections import Counter
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -100,6 +102,44 @@ def test_feedback(spark, tmp_path, batch, interval, most):
     assert sorted(tuple(r)[:6] for r in got.collect()) == plain_cycles(rows, batch, interval, most)
 
 
+@pytest.mark.parametrize("run_rows", [1, 700, 100_000])
+def test_rows_in_order_hold_one_run(run_rows):
+    rng = random.Random(5)
+    rows = [(rng.randrange(2000), rng.choice([fb.CONFIRMED, fb.DISMISSED, "none", None])) for _ in range(5000)]
+    parts = [pd.DataFrame(rows[i:i + 250], columns=["row_id", "verdict"]) for i in range(0, len(rows), 250)]
+    code = {fb.CONFIRMED: 0, fb.DISMISSED: 1}
+    got = list(st.in_order(iter(parts), "row_id", "verdict", tuple(code), run_rows))
+    assert got == sorted(((r, code.get(v, -1)) for r, v in rows), key=lambda r: r[0])
+    assert list(st.in_order(iter([pd.DataFrame({"row_id": [None, 2], "verdict": ["none", fb.DISMISSED]})]), "row_id", "verdict", tuple(code), run_rows)) \
+        == [(2, 1), (None, -1)]
+
+
+def test_feedback_of_one_large_batch_is_bounded():
+    """A site's million rows in one micro-batch: no list of all of them."""
+    n, step = 1_000_000, 10_000
+    ids = np.random.default_rng(2).permutation(n)
+    verdicts = np.array([fb.CONFIRMED, fb.DISMISSED, "none"], object)
+
+    class State:
+        value = None
+        def exists(self): return self.value is not None
+        def get(self): return self.value
+        def put(self, v): self.value = v
+        def update(self, v): self.value = v
+        def clear(self): self.value = None
+
+    p = st.Feedback(50, 100, 500)
+    p.run_rows, p.lists, p.progress = 1 << 16, {fb.CONFIRMED: State(), fb.DISMISSED: State()}, State()
+    parts = (pd.DataFrame({"row_id": ids[i:i + step], "verdict": verdicts[ids[i:i + step] % 3]}) for i in range(0, n, step))
+    tracemalloc.start()
+    try:
+        rows = sum(len(x) for x in p.handleInputRows((1,), parts, None))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert rows > 0.6 * n and p.progress.get()[0] == n and peak < 30 << 20
+
+
 def test_each_closed_cycle_is_fitted_once(spark, tmp_path):
     rows = decisions(1500)
     folder = five_files(spark.createDataFrame(rows, "site long, row_id long, verdict string"), tmp_path / "d", "row_id")

@@ -10,8 +10,11 @@ state; ``maxFilesPerTrigger`` of the source bounds them.
 
 from __future__ import annotations
 
+import heapq
 import math
+import tempfile
 import uuid
+from collections import deque
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -33,6 +36,42 @@ def arrived(rows: Iterator[pd.DataFrame], order: Sequence[str]) -> pd.DataFrame:
     return pd.concat(list(rows), ignore_index=True).sort_values(list(order), kind="stable", ignore_index=True)
 
 
+def in_order(rows: Iterator[pd.DataFrame], key: str, kind: str, kinds: Sequence[str], run_rows: int) -> Iterator[tuple[int | None, int]]:
+    """(``key``, number of ``kind`` in ``kinds`` or -1) of all rows in stable
+    order of ``key``, nulls last. Rows are sorted in runs of about ``run_rows``
+    that lie in a temporary file, 17 bytes a row, and are merged from there."""
+    form = np.dtype([("null", "?"), ("key", "<i8"), ("kind", "<i8")])
+    number = {k: i for i, k in enumerate(kinds)}
+
+    def run(chunks: list[np.ndarray]) -> np.ndarray:
+        x = np.concatenate(chunks)
+        return x[np.lexsort((x["key"], x["null"]))]
+
+    def entries(x: np.ndarray, step: int = 4096) -> Iterator[tuple[bool, int, int]]:
+        for i in range(0, len(x), step):
+            yield from x[i:i + step].tolist()
+
+    with tempfile.TemporaryFile() as f:
+        chunks, ends = [], [0]
+        for pdf in rows:
+            x = np.empty(len(pdf), form)
+            x["null"] = pdf[key].isna()
+            x["key"] = pdf[key].fillna(0).astype("int64")
+            x["kind"] = pdf[kind].map(number).fillna(-1).astype("int64")
+            chunks.append(x)
+            if sum(map(len, chunks)) >= run_rows:
+                run(chunks).tofile(f)
+                ends.append(ends[-1] + sum(map(len, chunks)))
+                chunks = []
+        f.flush()
+        runs = [np.memmap(f, form, "r", a * form.itemsize, (b - a,)) for a, b in zip(ends, ends[1:])]
+        if chunks:
+            runs.append(run(chunks))
+        del chunks
+        for null, k, code in heapq.merge(*map(entries, runs), key=lambda e: e[:2]):
+            yield None if null else k, code
+
+
 class _Idle(StatefulProcessor):
     """A processor whose key is forgotten ``ttl_ms`` after its latest row's
     event time (0: never): by the key's next micro-batch if that begins later,
@@ -152,7 +191,12 @@ FEEDBACK_OUT = "site long, cycle long, row_id long, rn long, verdict string, lab
 class Feedback(_Idle):
     """Two buffers of the newest ``max_buffer`` rows and a counter of cycles.
     Buffers are looked at after every ``batch_size`` rows of the key; with
-    ``interval`` rows or more in both, they are emitted and cleared."""
+    ``interval`` rows or more in both, they are emitted and cleared, so a
+    task holds the buffers, ``run_rows`` rows that are being sorted and
+    ``out_rows`` results, however many rows a micro-batch brings."""
+
+    run_rows, out_rows = 1 << 20, 10_000
+    columns = ("site", "cycle", "row_id", "rn", "verdict", "label")
 
     def __init__(self, batch_size: int, interval: int, max_buffer: int):
         self.batch_size, self.interval, self.max_buffer = batch_size, interval, max_buffer
@@ -163,26 +207,27 @@ class Feedback(_Idle):
         self.progress = handle.getValueState("progress", "seen long, cycle long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        x = arrived(rows, ["row_id"])
         seen, cycle = self.progress.get() if self.progress.exists() else (0, 0)
-        held = {v: list(s.get()) if s.exists() else [] for v, s in self.lists.items()}
+        # the oldest goes when a buffer is full
+        held = {v: deque(s.get() if s.exists() else (), self.max_buffer) for v, s in self.lists.items()}
         out = []
-        for row_id, verdict in zip(x["row_id"].tolist(), x["verdict"].tolist(), strict=True):
+        for row_id, code in in_order(rows, "row_id", "verdict", tuple(held), self.run_rows):
             seen += 1
-            if verdict in held:
-                held[verdict].append((row_id, seen))
-                # the oldest goes when the buffer is full
-                del held[verdict][:-self.max_buffer]
+            if code >= 0:
+                held[tuple(held)[code]].append((row_id, seen))
             if seen % self.batch_size == 0 and sum(map(len, held.values())) >= self.interval:
                 for v, label in ((CONFIRMED, 1), (DISMISSED, 0)):
                     out += [(key[0], cycle, r, n, v, label) for r, n in held[v]]
-                    held[v] = []
+                    held[v].clear()
                 cycle += 1
+                if len(out) >= self.out_rows:
+                    yield pd.DataFrame(out, columns=self.columns)
+                    out = []
         for v, s in self.lists.items():
-            s.put(held[v]) if held[v] else s.clear()
+            s.put(list(held[v])) if held[v] else s.clear()
         self.progress.update((seen, cycle))
         if out:
-            yield pd.DataFrame(out, columns=["site", "cycle", "row_id", "rn", "verdict", "label"])
+            yield pd.DataFrame(out, columns=self.columns)
 
 
 def feedback_stream(decisions: DataFrame, batch_size: int = 50, interval: int = 100, max_buffer: int = 500) -> DataFrame:
