@@ -36,11 +36,17 @@ def test_packed_windows_share_their_values(windows):
 
 def test_windows_that_do_not_overlap_are_kept_whole(spark):
     rng = np.random.default_rng(5)
-    rows = [([[float(v)] for v in rng.normal(size=4)], i % 2) for i in range(20)] + [([[None]] * 4, 0)]
+    rows = [([[float(v)] for v in rng.normal(size=4)], i % 2) for i in range(20)]
     df = spark.createDataFrame(rows, "seq array<array<double>>, label int").coalesce(1)
     packed = md.pack_windows(df, 4).collect()
     got = [x for r in packed for x in unpacked(r, 4)[0]]
-    assert got[:20] == [[v for s in seq for v in s] for seq, _ in rows[:20]] and np.isnan(got[20]).all()
+    assert got == [[v for s in seq for v in s] for seq, _ in rows]
+
+
+def test_missing_values_are_refused(spark):
+    df = spark.createDataFrame([([[1.0], [None]], 0)], "seq array<array<double>>, label int")
+    with pytest.raises(Exception, match="must not be missing"):
+        md.fit_sequence_mlp(df, 2, (3,))
 
 
 def test_training_is_that_of_spark_ml(windows):

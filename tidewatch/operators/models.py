@@ -339,7 +339,10 @@ def pack_windows(windows: DataFrame, n_inputs: int) -> DataFrame:
                 raise ValueError("labels are 0 or 1")
             length = b.column("length")[0].as_py() or 0
             width = n_inputs // length if length > 0 and n_inputs % length == 0 else n_inputs
-            held.append((b.column("flat").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, n_inputs), y))
+            X = b.column("flat").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, n_inputs)
+            if not np.isfinite(X).all():
+                raise ValueError("window values must not be missing or infinite")
+            held.append((X, y))
             while sum(len(y) for _, y in held) >= most:
                 yield packed(most)
         if sum(len(y) for _, y in held):
