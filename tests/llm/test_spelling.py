@@ -1,5 +1,6 @@
 """Spelling variants against a plain version."""
 
+import itertools
 import random
 import re
 import zlib
@@ -115,3 +116,28 @@ def test_every_edit_is_found(spark):
     pairs = {(r.word, r.near) for r in spelling.near_pairs(words).collect()}
     assert {b for a, b in pairs if a == w} == others
     assert pairs == {(a, b) for a in others | {w} for b in others | {w} if a != b and near(a, b)}
+
+
+def test_short_words(spark):
+    """Words of one to four points, whose middle is near their end."""
+    words = ["".join(x) for n in (1, 2, 3, 4) for x in itertools.product("abé", repeat=n)]
+    found = [tuple(r) for r in spelling.near_pairs(spark.createDataFrame([(x,) for x in words], "word string")).collect()]
+    assert sorted(found) == sorted((a, b) for a in words for b in words if a != b and near(a, b))
+
+
+def test_few_rows_are_written(spark, monkeypatch):
+    """A pair is searched from one of its words, and an edited word isn't
+    walked on: about a row a level for each word's own path, and the pairs."""
+    rng, written = random.Random(9), []
+    words = sorted({"".join(rng.choice("abcdefgh") for _ in range(rng.randint(8, 10))) + tail for _ in range(150) for tail in ("end", "ende", "enda", "ends", "nd")})
+
+    def counted(df, tag, plain=spelling.materialize):
+        out = plain(df, tag)
+        if tag == "frontier":
+            written.append(out.count())
+        return out
+    monkeypatch.setattr(spelling, "materialize", counted)
+    pairs = spelling.near_pairs(spark.createDataFrame([(x,) for x in words], "word string"))
+    n = pairs.count()
+    assert n == sum(near(a, b) for a in words for b in words if a != b)
+    assert sum(written) < 8 * len(words) + n

@@ -2,12 +2,15 @@
 
 Two words are near if one inserted, deleted or replaced code point turns one
 into the other. All words are one trie, held as a table of edges (node, label,
-child); a node is the hash of its prefix. A state (word, position, node,
-edits) says that the word's code points up to the position are the node's
-prefix, with so many edits. All states of a level are joined with the edges of
-that level: an edge's label is read as it is, or, while no edit is spent, with
-one code point more, fewer or other. A state with one edit (or one code point
-left over) that comes to the end of a word has found a neighbour.
+child); a node is the hash of its prefix. A state (word, node) says that the
+word begins with the node's prefix. All states of a level are joined with the
+edges of that level: an edge's label is read as it is, or it tells of one edit
+there: the word has one code point too many, or another one in its place.
+
+A pair is searched from one of its words only, the longer one or, of equally
+long ones, that with the greater code point where they differ; it is turned
+round at the end. So nothing is ever put into a word, which would follow every
+edge of a node.
 
 Only half of a word is ever searched. If the edit lies in its second half, the
 first half is shared and the search starts at that prefix's node; if not, the
@@ -15,16 +18,17 @@ same holds of the reversed words, which are a second trie in the same tables.
 Words in the middle of which thousands of others branch are thus never walked
 from the root.
 
-After an edit the rest of the word must follow as it is. Every edge carries a
-sketch (a bit each) of the rests of the words beyond it, and edited states
-whose rest isn't in it are not kept; nor are states without an edit once no
-other word lies beyond.
+After an edit the rest of the word must follow as it is, so the neighbour is
+known as a whole, and is looked up among the words. Every edge carries a
+sketch (a bit each) of the rests of the words beyond it, and neighbours whose
+rest isn't in it are not looked up; nor are states kept once no other word lies
+beyond.
 
 Labels are single code points up to depth ``SINGLE`` and grow by half from
 there, so the number of levels grows with the logarithm of the longest word.
 Where two node hashes coincide, states are added and none is lost (an edge is
-told apart by 128 bits, those of both its ends), and pairs are
-compared whole at the end.
+told apart by 128 bits, those of both its ends), and neighbours are looked up
+whole.
 
 Defined results: null texts have no words, a null id counts as empty text in
 the rule that deletes code points. Repeated rows and ids count as often as
@@ -120,9 +124,15 @@ def _beyond(slot: str) -> str:
     return f"(case shiftright({slot}, 6) {part} end & shiftleft(1L, {slot} & 63)) <> 0L"
 
 
-def _level_from(points: str, levels: list[int]) -> str:
-    """SQL: number of the last level at or above half of so many points."""
-    return f"size(filter(array({', '.join(f'{d}L' for d in levels)}), d -> d <= ({points}) div 2)) - 1"
+#: SQL: where the searches of a word start, in its middle; at least two points
+#: are left.
+_START = "greatest(0, least(length(word) div 2, length(word) - 2))"
+
+
+def _level_at(points: str, single: int) -> str:
+    """SQL: number of the last level at or above so many points."""
+    longer = f"size(filter(array({', '.join(f'{d}L' for d in depths(single))}), d -> d <= {points})) - 1"
+    return f"if({points} <= {single}, {points}, {longer})"
 
 
 def both_ways(w: DataFrame) -> DataFrame:
@@ -132,83 +142,87 @@ def both_ways(w: DataFrame) -> DataFrame:
 
 
 def edges(w: DataFrame, single: int = SINGLE) -> DataFrame:
-    """``level, node, label, child, ends`` (the word that ends there, reversed
-    in the reversed trie), ``beneath`` (words beyond the edge) and their rests'
-    sketch of both tries, from the levels on that a search by a word of one
-    code point less can start at."""
+    """``level, node, label, child, beneath`` (words beyond the edge) and their
+    rests' sketch of both tries, from the levels on that a search by a word of
+    as many code points starts at (one of more never starts above)."""
     levels = depths(single)
     starts = f"array({', '.join(f'{d}L' for d in levels)})"
-    first = _level_from("length(word) - 1", levels)
     x = both_ways(w).withColumn("len", F.length("word"))
-    x = x.withColumn("level", F.explode(F.expr(f"filter(sequence(cast({first} as int), {len(levels) - 2}), k -> {starts}[k] < len)")))
+    x = x.withColumn("level", F.explode(F.expr(f"sequence({_level_at(_START, single)}, {_level_at('(length(word) - 1)', single)})")))
     x = x.withColumn("lo", F.expr(f"cast({starts}[level] as int)")).withColumn("hi", F.expr(f"cast(least({starts}[level + 1], len) as int)"))
     x = x.select("level", F.expr(_node("substring(word, 1, lo)")).alias("node"), F.expr("substring(word, lo + 1, hi - lo)").alias("label"),
-                 F.expr(_node("substring(word, 1, hi)")).alias("child"), F.when(F.col("hi") == F.col("len"), F.col("word")).alias("ends"),
-                 F.expr(_slot("substring(word, hi + 1)")).alias("slot"))
+                 F.expr(_node("substring(word, 1, hi)")).alias("child"), F.expr(_slot("substring(word, hi + 1)")).alias("slot"))
+    # numbers only, so that rows are added up by hash and not sorted
     bits = [F.bit_or(F.expr(f"if(shiftright(slot, 6) = {i}, shiftleft(1L, slot & 63), 0L)")).alias(f"s{i}") for i in range(SKETCH)]
-    return x.groupBy("level", "node", "label", "child").agg(F.max("ends").alias("ends"), F.count("*").alias("beneath"), *bits)
-
-
-#: Moves over a label of one code point: read it (1), another in its place
-#: (2), none for it (3), one too many before it (4). What a state knows of
-#: its word is taken before the join, so a pair of state and edge costs a few
-#: comparisons.
-_KNOWN = {"len": "length(word)", "c1": "ascii(substring(word, pos + 1, 1))", "c2": "ascii(substring(word, pos + 2, 1))",
-          "q0": _slot("substring(word, pos + 1)"), "q1": _slot("substring(word, pos + 2)"), "q2": _slot("substring(word, pos + 3)")}
-_READ = f"pos < len and c1 = code and if(edits = 0, beneath > 1, {_beyond('q1')})"
-_OTHER = f"edits = 0 and pos < len and c1 <> code and {_beyond('q1')}"
-_NONE = f"edits = 0 and {_beyond('q0')}"
-_SKIP = f"edits = 0 and pos + 1 < len and c2 = code and {_beyond('q2')}"
-_ANY = f"({_READ}) or ({_OTHER}) or ({_NONE}) or ({_SKIP})"
-_MOVES = (f"filter(array(if({_READ}, named_struct('pos', pos + 1, 'edits', edits), null), if({_OTHER}, named_struct('pos', pos + 1, 'edits', 1), null), "
-          f"if({_NONE}, named_struct('pos', pos, 'edits', 1), null), if({_SKIP}, named_struct('pos', pos + 2, 'edits', 1), null)), s -> s is not null)")
-#: The same over a longer label.
-_EDITED = "edits = 0 and levenshtein(substring(word, pos + 1, {n}), label, 1) = 1"
+    return x.groupBy("level", "node", "label", "child").agg(F.count("*").alias("beneath"), *bits)
+
+
+#: Moves over a label of one code point at ``{pos}``: read it (no neighbour),
+#: another in its place, one too many before it, one too many at the word's end
+#: after it. What a state knows of its word is taken before the join, so a pair
+#: of state and edge costs a few comparisons.
+_KNOWN = {"len": "length(word)", "c1": "ascii(substring(word, {pos} + 1, 1))", "c2": "ascii(substring(word, {pos} + 2, 1))",
+          "q1": _slot("substring(word, {pos} + 2)"), "q2": _slot("substring(word, {pos} + 3)"), "q3": _slot("''")}
+_READ = "c1 = code and beneath > 1"
+_OTHER = f"c1 > code and {_beyond('q1')}"
+_SKIP = f"c2 = code and {_beyond('q2')}"
+_LAST = f"c1 = code and len = {{pos}} + 2 and {_beyond('q3')}"
+_ANY = f"({_READ}) or ({_OTHER}) or ({_SKIP}) or ({_LAST})"
+_MOVES = f"""filter(array(
+  if({_READ}, named_struct('near', cast(null as string)), null),
+  if({_OTHER}, named_struct('near', concat(substring(word, 1, {{pos}}), label, substring(word, {{pos}} + 2))), null),
+  if({_SKIP}, named_struct('near', concat(substring(word, 1, {{pos}}), substring(word, {{pos}} + 2))), null),
+  if({_LAST}, named_struct('near', substring(word, 1, {{pos}} + 1)), null)), s -> s is not null)"""
+#: The same over a longer label of ``m`` points, the edit anywhere in it.
+_EDITED = ("{pos} + {n} <= len and {less} levenshtein(substring(word, {pos} + 1, {n}), label, 1) = 1 and "
+           + _beyond(_slot("substring(word, {pos} + {n} + 1)")))
+_NEAR = "named_struct('near', concat(substring(word, 1, {pos}), label, substring(word, {pos} + {n} + 1)))"
 _LONG_MOVES = f"""filter(array(
-  named_struct('pos', pos + m, 'edits', edits, 'ok', substring(word, pos + 1, m) = label and (edits = 1 or beneath > 1)),
-  named_struct('pos', pos + m - 1, 'edits', 1, 'ok', {_EDITED.format(n='m - 1')}),
-  named_struct('pos', pos + m, 'edits', 1, 'ok', {_EDITED.format(n='m')}),
-  named_struct('pos', pos + m + 1, 'edits', 1, 'ok', {_EDITED.format(n='m + 1')})),
-  s -> s.ok and s.pos <= length(word) and (s.edits = 0 or {_beyond(_slot('substring(word, s.pos + 1)'))}))"""
+  if(m = {{points}} and beneath > 1 and substring(word, {{pos}} + 1, m) = label, named_struct('near', cast(null as string)), null),
+  if({_EDITED.replace('{n}', 'm').replace('{less}', 'label < substring(word, {pos} + 1, m) and')}, {_NEAR.replace('{n}', 'm')}, null),
+  if({_EDITED.replace('{n}', '(m + 1)').replace('{less}', '')}, {_NEAR.replace('{n}', '(m + 1)')}, null)),
+  s -> s is not null)"""
 
 
-def _step(states: DataFrame, edge: DataFrame, points: int) -> DataFrame:
-    """Moves of all states over the edges at their nodes; labels have at most
-    so many code points."""
+def _step(states: DataFrame, edge: DataFrame, pos: int, points: int) -> DataFrame:
+    """Moves of all states, which stand at ``pos``, over the edges at their
+    nodes; labels have at most so many code points. ``near`` is what an edit
+    would make of the word; where there was none, ``node`` is the next."""
+    edge = edge.withColumnRenamed("node", "at")
     if points == 1:
-        known = states.select("*", *[F.expr(e).alias(c) for c, e in _KNOWN.items()])
-        edge = edge.withColumn("code", F.ascii("label"))
-        x = known.join(edge.withColumnRenamed("node", "at"), (F.col("node") == F.col("at")) & F.expr(_ANY)).withColumn("s", F.explode(F.expr(_MOVES)))
+        known = states.select("*", *[F.expr(e.replace("{pos}", str(pos))).alias(c) for c, e in _KNOWN.items()])
+        x = known.join(edge.withColumn("code", F.ascii("label")), (F.col("node") == F.col("at")) & F.expr(_ANY.replace("{pos}", str(pos))))
+        moves = _MOVES
     else:
-        x = states.join(edge.withColumnRenamed("node", "at"), F.col("node") == F.col("at")) \
-                  .withColumn("m", F.length("label")).withColumn("len", F.length("word")).withColumn("s", F.explode(F.expr(_LONG_MOVES)))
-    near = F.expr("case when s.edits + len - s.pos = 1 then ends end")
-    open_ = (F.length("label") == points) & ((F.col("s.edits") == 0) | (F.col("s.pos") < F.col("len")))
-    return x.select("word", "back", F.col("child").alias("node"), F.col("s.pos").alias("pos"), F.col("s.edits").alias("edits"),
-                    near.alias("near"), open_.alias("open")).where("open or near is not null")
+        x = states.join(edge, F.col("node") == F.col("at")).withColumn("m", F.length("label")).withColumn("len", F.length("word"))
+        moves = _LONG_MOVES.replace("{points}", str(points))
+    x = x.withColumn("s", F.explode(F.expr(moves.replace("{pos}", str(pos)))))
+    return x.select("word", "back", F.when(F.col("s.near").isNull(), F.col("child")).alias("node"), F.col("s.near").alias("near"))
 
 
 def near_pairs(w: DataFrame, single: int = SINGLE) -> DataFrame:
     """``word, near`` for every ordered pair of near words of ``w``."""
     levels = depths(single)
-    way = materialize(both_ways(w).withColumn("level", F.expr(_level_from("length(word)", levels))), "ways")
-    edge = materialize(edges(w, single), "edges")
+    # in the order of levels, so that a level's step reads its own rows only
+    way = materialize(both_ways(w).withColumn("level", F.expr(_level_at(_START, single))).sortWithinPartitions("level"), "ways")
+    edge = materialize(edges(w, single).sortWithinPartitions("level"), "edges")
     last = edge.agg(F.max("level").alias("k")).first()["k"]
     found, frontier = [], None
     for k in range(-1 if last is None else last + 1):
-        start = way.where(F.col("level") == k).select("word", "back", F.expr(_node(f"substring(word, 1, {levels[k]})")).alias("node"),
-                                                      F.lit(levels[k]).alias("pos"), F.lit(0).alias("edits"))
+        start = way.where(F.col("level") == k).select("word", "back", F.expr(_node(f"substring(word, 1, {levels[k]})")).alias("node"))
         states = start if frontier is None else frontier.unionAll(start)
-        step = materialize(_step(states, edge.where(F.col("level") == k).drop("level"), levels[k + 1] - levels[k]), "frontier")
+        step = materialize(_step(states, edge.where(F.col("level") == k).drop("level"), levels[k], levels[k + 1] - levels[k]), "frontier")
         found.append(step.where("near is not null").select("word", "back", "near"))
-        frontier = step.where("open").select("word", "back", "node", "pos", "edits")
+        frontier = step.where("near is null").select("word", "back", "node")
     if not found:
         return w.select("word", F.col("word").alias("near")).limit(0)
     out = found[0]
     for f in found[1:]:
         out = out.unionAll(f)
     turn = lambda c: F.when(F.col("back"), F.reverse(c)).otherwise(F.col(c)).alias(c)
-    return out.select(turn("word"), turn("near")).where("levenshtein(word, near, 1) = 1").distinct()
+    pairs = out.select(turn("word"), turn("near")).join(w.select(F.col("word").alias("near")), "near", "left_semi").distinct()
+    ways = F.array(F.struct("word", "near"), F.struct(F.col("near").alias("word"), F.col("word").alias("near")))
+    return pairs.select(F.explode(ways).alias("x")).select("x.word", "x.near")
 
 
 def roots(forms: DataFrame) -> DataFrame:
