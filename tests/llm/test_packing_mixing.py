@@ -44,6 +44,32 @@ def test_direct_words_give_the_same_ids():
         assert packing._PLAIN.fullmatch(w) and cache.plain_ids(packing._PLAIN.fullmatch(w)) == cache.whole_ids(w), w
 
 
+def test_letters_are_tokenised_once():
+    """Whatever their case and punctuation, and after the words are dropped."""
+    cache, asked = packing.WordCache(packing.default_vocabulary()), []
+    model, text = cache.model, "haus Haus HAUS, haus. Haus! Über, über ÜBER. Ü."
+
+    class Counting:
+        def tokenize(self, part):
+            asked.append(part)
+            return model.tokenize(part)
+    cache.model = Counting()
+    cache.parts.clear()
+    for _ in range(2):
+        assert np.frombuffer(cache.ids(text), "<u4").tolist() == ids_of(text)[:-1]
+        cache.clear()
+    assert len(asked) == len(set(asked)) == 6
+
+
+def test_words_held_are_bounded(monkeypatch):
+    monkeypatch.setattr(packing, "CACHE_WORDS", 20)
+    cache = packing.WordCache(packing.default_vocabulary())
+    for i in range(50):
+        text = f"{chr(97 + i % 26) * (i + 1)} B{'x' * i}, word."
+        assert np.frombuffer(cache.ids(text), "<u4").tolist() == ids_of(text)[:-1]
+        assert len(cache) <= 20 + 3 and len(cache.parts) <= 10 + 6
+
+
 def check_pieces(rows, ids, max_tokens=packing.MAX_TOKENS, max_segments=packing.MAX_SEGMENTS):
     """Every id in one piece, sequences gapless and within the limits; the
     share of padding."""
