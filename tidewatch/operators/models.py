@@ -65,9 +65,12 @@ def score(model: PipelineModel | Forest, df: DataFrame, keep: Sequence[str]) ->
 
 
 def partial_retrain(base: DataFrame, feedback: DataFrame, features: Sequence[str], label: str = "label",
-                    mode: str = "append", **kw) -> Forest:
+                    mode: str = "append", current: Forest | None = None, **kw) -> Forest:
     """M2: ``new_only`` refits on the feedback rows alone (the reference's
-    behaviour); ``append`` refits on base + feedback."""
+    behaviour); ``append`` refits on base + feedback. Without feedback rows
+    ``new_only`` has nothing to learn from and the ``current`` model stays."""
+    if mode == "new_only" and current is not None and feedback.isEmpty():
+        return current
     data = feedback if mode == "new_only" else base.select(*features, label).unionByName(
         feedback.select(*features, label))
     return fit_random_forest(data, features, label, **kw)

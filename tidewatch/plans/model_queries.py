@@ -297,7 +297,8 @@ def retrain_comparison(spark, sf_dir):
     """Analyst feedback on half of the test rows (confirmed /
     dismissed forest alerts, labelled by truth) -> retraining cycles -> a
     refit on the feedback rows only (the reference's ``partial_retrain``);
-    base and refit are compared on the other half."""
+    base and refit are compared on the other half. If no cycle closes, nothing
+    is refitted and ``new_only`` is the base model still."""
     base, test = _rf(spark, sf_dir)
     half = prep.hash_score("row_id", 11) < 0.5
     fb_rows, holdout = test.filter(half), test.filter(~half)
@@ -305,8 +306,8 @@ def retrain_comparison(spark, sf_dir):
     verdict = (F.when((F.col("y_pred") == 1) & (F.col("label") == 1), fb.CONFIRMED)
                .when((F.col("y_pred") == 1) & (F.col("label") == 0), fb.DISMISSED).otherwise("none"))
     cyc = fb.assign_cycles(scored.withColumn("verdict", verdict).withColumn("y_true", F.col("label")), ["row_id"])
-    rset = fb.retraining_set(cyc, label_rule="truth").select(*NUM, "label")
-    refit = md.partial_retrain(None, rset, NUM, "label", mode="new_only")
+    rset = fb.retraining_set(cyc, label_rule="truth").select(*NUM, "label").checkpoint()
+    refit = md.partial_retrain(None, rset, NUM, "label", mode="new_only", current=base)
     keep = ["row_id", F.col("label").alias("y_true")]
     preds = mt.long_form({"base": md.score(base, holdout, keep),
                           "new_only": md.score(refit, holdout, keep)}).checkpoint()   # scored once
