@@ -89,24 +89,55 @@ def svm_scores(model: PipelineModel, df: DataFrame, keep: Sequence[str]) -> Data
     return out.select(*keep, margin.alias("margin"), F.col("prediction").cast("int").alias("y_pred"))
 
 
+#: sin(2 pi u) / u in powers of u * u, highest first: exact but for rounding up to a quarter turn.
+_SINE = [(-1) ** k * (2 * math.pi) ** (2 * k + 1) / math.factorial(2 * k + 1) for k in range(10)][::-1]
+
+
+def _fourier_map(features: Sequence[str], components: int, gamma: float | None, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Random projections (features x components) and shifts, in full turns."""
+    rng = np.random.default_rng(seed)
+    g = 1.0 / len(features) if gamma is None else gamma
+    w = rng.normal(0.0, math.sqrt(2 * g), (components, len(features)))
+    shift = rng.uniform(0.0, 2 * math.pi, components)
+    return np.ascontiguousarray(w.T) / (2 * math.pi), shift / (2 * math.pi)
+
+
+def _cosines(x: np.ndarray, turns: np.ndarray, shift: np.ndarray) -> np.ndarray:
+    """Fourier features of the rows ``x``. The cosines come from the sine's
+    series in a few vector operations, several times faster than ``np.cos``."""
+    t = x @ turns
+    t += shift
+    t -= np.rint(t)
+    np.abs(t, out=t)
+    np.subtract(0.25, t, out=t)
+    square = t * t
+    z = square * _SINE[0]
+    z += _SINE[1]
+    for c in _SINE[2:]:
+        z *= square
+        z += c
+    z *= t
+    z *= math.sqrt(2.0 / len(shift))
+    return z
+
+
+def _finite_rows(cols) -> np.ndarray:
+    """Arrow columns as rows of numbers; a null or non-finite one counts as 0."""
+    x = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in cols])
+    x[~np.isfinite(x)] = 0.0
+    return x
+
+
 def fourier_features(features: Sequence[str], components: int = 128, gamma: float | None = None, seed: int = 42):
     """An ARRAY<DOUBLE> column whose inner products approximate the kernel
     ``exp(-gamma * |x - y|^2)`` (Rahimi and Recht 2007): cosines of random
     projections, error about ``components ** -0.5``. ``gamma`` is 1 / number of
     features unless given, for features of unit variance. A null or non-finite
     feature counts as 0."""
-    rng = np.random.default_rng(seed)
-    g = 1.0 / len(features) if gamma is None else gamma
-    w = rng.normal(0.0, math.sqrt(2 * g), (components, len(features)))
-    shift = rng.uniform(0.0, 2 * math.pi, components)
+    turns, shift = _fourier_map(features, components, gamma, seed)
 
     def cosines(*cols: pa.Array) -> pa.Array:
-        z = np.tile(shift, (len(cols[0]), 1))
-        for j, c in enumerate(cols):
-            x = c.to_numpy(zero_copy_only=False).astype(float)
-            z += np.where(np.isfinite(x), x, 0.0)[:, None] * w[:, j]
-        np.cos(z, out=z)
-        z *= math.sqrt(2.0 / components)
+        z = _cosines(_finite_rows(cols), turns, shift)
         return pa.ListArray.from_arrays(np.arange(0, z.size + 1, components, dtype=np.int32), z.ravel())
 
     return F.arrow_udf(cosines, ArrayType(DoubleType()))(*[F.col(c).cast("double") for c in features])
@@ -124,33 +155,130 @@ def platt(scored: DataFrame, model: LogisticRegressionModel, margin: str = "marg
     return scored.withColumn(out, 1 / (1 + F.exp(-(F.col(margin) * a + b))))
 
 
+#: Rows of one packed row, and of one block whose Fourier features are held at once.
+SVM_PACKED, SVM_BLOCK = 1 << 13, 256
+
+
 class KernelSvm:
     """M3 with the radial kernel and probabilities: a linear SVM on random
     Fourier features, on all rows instead of a sample, calibrated by Platt
     scaling on the rows held back for it (``calibration`` of them, by a hash of
-    the id). Predictions are by probability >= 0.5."""
+    the id). Predictions are by probability >= 0.5.
+
+    The SVM is Spark ML's (its loss, penalty and optimizer), but Spark's learner
+    keeps the mapped rows, a kilobyte each. Here only the features and the label
+    are kept, packed, and each pass maps them again block by block."""
 
     def __init__(self, train: DataFrame, features: Sequence[str], id_col: str, label: str = "label", components: int = 128,
                  gamma: float | None = None, reg: float = 1e-4, max_iter: int = 50, calibration: float = 0.2, seed: int = 42):
         from .prep import hash_score
-        self.map = fourier_features(features, components, gamma, seed)
+        self.features = list(features)
+        self.turns, self.shift = _fourier_map(features, components, gamma, seed)
         held = F.coalesce(hash_score(id_col, seed) < calibration, F.lit(False))
-        rows = train.select(*features, F.col(label).cast("double").alias("_label"), held.alias("_held"))
-        # the learner keeps the mapped rows itself; only the narrow ones are kept here
-        rows = rows.where(F.col("_label").isNotNull()).persist(StorageLevel.MEMORY_AND_DISK)
-        mapped = lambda x: x.select(array_to_vector(self.map).alias("features"), F.col("_label").alias("label"))
+        rows = train.select(*[F.col(c).cast("double").alias(c) for c in features], F.col(label).cast("double").alias("_label"), held.alias("_held"))
+        rows = rows.where(F.col("_label").isNotNull())
+        packed = self._pack(rows.where(~F.col("_held"))).persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            self.svc = LinearSVC(regParam=reg, maxIter=max_iter, standardization=False).fit(mapped(rows.where(~F.col("_held"))))
-            self.curve = fit_platt(self._margins(mapped(rows.where("_held")), ["label"]))
+            self.weights, self.intercept = self._fit(packed, reg, max_iter)
         finally:
-            rows.unpersist()
+            packed.unpersist()
+        self.curve = fit_platt(rows.where("_held").select(F.col("_label").alias("label"), self._margin()))
+
+    def _pack(self, rows: DataFrame) -> DataFrame:
+        """A row for every ``SVM_PACKED`` rows of a partition."""
+        names = self.features
+
+        def run(batches):
+            held = []
 
-    def _margins(self, x: DataFrame, keep) -> DataFrame:
-        return self.svc.transform(x).select(*keep, vector_to_array("rawPrediction")[1].alias("margin"))
+            def packed(n):
+                x, y = (np.concatenate(c) for c in zip(*held))
+                held[:] = [(x[n:], y[n:])]
+                return pa.RecordBatch.from_pylist([{"x": x[:n].tobytes(), "y": y[:n].tobytes()}], pa.schema([("x", pa.binary()), ("y", pa.binary())]))
+
+            for b in batches:
+                y = b.column("_label").to_numpy(zero_copy_only=False)
+                if not np.isin(y, (0.0, 1.0)).all():
+                    raise ValueError("labels are 0 or 1")
+                held.append((_finite_rows([b.column(c) for c in names]), y.astype(np.int8)))
+                while sum(len(y) for _, y in held) >= SVM_PACKED:
+                    yield packed(SVM_PACKED)
+            if sum(len(y) for _, y in held):
+                yield packed(SVM_PACKED)
+
+        return rows.mapInArrow(run, "x binary, y binary")
+
+    def _pass(self, packed: DataFrame, per_block, size: int, merge) -> np.ndarray:
+        """``merge`` over the ``size`` numbers that ``per_block`` has for the
+        Fourier features and signs (-1, 1) of a block: in each partition, then
+        over one row of each."""
+        turns, shift = self.turns, self.shift
+
+        def run(batches):
+            total = np.zeros(size)
+            for b in batches:
+                for x, y in zip(b.column("x"), b.column("y")):
+                    x, y = np.frombuffer(x.as_buffer()).reshape(-1, len(turns)), np.frombuffer(y.as_buffer(), np.int8)
+                    for i in range(0, len(y), SVM_BLOCK):
+                        total = merge(total, per_block(_cosines(x[i:i + SVM_BLOCK], turns, shift), 2.0 * y[i:i + SVM_BLOCK] - 1.0))
+            yield pa.RecordBatch.from_pylist([{"sums": total.tobytes()}], pa.schema([("sums", pa.binary())]))
+
+        total = np.zeros(size)
+        for r in packed.mapInArrow(run, "sums binary").collect():
+            total = merge(total, np.frombuffer(r["sums"]))
+        return total
+
+    def _fit(self, packed: DataFrame, reg: float, max_iter: int) -> tuple[np.ndarray, float]:
+        d = len(self.shift)
+
+        def moments(z: np.ndarray, sign: np.ndarray) -> np.ndarray:
+            off = z - z[0]                     # constant features have no variance at all
+            s = off.sum(axis=0)
+            return np.concatenate([[len(z), (sign > 0).sum()], z[0] + s / len(z), (off * off).sum(axis=0) - s * s / len(z)])
+
+        def merged(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            if not (a[0] and b[0]):
+                return a if a[0] else b
+            n, gap = a[0] + b[0], b[2:d + 2] - a[2:d + 2]
+            return np.concatenate([a[:2] + b[:2], a[2:d + 2] + gap * (b[0] / n), a[d + 2:] + b[d + 2:] + gap * gap * (a[0] * b[0] / n)])
+
+        stats = self._pass(packed, moments, 2 + 2 * d, merged)
+        n, positive, mean = stats[0], stats[1], stats[2:d + 2]
+        if not positive:
+            raise ValueError("an SVM learns from rows of two classes")
+        std = np.sqrt(np.maximum(stats[d + 2:], 0.0) / max(n - 1.0, 1.0))
+        inverse = np.divide(1.0, std, out=np.zeros(d), where=std != 0)
+
+        def value(at: np.ndarray) -> tuple[float, np.ndarray]:
+            """Mean hinge loss and penalty of weights on centred features of unit variance."""
+            w = at[:d] * inverse
+            offset = at[d] - w @ mean
+
+            def hinge(z: np.ndarray, sign: np.ndarray) -> np.ndarray:
+                gap = 1.0 - sign * (z @ w + offset)
+                up = np.where(gap > 0, -sign, 0.0)
+                return np.concatenate([[np.maximum(gap, 0.0).sum(), up.sum()], up @ z])
+
+            sums = self._pass(packed, hinge, 2 + d, np.add) / n
+            grad = np.append((sums[2:] - sums[1] * mean) * inverse, sums[1])
+            grad[:d] += reg * w * inverse      # the penalty is on the weights of the features as they are
+            return sums[0] + 0.5 * reg * (w @ w), grad
+
+        best = lbfgs(value, np.zeros(d + 1), max_iter, orthants=True)
+        w = best[:d] * inverse
+        return w, float(best[d] - w @ mean)
+
+    def _margin(self):
+        turns, shift, weights, intercept = self.turns, self.shift, self.weights, self.intercept
+
+        def margins(*cols: pa.Array) -> pa.Array:
+            x = _finite_rows(cols)
+            return pa.array(np.concatenate([_cosines(x[i:i + SVM_BLOCK], turns, shift) @ weights for i in range(0, len(x), SVM_BLOCK)] or [np.zeros(0)]) + intercept)
+
+        return F.arrow_udf(margins, DoubleType())(*[F.col(c).cast("double") for c in self.features]).alias("margin")
 
     def score(self, df: DataFrame, keep: Sequence[str]) -> DataFrame:
-        x = df.select(*keep, array_to_vector(self.map).alias("features"))
-        out = platt(self._margins(x, x.columns[:-1]), self.curve)
+        out = platt(df.select(*keep, self._margin()), self.curve)
         return out.withColumn("y_pred", F.when(F.col("probability") >= 0.5, 1).otherwise(0))
 
 
